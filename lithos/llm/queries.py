@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import importlib.util
 
 #: query: (module, SQL in it or None)
 QUERIES = {
@@ -20,7 +21,7 @@ QUERIES = {
 
 
 def queries() -> dict:
-    out = {name: getattr(importlib.import_module(f"lithos.llm.{module}"), name) for name, (module, _) in QUERIES.items()}
+    out = {name: getattr(importlib.import_module(f"lithos.llm.{module}"), name) for name, (module, _) in QUERIES.items() if importlib.util.find_spec(f"lithos.llm.{module}")}
     import corpus_pipeline
 
     return out | {"pipeline": corpus_pipeline.run}
