@@ -117,7 +117,8 @@ def reigns(h: np.ndarray, off: np.ndarray, window: int, gram: int):
     if len(h) < window:
         return none, none, none, np.zeros(0, np.uint64)
     grams = mix(window_hashes(h, gram))
-    bits = np.uint64(max(20, int(len(grams)).bit_length()))
+    # a fixed number of bits holds the place, so that ties don't depend on what stands around a window
+    bits = np.uint64(max(28, int(len(grams)).bit_length()))
     key = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     least = (window_minima(key, window - gram + 1) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
     n = len(h) - window + 1
