@@ -34,7 +34,9 @@ GROUP = 40_000
 FAN = 8
 ROOM = 8
 #: Words that a task keeps the ids of; characters of text handled at once.
-KEPT = 500_000
+KEPT = 300_000
+#: Words encoded in one call.
+TOGETHER = 500
 CHUNK = 1 << 20
 
 
@@ -52,32 +54,55 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # a character of a byte-level piece is a byte; </w> marks the end of a run of letters, digits or signs
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.width[i] = len(piece.removesuffix("</w>"))
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
+        """Words are encoded many at a time; the bytes that each id stands for tell where a word's ids end."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > KEPT:
-            self.known.clear()
+            # words of the last but one generation are forgotten, those that are still in use come along
+            self.before, self.known = self.known, {}
             new = list(words)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        if self.before:
+            got = self.before
+            moved = {w: got[w] for w in new if w in got}
+            self.known |= moved
+            new = [w for w in new if w not in moved]
+        groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = np.cumsum(self.width[ids])
+            ends = np.cumsum([len(w) for w in " ".join(group).lower().encode().split(b" ")])
+            cut = np.searchsorted(at, ends, "right")
+            if len(ends) == len(group) and (np.append(0, at)[cut] == ends).all() and len(at) and at[-1] == ends[-1]:
+                raw, cut = ids.tobytes(), (4 * cut).tolist()
+                self.known |= {w: raw[x:y] for w, x, y in zip(group, [0, *cut], cut)}
+            else:  # a special token or a change of length by normalisation
+                for w, x in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False)):
+                    self.known[w] = np.array(x.ids, "<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes each, little-endian."""
         out = []
         sizes = np.cumsum([0, *map(len, texts)])
         for i, j in chunks(sizes, CHUNK):
-            words = [t.translate(BREAKS).split(" ") for t in texts[i:j]]
+            words = [plain_spaces(t).split(" ") for t in texts[i:j]]
             self.learn(set().union(*words))
             get = self.known.__getitem__
             out += [b"".join(map(get, w)) for w in words]
         return out
 
 
-#: The breaks between words become spaces.
-BREAKS = {c: " " for c in (0x09, 0x0A, 0x0B, 0x0C, 0x0D)}
+def plain_spaces(text: str) -> str:
+    """text with a space for every other break between words."""
+    for c in "\n\t\r\v\f":
+        text = text.replace(c, " ")
+    return text
 
 
 @lru_cache(4)

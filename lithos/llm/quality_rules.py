@@ -135,9 +135,10 @@ def limits(measured: DataFrame, lang: str = "lang", source: str = "source") -> D
 
 def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """measured with base_failed and kept."""
+    measured = measured.drop("base_failed", "kept")
     top = limits(measured, lang, source).alias("t")
     m = measured.alias("m")
-    # one row of limits for each language and source: salted, so no group of documents meets in one task
+    # one row of limits for each language and source: small whatever the corpus, so mostly a broadcast; else a join that can split a large key
     joined = m.join(top, F.col(f"m.{lang}").eqNullSafe(F.col("t.__lang")) & F.col(f"m.{source}").eqNullSafe(F.col("t.__source")), "left")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fine = F.lit(True)
