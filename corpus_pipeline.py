@@ -6,27 +6,49 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithos.llm import kneser_ney, mixing, packing, rlz_dedup, simhash
-from lithos.llm.common import materialize
+from lithos.llm.common import collecting, drop, materialize, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Scratch tables of the last stage that ran: its result was written before the next one starts.
+_last: list[str] = []
+
+
+def stage(f):
+    """A stage first drops what the stage before left in the scratch folder."""
+
+    @wraps(f)
+    def run(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop(spark, _last)
+        with collecting() as made:
+            out = f(spark, docs, sf_dir)
+        _last[:] = made
+        return out
+
+    return run
+
+
 def keep_where(docs: DataFrame, decisions: DataFrame, condition) -> DataFrame:
     """The documents whose id has a decision that meets the condition."""
     wanted = decisions.where(condition).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__id"]), "left_semi")
 
 
+@stage
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under trusted text is too high for their language go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_where(docs.select(*COLUMNS), kneser_ney.classify(docs.select("doc_id", "text", "lang"), labels), "kept")
 
 
+@stage
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the least id."""
     groups = simhash.near_duplicates(docs.select("doc_id", "text"))
@@ -34,6 +56,7 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return first.dropDuplicates(["doc_id"])
 
 
+@stage
 def substrings(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 20 words and more that stand earlier in the corpus are cut out; a document of which nothing is left goes."""
     out = rlz_dedup.dedup(docs.select(*COLUMNS))
@@ -42,11 +65,13 @@ def substrings(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
+@stage
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are taken so that the sources' words come near their targets; one may come twice."""
     return mixing.emit(mixing.mix(docs.select(*COLUMNS)), COLUMNS)
 
 
+@stage
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of at most 2048 tokens."""
     return packing.pack(materialize(packing.pieces(docs.select("doc_id", "text"), packing.tokenizer_path())))
@@ -66,6 +91,8 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for _, f in STAGES:
+        out = materialize(f(spark, docs, sf_dir))
+        release(docs)  # does nothing to the input tables
+        docs = out
     return docs

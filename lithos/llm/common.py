@@ -13,6 +13,7 @@ import atexit
 import math
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,24 @@ def release(*frames: DataFrame) -> None:
             _tables.discard(table)
 
 
+@contextmanager
+def collecting():
+    """Names of the scratch tables that are made inside, for drop() once nothing reads them."""
+    before = _paths | _tables
+    made: list[str] = []
+    yield made
+    made += sorted((_paths | _tables) - before)
+
+
+def drop(spark: SparkSession, names: list[str]) -> None:
+    for name in names:
+        if name in _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            _tables.discard(name)
+        elif name in _paths:
+            _delete(spark, name)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
