@@ -70,6 +70,19 @@ def unsqueeze(raw: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint64)
 
 
+def small(counts: np.ndarray) -> bytes:
+    """Counts in a byte each, with the few of 255 and more after them in full."""
+    big = np.flatnonzero(counts >= 255).astype(np.uint32)
+    return len(big).to_bytes(4, "little") + big.tobytes() + np.minimum(counts[big], 2**32 - 1).astype(np.uint32).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def large(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    out = np.frombuffer(raw, np.uint8, offset=4 + 8 * n).astype(np.uint32)
+    out[np.frombuffer(raw, np.uint32, n, 4)] = np.frombuffer(raw, np.uint32, n, 4 + 4 * n)
+    return out
+
+
 def cuts(shards: int) -> np.ndarray:
     """The first key of each shard: shards are ranges of keys, so a block's sorted keys are in order of shard."""
     return np.array([2**64 * k // shards for k in range(shards)], np.uint64)
@@ -108,7 +121,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         t = np.bincount(at, weights=np.concatenate(good), minlength=len(keys)).astype(np.uint32) if good else np.zeros(len(keys), np.uint32)
         n = n.astype(np.uint32)
         cut = np.append(np.searchsorted(keys, cuts(shards)), len(keys))
-        out = [(k, key[0].as_py(), squeeze(keys[cut[k] : cut[k + 1]]), n[cut[k] : cut[k + 1]].tobytes(), t[cut[k] : cut[k + 1]].tobytes()) for k in range(shards) if cut[k + 1] > cut[k]]
+        out = [(k, key[0].as_py(), squeeze(keys[cut[k] : cut[k + 1]]), small(n[cut[k] : cut[k + 1]]), small(t[cut[k] : cut[k + 1]])) for k in range(shards) if cut[k + 1] > cut[k]]
         cols = list(zip(*out)) or [()] * 5
         return pa.table([pa.array(c, x) for c, x in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["__shard", "__block", "keys", "background", "target"])
 
@@ -116,13 +129,14 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         parts = [unsqueeze(x) for x in table["keys"].to_pylist()]
         cut = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-        sums = [np.bincount(at, weights=np.frombuffer(b"".join(table[c].to_pylist()), np.uint32), minlength=len(keys)) for c in ("background", "target")]
+        sums = [np.bincount(at, weights=np.concatenate([large(x) for x in table[c].to_pylist()]), minlength=len(keys)) for c in ("background", "target")]
         word = (keys & ONE) == 0
         # counts travel as 32 bits: past 4e9 a logarithm no longer tells the difference
         told = [np.minimum(s, 2**32 - 1).astype(np.uint32)[at] for s in sums]
+        answers = [[small(x[cut[k] : cut[k + 1]]) for k in range(len(parts))] for x in told]
         n = len(parts)
         total = [int(word.sum()), *(int(s[word].sum()) for s in sums)]
-        return pa.table({"__block": table["__block"].cast(pa.int32()), "shard": pa.array([key[0].as_py()] * n, pa.int32()), "background": pa.array([told[0][cut[k] : cut[k + 1]].tobytes() for k in range(n)], pa.binary()), "target": pa.array([told[1][cut[k] : cut[k + 1]].tobytes() for k in range(n)], pa.binary())} | {c: pa.array([v] + [0] * (n - 1), pa.int64()) for c, v in zip(("words", "n_background", "n_target"), total)})
+        return pa.table({"__block": table["__block"].cast(pa.int32()), "shard": pa.array([key[0].as_py()] * n, pa.int32()), "background": pa.array(answers[0], pa.binary()), "target": pa.array(answers[1], pa.binary())} | {c: pa.array([v] + [0] * (n - 1), pa.int64()) for c, v in zip(("words", "n_background", "n_target"), total)})
 
     sent = placed.select(id_col, text, "__kind", "__block").groupBy("__block").applyInArrow(count, SENT)
     told = materialize(sent.groupBy("__shard").applyInArrow(add, REPLY))
@@ -134,7 +148,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         n = len(rows)
         parts, every = block_keys(rows, text)
         replies = replies.sort_by("shard")
-        counts = [np.frombuffer(b"".join(replies[c].to_pylist()), np.uint32).astype(np.float64) for c in ("background", "target")]
+        counts = [np.concatenate([large(x) for x in replies[c].to_pylist()] or [np.zeros(0)]).astype(np.float64) for c in ("background", "target")]
         _, at = np.unique(every, return_inverse=True)
         sums, words, used = np.zeros((2, n)), np.zeros(n, np.int64), 0
         for i, j, h, pair, doc, inner, first in parts:

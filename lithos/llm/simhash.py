@@ -161,9 +161,11 @@ def links(kinds: DataFrame, radius: int = RADIUS, strip: int = TILE * STRIP) ->
 
     cut = kinds.withColumn("__count", count).repartitionByRange(max(1, math.ceil(strips / 4)), "__count", "__f").select("__f", "__id").mapInArrow(packed, schema)
     cut = materialize(cut.withColumn("strip", F.monotonically_increasing_id()))
-    boxes = cut.select("strip", "lo", "hi")
+    # strips are narrow in the count of the first part: those within the radius there meet by equal counts
+    first = lambda name, wide: cut.select(F.struct("strip", "lo", "hi").alias(name), F.explode(F.sequence(F.col("lo")[0] - wide, F.col("hi")[0] + wide)).alias("c"))
     gap = F.aggregate(F.zip_with(F.zip_with("a.lo", "b.hi", lambda x, y: x - y), F.zip_with("b.lo", "a.hi", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0), x, y)), F.lit(0), lambda s, x: s + x)
-    near = boxes.alias("a").join(boxes.alias("b"), (F.col("a.strip") <= F.col("b.strip")) & (gap <= radius)).select(F.col("a.strip").alias("strip"), F.col("b.strip").alias("other"))
+    near = first("a", radius).join(first("b", 0), "c").where((F.col("a.strip") <= F.col("b.strip")) & (gap <= radius))
+    near = near.select(F.col("a.strip").alias("strip"), F.col("b.strip").alias("other")).distinct()
     left = near.join(cut.select("strip", F.col("f").alias("fa"), F.col("ids").alias("ia")), "strip")
     pairs = left.join(cut.select(F.col("strip").alias("other"), F.col("f").alias("fb"), F.col("ids").alias("ib")), "other")
     # every pair of strips is a piece of work of its own

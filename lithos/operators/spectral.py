@@ -188,13 +188,59 @@ def envelopes(traces: DataFrame) -> DataFrame:
     return traces.select("dataset_id", "trace_idx", "samples").mapInArrow(run, "dataset_id string, trace_idx long, avg_envelope double")
 
 
-def band_features(energies: DataFrame) -> DataFrame:
-    """Entropy, centroid and bandwidth over frequency at each time of a trace."""
-    e = energies.select("dataset_id", "trace_idx", "frequency", F.posexplode("energy").alias("time_idx", "e"))
-    g = e.groupBy("dataset_id", "trace_idx", "time_idx").agg(F.sum("e").alias("s"), F.sum(F.col("e") * F.col("frequency")).alias("m1"), F.sum(F.col("e") * F.col("frequency") * F.col("frequency")).alias("m2"), F.sum(F.when(F.col("e") > 0, F.col("e") * F.log("e"))).alias("l"))
-    s = F.when(F.col("s") > 0, F.col("s"))
-    centre = F.col("m1") / s
-    return g.select("dataset_id", "trace_idx", "time_idx", (F.log(s) - F.coalesce("l", F.lit(0.0)) / s).alias("entropy"), centre.alias("centroid"), F.sqrt(F.greatest(F.lit(0.0), F.col("m2") / s - centre * centre)).alias("bandwidth"))
+TINY = 1e-12
+
+
+def features(e: np.ndarray, f: np.ndarray) -> dict[str, np.ndarray]:
+    """Of energies (times, frequencies): where the peak is and how high, centroid, bandwidth, entropy (0 to 1), and the shares of three bands."""
+    p = e / (e.sum(1, keepdims=True) + TINY)
+    centre = p @ f
+    cut = np.linspace(f.min(), f.max(), 4)
+    bands = [(f >= lo) & ((f < hi) if k < 2 else (f <= hi)) for k, (lo, hi) in enumerate(zip(cut, cut[1:]))]
+    out = {"dominant_freq_hz": f[e.argmax(1)], "peak_amp": e.max(1), "bandwidth_hz": np.sqrt((p * (f[None, :] - centre[:, None]) ** 2).sum(1)), "centroid_hz": centre}
+    out["entropy"] = -(p * np.log(p + TINY)).sum(1) / np.log(max(len(f), 2))
+    return out | {f"energy_{n}": p[:, m].sum(1) for n, m in zip(("low", "mid", "high"), bands)}
+
+
+FEATURES = ("dominant_freq_hz", "peak_amp", "bandwidth_hz", "centroid_hz", "entropy", "energy_low", "energy_mid", "energy_high")
+TRACE_FEATURES = ("inst_amplitude", "inst_envelope", "inst_freq_hz", *(f"{m}_{n}" for m in ("cwt", "sswt") for n in FEATURES))
+
+
+def trace_features(traces: DataFrame) -> DataFrame:
+    """(trace_idx, time_idx) with the nineteen features of each sample; traces too short to squeeze have none."""
+
+    def run(batches):
+        for b in batches:
+            for t, s, dt in zip(b.column("trace_idx").to_pylist(), b.column("samples").to_pylist(), b.column("dt_ms").to_pylist()):
+                if not s or len(s) < 8:
+                    continue
+                x = np.nan_to_num(np.array(s, float))[None]
+                cols = [v[0] for v in instantaneous(x, dt)]
+                for f, e in ((cw := cwt(x, dt))[0], np.abs(cw[1])), sswt(x, dt):
+                    got = features(e[0].T, f)
+                    cols += [got[n] for n in FEATURES]
+                n = x.shape[-1]
+                yield pa.RecordBatch.from_arrays([pa.array([t] * n, pa.int64()), pa.array(range(n), pa.int32()), *(pa.array(c, pa.float64()) for c in cols)], ["trace_idx", "time_idx", *TRACE_FEATURES])
+
+    return traces.select("trace_idx", "samples", "dt_ms").mapInArrow(run, "trace_idx long, time_idx int, " + ", ".join(f"{c} double" for c in TRACE_FEATURES))
+
+
+def statistical_wavelet(trace: np.ndarray, dt_ms: float, length_ms: float = 128.0) -> tuple[np.ndarray, np.ndarray]:
+    """(times, wavelet): a trace's own amplitude spectrum without phase, cut to a length around zero, its peak 1."""
+    x = np.nan_to_num(np.asarray(trace, float))
+    if len(x) < 8:
+        raise ValueError("at least eight samples")
+    full = np.fft.fftshift(np.fft.irfft(np.abs(np.fft.rfft(x * np.hanning(len(x)))), n=len(x)))
+    half, mid = max(3, round(length_ms / dt_ms)) // 2, len(full) // 2
+    w = full[max(0, mid - half) : mid + half + 1]
+    top = np.abs(w).max()
+    return (np.arange(len(w)) - len(w) // 2) * dt_ms, w / top if top > 0 else w
+
+
+def wavelet_spectrum(w: np.ndarray, dt_ms: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frequencies, amplitudes and unwrapped phases in degrees."""
+    z = np.fft.rfft(w)
+    return np.fft.rfftfreq(len(w), dt_ms / 1000.0), np.abs(z), np.degrees(np.unwrap(np.angle(z)))
 
 
 def correlate(energies: DataFrame, properties: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from lithos.operators import interpolation as I
 from lithos.operators import petrophysics as P
 from lithos.operators import seismic as S
 from lithos.operators import spatial as X
-from lithos.operators import spectral, ties
+from lithos.operators import reports, spectral, ties
 from lithos.operators import wells as W
 from lithos.plans import standins as D
 
@@ -420,7 +420,7 @@ def time_frequency_cwt(spark, sf_dir):
 
 @query()
 def time_frequency_features(spark, sf_dir):
-    return spectral.band_features(spectral.decompose(D.traces(spark, sf_dir), "stft"))
+    return spectral.trace_features(D.traces(spark, sf_dir))
 
 
 def tie_inputs(spark, sf_dir):
@@ -437,3 +437,56 @@ def well_ties(spark, sf_dir):
 @query()
 def gardner_coefficients(spark, sf_dir):
     return ties.gardner_coefficients(D.logs(spark, sf_dir))
+
+
+@query(f"""WITH {D.WELLS_SQL}, {D.TRACES_SQL}, b AS (SELECT min(tx) AS lx, max(tx) AS hx, min(ty) AS ly, max(ty) AS hy FROM traces)
+SELECT well_id, coalesce(wx BETWEEN lx - greatest(0.2 * (hx - lx), 500) AND hx + greatest(0.2 * (hx - lx), 500) AND wy BETWEEN ly - greatest(0.2 * (hy - ly), 500) AND hy + greatest(0.2 * (hy - ly), 500), false) AS aligned
+FROM (SELECT well_id, wx * 2 AS wx, wy FROM wells), b""")
+def crs_check(spark, sf_dir):
+    return reports.crs_check(D.wells(spark, sf_dir).withColumn("wx", F.col("wx") * 2), targets(spark, sf_dir))
+
+
+@query(FIT + f""", s AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY d, trace_idx) AS k FROM (SELECT well_id, wx, wy, a * wx + b AS cx, c * wy + d AS cy, trace_idx, sqrt((a * wx + b - tx) ** 2 + (c * wy + d - ty) ** 2) AS d FROM wells, f, traces WHERE wx IS NOT NULL)),
+g AS (SELECT s.*, d <= 10 AS within_tolerance, NOT (wx BETWEEN lx AND hx AND wy BETWEEN ly AND hy) AND NOT (cx BETWEEN ltx AND htx AND cy BETWEEN lty AND hty) AS extrapolated FROM s, w, (SELECT min(tx) AS ltx, max(tx) AS htx, min(ty) AS lty, max(ty) AS hty FROM traces) WHERE k = 1)
+SELECT well_id, {r('cx')}, {r('cy')}, trace_idx, {as_r('d', 'distance')}, within_tolerance, extrapolated, within_tolerance AND NOT extrapolated AS trustworthy FROM g""")
+def calibration_report(spark, sf_dir):
+    return reports.calibration_report(D.wells(spark, sf_dir), targets(spark, sf_dir), spacing=5.0)
+
+
+def heads(spark, sf_dir):
+    """Places for the seven stand-in wells; the last has none and the one before is far away."""
+    rows = [(f"W{k}", k, 1000.0 + 180.0 * k if k < 6 else None, 5000.0 + (30.0 * k if k < 5 else 9000.0)) for k in range(7)]
+    return spark.createDataFrame(rows, "well_id string, point_id long, wx double, wy double")
+
+
+PAY = INTERPRETED + f""", {D.TRACES_SQL}, h AS (SELECT 'W' || CAST(k AS VARCHAR) AS well_id, CASE WHEN k < 6 THEN 1000.0::DOUBLE + 180.0::DOUBLE * k END AS wx, 5000.0::DOUBLE + CASE WHEN k < 5 THEN 30.0::DOUBLE * k ELSE 9000.0::DOUBLE END AS wy FROM (SELECT unnest(range(7)) AS k)),
+nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY distance, trace_idx) AS q FROM (SELECT well_id, trace_idx, sqrt((wx - tx) ** 2 + (wy - ty) ** 2) AS distance FROM h, traces WHERE wx IS NOT NULL) WHERE distance <= 200) WHERE q = 1),
+py AS (SELECT well_id, avg(VSH) AS mean_vsh_pay, count(*) AS n_pay FROM it WHERE ZONES = 1 AND VSH IS NOT NULL GROUP BY well_id),
+pp AS (SELECT h.well_id, wx, wy, trace_idx, distance, mean_vsh_pay, n_pay, CASE WHEN wx IS NULL THEN 'no coordinates' WHEN trace_idx IS NULL THEN 'no trace near' WHEN n_pay IS NULL THEN 'no pay' END AS reason FROM h LEFT JOIN nr USING (well_id) LEFT JOIN py USING (well_id))
+"""
+
+
+@query(PAY + f"SELECT well_id, wx, wy, trace_idx, {r('distance')}, {r('mean_vsh_pay')}, n_pay, reason FROM pp")
+def pay_points(spark, sf_dir):
+    return reports.pay_points(heads(spark, sf_dir), interpreted(spark, sf_dir), targets(spark, sf_dir), 200.0)
+
+
+@query(PAY + f", j AS (SELECT traces.trace_idx, mean_vsh_pay AS v, pow(greatest(sqrt((wx - tx) ** 2 + (wy - ty) ** 2), 1.0), -2.0) AS wt FROM traces, pp WHERE reason IS NULL) SELECT trace_idx AS cell_id, {as_r('sum(wt * v) / sum(wt)', 'value')} FROM j GROUP BY trace_idx")
+def zone_tie_map(spark, sf_dir):
+    return reports.zone_tie_map(reports.pay_points(heads(spark, sf_dir), interpreted(spark, sf_dir), targets(spark, sf_dir), 200.0), targets(spark, sf_dir))
+
+
+@query()
+def field_overview(spark, sf_dir):
+    d = interpreted(spark, sf_dir)
+    return reports.field_overview(W.well_summary(d), W.zone_summary(d), ties.tie_wells(*tie_inputs(spark, sf_dir), max_shift=20.0))
+
+
+@query(f"WITH {D.TRACES_SQL} SELECT dataset_id, trace_idx FROM traces WHERE list_max([abs(x) FOR x IN samples]) = 0")
+def dead_traces(spark, sf_dir):
+    return S.dead_traces(D.traces(spark, sf_dir))
+
+
+@query(f"WITH {D.TRACES_SQL}, z AS (SELECT CAST(generate_subscripts(samples, 1) - 1 AS INTEGER) AS i, unnest(samples) AS a FROM traces), p AS (SELECT i, avg(CASE WHEN a = 0 THEN 1.0 ELSE 0 END) AS f FROM z GROUP BY i) SELECT 'SURVEY' AS dataset_id, i AS sample_idx FROM p ORDER BY f, i LIMIT 1")
+def best_time(spark, sf_dir):
+    return S.best_time(D.traces(spark, sf_dir))
