@@ -446,8 +446,8 @@ def crs_check(spark, sf_dir):
     return reports.crs_check(D.wells(spark, sf_dir).withColumn("wx", F.col("wx") * 2), targets(spark, sf_dir))
 
 
-@query(FIT + f""", s AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY d, trace_idx) AS k FROM (SELECT well_id, wx, wy, a * wx + b AS cx, c * wy + d AS cy, trace_idx, sqrt((a * wx + b - tx) ** 2 + (c * wy + d - ty) ** 2) AS d FROM wells, f, traces WHERE wx IS NOT NULL)),
-g AS (SELECT s.*, d <= 10 AS within_tolerance, NOT (wx BETWEEN lx AND hx AND wy BETWEEN ly AND hy) AND NOT (cx BETWEEN ltx AND htx AND cy BETWEEN lty AND hty) AS extrapolated FROM s, w, (SELECT min(tx) AS ltx, max(tx) AS htx, min(ty) AS lty, max(ty) AS hty FROM traces) WHERE k = 1)
+@query(FIT + f""", near AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY d, trace_idx) AS k FROM (SELECT well_id, wx, wy, a * wx + b AS cx, c * wy + d AS cy, trace_idx, sqrt((a * wx + b - tx) ** 2 + (c * wy + d - ty) ** 2) AS d FROM wells, f, traces WHERE wx IS NOT NULL)),
+g AS (SELECT near.*, d <= 10 AS within_tolerance, NOT (wx BETWEEN lx AND hx AND wy BETWEEN ly AND hy) AND NOT (cx BETWEEN ltx AND htx AND cy BETWEEN lty AND hty) AS extrapolated FROM near, w, (SELECT min(tx) AS ltx, max(tx) AS htx, min(ty) AS lty, max(ty) AS hty FROM traces) WHERE k = 1)
 SELECT well_id, {r('cx')}, {r('cy')}, trace_idx, {as_r('d', 'distance')}, within_tolerance, extrapolated, within_tolerance AND NOT extrapolated AS trustworthy FROM g""")
 def calibration_report(spark, sf_dir):
     return reports.calibration_report(D.wells(spark, sf_dir), targets(spark, sf_dir), spacing=5.0)
