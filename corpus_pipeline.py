@@ -11,7 +11,7 @@ from functools import wraps
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithos.llm import kneser_ney, mixing, packing, rlz_dedup, simhash
+from lithos.llm import kneser_ney, mixing, near_copies, packing, rlz_dedup
 from lithos.llm.common import collecting, drop, materialize, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,6 +35,16 @@ def stage(f):
     return run
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with __row, a number of their own: ids may be null or stand for several rows."""
+    return materialize(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()))
+
+
+def keep_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents whose row is wanted."""
+    return rows.join(wanted.select("__row"), "__row", "left_semi").select(*COLUMNS)
+
+
 def keep_where(docs: DataFrame, decisions: DataFrame, condition) -> DataFrame:
     """The documents whose id has a decision that meets the condition."""
     wanted = decisions.where(condition).select(F.col("doc_id").alias("__id")).distinct()
@@ -50,10 +60,12 @@ def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the least id."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = keep_where(docs.select(*COLUMNS), groups, "doc_id <=> component_id")
-    return first.dropDuplicates(["doc_id"])
+    """One document of each group of near copies stays, the one with the least id (null ids last; then by a digest of the text)."""
+    rows = numbered(docs)
+    group = near_copies.groups(rows.select("__row", "text"), "__row")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256), F.xxhash64("lang", "source", "n_chars"), "__row")
+    first = rows.select("__row", rank.alias("rank")).join(group, "__row").groupBy("component").agg(F.min("rank").alias("rank"))
+    return keep_rows(rows, first.select("rank.__row"))
 
 
 @stage

@@ -425,3 +425,60 @@ def test_pipeline(spark):
             seen.add(x)
         assert [x for x, g in zip(words[d], gone) if not g] == cut.get(d, [])
     assert steps[5].agg(F.countDistinct("doc_id")).first()[0] == len(ids[4])
+
+
+def near_copy_sets(rows, least=0.8):
+    """Components of row numbers by brute-force Jaccard similarity of five-word shingles."""
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    sets = []
+    for _, t in rows:
+        w = [x.encode().translate(low) for x in WORD.findall(t or "")]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b)):
+                parent[root(i)] = root(j)
+    return {frozenset(j for j in range(len(rows)) if root(j) == root(i)) for i in range(len(rows))}
+
+
+def edited(n, change, seed):
+    """A text of n words and copies of it in which a few words are others."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(n)]
+    out = [" ".join(base)]
+    for k in range(40):
+        words = list(base)
+        for i in r.sample(range(n), change):
+            words[i] = f"x{k}{i}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_near_copies(spark, docs, rows, empty):
+    from lithos.llm import near_copies
+
+    given = [(i, t) for i, t in enumerate([r[1] for r in rows] + edited(300, 3, 1) + edited(200, 12, 2) + edited(40, 1, 3) + edited(9, 1, 4))]
+    table = spark.createDataFrame(given, "n long, t string").repartition(3)
+    for few, radius in ((4, near_copies.RADIUS), (1, near_copies.RADIUS)):
+        got = defaultdict(set)
+        for r in near_copies.groups(table, "n", "t", few=few, radius=radius).collect():
+            got[r["component"]].add(r["n"])
+        assert {frozenset(x) for x in got.values()} == near_copy_sets(given)
+    assert near_copies.groups(empty.select("doc_id", "text"), "doc_id").count() == 0
+
+
+def test_pipeline_drops_near_copies_of_jaccard_similarity(spark):
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    given = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    kept = {r["doc_id"] for r in P.near_duplicates(spark, docs, sf).collect()}
+    assert kept == {min(given[i][0] for i in g) for g in near_copy_sets(given)}
