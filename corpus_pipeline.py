@@ -45,17 +45,12 @@ def keep_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted.select("__row"), "__row", "left_semi").select(*COLUMNS)
 
 
-def keep_where(docs: DataFrame, decisions: DataFrame, condition) -> DataFrame:
-    """The documents whose id has a decision that meets the condition."""
-    wanted = decisions.where(condition).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__id"]), "left_semi")
-
-
 @stage
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity under trusted text is too high for their language go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return keep_where(docs.select(*COLUMNS), kneser_ney.classify(docs.select("doc_id", "text", "lang"), labels), "kept")
+    rows = numbered(docs)
+    return keep_rows(rows, kneser_ney.classify(rows.select("__row", "doc_id", "text", "lang"), labels).where("kept"))
 
 
 @stage

@@ -482,3 +482,36 @@ def test_pipeline_drops_near_copies_of_jaccard_similarity(spark):
     given = [(r["doc_id"], r["text"]) for r in docs.collect()]
     kept = {r["doc_id"] for r in P.near_duplicates(spark, docs, sf).collect()}
     assert kept == {min(given[i][0] for i in g) for g in near_copy_sets(given)}
+
+
+def test_stages_decide_by_row(spark):
+    import corpus_pipeline as P
+    from lithos.llm.common import materialize
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = [tuple(r) for r in docs.select(*P.COLUMNS).collect()]
+    labelled = {r["doc_id"] for r in labels.collect()}
+    kept = {r["doc_id"]: r["kept"] for r in kneser_ney.classify(docs.select("doc_id", "text", "lang"), labels).collect()}
+    # a rejected row beside a kept one of the same id, and both without an id
+    free = [r for r in rows if r[0] not in labelled]
+    good, bad = [r for r in free if kept[r[0]]], [r for r in free if not kept[r[0]]]
+    assert len(good) > 3 and len(bad) > 1
+    changed = {bad[0][0]: good[0][0], bad[1][0]: None, good[1][0]: None, good[2][0]: None}
+    table = spark.createDataFrame([(changed.get(r[0], r[0]), *r[1:]) for r in rows], docs.schema)
+    want = Counter((changed.get(r[0], r[0]), r[1]) for r in rows if kept[r[0]])
+    assert Counter((r["doc_id"], r["text"]) for r in P.quality(spark, table, sf).collect()) == want
+
+    say = lambda seed: " ".join(f"w{random.Random(seed * 1000 + i).randrange(10**6)}" for i in range(50))
+    a, b, c, d, e = map(say, range(5))
+    # rows without an id and rows of one id are not copies of each other; of copies the one with an id stays
+    given = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, d), (None, e), (9, e), (8, e + " end")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in given], docs.schema).repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in P.near_duplicates(spark, table, sf).collect())
+    assert got == Counter([(None, a), (None, b), (7, c), (7, d), (8, e + " end")])
+
+    step = docs.where("false")
+    for _, f in P.STAGES:
+        step = materialize(f(spark, step, sf))
+        assert step.count() == 0
