@@ -515,3 +515,49 @@ def test_stages_decide_by_row(spark):
     for _, f in P.STAGES:
         step = materialize(f(spark, step, sf))
         assert step.count() == 0
+
+
+def test_matching_by_counts_is_best_fit():
+    r = random.Random(3)
+    for size, sizes in [(100, [r.randint(1, 100) for _ in range(500)]), (64, [r.choice([3, 7, 20, 33]) for _ in range(300)]), (10, [1] * 37), (2048, [r.randint(1030, 2039) for _ in range(200)])]:
+        kinds = packing.match(Counter(sizes), size)
+        bins = Counter()
+        for kind, n in kinds:
+            bins[tuple(sorted(s for s, times in kind for _ in range(times)))] += n
+        assert bins == Counter(tuple(sorted(sizes[i] for i in b)) for b in packing.best_fit(sizes, size))
+
+
+@pytest.mark.parametrize("lengths", ["no two fit", "steps"])
+def test_packing_has_no_group_of_all_underfull_bins(spark, monkeypatch, lengths):
+    r = random.Random(8)
+    size = [r.randint(1030, 2039) if lengths == "no two fit" else 100 * r.randint(1, 18) for _ in range(3000)]
+    given = [(i, 0, 0, s, i) for i, s in enumerate(size)]
+    items = spark.createDataFrame(given, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    held = spark.sparkContext.accumulator(0)
+    real = packing._packer
+
+    def counted(*args):
+        run = real(*args)
+
+        def limited(key, table):
+            assert len(table) <= 400, f"a group of {len(table)} items"
+            held.add(len(table))
+            return run(key, table)
+
+        return limited
+
+    monkeypatch.setattr(packing, "_packer", counted)
+    got = packing.pack(items, group=300).collect()
+    assert held.value == len(given)  # every piece is packed in a group once
+    assert sorted((x["doc_id"], x["length"]) for x in got) == [(i, s) for i, s in enumerate(size)]
+    bins = defaultdict(list)
+    for x in got:
+        bins[x["sequence_id"]].append((x["offset"], x["length"]))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    # groups of 300 cost up to 2 %, as they did with a tree of merges
+    assert len(bins) <= len(packing.best_fit(size)) * 1.02 + 1
