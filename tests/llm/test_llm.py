@@ -561,3 +561,27 @@ def test_packing_has_no_group_of_all_underfull_bins(spark, monkeypatch, lengths)
         assert at <= 2048
     # groups of 300 cost up to 2 %, as they did with a tree of merges
     assert len(bins) <= len(packing.best_fit(size)) * 1.02 + 1
+
+
+def test_thresholds_come_from_all_trusted_documents_not_trained_on(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    most = 100
+    folds = {r["doc_id"]: r["__fold"] for r in kneser_ney.trusted_ids(labels, most=most).collect()}
+    trained = [d for d, f in folds.items() if f == 0]
+    assert 50 < len(trained) <= most and len(folds) == labels.select("doc_id").distinct().count() > 3 * most
+    out = kneser_ney.classify(docs, labels, most=most).collect()
+    held = [r for r in out if folds.get(r["doc_id"]) == 1 and r["log_perplexity"] is not None]
+    by = defaultdict(list)
+    for r in held:
+        by[r["lang"]].append(r)
+    median = lambda x: np.quantile([r["log_perplexity"] for r in x], 0.5)
+    center = {k: median(x if len(x) >= kneser_ney.LEAST else held) for k, x in by.items()}
+    excess = lambda r: (r["log_perplexity"] - center[r["lang"]]) / math.sqrt(1 + kneser_ney.SHORT / r["n_words"])
+    assert sum(len(x) >= kneser_ney.LEAST for x in by.values())
+    for k, x in by.items():
+        top = np.quantile([excess(r) for r in (x if len(x) >= kneser_ney.LEAST else held)], kneser_ney.QUANTILE) * kneser_ney.MARGIN
+        for r in out:
+            if r["lang"] == k and r["log_perplexity"] is not None:
+                assert abs(r["threshold"] - top) < 0.02 and abs(r["excess"] - excess(r)) < 0.01
