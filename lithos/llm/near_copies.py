@@ -10,8 +10,9 @@ similar enough become links.
 
 A group of g near copies has g * g / 2 candidates. So a pair of strips first returns at most FEW
 partners for each kind, chosen by a hash, and one for each kind that nobody chose; the links among
-them join most groups. A second pass over the kinds that have candidates returns all pairs that are
-not in one component yet. The components are those that all candidates would give.
+them join most groups. A second pass over the kinds that have candidates brings their sets along and
+compares all pairs that are not in one component yet within the task, so only links become rows.
+The components are those that all candidates would give.
 
 Nulls and texts without words have the empty set, and are copies of each other. Texts with fewer
 words than a shingle have one shingle, the whole sequence.
@@ -123,11 +124,11 @@ def some(i: np.ndarray, j: np.ndarray, few: int) -> np.ndarray:
     return take
 
 
-def candidates(kinds: DataFrame, radius: int = RADIUS, few: int | None = None, strip: int = TILE * STRIP) -> DataFrame:
-    """(a, b, more) of a table of kinds (node, f, n, label): pairs that may be similar; more: a pair of strips had others."""
+def candidates(kinds: DataFrame, radius: int = RADIUS, few: int | None = None, strip: int = TILE * STRIP, sets: bool = False) -> DataFrame:
+    """(a, b, more) of a table of kinds (node, f, n, label): pairs that may be similar; more: a pair of strips had others. sets: the kinds have hashes, and only similar ones are returned."""
     n = kinds.count()
-    schema = "node binary, f binary, n binary, label binary, lo long, hi long"
-    names = ("node", "f", "n", "label")
+    names = ("node", "f", "n", "label", *["hashes"] * sets)
+    schema = ", ".join(f"{c} binary" for c in names) + ", lo long, hi long"
 
     def packed(batches):
         tables = [pa.Table.from_batches([b]) for b in batches]
@@ -140,8 +141,11 @@ def candidates(kinds: DataFrame, radius: int = RADIUS, few: int | None = None, s
         size, node, label = size[order], node[order], t["label"].to_numpy()[order]
         for k in range(0, len(node), strip):
             p = slice(k, k + strip)
-            row = [[node[p].tobytes()], [f[p].tobytes()], [size[p].tobytes()], [label[p].tobytes()], [int(size[p][0])], [int(size[p][-1])]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if q < 4 else pa.int64()) for q, v in enumerate(row)], [*names, "lo", "hi"])
+            row = [[node[p].tobytes()], [f[p].tobytes()], [size[p].tobytes()], [label[p].tobytes()]]
+            if sets:
+                row.append([b"".join(t["hashes"].take(pa.array(order[p])).to_pylist())])
+            row += [[int(size[p][0])], [int(size[p][-1])]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if q < len(names) else pa.int64()) for q, v in enumerate(row)], [*names, "lo", "hi"])
 
     # sets without partners of another size or their own stay out: fewer than four shingles
     cut = kinds.where("n >= 4").select(*names).repartitionByRange(max(1, math.ceil(n / strip / 4)), "n", "node").mapInArrow(packed, schema)
@@ -161,37 +165,54 @@ def candidates(kinds: DataFrame, radius: int = RADIUS, few: int | None = None, s
                 read = lambda end: (np.frombuffer(r[f"f{end}"], np.uint64).reshape(-1, 2), np.frombuffer(r[f"n{end}"], np.int64), np.frombuffer(r[f"label{end}"], np.int64))  # noqa: B023, E731
                 i, j = tile_pairs(read(""), read("2"), radius, r["strip"] == r["other"])
                 take = np.ones(len(i), bool) if few is None else some(i, j, few)
+                if sets:
+                    x, y = (np.split(np.frombuffer(r[f"hashes{e}"], np.uint64), np.cumsum(np.frombuffer(r[f"n{e}"], np.int64))[:-1]) for e in ("", "2"))
+                    take = np.array([alike(x[p], y[q]) for p, q in zip(i.tolist(), j.tolist())], bool)
                 a, b = np.frombuffer(r["node"], np.int64)[i[take]], np.frombuffer(r["node2"], np.int64)[j[take]]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), not take.all()))], ["a", "b", "more"])
 
     return materialize(pairs.mapInArrow(compare, "a long, b long, more boolean"))
 
 
-def similar(pairs: DataFrame, docs: DataFrame, row: str, text: str, shingle: int) -> DataFrame:
-    """The (a, b) of pairs whose texts' sets are similar enough."""
-    nodes = pairs.select(F.col("a").alias(row)).unionByName(pairs.select(F.col("b").alias(row))).distinct()
+def shingled(docs: DataFrame, nodes: DataFrame, row: str, text: str, shingle: int) -> DataFrame:
+    """(row, hashes): the sets of the rows that nodes names."""
 
     def hashes(batches):
         for b in batches:
             sets = [k.tobytes() for k in shingle_sets(b.column(text), shingle)]
             yield pa.RecordBatch.from_arrays([b.column(row), pa.array(sets, pa.binary())], ["row", "hashes"])
 
-    sets = materialize(docs.select(row, text).join(nodes, row, "left_semi").mapInArrow(hashes, "row long, hashes binary"))
-    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
+    return docs.select(row, text).join(nodes, row, "left_semi").mapInArrow(hashes, "row long, hashes binary")
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
     top, bottom = SIMILAR
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return bottom * shared >= top * (len(x) + len(y) - shared)
+
+
+def similar(pairs: DataFrame, docs: DataFrame, row: str, text: str, shingle: int) -> DataFrame:
+    """The (a, b) of pairs whose texts' sets are similar enough."""
+    nodes = pairs.select(F.col("a").alias(row)).unionByName(pairs.select(F.col("b").alias(row))).distinct()
+    sets = materialize(shingled(docs, nodes, row, text, shingle))
+    both = pairs.join(sets.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
 
     def keep(batches):
         for b in batches:
             fine = []
             for x, y in zip(b.column("x"), b.column("y")):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                fine.append(bottom * shared >= top * (len(p) + len(q) - shared))
+                fine.append(alike(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
     return materialize(both.select("a", "b", "x", "y").mapInArrow(keep, "a long, b long"))
 
 
+def inside(kinds: DataFrame, docs: DataFrame, row: str, text: str, shingle: int, radius: int, strip: int = TILE) -> DataFrame:
+    """The links of all pairs of kinds (node, f, n, label) of different labels that are similar enough, found with their sets at hand."""
+    sets = materialize(shingled(docs, kinds.select(F.col("node").alias(row)), row, text, shingle))
+    return candidates(kinds.join(sets.select(F.col("row").alias("node"), "hashes"), "node"), radius, None, strip, True)
+
+
 def groups(docs: DataFrame, row: str, text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, few: int = FEW) -> DataFrame:
     """(row, component) of every row; row: a number that no two rows share."""
     rows = materialize(kinds_of(docs, row, text, shingle))
@@ -202,8 +223,8 @@ def groups(docs: DataFrame, row: str, text: str = "text", shingle: int = SHINGLE
     if pairs.where("more").limit(1).count():
         named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         open_ = kinds.join(named, "node").join(of, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-        rest = candidates(materialize(open_), radius)
-        links = links.unionByName(similar(rest.select("a", "b"), docs, row, text, shingle))
+        rest = inside(materialize(open_), docs, row, text, shingle, radius)
+        links = links.unionByName(rest.select("a", "b"))
         of = components(links)
     named = kinds.join(of, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
     return rows.select("row", "set").join(named, "set").select(F.col("row").alias(row), "component")
