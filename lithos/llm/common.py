@@ -1,11 +1,4 @@
-"""Shared pieces of the training-data operators: scratch tables, text buffers, blocks and replies.
-
-Several operators use the same exchange. Documents are dealt into *blocks* (by a hash of their
-id), each block sends packed arrays of 64-bit keys to *shards* (by a hash of the key), a shard
-looks at the keys of all blocks together and answers each block with a packed array in the order
-of that block's keys. A key that occurs everywhere therefore costs one entry per block, whatever
-the number of its occurrences, and no row of Spark stands for a single key.
-"""
+"""Shared pieces of the training-data operators: scratch tables, text buffers, blocks of documents."""
 
 from __future__ import annotations
 
@@ -21,19 +14,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text in a block of a small corpus; blocks grow with the root of the corpus.
+#: Bytes of text in a block, whatever the corpus.
 BLOCK_BYTES = 4 << 20
-MAX_BLOCK_BYTES = 256 << 20
 
 _paths: set[str] = set()
 _tables: set[str] = set()
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The shared folder of spark.checkpoint.dir. Unset, it is a temporary one in local mode (tests) and an error on a cluster."""
     sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not shared:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="lithos-scratch-")
         sc.setCheckpointDir(shared)
     return shared
@@ -67,8 +61,10 @@ def collecting():
     """Names of the scratch tables that are made inside, for drop() once nothing reads them."""
     before = _paths | _tables
     made: list[str] = []
-    yield made
-    made += sorted((_paths | _tables) - before)
+    try:
+        yield made
+    finally:
+        made += sorted((_paths | _tables) - before)
 
 
 def drop(spark: SparkSession, names: list[str]) -> None:
@@ -104,40 +100,45 @@ def text_size(docs: DataFrame, text: str = "text") -> int:
 
 
 def n_blocks(total_bytes: int, least: int = 24) -> int:
-    """Blocks of 4 MB for a corpus of up to 1 GB; both their number and size grow with its root."""
-    size = min(MAX_BLOCK_BYTES, BLOCK_BYTES * max(1.0, math.sqrt(total_bytes / 2**30)))
-    return max(least, math.ceil(total_bytes / size))
+    return max(least, math.ceil(total_bytes / BLOCK_BYTES))
+
+
+def place(id_col: str, text_col: str):
+    """A hash of a row's id and text: null ids, and rows of one id, are dealt by their texts."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-def block_of(id_col: str, blocks: int):
-    """Rows with the same id, null included, come into the same block."""
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
+def block_of(h, blocks: int):
+    """Blocks are ranges of the hash, so the order by hash is that by block and by hash within it."""
+    top = F.shiftright(h, 33) + F.lit(1 << 30)  # 31 bits, so that the product stays within 64
+    return F.shiftright(top * F.lit(blocks), 31).cast("int")
 
 
-def block_table(docs: DataFrame, id_col: str, blocks: int) -> DataFrame:
-    """docs with __block, as a table bucketed by it: one shuffle, then every pass over the blocks reads it in place."""
+def block_table(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
+    """docs with __place and __block, as a table bucketed by the block: one shuffle, then every pass over the blocks reads it in place."""
     spark = docs.sparkSession
     name = f"lithos_tmp_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}"
     _tables.add(name)
+    _paths.add(path)
     buckets = min(blocks, 4096)
     (
-        docs.withColumn("__block", block_of(id_col, blocks))
+        docs.withColumn("__place", place(id_col, text_col))
+        .withColumn("__block", block_of(F.col("__place"), blocks))
         .repartition(buckets, "__block")
         .write.option("compression", "zstd")
+        .option("path", path)
         .bucketBy(buckets, "__block")
         .saveAsTable(name)
     )
     out = spark.table(name)
-    out._lithos_table = name
+    out._lithos_table, out._lithos_path = name, path
     return out
 
 
-def in_order(table: pa.Table, id_col: str, text_col: str) -> pa.Table:
-    """Rows by id, nulls first, then text: the order within a block in every pass."""
-    keys = [(id_col, "ascending")]
-    if pc.count_distinct(table[id_col], mode="all").as_py() < len(table):
-        keys.append((text_col, "ascending"))
-    return table.take(pc.sort_indices(table, sort_keys=keys, null_placement="at_start"))
+def in_order(table: pa.Table, id_col: str) -> pa.Table:
+    """Rows by id, nulls first, then by the hash of id and text: the order within a block in every pass."""
+    return table.take(pc.sort_indices(table, sort_keys=[(id_col, "ascending"), ("__place", "ascending")], null_placement="at_start"))
 
 
 def utf8(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -162,14 +163,16 @@ def chunks(off: np.ndarray, size: int):
         i = j
 
 
-def to_shards(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order of the keys by shard, and where each shard begins in it."""
-    shard = ((key >> np.uint64(33)) % np.uint64(shards)).astype(np.int32)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1))
-
-
-def sha256_hex(data: bytes) -> str:
-    import hashlib
+def segments(off: np.ndarray, size: int, overlap: int):
+    """(lo, hi, off): runs of whole documents of about size units, or overlapping parts of a longer one.
 
-    return hashlib.sha256(data).hexdigest()
+    Every run of overlap + 1 units of a document begins in exactly one part and lies in it.
+    """
+    for i, j in chunks(off, size):
+        lo, end = int(off[i]), int(off[j])
+        if j - i > 1 or end - lo <= 2 * size + overlap:
+            yield lo, end, off[i : j + 1] - lo
+        else:
+            for x in range(lo, max(end - overlap, lo + 1), size):
+                hi = min(x + size + overlap, end)
+                yield x, hi, np.array([0, hi - x])

@@ -13,18 +13,22 @@ _rng = np.random.Generator(np.random.PCG64(20240917))
 BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 BASE, BASE2, ODD = (np.uint64(int(x) | 1) for x in _rng.integers(1, 2**64, 3, dtype=np.uint64))
 
-_powers = np.ones(1, np.uint64)
+#: Units of one span that are hashed at once.
+LONG = 1 << 20
+INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
+
+_powers: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
-    global _powers
-    if base != BASE:
-        return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(0, n - 1), base, np.uint64)]))
-    if len(_powers) < n:
+    have = _powers.get(int(base))
+    if have is None or len(have) < n:
         size = max(n, 1 << 16)
-        _powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, BASE, np.uint64)]))
-    return _powers[:n]
+        have = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
+        if n <= LONG:
+            _powers[int(base)] = have
+    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,18 +53,37 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s, e, np.searchsorted(s, off)
 
 
+#: Spans that are hashed at once.
+SPANS = 1 << 16
+
+
 def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A hash of each data[s:e]; the spans don't overlap and aren't empty."""
-    if not len(s):
-        return np.zeros(0, np.uint64)
-    length = e - s
+    """A hash of each data[s:e]; the spans don't overlap and aren't empty. Memory follows a part of the spans, not all."""
+    out = np.zeros(len(s), np.uint64)
+    for k in range(0, len(s), SPANS):
+        a, length = s[k : k + SPANS], e[k : k + SPANS] - s[k : k + SPANS]
+        short = np.flatnonzero(length <= LONG)
+        sums = out[k : k + SPANS]
+        if len(short):
+            sums[short] = _sums(data, a[short], length[short])
+        for i in np.flatnonzero(length > LONG).tolist():
+            total = 0
+            for x in range(0, int(length[i]), LONG):
+                part = BYTE[data[a[i] + x : a[i] + min(x + LONG, int(length[i]))]]
+                total += int((part * powers(len(part))).sum()) * pow(int(BASE), x, 2**64)
+            sums[i] = np.uint64(total % 2**64)
+        out[k : k + SPANS] = mix(sums + length.astype(np.uint64) * ODD)
+    return out
+
+
+def _sums(data: np.ndarray, s: np.ndarray, length: np.ndarray) -> np.ndarray:
     start = np.zeros(len(s), np.int64)
     np.cumsum(length[:-1], out=start[1:])
     within = np.arange(int(length.sum()), dtype=np.int64)
     value = BYTE[data[within + np.repeat(s - start, length)]]
     within -= np.repeat(start, length)
     value *= powers(int(length.max()))[within]
-    return mix(np.add.reduceat(value, start) + length.astype(np.uint64) * ODD)
+    return np.add.reduceat(value, start)
 
 
 def window_hashes(h: np.ndarray, size: int, base: np.uint64 = BASE) -> np.ndarray:
@@ -90,8 +113,7 @@ def prefix_hashes(h: np.ndarray) -> np.ndarray:
 
 def span_hash(prefix: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of each run [a, b), alike for like runs anywhere."""
-    top = len(prefix) - 1
-    return (prefix[b] - prefix[a]) * powers(top + 1)[top - a]
+    return (prefix[b] - prefix[a]) * powers(len(prefix), INVERSE)[a]
 
 
 def window_minima(key: np.ndarray, width: int) -> np.ndarray:
@@ -105,6 +127,10 @@ def window_minima(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(part[: len(key) - width + 1], part[width - size : width - size + len(key) - width + 1])
 
 
+#: Bits of a place within a segment: reigns() takes fewer than 2 ** PLACE units.
+PLACE = 28
+
+
 def reigns(h: np.ndarray, off: np.ndarray, window: int, gram: int):
     """Runs of window starts that share their least gram, by the window's own content alone.
 
@@ -118,7 +144,9 @@ def reigns(h: np.ndarray, off: np.ndarray, window: int, gram: int):
         return none, none, none, np.zeros(0, np.uint64)
     grams = mix(window_hashes(h, gram))
     # a fixed number of bits holds the place, so that ties don't depend on what stands around a window
-    bits = np.uint64(max(28, int(len(grams)).bit_length()))
+    bits = np.uint64(PLACE)
+    if len(grams) >= 1 << PLACE:
+        raise ValueError("cut the units into segments")
     key = (grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64)
     least = (window_minima(key, window - gram + 1) & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
     n = len(h) - window + 1
@@ -134,10 +162,20 @@ def reigns(h: np.ndarray, off: np.ndarray, window: int, gram: int):
     return s, e, at, grams[at]
 
 
+def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that some [start, end) cover; runs that touch are one."""
+    s, e = np.sort(starts), np.sort(ends)
+    if not len(s):
+        return s, e
+    apart = e[:-1] < s[1:]
+    return s[np.concatenate([[True], apart])], e[np.concatenate([apart, [True]])]
+
+
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Which of n units lie in some [start, end)."""
-    depth = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(ends, minlength=n + 1)[: n + 1]
-    return np.cumsum(depth)[:n] > 0
+    s, e = union(np.asarray(starts, np.int64), np.asarray(ends, np.int64))
+    borders = np.concatenate([[0], np.stack([s, e], 1).ravel(), [n]]).astype(np.int64)
+    return np.repeat(np.arange(len(borders) - 1) % 2 == 1, np.diff(borders))
 
 
 def expand(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -12,34 +12,34 @@ is taken off the background's counts, and off the target's if the document is tr
 and unlabelled documents are judged alike.
 
 Words and bigrams of a block of documents are sent to shards once each with their two counts; the
-shards add up over all blocks and answer with the corpus' counts. What is exchanged follows the
-corpus; nothing is capped, and a word that all documents have costs one entry per block.
+shards add up over all blocks and answer with the corpus' counts (64 bits). What is exchanged follows
+the corpus; nothing is capped, and a word that all documents have costs one entry per block. A
+block's documents are worked off in chunks, so a task holds a block's different keys, not its words.
 
 Nulls: a null text has no words; scores of texts without words are null. Labels of unknown
-documents count for nothing. A repeated row is counted and scored each time. Without trusted
-documents the target is uniform over the vocabulary. An empty table gives no rows. A column of the
-input with the name of a result is replaced by it.
+documents count for nothing, nor do null ids. A repeated row is counted and scored each time. Without
+trusted documents the target is uniform over the vocabulary. A text of any length is scored whole. An
+empty table gives no rows. A column of the input with the name of a result is replaced by it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lithos.llm import exchange as X
 from lithos.llm import hashing as H
-from lithos.llm.common import block_table, chunks, materialize, n_blocks, text_size, utf8
+from lithos.llm.common import block_table, chunks, n_blocks, text_size, utf8
 
 ALPHA = 0.1
 MU = 2.0
 CHUNK = 1 << 18
 PAIR = np.uint64(0x9E3779B97F4A7C15)
 ONE = np.uint64(1)
-SENT = "__shard int, __block int, keys binary, background binary, target binary"
-REPLY = "__block int, shard int, background binary, target binary, words long, n_background long, n_target long"
+COUNTS = [X.COUNT, X.COUNT]
 
 
 def keys_of(data: np.ndarray, off: np.ndarray):
@@ -52,120 +52,100 @@ def keys_of(data: np.ndarray, off: np.ndarray):
     return h, pair, doc, inner, first
 
 
-def squeeze(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, in as many bytes as the largest needs."""
-    d = np.diff(keys, prepend=np.uint64(0))
-    width = max(1, (int(d[1:].max()).bit_length() + 7) // 8) if len(d) > 1 else 1
-    body = np.ascontiguousarray(d[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width])
-    return bytes([width]) + d[:1].tobytes() + body.tobytes()
-
-
-def unsqueeze(raw: bytes) -> np.ndarray:
-    width, first = raw[0], np.frombuffer(raw, np.uint64, 1, 1)
-    body = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
-    d = np.zeros((len(body) + 1, 8), np.uint8)
-    d[1:, :width] = body
-    d = d.view("<u8").ravel()
-    d[0] = first[0]
-    return np.cumsum(d, dtype=np.uint64)
-
-
-def small(counts: np.ndarray) -> bytes:
-    """Counts in a byte each, with the few of 255 and more after them in full."""
-    big = np.flatnonzero(counts >= 255).astype(np.uint32)
-    return len(big).to_bytes(4, "little") + big.tobytes() + np.minimum(counts[big], 2**32 - 1).astype(np.uint32).tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes()
-
-
-def large(raw: bytes) -> np.ndarray:
-    n = int.from_bytes(raw[:4], "little")
-    out = np.frombuffer(raw, np.uint8, offset=4 + 8 * n).astype(np.uint32)
-    out[np.frombuffer(raw, np.uint32, n, 4)] = np.frombuffer(raw, np.uint32, n, 4 + 4 * n)
-    return out
-
-
-def cuts(shards: int) -> np.ndarray:
-    """The first key of each shard: shards are ranges of keys, so a block's sorted keys are in order of shard."""
-    return np.array([2**64 * k // shards for k in range(shards)], np.uint64)
-
-
-def split(table: pa.Table, id_col: str):
-    """The documents of a block, and which of them are trusted (their labels are rows of the block, too)."""
-    docs = table.filter(pc.equal(table["__kind"], 0))
-    good = pc.unique(table.filter(pc.equal(table["__kind"], 1))[id_col])
-    return docs, pc.is_in(docs[id_col], good.drop_null()).to_numpy(zero_copy_only=False)
-
-
-def block_keys(docs: pa.Table, text_col: str):
+def chunk_keys(docs: pa.Table, text_col: str):
+    """(first document, last, hashes and so on of keys_of) of each chunk of a block."""
     data, off = utf8(docs[text_col])
-    parts = [(i, j, *keys_of(data[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in chunks(off, CHUNK)]
-    every = [x for p in parts for x in (p[2], p[3])]
-    return parts, np.concatenate(every) if every else np.zeros(0, np.uint64)
-
-
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", alpha: float = ALPHA, mu: float = MU) -> DataFrame:
+    for i, j in chunks(off, CHUNK):
+        yield i, j, *keys_of(data[off[i] : off[j]], off[i : j + 1] - off[i])
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of parts, sorted, and the sums of their counts (rows of counts: several for each key)."""
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros((2, 0), np.uint64)
+    k, c = np.concatenate(keys), np.concatenate(counts, 1)
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    new = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[new], np.stack([np.add.reduceat(row[order], new) if len(new) else row[:0] for row in c])
+
+
+def block_counts(docs: pa.Table, trusted: np.ndarray, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys of a block and how often all and trusted documents have them."""
+    keys, counts = [], []
+    for i, j, h, pair, doc, inner, _ in chunk_keys(docs, text_col):
+        own = trusted[i:j]
+        k, at, n = np.unique(np.concatenate([h, pair]), return_inverse=True, return_counts=True)
+        good = np.bincount(at[np.concatenate([own[doc], own[doc[inner]]])], minlength=len(k))
+        keys.append(k)
+        counts.append(np.stack([n, good]).astype(np.uint64))
+        if len(keys) > 8:
+            keys, counts = ([x] for x in merged(keys, counts))
+    return merged(keys, counts)
+
+
+def add(key: np.ndarray, _, background: np.ndarray, target: np.ndarray):
+    """The corpus' counts of the keys of a shard; for the shard: different words, and both totals of words."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    start = np.concatenate([[True], k[1:] != k[:-1]])
+    new = np.flatnonzero(start)
+    word = (k[new] & ONE) == 0
+    of = np.cumsum(start) - 1
+    out, stats = [], [int(word.sum())]
+    for x in (background, target):
+        sums = np.add.reduceat(x[order].astype(np.uint64), new)
+        stats.append(int(sums[word].sum()))
+        told = np.empty(len(key), np.uint64)
+        told[order] = sums[of]
+        out.append(told)
+    return out, stats
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", alpha: float = ALPHA, mu: float = MU, fan: int = X.FAN) -> DataFrame:
     """docs without the text, with n_words, ce_target, ce_background and ce_difference.
 
     labels: a row (id_col) for each trusted document.
     """
     made = ["n_words", "ce_target", "ce_background", "ce_difference"]
     kept = [f for f in docs.schema if f.name not in made and f.name != text]
-    blocks = shards = n_blocks(text_size(docs, text))
-    base = docs.select(*[f.name for f in kept], text, F.lit(0).alias("__kind"))
-    placed = block_table(base.unionByName(labels.select(id_col, F.lit(1).alias("__kind")), allowMissingColumns=True), id_col, blocks)
+    plan = X.layout(n_blocks(text_size(docs, text)), fan)
+    good = labels.select(F.col(id_col).alias("__good")).where("__good IS NOT NULL").distinct()
+    flagged = docs.select(*[f.name for f in kept], text).join(good, F.col(id_col) == F.col("__good"), "left").withColumn("__trusted", F.col("__good").isNotNull()).drop("__good")
+    placed = block_table(flagged, id_col, text, plan.blocks)
+
+    def marks(table: pa.Table) -> np.ndarray:
+        return table["__trusted"].to_numpy(zero_copy_only=False).astype(bool)
 
     def count(key, table):
-        rows, trusted = split(table, id_col)
-        parts, every = block_keys(rows, text)
-        good = [x for i, j, h, pair, doc, inner, _ in parts for x in (trusted[i:j][doc], trusted[i:j][doc[inner]])]
-        keys, at, n = np.unique(every, return_inverse=True, return_counts=True)
-        t = np.bincount(at, weights=np.concatenate(good), minlength=len(keys)).astype(np.uint32) if good else np.zeros(len(keys), np.uint32)
-        n = n.astype(np.uint32)
-        cut = np.append(np.searchsorted(keys, cuts(shards)), len(keys))
-        out = [(k, key[0].as_py(), squeeze(keys[cut[k] : cut[k + 1]]), small(n[cut[k] : cut[k + 1]]), small(t[cut[k] : cut[k + 1]])) for k in range(shards) if cut[k + 1] > cut[k]]
-        cols = list(zip(*out)) or [()] * 5
-        return pa.table([pa.array(c, x) for c, x in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["__shard", "__block", "keys", "background", "target"])
-
-    def add(key, table):
-        parts = [unsqueeze(x) for x in table["keys"].to_pylist()]
-        cut = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
-        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-        sums = [np.bincount(at, weights=np.concatenate([large(x) for x in table[c].to_pylist()]), minlength=len(keys)) for c in ("background", "target")]
-        word = (keys & ONE) == 0
-        # counts travel as 32 bits: past 4e9 a logarithm no longer tells the difference
-        told = [np.minimum(s, 2**32 - 1).astype(np.uint32)[at] for s in sums]
-        answers = [[small(x[cut[k] : cut[k + 1]]) for k in range(len(parts))] for x in told]
-        n = len(parts)
-        total = [int(word.sum()), *(int(s[word].sum()) for s in sums)]
-        return pa.table({"__block": table["__block"].cast(pa.int32()), "shard": pa.array([key[0].as_py()] * n, pa.int32()), "background": pa.array(answers[0], pa.binary()), "target": pa.array(answers[1], pa.binary())} | {c: pa.array([v] + [0] * (n - 1), pa.int64()) for c, v in zip(("words", "n_background", "n_target"), total)})
-
-    sent = placed.select(id_col, text, "__kind", "__block").groupBy("__block").applyInArrow(count, SENT)
-    told = materialize(sent.groupBy("__shard").applyInArrow(add, REPLY))
-    size, *totals = (int(x or 0) for x in told.agg(F.sum("words"), F.sum("n_background"), F.sum("n_target")).first())
+        keys, counts = block_counts(table, marks(table), text)
+        return X.ask(key[0].as_py(), keys, list(counts), COUNTS, plan)
+
+    sent = placed.select(text, "__trusted", "__block").groupBy("__block").applyInArrow(count, X.SENT)
+    told, stats = X.exchange(sent, plan, add, COUNTS, COUNTS)
+    size, *totals = (int(x or 0) for x in stats.agg(*[F.sum(F.col("stats")[k]) for k in range(3)]).first())
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in made[1:]]])
 
     def losses(key, table, replies):
-        rows, trusted = split(table, id_col)
-        n = len(rows)
-        parts, every = block_keys(rows, text)
-        replies = replies.sort_by("shard")
-        counts = [np.concatenate([large(x) for x in replies[c].to_pylist()] or [np.zeros(0)]).astype(np.float64) for c in ("background", "target")]
-        _, at = np.unique(every, return_inverse=True)
-        sums, words, used = np.zeros((2, n)), np.zeros(n, np.int64), 0
-        for i, j, h, pair, doc, inner, first in parts:
-            w = at[used : used + len(h)]
-            p = at[used + len(h) : used + len(h) + len(pair)]
-            used += len(h) + len(pair)
+        trusted, n = marks(table), len(table)
+        keys, _ = block_counts(table, trusted, text)
+        counts = X.heard(replies, keys, COUNTS) if len(keys) else [keys, keys]
+        sums, words = np.zeros((2, n)), np.zeros(n, np.int64)
+        for i, j, h, pair, doc, inner, first in chunk_keys(table, text):
             words[i:j] = np.diff(first)
+            kinds, place = np.unique(np.concatenate([h, pair]), return_inverse=True)
+            at = np.searchsorted(keys, kinds)
             own = trusted[i:j][doc].astype(np.float64)
             for k, (c, total) in enumerate(zip(counts, totals)):
+                mine = c[at].astype(np.float64)[place]
                 less = own if k else np.ones(len(h))
-                cw = np.maximum(c[w] - less, 0)
+                cw = np.maximum(mine[: len(h)] - less, 0)
                 single = (cw + alpha) / (np.maximum(total - less, 0) + alpha * size)
                 both = single.copy()
-                both[inner] = (np.maximum(c[p] - less[inner], 0) + mu * single[inner]) / (cw[inner - 1] + mu)
+                both[inner] = (np.maximum(mine[len(h) :] - less[inner], 0) + mu * single[inner]) / (cw[inner - 1] + mu)
                 sums[k, i:j] = np.bincount(doc, weights=-np.log(both), minlength=j - i)
         ce = [pa.array(np.where(words > 0, s / np.maximum(words, 1), np.nan), from_pandas=True) for s in (sums[1], sums[0], sums[1] - sums[0])]
-        return pa.table([*[rows[f.name] for f in kept], pa.array(words), *ce], schema.names)
+        return pa.table([*[table[f.name] for f in kept], pa.array(words), *ce], schema.names)
 
     return placed.groupBy("__block").cogroup(told.groupBy("__block")).applyInArrow(losses, schema)
 

@@ -13,10 +13,11 @@ a different phrase) are looked up one by one in a second index, 128 bits a windo
 factors word by word. A factor is one window (20 words) at least, so each is a duplicate span: all
 its windows start earlier in the corpus, and no window outside the factors does.
 
-Earlier means a smaller id, nulls first; rows with the same id by text, and within a document by
-position. Everything is judged on the input. Nulls and empty texts have no words. Texts of any length are
-parsed whole. A repeated row's words are removed from the later one. An empty table gives no rows. A
-column of the input with the name of a result is replaced by it.
+Earlier means a smaller id (a whole number), nulls first; rows with the same id by a hash of id and
+text, and within a document by position. Everything is judged on the input. Nulls and empty texts have
+no words. Texts of any length are parsed whole: phrases of a long one are found in overlapping parts.
+A repeated row's words are removed from the later one. An empty table gives no rows. A column of the
+input with the name of a result is replaced by it. Ids that aren't whole numbers are an error.
 """
 
 from __future__ import annotations
@@ -25,26 +26,31 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lithos.llm import exchange as X
 from lithos.llm import hashing as H
-from lithos.llm.common import block_table, chunks, in_order, materialize, n_blocks, text_size, to_shards, utf8
+from lithos.llm.common import block_table, chunks, in_order, n_blocks, segments, text_size, utf8
 
 WINDOW = 20
 GRAM = 6
+#: Bytes of text, and words of one document, handled at once.
 CHUNK = 1 << 18
+WORDS = 1 << 18
 
 NONE, LOOK = -1, -2
+KINDS = [np.uint64, np.int64]
 
 
 class Parse:
     """The phrases of a block, chunk by chunk, always in the same order."""
 
     def __init__(self, table: pa.Table, id_col: str, text_col: str, window: int, gram: int):
-        self.table = in_order(table, id_col, text_col)
+        self.table = in_order(table, id_col)
         self.data, self.off = utf8(self.table[text_col])
-        # a null id comes first; it never meets another block's, as equal ids share a block
         self.ids = self.table[id_col].cast(pa.int64()).fill_null(-(2**63)).to_numpy()
         self.window, self.parts = window, []
         for i, j in chunks(self.off, CHUNK):
@@ -52,7 +58,8 @@ class Parse:
             data, off = self.data[base : self.off[j]], self.off[i : j + 1] - base
             s, e, first = H.word_spans(data, off)
             h = H.span_hashes(data, s, e)
-            a, b, at, g = H.reigns(h, first, window, gram)
+            found = [(x + lo, y + lo, z + lo, w) for lo, hi, part in segments(first, WORDS, window - 1) for x, y, z, w in [H.reigns(h[lo:hi], part, window, gram)]]
+            a, b, at, g = (np.concatenate(x) for x in zip(*found))
             context = H.mix(H.span_hash(H.prefix_hashes(h), a, b + window) ^ H.mix(((at - a) << 32 | (b - a)).astype(np.uint64)))
             doc = np.searchsorted(first, a, "right") - 1 + i
             self.parts.append((i, j, s + base, e + base, first, h, a, b, doc, g, context))
@@ -77,35 +84,8 @@ class Parse:
         return np.concatenate(one), np.concatenate(two), np.concatenate(docs)
 
 
-def send(block: int, key: np.ndarray, other: np.ndarray, ids: np.ndarray, shards: int) -> pa.Table:
-    """A row for each shard that gets keys of this block."""
-    order, cut = to_shards(key, shards)
-    rows = [(k, block, *(x[order[cut[k] : cut[k + 1]]].tobytes() for x in (key, other, ids))) for k in range(shards) if cut[k + 1] > cut[k]]
-    cols = list(zip(*rows)) or [()] * 5
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["__shard", "__block", "key", "other", "ids"])
-
-
-SENT = "__shard int, __block int, key binary, other binary, ids binary"
-REPLY = "__block int, kind int, shard int, reply binary"
-
-
-def received(table: pa.Table):
-    """The arrays of a shard's blocks one after another, in order of block, and where each begins."""
-    table = table.sort_by("__block")
-    cols = [np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("key", np.uint64), ("other", np.uint64), ("ids", np.int64))]
-    size = np.array([len(x) // 8 for x in table["key"].to_pylist()])
-    blocks = table["__block"].to_numpy()
-    return *cols, np.repeat(blocks, size), blocks, np.concatenate([[0], np.cumsum(size)])
-
-
-def answer(shard: int, kind: int, blocks, cut, reply: np.ndarray) -> pa.Table:
-    n = len(blocks)
-    return pa.table({"__block": pa.array(blocks, pa.int32()), "kind": pa.array([kind] * n, pa.int32()), "shard": pa.array([shard] * n, pa.int32()), "reply": pa.array([reply[cut[k] : cut[k + 1]].tobytes() for k in range(n)], pa.binary())})
-
-
-def index_phrases(key, table):
+def index_phrases(g: np.ndarray, block: np.ndarray, context: np.ndarray, ids: np.ndarray):
     """For each phrase: the block where it stands first, or LOOK at its windows, or NONE if its gram has no other phrase."""
-    g, context, ids, block, blocks, cut = received(table)
     n = len(g)
     order = np.lexsort((np.arange(n), block, ids, context, g))
     g, context = g[order], context[order]
@@ -115,12 +95,11 @@ def index_phrases(key, table):
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     reply = np.empty(n, np.int32)
     reply[order] = np.where(new, np.where(kinds > 1, LOOK, NONE), block[order][first])
-    return answer(key[0].as_py(), 1, blocks, cut, reply)
+    return [reply], ()
 
 
-def index_windows(key, table):
+def index_windows(a: np.ndarray, block: np.ndarray, b: np.ndarray, ids: np.ndarray):
     """For each window: the block where it stands first, or NONE if that is here."""
-    a, b, ids, block, blocks, cut = received(table)
     n = len(a)
     order = np.lexsort((np.arange(n), block, ids, b, a))
     a, b = a[order], b[order]
@@ -128,17 +107,14 @@ def index_windows(key, table):
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     reply = np.empty(n, np.int32)
     reply[order] = np.where(new, NONE, block[order][first])
-    return answer(key[0].as_py(), 2, blocks, cut, reply)
+    return [reply], ()
 
 
-def replies(table: pa.Table, kind: int, keys: np.ndarray, shards: int) -> np.ndarray:
+def replies(table: pa.Table, kind: int, keys: np.ndarray) -> np.ndarray:
     """What the shards said to the keys of a block, in the order of the keys."""
-    order, cut = to_shards(keys, shards)
-    out = np.full(len(keys), NONE, np.int32)
-    for k, shard, reply in zip(table["kind"].to_pylist(), table["shard"].to_pylist(), table["reply"].to_pylist()):
-        if k == kind:
-            out[order[cut[shard] : cut[shard + 1]]] = np.frombuffer(reply, np.int32)
-    return out
+    if not len(keys):
+        return np.zeros(0, np.int32)
+    return X.heard(table.filter(pc.equal(table["kind"], kind)), keys, [np.int32])[0]
 
 
 def factors(found: np.ndarray, first: np.ndarray, window: int):
@@ -155,39 +131,41 @@ def factors(found: np.ndarray, first: np.ndarray, window: int):
     return np.flatnonzero(new), np.flatnonzero(last) + window
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, output: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, output: str = "text", fan: int = X.FAN) -> DataFrame:
     """docs with n_words, n_removed, n_factors; output "text": also kept_text (kept words with the white
     space after them as it was); "digest": kept_sha256 of the kept words joined by single spaces instead of text."""
     made = ["n_words", "n_removed", "n_factors", "kept_text", "kept_sha256"]
     kept = [f for f in docs.schema if f.name not in made and not (output == "digest" and f.name == text)]
-    total = text_size(docs, text)
-    blocks = shards = n_blocks(total)
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} has to be a whole number")
+    plan = X.layout(n_blocks(text_size(docs, text)), fan)
     base = docs.select(*[f.name for f in kept], *([text] if output == "digest" else []))
-    placed = block_table(base, id_col, blocks)
-    by_block = placed.groupBy("__block")
+    placed = block_table(base, id_col, text, plan.blocks)
+    lean = placed.select(id_col, text, "__place", "__block").groupBy("__block")
 
     def phrases(key, table):
         p = Parse(table, id_col, text, window, gram)
-        return send(key[0].as_py(), p.all(9).astype(np.uint64), p.all(10).astype(np.uint64), p.ids[p.all(8).astype(np.int64)], shards)
+        return X.ask(key[0].as_py(), p.all(9).astype(np.uint64), [p.all(10), p.ids[p.all(8).astype(np.int64)]], KINDS, plan)
 
-    one = materialize(placed.select(id_col, text, "__block").groupBy("__block").applyInArrow(phrases, SENT).groupBy("__shard").applyInArrow(index_phrases, REPLY))
+    one, _ = X.exchange(lean.applyInArrow(phrases, X.SENT), plan, index_phrases, KINDS, [np.int32])
+    one = one.withColumn("kind", F.lit(1))
 
     def borders(key, table, told):
         p = Parse(table, id_col, text, window, gram)
-        a, b, doc = p.windows(replies(told, 1, p.all(9).astype(np.uint64), shards) == LOOK)
-        return send(key[0].as_py(), a, b, p.ids[doc], shards)
+        a, b, doc = p.windows(replies(told, 1, p.all(9).astype(np.uint64)) == LOOK)
+        return X.ask(key[0].as_py(), a, [b, p.ids[doc]], KINDS, plan)
 
-    asked = placed.select(id_col, text, "__block").groupBy("__block").cogroup(one.groupBy("__block")).applyInArrow(borders, SENT)
-    two = materialize(asked.groupBy("__shard").applyInArrow(index_windows, REPLY))
+    asked = lean.cogroup(one.groupBy("__block")).applyInArrow(borders, X.SENT)
+    two, _ = X.exchange(asked, plan, index_windows, KINDS, [np.int32])
 
     last = [T.StructField("kept_text", T.StringType())] if output == "text" else [T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType([*kept, *[T.StructField(c, T.LongType()) for c in made[:3]], *last])
 
     def parse(key, table, told):
         p = Parse(table, id_col, text, window, gram)
-        phrase = replies(told, 1, p.all(9).astype(np.uint64), shards)
+        phrase = replies(told, 1, p.all(9).astype(np.uint64))
         a, _, _ = p.windows(phrase == LOOK)
-        single = replies(told, 2, a, shards)
+        single = replies(told, 2, a)
         n = len(p.ids)
         counts = np.zeros((3, n), np.int64)
         texts, at, used = [], 0, 0
@@ -213,8 +191,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: i
         cols = [p.table[f.name] for f in kept] + [pa.array(c) for c in counts]
         return pa.table([*cols, pa.array(texts, pa.string())], [*[f.name for f in kept], *made[:3], last[0].name])
 
-    told = one.unionByName(two)
-    return by_block.cogroup(told.groupBy("__block")).applyInArrow(parse, schema)
+    told = one.unionByName(two.withColumn("kind", F.lit(2)))
+    return placed.groupBy("__block").cogroup(told.groupBy("__block")).applyInArrow(parse, schema)
 
 
 def rest(data: np.ndarray, s: np.ndarray, e: np.ndarray, kept: np.ndarray, lo: int, hi: int, output: str) -> str:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lithos.llm import embedding_dedup, kneser_ney, lm_scoring, mixing, packing, quality_rules, rlz_dedup, simhash, suffix_dedup, token_counts
+from lithos.llm import embedding_dedup, exchange, kneser_ney, lm_scoring, mixing, packing, quality_rules, rlz_dedup, simhash, suffix_dedup, token_counts
 from lithos.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -49,8 +49,11 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def in_order(rows):
-    return sorted(((d, t or "") for d, t, *_ in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+def in_order(spark, rows):
+    """By id, nulls first, and rows of one id by the hash of id and text."""
+    given = spark.createDataFrame([(d, t) for d, t, *_ in rows], "doc_id long, text string")
+    got = given.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+    return [(r[0], r[1] or "") for r in sorted(got, key=lambda r: (r[0] is not None, r[0] or 0, r[2]))]
 
 
 def sha(x):
@@ -61,9 +64,10 @@ def bag(df, *cols):
     return Counter(tuple(r) for r in df.select(*cols).collect())
 
 
-def test_lm_scoring(spark, docs, rows, empty):
+@pytest.mark.parametrize("fan", [4096, 3])
+def test_lm_scoring(spark, docs, rows, empty, fan):
     good = spark.createDataFrame([(10,), (13,), (22,), (999,), (None,)], "doc_id long")
-    got = lm_scoring.score(docs, good)
+    got = lm_scoring.score(docs, good, fan=fan)
     words = [(d, WORD.findall(t or "")) for d, t, *_ in rows]
     counts = [Counter(), Counter()]
     for d, w in words:
@@ -90,7 +94,8 @@ def test_lm_scoring(spark, docs, rows, empty):
     assert lm_scoring.score(empty, good).count() == 0
 
 
-def test_suffix_dedup(docs, rows, empty):
+@pytest.mark.parametrize("fan", [4096, 3])
+def test_suffix_dedup(docs, rows, empty, fan):
     raw = [(d, (t or "").encode()) for d, t, *_ in rows]
     seen = Counter(b[k : k + 200] for _, b in raw for k in range(len(b) - 199))
     want = Counter()
@@ -101,7 +106,7 @@ def test_suffix_dedup(docs, rows, empty):
                 gone[k : k + 200] = True
         spans = int((gone[1:] & ~gone[:-1]).sum() + (len(b) > 0 and gone[0]))
         want[d, len(b), int(gone.sum()), spans, sha(bytes(x for x, g in zip(b, gone) if not g))] += 1
-    out = suffix_dedup.dedup(docs, output="digest")
+    out = suffix_dedup.dedup(docs, output="digest", fan=fan)
     assert bag(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
     assert suffix_dedup.dedup(empty).count() == 0
 
@@ -145,6 +150,48 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_counts_of_any_size_are_exchanged_whole():
+    x = np.array([0, 1, 254, 255, 256, 2**32 - 1, 2**32, 3 * 10**12, 7], np.uint64)
+    assert exchange.load([exchange.dump(x, exchange.COUNT), exchange.dump(x[:2], exchange.COUNT)], exchange.COUNT).tolist() == [*x.tolist(), 0, 1]
+    key = np.array([2, 4, 2, 5], np.uint64)
+    (background, target), stats = lm_scoring.add(key, None, np.array([3 * 10**12, 1, 5, 9], np.uint64), np.array([2**33, 0, 0, 2], np.uint64))
+    assert background.tolist() == [3 * 10**12 + 5, 1, 3 * 10**12 + 5, 9] and target.tolist() == [2**33, 0, 2**33, 2] and stats == [2, 3 * 10**12 + 6, 2**33]
+
+
+def long_rows():
+    """A text of some 3.5 MB that is cut into parts, another that holds a stretch of it, and texts that hold both."""
+    r = random.Random(11)
+    words = [f"w{r.randrange(9000)}" for _ in range(600_000)]
+    words[400_000:400_300] = words[1000:1300]
+    a = " ".join(words)
+    return [(1, a), (2, " ".join(["x", *words[250_000:280_000], "y"])), (3, "a b c"), (4, None), (5, " ".join(words[262_100:262_200]))]
+
+
+def test_long_texts_are_cut_without_loss(spark):
+    rows = long_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    raw = [(d, (t or "").encode()) for d, t in rows]
+    seen = Counter(hash(b[k : k + 200]) for _, b in raw for k in range(len(b) - 199))
+    want = Counter()
+    for d, b in raw:
+        hit = np.array([seen[hash(b[k : k + 200])] > 1 for k in range(len(b) - 199)] or [False])
+        gone = np.zeros(len(b) + 1, bool)
+        gone[: len(b)] = (np.convolve(hit, np.ones(200, int))[: len(b)] > 0) if len(b) >= 200 else False
+        want[d, len(b), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), sha(np.frombuffer(b, np.uint8)[~gone[: len(b)]].tobytes())] += 1
+    assert bag(suffix_dedup.dedup(docs, output="digest"), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    seen, want = set(), Counter()
+    for d, t in rows:
+        w = WORD.findall(t or "")
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - 19):
+            x = hash(tuple(w[k : k + 20]))
+            if x in seen:
+                gone[k : k + 20] = True
+            seen.add(x)
+        want[d, len(w), int(gone.sum()), sha(" ".join(x for x, g in zip(w, gone.tolist()) if not g).encode())] += 1
+    assert bag(rlz_dedup.dedup(docs, output="digest"), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
 def rule_counts(t):
     w = WORD.findall(t)
     at = defaultdict(list)
@@ -350,9 +397,10 @@ def test_every_prefix_has_its_count(text):
         assert table[token_counts.within(table, budget)] <= budget
 
 
-def test_substring_dedup(docs, rows, empty):
+@pytest.mark.parametrize("fan", [4096, 3])
+def test_substring_dedup(spark, docs, rows, empty, fan):
     seen, want = set(), Counter()
-    for d, t in in_order(rows):
+    for d, t in in_order(spark, rows):
         w = WORD.findall(t)
         gone = [False] * len(w)
         for k in range(len(w) - 19):
@@ -361,7 +409,7 @@ def test_substring_dedup(docs, rows, empty):
                 gone[k : k + 20] = [True] * 20
             seen.add(x)
         want[d, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone) if not g).encode())] += 1
-    assert bag(rlz_dedup.dedup(docs, output="digest"), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    assert bag(rlz_dedup.dedup(docs, output="digest", fan=fan), "doc_id", "n_words", "n_removed", "kept_sha256") == want
     left = rlz_dedup.dedup(docs).select("doc_id", F.regexp_count("kept_text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n"))
     expected = Counter()
     for (d, n, gone, _), k in want.items():
