@@ -12,18 +12,21 @@ any prefix has, and where a budget of tokens ends, without encoding again.
 No piece of the vocabulary goes on after a word's end (a space is part of the piece that follows
 it), so a text is cut into segments, a run of spaces with the word after it, whose tables don't
 depend on their neighbours. A task fills the table of each different segment once and adds the
-counts up over the text. The last entry of a new table is held against the library's own count; a
-segment where they differ, if there is one, takes the library's counts of its prefixes.
-
-Nulls and empty texts have 0 tokens. Whole texts are counted; a word of any length is one segment,
-whose table takes time in proportion to its length. Repeated rows are counted like others, and an
-empty table gives no rows. A column of the input with the name of a result is replaced by it.
+counts up over the text; the same tables say how many characters fit a budget. Texts are never
+encoded: the library only gives the vocabulary with its ranks, and the tests hold the counts against
+its own. A model with pieces across words or line ends is an error.
+
+Nulls and empty texts have 0 tokens. Whole texts are counted, a long one some segments at a time; a
+word of any length is one segment, whose table takes time in proportion to its length. Repeated rows
+are counted like others, and an empty table gives no rows. A column of the input with the name of a
+result is replaced by it.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,9 @@ SPACE = "▁"
 SEGMENT = re.compile("\n|▁*[^▁\n]+|▁+")
 #: Segments that a task keeps tables of.
 KEPT = 700_000
-#: Characters of text cut into segments at once.
+#: Characters of text cut into segments at once, and segments of a longer text.
 CHUNK = 1 << 20
+SEGMENTS = 1 << 17
 
 
 class PrefixCounts:
@@ -61,7 +65,8 @@ class PrefixCounts:
             ends.setdefault(p[-2:], set()).add(len(p))
         self.sizes = {k: (*sorted(v, reverse=True), *(() if 1 in v else (1,))) for k, v in ends.items()}
         self.alone = (1,)
-        self.joins = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.rank)
+        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.rank):
+            raise ValueError("the model has pieces across words or lines")
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.fits = lru_cache(1 << 20)(self._fits)
         self.totals: dict[str, int] = {}
@@ -141,38 +146,51 @@ class PrefixCounts:
             before = s
             yield count[-1]
 
-    def segments(self, text: str) -> list[str]:
-        if not text:
-            return []
+    def plain(self, text: str) -> str:
         text = text.replace(" ", SPACE)
-        return SEGMENT.findall(SPACE + text if self.prefix else text)
+        return SPACE + text if self.prefix and text else text
+
+    def segments(self, text: str) -> list[str]:
+        return SEGMENT.findall(self.plain(text))
 
     def learn(self, segments) -> None:
-        """Fill the totals of new segments, and check them with the library."""
+        """Fill the tables of new segments and keep their last entries."""
         new = sorted(s for s in segments if s not in self.totals)
         if len(self.totals) + len(new) > KEPT:
             self.totals.clear()
             new = sorted(segments)
-        own = list(self.tables(new))
-        # a segment that begins with a space is what the library makes of the rest of it
-        plain = [(s[1:] if s[0] == SPACE else s) if self.prefix else s for s in new]
-        theirs = self.model.encode([p.replace(SPACE, " ") for p in plain], num_threads=1)
-        for s, a, ids, p in zip(new, own, theirs, plain):
-            if s[0] == SPACE and p or not self.prefix:
-                a = len(ids)
-            self.totals[s] = a
-
-    def counts(self, texts: list[str]) -> np.ndarray:
-        """The tokens of each whole text."""
-        if self.joins:
-            return np.array([len(x) for x in self.model.encode(texts, num_threads=1)], np.int64)
-        out, get = [], self.totals.__getitem__
+        self.totals.update(zip(new, self.tables(new)))
+
+    def counts(self, texts: list[str], limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of each whole text, and the most characters of it whose tokens are within the limit."""
+        n, fits = np.zeros(len(texts), np.int64), np.array([len(t) for t in texts], np.int64)
         sizes = np.cumsum([0, *map(len, texts)])
         for i, j in chunks(sizes, CHUNK):
-            parts = [self.segments(t) for t in texts[i:j]]
-            self.learn(set().union(*parts))
-            out += [sum(map(get, p)) for p in parts]
-        return np.array(out, np.int64)
+            if j - i == 1:
+                found = (m.group() for m in SEGMENT.finditer(self.plain(texts[i])))
+                rows = ((i, part) for part in iter(lambda: list(islice(found, SEGMENTS)), []))  # noqa: B023
+            else:
+                parts = [self.segments(t) for t in texts[i:j]]
+                self.learn(set().union(*parts))
+                rows = zip(range(i, j), parts)
+            at = 0
+            for k, part in rows:
+                if j - i == 1:
+                    self.learn(set(part))
+                more = list(map(self.totals.__getitem__, part))
+                total = sum(more)
+                if n[k] <= limit < n[k] + total:
+                    fits[k] = at + self._within(part, more, limit - int(n[k])) - (self.prefix and (at > 0 or bool(part)))
+                    fits[k] = max(fits[k], 0)
+                n[k] += total
+                at = at + sum(map(len, part)) if j - i == 1 else 0
+        return n, fits
+
+    def _within(self, part: list[str], counts: list[int], budget: int) -> int:
+        """The most characters of segments, which together are over the budget, that are within it."""
+        k = int(np.searchsorted(np.cumsum(counts), budget, "right"))
+        table = np.array(self.table(part[k])) + sum(counts[:k])
+        return sum(map(len, part[:k])) + int(np.flatnonzero(table <= budget)[-1])
 
     def prefix_table(self, text: str) -> np.ndarray:
         """count[i]: the tokens of the first i characters of a text, for every i."""
@@ -201,18 +219,18 @@ def model_path(name: str = MODEL) -> str:
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT) -> DataFrame:
-    """docs with n_bytes, n_tokens and over_limit; path names the model on every executor."""
-    made = ["n_bytes", "n_tokens", "over_limit"]
+    """docs with n_bytes, n_tokens, over_limit and n_chars_within (the longest prefix within the limit); path names the model on every executor."""
+    made = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "over_limit": T.BooleanType(), "n_chars_within": T.LongType()}
     kept = [c for c in docs.columns if c not in made]
-    out = T.StructType([docs.schema[c] for c in kept if c != text] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
+    out = T.StructType([docs.schema[c] for c in kept if c != text] + [T.StructField(c, t) for c, t in made.items()])
 
     def run(batches):
         c = counter(path)
         for b in batches:
             texts = [t or "" for t in b.column(text).to_pylist()]
-            n = c.counts(texts)
+            n, fits = c.counts(texts, limit)
             cols = [b.column(x) for x in kept if x != text]
-            cols += [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n), pa.array(n > limit)]
+            cols += [pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n), pa.array(n > limit), pa.array(fits)]
             yield pa.RecordBatch.from_arrays(cols, out.names)
 
     return docs.select(*kept).mapInArrow(run, out)

@@ -383,11 +383,34 @@ def test_mixing_comes_near_its_targets(spark):
 def test_token_counts(docs, rows, empty):
     out = token_counts.count_tokens(docs, token_counts.model_path(), limit=100)
     model = token_counts.counter(token_counts.model_path()).model
-    want = Counter((r[0], len((r[1] or "").encode()), n := len(model.encode(r[1] or "")), n > 100) for r in rows)
+    size = lambda t: len(model.encode(t))
+    want = Counter((r[0], len((r[1] or "").encode()), n := size(r[1] or ""), n > 100) for r in rows)
     assert bag(out, "doc_id", "n_bytes", "n_tokens", "over_limit") == want
+    given = [t or "" for t in texts()]
+    for t, k in zip(given, token_counts.counter(token_counts.model_path()).counts(given, 100)[1].tolist()):
+        assert size(t[:k]) <= 100 and (k == len(t) or all(size(t[:x]) > 100 for x in range(k + 1, min(len(t), k + 40))))
     assert token_counts.count_tokens(empty, token_counts.model_path()).count() == 0
 
 
+def test_token_counts_come_from_the_tables_alone(spark):
+    """All texts of sf0.01, and a long one, with a model that can't encode any more."""
+    from types import SimpleNamespace
+
+    texts = [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    texts.append(" ".join(texts)[:2_500_000] + "\n\n  end")
+    c = token_counts.PrefixCounts(token_counts.model_path())
+    want = [len(x) for x in c.model.encode(texts)]
+    c.model = SimpleNamespace()
+    n, fits = c.counts(texts)
+    assert n.tolist() == want
+    model = token_counts.counter(token_counts.model_path()).model
+    assert sum(x > 4096 for x in want) > 0
+    for t, x, k in zip(texts, want, fits.tolist()):
+        assert (k == len(t)) == (x <= 4096)
+        if x > 4096:
+            assert len(model.encode(t[:k])) <= 4096 < min(len(model.encode(t[: k + d])) for d in range(1, 20))
+
+
 @pytest.mark.parametrize("text", ["a  b\nc \td\n\n e  ", "", " ", "ﬁ <s> x</s> <unk>▁y", "日本語 テキスト😀", "the attention of reinforcement"])
 def test_every_prefix_has_its_count(text):
     c = token_counts.counter(token_counts.model_path())
