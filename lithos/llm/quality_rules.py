@@ -7,10 +7,14 @@ has a relative error of 2 % at most. A rate may not exceed
 
     q(0.8) + 3 * (q(0.8) - q(0.5)) + slack
 
-of its own language and source. Sketches are merged upwards: a group with fewer than 100 documents
-takes the limits of its language, a small language those of all documents. The limits are then
-joined to the documents, and a document that breaks one is not kept. Two fixed rules stay as a base
-(at least 50 words; at most half of the words in repeated windows).
+of its own language and source, nor may the length of words fall below q(0.2) - 3 * (q(0.5) - q(0.2))
+- slack. The quantiles stop at 0.8 so that a fifth of junk in a group can't lift its limits; where
+most documents have a rate of 0 the slack is what is left of a limit, until a fifth of a group has
+more. Sketches are merged upwards: the quantiles of a language are drawn towards those of all
+documents, and those of a group towards its language's, with the weight of PRIOR documents; so a
+small group leans on the larger ones, by degrees. The limits are then joined to the documents, and a
+document that breaks one is not kept. Two fixed rules stay as a base (at least 50 words; at most half
+of the words in repeated windows).
 
 Nulls: a null text has no words and fails the base; null languages and sources are groups of their
 own. A document without words has rates 0. Repeated rows count as often as they come; an empty table
@@ -33,7 +37,10 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 RATES = {"r_length": ("word_chars", "n_words", 2.0), "r_symbols": ("n_symbols", "n_words", 0.15), "r_lines": ("n_dup_lines", "n_lines", 0.3), "r_repeats": ("n_repeat_words", "n_words", 0.2), "r_capitals": ("n_capitals", "word_chars", 0.2)}
 GAMMA = 1.02 / 0.98
 SMALLEST = 1e-4
-LEAST_GROUP = 100
+#: Documents that the quantiles of the next larger group count as.
+PRIOR = 100
+#: The rate that has a lower limit, and its slack.
+LOW, LOW_SLACK = "r_length", 1.0
 CHUNK = 1 << 18
 
 SYMBOL = np.zeros(256, bool)
@@ -45,7 +52,14 @@ CAPITAL[65:91] = True
 def text_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """The counts of each document of a buffer."""
     n = len(off) - 1
-    per = lambda mask: (c := np.concatenate([[0], np.cumsum(mask)]))[off[1:]] - c[off[:-1]]
+    some = np.flatnonzero(np.diff(off))
+
+    def per(mask: np.ndarray) -> np.ndarray:
+        out = np.zeros(n, np.int64)
+        if len(some):
+            out[some] = np.add.reduceat(mask, off[some], dtype=np.int64)
+        return out
+
     s, e, first = H.word_spans(data, off)
     out = {"n_words": np.diff(first)}
     out["word_chars"] = per(~H.SPACE[data] & ((data & 0xC0) != 0x80))
@@ -57,8 +71,7 @@ def text_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     a, b = cut[:-1], cut[1:].copy()
     ended = data[b - 1] == 10
     b[ended] -= 1
-    solid = np.concatenate([[0], np.cumsum(~H.SPACE[data])])
-    full = solid[b] > solid[a]
+    full = np.logical_or.reduceat(~H.SPACE[data], a) if len(a) else np.zeros(0, bool)
     a, b = a[full], b[full]
     line_doc = np.searchsorted(off, a, "right") - 1
     lines = H.mix(H.span_hashes(data, a, b) ^ (line_doc.astype(np.uint64) * H.ODD))
@@ -119,18 +132,25 @@ def limits(measured: DataFrame, lang: str = "lang", source: str = "source") -> D
         total, upto = F.sum("n").over(part), F.sum("n").over(part.orderBy("bucket"))
         merged = merged.withColumn("total", total).withColumn("upto", upto)
         q = lambda p: F.min(F.when(F.col("upto") >= F.col("total") * p, value))
-        return merged.groupBy(*level, "rate").agg(F.max("total").alias("total"), q(0.5).alias("q50"), q(0.8).alias("q80"))
+        return merged.groupBy(*level, "rate").agg(F.max("total").alias("total"), q(0.5).alias("q50"), q(0.8).alias("q80"), q(0.2).alias("q20"))
 
     def same(a, b, cols):
         return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
 
     own, by_lang, whole = quantiles(["__lang", "__source"]), quantiles(["__lang"]), quantiles([])
     joined = every.alias("e").join(own.alias("o"), same("e", "o", keys)).join(by_lang.alias("l"), same("e", "l", ["__lang", "rate"])).join(whole.alias("w"), same("e", "w", ["rate"]))
-    pick = lambda c: F.when(F.col("o.total") >= LEAST_GROUP, F.col(f"o.{c}")).when(F.col("l.total") >= LEAST_GROUP, F.col(f"l.{c}")).otherwise(F.col(f"w.{c}"))
+
+    def pick(c: str):
+        own, by_lang, whole = (F.col(f"{a}.{c}") for a in "olw")
+        n, k = F.col("o.total"), F.col("l.total")
+        return (n * own + PRIOR * (k * by_lang + PRIOR * whole) / (k + PRIOR)) / (n + PRIOR)
+
     slack = F.coalesce(*[F.when(F.col("e.rate") == r, F.lit(s)) for r, (_, _, s) in RATES.items()])
     top = pick("q80") + 3.0 * (pick("q80") - pick("q50")) + slack
-    flat = joined.select(F.col("e.__lang").alias("__lang"), F.col("e.__source").alias("__source"), F.col("e.rate").alias("rate"), top.alias("limit"))
-    return flat.groupBy("__lang", "__source").agg(*[F.max(F.when(F.col("rate") == r, F.col("limit"))).alias(f"limit_{r}") for r in RATES])
+    low = pick("q20") - 3.0 * (pick("q50") - pick("q20")) - LOW_SLACK
+    flat = joined.select(F.col("e.__lang").alias("__lang"), F.col("e.__source").alias("__source"), F.col("e.rate").alias("rate"), top.alias("limit"), low.alias("low"))
+    pivot = [F.max(F.when(F.col("rate") == r, F.col("limit"))).alias(f"limit_{r}") for r in RATES]
+    return flat.groupBy("__lang", "__source").agg(*pivot, F.max(F.when(F.col("rate") == LOW, F.col("low"))).alias("low_limit"))
 
 
 def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
@@ -144,6 +164,7 @@ def judge(measured: DataFrame, lang: str = "lang", source: str = "source") -> Da
     fine = F.lit(True)
     for r in RATES:
         fine = fine & F.coalesce(rate(r) <= F.col(f"limit_{r}"), F.lit(True))
+    fine = fine & F.coalesce(rate(LOW) >= F.col("low_limit"), F.lit(True))
     return joined.select("m.*", base.alias("base_failed"), (~base & fine).alias("kept"))
 
 

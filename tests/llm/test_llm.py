@@ -232,6 +232,8 @@ def test_quality_classifier_is_interpolated_kneser_ney(spark):
     frame = lambda x: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(x)], "doc_id long, text string")
     model = kneser_ney.train(frame(train))
     got = {r["doc_id"]: r["__logp"] for r in kneser_ney.score(frame(ask), model).collect()}
+    other = {r["doc_id"]: r["__logp"] for r in kneser_ney.score(frame(ask), model, unit_bytes=20, heavy=0, most_shards=1).collect()}
+    assert all(abs(got[i] - other[i]) < 1e-6 for i in got)
     pairs = Counter(p for w in train for p in zip(["<s>", *w], [*w, "</s>"]))
     before = Counter(w for _, w in pairs)
     d2, d1 = (kneser_ney.discounts([sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]) for c in (pairs, before))
@@ -648,11 +650,54 @@ def test_thresholds_come_from_all_trusted_documents_not_trained_on(spark):
     for r in held:
         by[r["lang"]].append(r)
     median = lambda x: np.quantile([r["log_perplexity"] for r in x], 0.5)
-    center = {k: median(x if len(x) >= kneser_ney.LEAST else held) for k, x in by.items()}
+    drawn = lambda own, pooled, n: (n * own + kneser_ney.PRIOR * pooled) / (n + kneser_ney.PRIOR)
+    center = {k: drawn(median(x), median(held), len(x)) for k, x in by.items()}
     excess = lambda r: (r["log_perplexity"] - center[r["lang"]]) / math.sqrt(1 + kneser_ney.SHORT / r["n_words"])
-    assert sum(len(x) >= kneser_ney.LEAST for x in by.values())
+    top = lambda x: np.quantile([excess(r) for r in x], kneser_ney.QUANTILE)
     for k, x in by.items():
-        top = np.quantile([excess(r) for r in (x if len(x) >= kneser_ney.LEAST else held)], kneser_ney.QUANTILE) * kneser_ney.MARGIN
+        limit = drawn(top(x), top(held), len(x)) * kneser_ney.MARGIN
         for r in out:
             if r["lang"] == k and r["log_perplexity"] is not None:
-                assert abs(r["threshold"] - top) < 0.02 and abs(r["excess"] - excess(r)) < 0.01
+                assert abs(r["threshold"] - limit) < 0.02 and abs(r["excess"] - excess(r)) < 0.01
+                assert r["kept"] == (r["excess"] <= r["threshold"])
+
+
+def test_heavy_keys_and_shards_change_no_score(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = kneser_ney.train(docs.where("doc_id % 3 = 0"))
+    got = {r["doc_id"]: r["__logp"] for r in kneser_ney.score(docs, model).collect()}
+    kneser_ney.SHARD, kept = 100_000, kneser_ney.SHARD
+    try:
+        other = {r["doc_id"]: r["__logp"] for r in kneser_ney.score(docs, model, unit_bytes=50_000, heavy=2, most_shards=3).collect()}
+    finally:
+        kneser_ney.SHARD = kept
+    assert got.keys() == other.keys() and all(abs(got[i] - other[i]) < 1e-6 * (1 + abs(got[i])) for i in got)
+    assert min(got.values()) < -1000
+
+
+def test_quality_verdicts_are_those_of_the_sketches(spark):
+    """kept of every document of sf0.01 from exact quantiles of the groups, but where a rate is within the sketch's error of its limit."""
+    sf = "/root/testdata/sf0.01"
+    Q = quality_rules
+    out = Q.judge(Q.measure(spark.read.parquet(f"{sf}/documents.parquet"))).collect()
+    rate = {r: [x[t] / x[b] if x[b] else 0.0 for x in out] for r, (t, b, _) in Q.RATES.items()}
+    by = defaultdict(list)
+    for i, x in enumerate(out):
+        for key in ((x["lang"], x["source"]), x["lang"], None):
+            by[key].append(i)
+    q = lambda r, key, p: sorted(rate[r][i] for i in by[key])[max(0, math.ceil(p * len(by[key])) - 1)]
+    sure = 0
+    limits = {}
+    for i, x in enumerate(out):
+        key, k = (x["lang"], x["source"]), Q.PRIOR
+        if key not in limits:
+            n, m = len(by[key]), len(by[x["lang"]])
+            pick = lambda r, p: (n * q(r, key, p) + k * (m * q(r, x["lang"], p) + k * q(r, None, p)) / (m + k)) / (n + k)  # noqa: B023, E731
+            limits[key] = {r: pick(r, 0.8) + 3 * (pick(r, 0.8) - pick(r, 0.5)) + s for r, (_, _, s) in Q.RATES.items()} | {"low": pick(Q.LOW, 0.2) - 3 * (pick(Q.LOW, 0.5) - pick(Q.LOW, 0.2)) - Q.LOW_SLACK}
+        near = max(abs(0.15 * limits[key][r]) > abs(rate[r][i] - limits[key][r]) for r in Q.RATES) or abs(rate[Q.LOW][i] - limits[key]["low"]) < 0.6
+        if not near or x["base_failed"]:
+            fine = all(rate[r][i] <= limits[key][r] for r in Q.RATES) and rate[Q.LOW][i] >= limits[key]["low"]
+            assert x["kept"] == (fine and not x["base_failed"])
+            sure += 1
+    assert sure > 0.9 * len(out)
