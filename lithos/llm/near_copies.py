@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lithos.llm import hashing as H
 from lithos.llm.common import chunks, materialize, release, utf8
 from lithos.llm.components import components
-from lithos.llm.simhash import LOWER, spark_parallelism
+from lithos.llm.simhash import LOWER, spread_out, strip_size
 
 SHINGLE = 5
 #: The least similarity, as a fraction.
@@ -38,7 +38,8 @@ SIMILAR = (4, 5)
 RADIUS = 34
 FEW = 4
 TILE = 512
-STRIP = 8
+#: Kinds in a strip: as simhash.strip_size.
+LEAST_STRIP, MOST_STRIP, ROOT = 2048, 1 << 18, 16
 CHUNK = 1 << 18
 #: Shingles whose bits are counted at once.
 ROWS = 1 << 14
@@ -124,9 +125,10 @@ def some(i: np.ndarray, j: np.ndarray, few: int) -> np.ndarray:
     return take
 
 
-def candidates(kinds: DataFrame, radius: int = RADIUS, few: int | None = None, strip: int = TILE * STRIP, sets: bool = False) -> DataFrame:
+def candidates(kinds: DataFrame, radius: int = RADIUS, few: int | None = None, strip: int | None = None, sets: bool = False) -> DataFrame:
     """(a, b, more) of a table of kinds (node, f, n, label): pairs that may be similar; more: a pair of strips had others. sets: the kinds have hashes, and only similar ones are returned."""
     n = kinds.count()
+    strip = strip or strip_size(n, LEAST_STRIP, MOST_STRIP, ROOT)
     names = ("node", "f", "n", "label", *["hashes"] * sets)
     schema = ", ".join(f"{c} binary" for c in names) + ", lo long, hi long"
 
@@ -153,11 +155,12 @@ def candidates(kinds: DataFrame, radius: int = RADIUS, few: int | None = None, s
     top, bottom = SIMILAR
     step = lambda x: F.floor(F.log(F.col(x)) / F.log(F.lit(bottom / top)))
     # strips whose sizes come within the ratio are at most one step of it apart
-    near = lambda name, wide: cut.select(F.struct("strip", "lo", "hi").alias(name), F.explode(F.sequence(step("lo") - wide, step("hi") + wide)).alias("c"))
-    pairs = near("x", 2).join(near("y", 0), "c").where(f"x.strip <= y.strip AND {bottom} * x.hi >= {top} * y.lo AND {bottom} * y.hi >= {top} * x.lo")
+    side = lambda name, wide: cut.select(F.struct("strip", "lo", "hi").alias(name), F.explode(F.sequence(step("lo") - wide, step("hi") + wide)).alias("c"))
+    pairs = side("x", 2).join(side("y", 0), "c").where(f"x.strip <= y.strip AND {bottom} * x.hi >= {top} * y.lo AND {bottom} * y.hi >= {top} * x.lo")
     pairs = pairs.select(F.col("x.strip").alias("strip"), F.col("y.strip").alias("other")).distinct()
+    pairs = near = materialize(pairs)
     right = cut.select(F.col("strip").alias("other"), *[F.col(c).alias(f"{c}2") for c in names])
-    pairs = pairs.join(cut.select("strip", *names), "strip").join(right, "other").repartition(spark_parallelism(kinds), F.xxhash64("strip", "other"))
+    pairs = spread_out(pairs.join(cut.select("strip", *names), "strip").join(right, "other"), near, "strip", "other")
 
     def compare(batches):
         for batch in batches:

@@ -34,9 +34,10 @@ from lithos.llm.components import components
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-#: Fingerprints in a tile, and tiles in a strip that one task holds against another strip.
+#: Fingerprints in a tile.
 TILE = 512
-STRIP = 16
+#: Fingerprints in a strip that one task holds against another one: the root of their number times ROOT, between these two.
+LEAST_STRIP, MOST_STRIP, ROOT = 4096, 1 << 21, 64
 #: Shingles whose bits are counted at once.
 CHUNK = 1 << 15
 
@@ -137,9 +138,15 @@ def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def links(kinds: DataFrame, radius: int = RADIUS, strip: int = TILE * STRIP) -> DataFrame:
+def strip_size(n: int, least: int = LEAST_STRIP, most: int = MOST_STRIP, root: int = ROOT) -> int:
+    """Strips grow with the root of the number of rows, so that each is sent as often as that root, not as often as the rows."""
+    return min(most, max(least, math.ceil(root * math.sqrt(n) / TILE) * TILE))
+
+
+def links(kinds: DataFrame, radius: int = RADIUS, strip: int | None = None) -> DataFrame:
     """(a, b) of a table of different fingerprints (__f, __id): ids whose fingerprints are linked, as forests."""
     n = kinds.count()
+    strip = strip or strip_size(n)
     strips = max(1, math.ceil(n / strip))
     count = F.concat_ws("", *[F.lpad(F.bit_count(F.shiftrightunsigned("__f", 16 * k).bitwiseAND(F.lit(0xFFFF))).cast("string"), 2, "0") for k in range(4)]).cast("int")
     schema = "strip int, n long, f binary, ids binary, lo array<int>, hi array<int>"
@@ -166,10 +173,11 @@ def links(kinds: DataFrame, radius: int = RADIUS, strip: int = TILE * STRIP) ->
     gap = F.aggregate(F.zip_with(F.zip_with("a.lo", "b.hi", lambda x, y: x - y), F.zip_with("b.lo", "a.hi", lambda x, y: x - y), lambda x, y: F.greatest(F.lit(0), x, y)), F.lit(0), lambda s, x: s + x)
     near = first("a", radius).join(first("b", 0), "c").where((F.col("a.strip") <= F.col("b.strip")) & (gap <= radius))
     near = near.select(F.col("a.strip").alias("strip"), F.col("b.strip").alias("other")).distinct()
+    near = materialize(near)
     left = near.join(cut.select("strip", F.col("f").alias("fa"), F.col("ids").alias("ia")), "strip")
     pairs = left.join(cut.select(F.col("strip").alias("other"), F.col("f").alias("fb"), F.col("ids").alias("ib")), "other")
     # every pair of strips is a piece of work of its own
-    pairs = pairs.repartition(max(spark_parallelism(kinds), 1), F.xxhash64("strip", "other"))
+    pairs = spread_out(pairs, near, "strip", "other")
 
     def compare(batches):
         for batch in batches:
@@ -182,8 +190,14 @@ def links(kinds: DataFrame, radius: int = RADIUS, strip: int = TILE * STRIP) ->
     return pairs.mapInArrow(compare, "a long, b long")
 
 
-def spark_parallelism(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.sparkContext.defaultParallelism)
+#: Pairs of tiles or strips that a task takes at most, about.
+PAIRS = 16
+
+
+def spread_out(pairs: DataFrame, near: DataFrame, *key: str) -> DataFrame:
+    """pairs over as many tasks as their number (that of near) asks for."""
+    least = 4 * int(pairs.sparkSession.sparkContext.defaultParallelism)
+    return pairs.repartition(max(least, math.ceil(near.count() / PAIRS)), F.xxhash64(*key))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:

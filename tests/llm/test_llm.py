@@ -129,7 +129,7 @@ def test_embedding_dedup(spark):
     rows = [(i, [float(x) for x in np.float32(v)], i % 2 if i < 40 else (i - 40) % 2, "x", 0) for i, v in enumerate(vectors)]
     rows += [(100, None, 1, "x", 0), (101, [0.0] * 16, 1, "x", 0), (102, [float("nan")] * 16, 1, "x", 0), (103, [None] * 16, 1, "x", 0), (104, rows[0][1], None, "x", 0), (105, rows[0][1][:5], 0, "x", 0), (106, [], 0, "x", 0), rows[0]]
     schema = "vec_id long, embedding array<float>, label int, n_links string, component_id int"
-    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, schema), tile=8)
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, schema), least_tile=8)
     ok = [i for i, x in enumerate(rows) if x[1] and None not in x[1] and np.isfinite(x[1]).all() and any(x[1]) and x[2] is not None]
     links = defaultdict(set)
     for i in ok:
@@ -192,6 +192,46 @@ def test_long_texts_are_cut_without_loss(spark):
     assert bag(rlz_dedup.dedup(docs, output="digest"), "doc_id", "n_words", "n_removed", "kept_sha256") == want
 
 
+@pytest.mark.parametrize("root", [32, 1])
+def test_embedding_links_are_all_found(spark, root, monkeypatch):
+    """Against all exact cosines of sf0.1 and of copies turned by some 11 degrees, with few tiles and with many: a bound of five deviations loses no link here."""
+    import pandas as pd
+
+    monkeypatch.setattr(embedding_dedup, "ROOT", root)
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding", "label").toPandas()
+    more, r = t.iloc[::3].copy(), np.random.default_rng(7)
+    x = np.stack(more.embedding.to_numpy()).astype(np.float64)
+    noise = r.standard_normal(x.shape)
+    noise *= np.linalg.norm(x, axis=1, keepdims=True) / np.linalg.norm(noise, axis=1, keepdims=True) * r.uniform(0.15, 0.25, (len(x), 1))
+    more["embedding"], more["vec_id"] = list((x + noise).astype(np.float32)), more.vec_id + 10**6
+    t = pd.concat([t, more])
+    vectors = spark.createDataFrame([(int(i), [float(c) for c in v], int(k)) for i, v, k in t.itertuples(index=False)], "vec_id long, embedding array<float>, label int").repartition(6)
+    out = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(vectors, least_tile=64).collect()}
+    total = 0
+    for _, g in t.groupby("label"):
+        x = np.stack(g.embedding.to_numpy()).astype(np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        n = (x @ x.T >= 0.98).sum(1) - 1
+        total += int(n.sum())
+        assert [out[i] for i in g.vec_id] == n.tolist()
+    assert total > 500
+
+
+def test_a_vector_and_a_fingerprint_of_nearly_all_rows(spark):
+    base = np.random.default_rng(4).standard_normal((6, 8))
+    rows = [(i, [float(x) for x in np.float32(base[0] if i % 10 else base[1 + i % 5])], 1) for i in range(3000)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(7)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(t).collect()}
+    same = Counter(tuple(v) for _, v, _ in rows)
+    first = {}
+    for i, v, _ in rows:
+        first.setdefault(tuple(v), i)
+    assert got == {i: (same[tuple(v)] - 1, first[tuple(v)]) for i, v, _ in rows}
+    docs = spark.createDataFrame([(i, None if i % 10 else f"text number {i} of the few") for i in range(3000)], "doc_id long, text string").repartition(7)
+    out = simhash.near_duplicates(docs).collect()
+    assert {r["component_id"] for r in out if r["fingerprint"] == "0" * 16} == {1}
+
+
 def rule_counts(t):
     w = WORD.findall(t)
     at = defaultdict(list)
@@ -307,12 +347,20 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_tiles_skip_only_what_is_too_far():
+def test_tiles_skip_only_what_is_too_far(spark):
     r = np.random.default_rng(2)
     f = np.unique(np.concatenate([r.integers(0, 2**64, 700, dtype=np.uint64), (seed := r.integers(0, 2**64, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 60, dtype=np.uint64))]))
     f = f[np.lexsort((f, *simhash.parts(f).T[::-1]))]
     i, j = simhash.tile_links(f, f, 4, True)
     root = groups(dict(enumerate(map(int, f))))
+    # the same links from many strips as from one
+    table = spark.createDataFrame([(x, k) for k, x in enumerate(f.view(np.int64).tolist())], "__f long, __id long")
+    a, b = zip(*[(r["a"], r["b"]) for r in simhash.links(table, 4, strip=64).collect()])
+    joined = groups({k: 0 for k in range(len(f))}, -1)
+    lead = lambda x: x if joined[x] == x else lead(joined[x])
+    for x, y in zip(a, b):
+        joined[lead(x)] = lead(y)
+    assert sorted(sorted(x) for x in _sets(joined)) == sorted(sorted(x) for x in _sets(root))
     got = groups({k: 0 for k in range(len(f))}, -1)
     for a, b in zip(i.tolist(), j.tolist()):
         got[a] = b
