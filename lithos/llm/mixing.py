@@ -9,7 +9,8 @@ so the words taken come near the target as well as the copies do.
 The sum along the order needs no window over a whole source: a source is cut into slices
 (size class, leading bits of the hash), the slices are counted with a partial aggregation, a window
 over the counts gives each slice its start, and only the documents of one slice are numbered
-together. The slices of a size class grow in number with the corpus.
+together. The slices of a size class grow in number with the corpus. Words are counted in one pass over
+the texts, into a table without them; emit() joins the copies to the texts at the end.
 
 Nulls: a null text has size 0; null sources are one source, ordered last. Documents of size 0 are
 taken like the others of their source and add no words; a source without words has target 0 and
@@ -22,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithos.llm.common import materialize
+
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST = 2.0
-#: Rows that a slice of a source should hold about, at most.
-SLICE_ROWS = 4000
+#: Rows that a slice of a source should hold about, and the size classes that share them.
+SLICE_ROWS, CLASSES = 50_000, 40
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -66,17 +69,18 @@ def source_targets(sizes: DataFrame, source: str = "source", weights=WEIGHTS, sh
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 42, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """docs with size, source_size, target, copies and taken (= copies * size).
+    """docs without the text, with size, source_size, target, copies and taken (= copies * size).
 
     copies is the number of times the mix holds the document; emit() repeats the rows. The result
     is a function of the rows alone, so reruns agree however Spark deals them.
     """
     made = {"size", "source_size", "target", "copies", "taken"}
-    base = docs.select(*[c for c in docs.columns if c not in made]).withColumn("size", word_count(text))
+    base = docs.select(*[c for c in docs.columns if c not in made and c != text], word_count(text).alias("size"))
+    base = materialize(base)
     targets = source_targets(base.select(F.col(source), F.col("size").alias("__size")), source, weights, share, most)
-    rows = docs.count()
+    rows = base.count()
     digits = 1
-    while 16**digits < rows / slice_rows and digits < 6:
+    while 16**digits < rows / (slice_rows * CLASSES) and digits < 6:
         digits += 1
     # md5 rather than a Spark hash: the same order can be written in any SQL
     base = base.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))).withColumn("__class", F.length(F.bin("size")) * 4 + F.when(F.col("size") >= 4, F.substring(F.bin("size"), 2, 2).cast("int")).otherwise(0))
@@ -101,9 +105,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     return out.drop("__h", "__class", "__slice", "__source", "__start", "__u", "__rank", "__each")
 
 
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The documents of a mix, each as many times as it is taken."""
-    return mixed.filter("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
+def emit(docs: DataFrame, mixed: DataFrame, row: str) -> DataFrame:
+    """The documents of a mix, each as many times as it is taken; row: a column that numbers the documents."""
+    taken = mixed.where("copies > 0").select(row, F.col("copies").cast("int").alias("__copies"))
+    return docs.join(taken, row).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

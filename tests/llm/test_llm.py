@@ -420,7 +420,9 @@ def test_mixing(spark, docs, rows, empty):
         assert abs(r["target"] - target[r["source"]]) < 1e-6 and r["source_size"] == per[r["source"]]
         assert r["copies"] in (0, 1, 2) and r["taken"] == r["copies"] * r["size"]
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
-    assert mixing.emit(out, ["doc_id", "text"]).count() == sum(r["copies"] for r in got)
+    numbered = docs.select("doc_id", "text", "source").withColumn("n", F.monotonically_increasing_id())
+    emitted = mixing.emit(numbered, mixing.mix(numbered), "n")
+    assert emitted.columns.count("text") == 1 and emitted.count() == sum(r["copies"] for r in got)
     assert mixing.mix(empty).count() == 0
 
 
@@ -530,9 +532,12 @@ def test_pipeline(spark):
         assert x.columns == P.COLUMNS and x.schema == docs.schema
     ids = [{r[0] for r in x.select("doc_id").collect()} for x in steps]
     assert ids[0] >= ids[1] >= ids[2] >= ids[3] >= ids[4]
+    # quality: the verdicts of the operator on the same rows
+    kept = {r["doc_id"] for r in kneser_ney.classify(docs.select("doc_id", "text", "lang"), spark.read.parquet(f"{sf}/labels.parquet")).where("kept").collect()}
+    assert ids[1] == kept
     # near-duplicates: the least id of each group of what came in
-    before = {r["doc_id"]: brute_fingerprint(r["text"]) for r in steps[1].collect()}
-    assert ids[2] == {min(g) for g in _sets(groups(before))}
+    before = [(r["doc_id"], r["text"]) for r in steps[1].collect()]
+    assert ids[2] == {min(before[i][0] for i in g) for g in near_copy_sets(before)}
     # no window of twenty words is left twice, as each later one was cut; words come from the text before
     seen = set()
     words = {r["doc_id"]: WORD.findall(r["text"]) for r in steps[2].collect()}
@@ -545,7 +550,52 @@ def test_pipeline(spark):
                 gone[k : k + 20] = [True] * 20
             seen.add(x)
         assert [x for x, g in zip(words[d], gone) if not g] == cut.get(d, [])
-    assert steps[5].agg(F.countDistinct("doc_id")).first()[0] == len(ids[4])
+    # mixing: as many copies of each document as the operator takes
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(steps[3].select("doc_id", "text", "source")).collect()}
+    mixed = Counter(r["doc_id"] for r in steps[4].select("doc_id").collect())
+    assert mixed == Counter({d: n for d, n in copies.items() if n})
+    # packing: every token of every copy once
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    tokens = sum(len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for r in steps[4].collect())
+    assert steps[5].agg(F.sum("length")).first()[0] == tokens
+    assert {r[0] for r in steps[5].select("doc_id").distinct().collect()} == set(mixed)
+
+
+def awkward(spark, schema):
+    """Rows with nulls in every column, an empty text, repeated rows and repeated ids."""
+    say = lambda seed, n=60: " ".join(f"w{random.Random(seed * 1000 + i).randrange(10**6)}" for i in range(n))
+    rows = [(None, None, None, None, None), (None, say(1), "en", None, 3), (1, say(1), None, "a", None), (1, say(2), "en", "a", 9), (2, None, "en", "a", 0), (3, "", "en", "b", 0), (4, say(3), "fr", "b", 5), (4, say(3), "fr", "b", 5), (5, say(4), "en", "a", 1)]
+    return spark.createDataFrame(rows, schema).repartition(3)
+
+
+def test_stages_take_nulls_repeats_and_further_columns(spark):
+    import corpus_pipeline as P
+    from lithos.llm.common import materialize
+
+    sf = "/root/testdata/sf0.001"
+    docs = awkward(spark, spark.read.parquet(f"{sf}/documents.parquet").schema)
+    for more in (docs, docs.select("*", *[F.lit("x").alias(c) for c in ("size", "kept", "n_words", "component_id", "copies", "__x")])):
+        out = [materialize(f(spark, more, sf)) for _, f in P.STAGES]
+        assert all(x.schema == docs.schema for x in out[:-1])
+        # texts without words are rejected by the classifier
+        assert {r["doc_id"] for r in out[0].collect()} <= {None, 1, 4, 5} and out[0].where("text IS NULL OR text = ''").count() == 0
+        # one of the rows without words, and one of each text
+        assert Counter(r["text"] is None or r["text"] == "" for r in out[1].collect()) == Counter({False: 4, True: 1})
+        # a text without words stays, a repeated one goes
+        assert out[2].count() == 9 - 2 and out[2].where("text IS NULL").count() == 2
+        assert out[4].agg(F.countDistinct("doc_id")).first()[0] == 5
+
+
+def test_runs_side_by_side_do_not_meet(spark):
+    """A stage on a result that hasn't been written keeps what that result reads."""
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    lazy = P.near_duplicates(spark, docs, sf)
+    assert P.mix(spark, lazy, sf).count() > 0 and lazy.count() > 0
 
 
 def near_copy_sets(rows, least=0.8):
