@@ -115,7 +115,7 @@ def block_of(h, blocks: int):
 
 
 def block_table(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> DataFrame:
-    """docs with __place and __block, as a table bucketed by the block: one shuffle, then every pass over the blocks reads it in place."""
+    """docs with __place (unless they have it) and __block, as a table bucketed by the block: one shuffle, then every pass over the blocks reads it in place."""
     spark = docs.sparkSession
     name = f"lithos_tmp_{uuid.uuid4().hex}"
     path = f"{scratch_dir(spark)}/{name}"
@@ -123,7 +123,7 @@ def block_table(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> Dat
     _paths.add(path)
     buckets = min(blocks, 4096)
     (
-        docs.withColumn("__place", place(id_col, text_col))
+        (docs if "__place" in docs.columns else docs.withColumn("__place", place(id_col, text_col)))
         .withColumn("__block", block_of(F.col("__place"), blocks))
         .repartition(buckets, "__block")
         .write.option("compression", "zstd")

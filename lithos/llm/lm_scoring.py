@@ -26,13 +26,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lithos.llm import exchange as X
 from lithos.llm import hashing as H
-from lithos.llm.common import block_table, chunks, n_blocks, text_size, utf8
+from lithos.llm.common import block_table, chunks, n_blocks, place, text_size, utf8
 
 ALPHA = 0.1
 MU = 2.0
@@ -110,34 +111,40 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     made = ["n_words", "ce_target", "ce_background", "ce_difference"]
     kept = [f for f in docs.schema if f.name not in made and f.name != text]
     plan = X.layout(n_blocks(text_size(docs, text)), fan)
-    good = labels.select(F.col(id_col).alias("__good")).where("__good IS NOT NULL").distinct()
-    flagged = docs.select(*[f.name for f in kept], text).join(good, F.col(id_col) == F.col("__good"), "left").withColumn("__trusted", F.col("__good").isNotNull()).drop("__good")
-    placed = block_table(flagged, id_col, text, plan.blocks)
+    # what is joined with the labels is the place of each document, not its text; the places found go to the blocks as rows
+    base = docs.select(*[f.name for f in kept], text).withColumn("__place", place(id_col, text)).withColumn("__mark", F.lit(False))
+    good = labels.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    marks = base.select(id_col, "__place").join(good, id_col, "left_semi").select("__place", F.lit(True).alias("__mark")).distinct()
+    placed = block_table(base.unionByName(marks, allowMissingColumns=True), id_col, text, plan.blocks)
 
-    def marks(table: pa.Table) -> np.ndarray:
-        return table["__trusted"].to_numpy(zero_copy_only=False).astype(bool)
+    def split(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        """The documents of a block, and which of them are trusted."""
+        rows = table.filter(pc.invert(table["__mark"]))
+        return rows, pc.is_in(rows["__place"], pc.unique(table.filter(table["__mark"])["__place"])).to_numpy(zero_copy_only=False).astype(bool)
 
     def count(key, table):
-        keys, counts = block_counts(table, marks(table), text)
+        rows, trusted = split(table)
+        keys, counts = block_counts(rows, trusted, text)
         return X.ask(key[0].as_py(), keys, list(counts), COUNTS, plan)
 
-    sent = placed.select(text, "__trusted", "__block").groupBy("__block").applyInArrow(count, X.SENT)
+    sent = placed.select(text, "__place", "__mark", "__block").groupBy("__block").applyInArrow(count, X.SENT)
     told, stats = X.exchange(sent, plan, add, COUNTS, COUNTS)
     size, *totals = (int(x or 0) for x in stats.agg(*[F.sum(F.col("stats")[k]) for k in range(3)]).first())
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in made[1:]]])
 
     def losses(key, table, replies):
-        trusted, n = marks(table), len(table)
+        table, trusted = split(table)
+        n = len(table)
         keys, _ = block_counts(table, trusted, text)
         counts = X.heard(replies, keys, COUNTS) if len(keys) else [keys, keys]
         sums, words = np.zeros((2, n)), np.zeros(n, np.int64)
         for i, j, h, pair, doc, inner, first in chunk_keys(table, text):
             words[i:j] = np.diff(first)
-            kinds, place = np.unique(np.concatenate([h, pair]), return_inverse=True)
+            kinds, where = np.unique(np.concatenate([h, pair]), return_inverse=True)
             at = np.searchsorted(keys, kinds)
             own = trusted[i:j][doc].astype(np.float64)
             for k, (c, total) in enumerate(zip(counts, totals)):
-                mine = c[at].astype(np.float64)[place]
+                mine = c[at].astype(np.float64)[where]
                 less = own if k else np.ones(len(h))
                 cw = np.maximum(mine[: len(h)] - less, 0)
                 single = (cw + alpha) / (np.maximum(total - less, 0) + alpha * size)
