@@ -10,7 +10,7 @@ from lithos.functions.columns import is_true, no_sentinel, per_well
 CURVES = ("GR", "RESISTIVITY", "RHOB", "NPHI", "DT")
 #: Unit and the range of a curve's median that tells it; the first that fits counts.
 UNIT_RANGES = {
-    "DT": [("us/ft", 20.0, 160.0), ("us/m", 100.0, 550.0)],
+    "DT": [("us_per_ft", 20.0, 160.0), ("us_per_m", 100.0, 550.0)],
 }
 FOOT = 0.3048
 
@@ -43,9 +43,9 @@ def infer_unit(df: DataFrame, curve: str = "DT", ranges=None) -> DataFrame:
 
 
 def normalise_dt(df: DataFrame, units: DataFrame) -> DataFrame:
-    """DT in us/ft, by the unit of each well (well_id, unit)."""
+    """DT in us_per_ft, by the unit of each well (well_id, unit)."""
     u = units.select("well_id", F.col("unit").alias("__unit"))
-    return df.join(u, "well_id", "left").withColumn("DT", F.when(F.col("__unit") == "us/m", F.col("DT") * FOOT).otherwise(F.col("DT"))).drop("__unit")
+    return df.join(u, "well_id", "left").withColumn("DT", F.when(F.col("__unit") == "us_per_m", F.col("DT") * FOOT).otherwise(F.col("DT"))).drop("__unit")
 
 
 def standardise_header(wells: DataFrame) -> DataFrame:

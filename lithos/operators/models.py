@@ -58,6 +58,25 @@ def predict_core_perm(df: DataFrame, model, keys=("well_id", "row_idx")) -> Data
     return df.join(out, list(keys), "left")
 
 
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(spark, path: str):
+    """A saved forest; None where nothing was saved."""
+    from pyspark.ml.regression import RandomForestRegressionModel
+
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    return RandomForestRegressionModel.load(path) if there else None
+
+
+def with_core_perm(df: DataFrame, path: str) -> DataFrame:
+    """df with CORE_PERM_PRED from the saved model; without the column if no model was saved."""
+    model = load_model(df.sparkSession, path)
+    return df if model is None else predict_core_perm(df, model)
+
+
 def skill(scored: DataFrame, target: str, by: list[str] = ()) -> DataFrame:
     """n, r2 and rmse of column prediction against target, for all rows or by group."""
     mean = F.avg(target).over(Window.partitionBy(*by)) if by else F.avg(target).over(Window.partitionBy(F.lit(0)))
@@ -143,7 +162,10 @@ def base_models(target: str, trees: int = TREES) -> dict:
 
 def fit_stack(samples: DataFrame, features: list[str], target: str, trees: int = TREES):
     """(base models, meta model): the meta model learns from predictions for wells that the base models hadn't seen."""
-    samples = complete(samples, [target, "weight"]).withColumn("__id", F.monotonically_increasing_id()).persist()
+    # a key made of the row itself and its place among equal rows: the same if a partition is computed again
+    key = F.xxhash64(*[c for c in samples.columns])
+    again = F.row_number().over(Window.partitionBy("well_id", "__key").orderBy(F.lit(0)))
+    samples = complete(samples, [target, "weight"]).withColumn("__key", key).withColumn("__id", F.concat_ws("/", "well_id", F.col("__key").cast("string"), again.cast("string"))).drop("__key").persist()
     held, fitted = None, {}
     ready = vectors(samples, features)
     for name, model in base_models(target, trees).items():

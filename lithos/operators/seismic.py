@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,28 +26,23 @@ def rms(samples="samples"):
     return F.sqrt(total(samples, lambda x: x * x) / F.size(samples))
 
 
-def magnitude(samples, n: int):
-    """The amplitude spectrum of n samples: bins 0 to n / 2, a sum of products with fixed cosines and sines."""
-    out = []
-    for k in range(n // 2 + 1):
-        c = F.array(*[F.lit(math.cos(2 * math.pi * k * i / n)) for i in range(n)])
-        s = F.array(*[F.lit(math.sin(2 * math.pi * k * i / n)) for i in range(n)])
-        dot = lambda w: F.aggregate(F.zip_with(samples, w, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-        out.append(F.sqrt(F.pow(dot(c), F.lit(2.0)) + F.pow(dot(s), F.lit(2.0))))
-    return F.array(*out)
-
-
 def spectrum(traces: DataFrame) -> DataFrame:
-    """trace_idx, bin, frequency, magnitude: the discrete Fourier transform as a join with a table of angles.
+    """trace_idx, bin, frequency, magnitude: Fourier transforms of whole batches of traces, those of one length together."""
 
-    The angles of (bin, sample) are rows of a table as large as one trace squared; the samples of a
-    trace meet in one partial sum.
-    """
-    s = traces.select("dataset_id", "trace_idx", "dt_ms", F.size("samples").alias("n"), F.posexplode("samples").alias("i", "x"))
-    s = s.select("*", F.explode(F.sequence(F.lit(0), F.expr("n div 2").cast("int"))).alias("bin"))
-    angle = 2 * math.pi * F.pmod(F.col("bin") * F.col("i"), F.col("n")) / F.col("n")
-    g = s.groupBy("dataset_id", "trace_idx", "dt_ms", "n", "bin").agg(F.sum(F.col("x") * F.cos(angle)).alias("re"), F.sum(F.col("x") * F.sin(angle)).alias("im"))
-    return g.select("dataset_id", "trace_idx", "bin", (F.col("bin") * 1000.0 / (F.col("n") * F.col("dt_ms"))).alias("frequency"), F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("magnitude"))
+    def run(batches):
+        for b in batches:
+            lists, steps = b.column("samples"), b.column("dt_ms").to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            for n in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == n)
+                x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+                z = np.abs(np.fft.rfft(np.nan_to_num(x), axis=1))
+                bins = z.shape[1]
+                rows = pa.array(np.repeat(at, bins))
+                k = np.tile(np.arange(bins, dtype=np.int32), len(at))
+                yield pa.RecordBatch.from_arrays([b.column("dataset_id").take(rows), b.column("trace_idx").take(rows), pa.array(k), pa.array(k * 1000.0 / (n * np.repeat(steps[at], bins))), pa.array(z.ravel())], ["dataset_id", "trace_idx", "bin", "frequency", "magnitude"])
+
+    return traces.select("dataset_id", "trace_idx", "dt_ms", "samples").mapInArrow(run, "dataset_id string, trace_idx long, bin int, frequency double, magnitude double")
 
 
 def dominant_frequency(spec: DataFrame, digits: int = 9) -> DataFrame:
@@ -57,25 +55,35 @@ def average_spectrum(spec: DataFrame) -> DataFrame:
     return spec.groupBy("dataset_id", "bin", "frequency").agg(F.avg("magnitude").alias("magnitude"))
 
 
-def normalised(x: str, config: dict, by=("dataset_id",)):
-    """x between two percentiles of its dataset, as 0 to 1; 0 if they are equal."""
-    a = config["attributes"]
-    w = Window.partitionBy(*by)
-    lo = F.percentile(x, F.lit(a["normalize_low_percentile"] / 100.0)).over(w)
-    hi = F.percentile(x, F.lit(a["normalize_high_percentile"] / 100.0)).over(w)
-    return F.when(hi <= lo, 0.0).otherwise((clip(F.col(x), lo, hi) - lo) / F.when(hi > lo, hi - lo))
+def amplitude_report(spec: DataFrame) -> DataFrame:
+    """dominant_freq_hz (without the bin of the mean), bandwidth_hz at half power and snr_proxy of each average spectrum (dataset_id, bin, frequency, magnitude)."""
+    best = F.max(F.when(F.col("bin") > 0, F.struct(F.round("magnitude", 9).alias("m"), (-F.col("bin")).alias("k"), F.col("frequency").alias("f"), F.col("magnitude").alias("a"))))
+    peak = spec.groupBy("dataset_id").agg(best.alias("p"))
+    d = spec.join(F.broadcast(peak), "dataset_id").withColumn("__in", F.col("magnitude") >= F.col("p.a") / math.sqrt(2))
+    inside, outside = F.when(F.col("__in"), F.col("frequency")), F.avg(F.when(~F.col("__in"), F.col("magnitude")))
+    signal = F.avg(F.when(F.col("__in"), F.col("magnitude")))
+    snr = F.when(outside > 0, signal / F.when(outside > 0, outside))
+    return d.groupBy("dataset_id").agg(F.max("p.f").alias("dominant_freq_hz"), F.coalesce(F.max(inside) - F.min(inside), F.lit(0.0)).alias("bandwidth_hz"), snr.alias("snr_proxy"))
 
 
 def proxies(attributes: DataFrame, config: dict = SEISMIC) -> DataFrame:
-    """Lithology, porosity and saturation proxies from rms_amplitude and avg_envelope."""
+    """Lithology, porosity and saturation proxies from rms_amplitude and avg_envelope: the percentiles of a dataset are one row, joined back."""
     null = F.lit(None).cast("double")
-    df = attributes.withColumn("__e", normalised("avg_envelope", config)).withColumn("__r", normalised("rms_amplitude", config))
-    bright = F.percentile("avg_envelope", F.lit(config["swe_proxy"]["bright_spot_percentile"] / 100.0)).over(Window.partitionBy("dataset_id"))
-    base = 1.0 - F.col("__r")
-    df = df.withColumn("vsh_proxy", F.col("__e") if config["vsh_proxy"]["enabled"] else null)
+    a = config["attributes"]
+    cut = lambda c, p: F.percentile(c, F.lit(p / 100.0))
+    low, high = a["normalize_low_percentile"], a["normalize_high_percentile"]
+    stats = attributes.groupBy("dataset_id").agg(*[cut(c, p).alias(f"__{c}_{k}") for c in ("avg_envelope", "rms_amplitude") for k, p in (("lo", low), ("hi", high))], cut("avg_envelope", config["swe_proxy"]["bright_spot_percentile"]).alias("__b"))
+    df = attributes.join(stats, "dataset_id")
+
+    def normalised(c: str):
+        lo, hi = F.col(f"__{c}_lo"), F.col(f"__{c}_hi")
+        return F.when(hi <= lo, 0.0).otherwise((clip(F.col(c), lo, hi) - lo) / F.when(hi > lo, hi - lo))
+
+    base = 1.0 - normalised("rms_amplitude")
+    df = df.withColumn("vsh_proxy", normalised("avg_envelope") if config["vsh_proxy"]["enabled"] else null)
     df = df.withColumn("phie_proxy", base if config["phie_proxy"]["enabled"] else null)
-    df = df.withColumn("__b", bright).withColumn("swe_proxy", clip(F.when(is_true(F.col("avg_envelope") > F.col("__b")), base * 0.4).otherwise(base), 0.0, 1.0))
-    return df.drop("__e", "__r", "__b")
+    df = df.withColumn("swe_proxy", clip(F.when(is_true(F.col("avg_envelope") > F.col("__b")), base * 0.4).otherwise(base), 0.0, 1.0))
+    return df.drop(*stats.columns[1:])
 
 
 def survey_info(traces: DataFrame) -> DataFrame:
@@ -131,14 +139,74 @@ def coverage(traces: DataFrame) -> DataFrame:
     return out.select("dataset_id", "inline", "crossline", F.coalesce("n", F.lit(0)).alias("n")).where("n <> 1")
 
 
-def strided(traces: DataFrame, max_traces: int, max_samples: int) -> DataFrame:
-    """Every k-th trace and sample, k being the floor of the number over the most."""
+#: Traces that are numbered in one task.
+TOGETHER = 4096
+
+
+def numbered(traces: DataFrame, name: str = "__k") -> DataFrame:
+    """traces with their number in the order of trace_idx: counts of ranges of ids give each range its start, so no dataset is in one task."""
+    part = F.floor(F.col("trace_idx") / TOGETHER)
+    counts = traces.groupBy("dataset_id", part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("dataset_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select("dataset_id", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    at = F.row_number().over(Window.partitionBy("dataset_id", "__part").orderBy("trace_idx")) - 1
+    ids = traces.select("dataset_id", "trace_idx", part.alias("__part")).withColumn("__at", at).join(start, ["dataset_id", "__part"])
+    return ids.select("dataset_id", "trace_idx", (F.col("__start") + F.col("__at")).alias(name))
+
+
+def every_kth(traces: DataFrame, most: int) -> DataFrame:
+    """Every k-th trace, k being the floor of the number over the most."""
     n = traces.groupBy("dataset_id").agg(F.count("*").alias("__n"))
-    t = traces.join(F.broadcast(n), "dataset_id").withColumn("__k", F.row_number().over(Window.partitionBy("dataset_id").orderBy("trace_idx")) - 1)
-    step = F.greatest(F.lit(1), F.expr(f"__n div {max_traces}"))
+    step = F.greatest(F.lit(1), F.expr(f"__n div {most}"))
+    chosen = numbered(traces).join(n, "dataset_id").where(F.col("__k") % step == 0).select("dataset_id", "trace_idx")
+    return traces.join(chosen, ["dataset_id", "trace_idx"], "left_semi")
+
+
+def strided(traces: DataFrame, max_traces: int, max_samples: int) -> DataFrame:
+    """Every k-th trace and sample: ids alone are numbered, and the samples fetched for those that stay."""
     inner = F.greatest(F.lit(1), F.expr(f"size(samples) div {max_samples}"))
-    t = t.where(F.col("__k") % step == 0)
-    return t.withColumn("samples", F.filter("samples", lambda x, i: i % inner == 0)).drop("__n", "__k")
+    return every_kth(traces, max_traces).withColumn("samples", F.filter("samples", lambda x, i: i % inner == 0))
+
+
+def at_lines(traces: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (inline, crossline) with the least trace_idx there; NULL where no trace is."""
+    found = traces.groupBy("inline", "crossline").agg(F.min("trace_idx").alias("trace_idx"))
+    return asked.join(found, ["inline", "crossline"], "left")
+
+
+def one_trace(traces: DataFrame, dataset: str, index: int) -> DataFrame:
+    """The samples of one trace with their times; IndexError if there is none of that number."""
+    t = traces.where((F.col("dataset_id") == dataset) & (F.col("trace_idx") == index))
+    if t.isEmpty():
+        raise IndexError(index)
+    return t.select("trace_idx", F.posexplode("samples").alias("sample_idx", "amplitude"), "delay_ms", "dt_ms").select("trace_idx", "sample_idx", (F.col("delay_ms") + F.col("sample_idx") * F.col("dt_ms")).alias("time_ms"), "amplitude")
+
+
+def grid(traces: DataFrame) -> DataFrame:
+    """The cells that have a trace: positions of their lines on both axes, and the first trace."""
+    axis = lambda c: traces.select("dataset_id", c).distinct().withColumn(f"{c}_pos", F.row_number().over(Window.partitionBy("dataset_id").orderBy(c)) - 1)
+    cells = traces.groupBy("dataset_id", "inline", "crossline").agg(F.min("trace_idx").alias("trace_idx"))
+    return cells.join(axis("inline"), ["dataset_id", "inline"]).join(axis("crossline"), ["dataset_id", "crossline"])
+
+
+def slice_zeros(traces: DataFrame, sample: int, around: int = 5) -> DataFrame:
+    """Traces with a zero at a sample, and whether all samples within `around` of it are zero, too."""
+    near = F.slice("samples", F.lit(max(1, sample + 1 - around)), F.lit(sample + around - max(0, sample - around) + 1))
+    return traces.where(F.try_element_at("samples", F.lit(sample + 1)) == 0).select("dataset_id", "trace_idx", F.forall(near, lambda x: x == 0).alias("all_around"))
+
+
+def summary(attributes: DataFrame) -> DataFrame:
+    """Numbers of traces and the means of the attributes of each dataset; NULL for an attribute that is missing throughout."""
+    names = ("rms_amplitude", "vsh_proxy", "phie_proxy", "swe_proxy")
+    return attributes.groupBy("dataset_id").agg(F.count("*").alias("n_traces"), *[F.avg(c).alias(f"avg_{c}") for c in names])
+
+
+def series(attributes: DataFrame) -> DataFrame:
+    """The attributes of each dataset as arrays in the order of the traces, a row for each TOGETHER traces."""
+    names = [c for c in attributes.columns if c not in ("dataset_id", "trace_idx")]
+    part = F.floor(F.col("trace_idx") / TOGETHER).alias("part")
+    rows = attributes.groupBy("dataset_id", part).agg(F.array_sort(F.collect_list(F.struct("trace_idx", *names))).alias("r"))
+    return rows.select("dataset_id", "part", *[F.col(f"r.{c}").alias(c) for c in ("trace_idx", *names)])
 
 
 def quality(traces: DataFrame) -> DataFrame:

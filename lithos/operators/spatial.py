@@ -80,6 +80,28 @@ def axis_fit(wells: DataFrame, survey: DataFrame) -> DataFrame:
     return both.select("n", "a", (F.col("lotx") - F.col("a") * F.col("lowx")).alias("b"), "c", (F.col("loty") - F.col("c") * F.col("lowy")).alias("d"))
 
 
+def unknown(asked: DataFrame, wells: DataFrame) -> DataFrame:
+    """The well_ids asked for that no well has."""
+    return asked.join(wells.select("well_id"), "well_id", "left_anti").select("well_id")
+
+
+def fit_on(wells: DataFrame, chosen: DataFrame, survey: DataFrame) -> DataFrame:
+    """axis_fit of the chosen wells (well_id); KeyError with some of the ids if any is unknown."""
+    missing = [r["well_id"] for r in unknown(chosen, wells).limit(10).collect()]
+    if missing:
+        raise KeyError(", ".join(missing))
+    return axis_fit(wells.join(chosen, "well_id", "left_semi"), survey)
+
+
+def stored_fit(store, wells: DataFrame, survey: DataFrame, version: str) -> DataFrame:
+    """The fit kept for this version of the survey, fitted anew and kept if there is none. store: sources.store.TableStore."""
+    there = store.get("calibrations")
+    if there is not None and not (kept := there.where(F.col("version") == version)).isEmpty():
+        return kept
+    store.save("calibrations", axis_fit(wells, survey).withColumn("version", F.lit(version)), "version")
+    return store.one("calibrations", "version", version)
+
+
 def calibrated(wells: DataFrame, fit: DataFrame) -> DataFrame:
     """wells with cx, cy under an axis fit (one row)."""
     return wells.join(F.broadcast(fit.select("a", "b", "c", "d")), F.lit(True)).withColumn("cx", F.col("a") * F.col("wx") + F.col("b")).withColumn("cy", F.col("c") * F.col("wy") + F.col("d")).drop("a", "b", "c", "d")

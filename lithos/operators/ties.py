@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from lithos.functions.columns import is_true, per_well, ratio, ricker
 
 FOOT = 0.3048
+#: Fixed values of the searches.
+LOCAL = (15.0, 20.0, 25.0, 30.0, 35.0, 40.0, 45.0)
+RESIDUAL_SHIFT = 25.0
 FREQUENCIES = tuple(float(f) for f in range(8, 65, 2))
 PINNED = 0.95
 LEAST_CORRELATION = 0.3
@@ -53,16 +56,25 @@ def wavelet_table(spark, frequencies, dt_ms: float, length_ms: float = 128.0) ->
 
 
 def convolve(series: DataFrame, wavelet: DataFrame, keys: list[str]) -> DataFrame:
-    """The convolution of series (keys, i, x) with a wavelet (k, w), cut to the series' length around its centre.
+    """The convolution of series (keys, i, x) with a wavelet (k, w), cut to the series' length around its centre; a missing x counts as 0.
 
-    Every product goes to its own place (i + k - start) and is summed there: a join with a table of
-    wavelet length, and one partial aggregation.
+    A series is one array in its group; the wavelet is as long as a wavelet, so it is collected.
     """
-    n = wavelet.agg(F.max("k") + 1).first()[0]
-    size = series.groupBy(*keys).agg((F.max("i") + 1).alias("__n"))
-    prod = series.join(F.broadcast(wavelet), F.lit(True)).select(*keys, (F.col("i") + F.col("k") - (n - 1) // 2).alias("i"), (F.col("x") * F.col("w")).alias("p"))
-    out = prod.groupBy(*keys, "i").agg(F.sum("p").alias("value")).join(size, keys)
-    return out.where("i >= 0 AND i < __n").drop("__n")
+    w = np.array([r["w"] for r in wavelet.orderBy("k").collect()])
+    names = [*keys, "i"]
+    out = ", ".join(f"`{c}` {series.schema[c].dataType.simpleString()}" for c in names) + ", value double"
+
+    def run(key, t):
+        i = t["i"].to_numpy().astype(np.int64)
+        x = np.zeros(i.max() + 1)
+        np.add.at(x, i, np.nan_to_num(t["x"].to_numpy(zero_copy_only=False).astype(float)))
+        full = np.convolve(x, w)
+        at = (len(w) - 1) // 2
+        cut = full[at : at + len(x)]
+        cols = {c: pa.array([v.as_py()] * len(x), t[c].type) for c, v in zip(keys, key)}
+        return pa.table(cols | {"i": pa.array(np.arange(len(x))).cast(t["i"].type), "value": pa.array(cut)})
+
+    return series.select(*names, "x").groupBy(*keys).applyInArrow(run, out)
 
 
 def gardner(velocity, a: float = 0.31, b: float = 0.25):
@@ -178,6 +190,24 @@ def best_tie(t_rc, rc, axis, trace, step: float, frequencies=FREQUENCIES, max_sh
 TIE = "well_id string, trace_idx long, correlation double, frequency double, polarity int, shift_ms double, n_used long, boundary_pinned boolean, low_confidence boolean, error string"
 
 
+def direct_ties(logs: DataFrame, resolved: DataFrame, traces: DataFrame, shots: DataFrame | None = None, max_shift: float = 100.0) -> DataFrame:
+    """tie_wells, on times anchored by the first checkshot (well_id, depth, twt) of each well that has one; tie_source says so.
+
+    An anchored well is searched within RESIDUAL_SHIFT only; its shift is the anchor and what was found.
+    """
+    if shots is None:
+        return tie_wells(logs, resolved, traces, max_shift=max_shift).withColumn("anchor_ms", F.lit(0.0)).withColumn("tie_source", F.lit("statistical"))
+    from lithos.operators.interpolation import checkshot_shift
+
+    good = logs.where("DT > 0 AND RHOB > 0 AND DPTM IS NOT NULL")
+    anchor = checkshot_shift(shots, good).where("shift_ms IS NOT NULL").select("well_id", F.col("shift_ms").alias("anchor_ms"))
+    moved = logs.join(anchor, "well_id").withColumn("DPTM", F.col("DPTM") + F.col("anchor_ms"))
+    known = tie_wells(moved, resolved.join(anchor, "well_id", "left_semi"), traces, max_shift=RESIDUAL_SHIFT).join(anchor, "well_id")
+    known = known.withColumn("shift_ms", F.col("shift_ms") + F.col("anchor_ms")).withColumn("tie_source", F.lit("checkshot"))
+    rest = tie_wells(logs, resolved.join(anchor, "well_id", "left_anti"), traces, max_shift=max_shift)
+    return known.unionByName(rest.withColumn("anchor_ms", F.lit(0.0)).withColumn("tie_source", F.lit("statistical_fallback")))
+
+
 def tie_wells(logs: DataFrame, resolved: DataFrame, traces: DataFrame, frequencies=FREQUENCIES, max_shift: float = 100.0) -> DataFrame:
     """A row for each well of `resolved` (well_id, trace_idx): its best tie, or the reason there is none.
 
@@ -215,12 +245,141 @@ def tie_wells(logs: DataFrame, resolved: DataFrame, traces: DataFrame, frequenci
 SCHEMA = pa.schema([("well_id", pa.string()), ("trace_idx", pa.int64()), ("correlation", pa.float64()), ("frequency", pa.float64()), ("polarity", pa.int32()), ("shift_ms", pa.float64()), ("n_used", pa.int64()), ("boundary_pinned", pa.bool_()), ("low_confidence", pa.bool_()), ("error", pa.string())])
 
 
+def pearson_arrays(a: np.ndarray, b: np.ndarray) -> float | None:
+    ok = np.isfinite(a) & np.isfinite(b)
+    a, b = a[ok], b[ok]
+    if len(a) < 2 or a.std() == 0 or b.std() == 0:
+        return None
+    return float(((a - a.mean()) * (b - b.mean())).mean() / (a.std() * b.std()))
+
+
 def lag_correlation(series: DataFrame, max_lag: int) -> DataFrame:
-    """(keys.., lag, r): Pearson's r of a and b shifted against each other, of series (key, i, a, b)."""
-    from lithos.functions.columns import pearson
+    """(key, lag, r): Pearson's r of a at i - lag and b at i, of series (key, i, a, b), a key's series in one group."""
+
+    def run(key, t):
+        i = t["i"].to_numpy().astype(np.int64)
+        a, b = (np.full(int(i.max()) + 1, np.nan) for _ in "ab")
+        for x, c in ((a, "a"), (b, "b")):
+            x[i] = t[c].to_numpy(zero_copy_only=False).astype(float)
+        lags, n = list(range(-max_lag, max_lag + 1)), len(a)
+        r = [pearson_arrays(a[max(0, -k) : max(0, n - max(0, k))], b[max(0, k) : max(0, n + min(0, k))]) for k in lags]
+        return pa.table({"key": pa.array([key[0].as_py()] * len(lags), t["key"].type), "lag": pa.array(lags, pa.int32()), "r": pa.array(r, pa.float64())})
+
+    return series.select("key", "i", "a", "b").groupBy("key").applyInArrow(run, f"key {series.schema['key'].dataType.simpleString()}, lag int, r double")
+
 
-    a = series.select("key", F.col("i").alias("j"), "a", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")).withColumn("i", F.col("j") + F.col("lag"))
-    return a.join(series.select("key", "i", "b"), ["key", "i"]).groupBy("key", "lag").agg(pearson("a", "b").alias("r"))
+def local_search(rc, times, axis, trace, step: float, frequencies=LOCAL, max_shift: float = 300.0, fixed=None):
+    """(correlation, frequency, polarity, shift_ms): the wavelet whose synthetic, moved by the lag of the largest cross-correlation, fits best.
+
+    A synthetic is 0 outside the log. fixed: one wavelet in place of Ricker wavelets; its frequency is None.
+    """
+    trace, spread = np.nan_to_num(trace), 1e-12
+    best = None
+    for f, w in [(None, np.asarray(fixed))] if fixed is not None else [(float(f), ricker_array(f, step / 1000.0)) for f in frequencies]:
+        full = np.convolve(rc, w)
+        at = (len(full) - len(rc)) // 2
+        synth = np.interp(axis, times, full[at : at + len(rc)], left=0.0, right=0.0)
+        cross = np.correlate((trace - trace.mean()) / (trace.std() + spread), (synth - synth.mean()) / (synth.std() + spread), "full")
+        lags = np.arange(1 - len(synth), len(trace))
+        near = np.abs(lags) * step <= max_shift
+        if not near.any():
+            raise ValueError("no lag is within the largest shift")
+        for polarity in (1, -1):
+            k = int(lags[near][np.argmax(polarity * cross[near])])
+            moved = np.zeros(len(synth))
+            moved[max(0, k) : len(synth) + min(0, k)] = polarity * synth[max(0, -k) : len(synth) - max(0, k)]
+            there = moved != 0
+            r = (pearson_arrays(moved[there], trace[there]) or 0.0) if there.sum() >= 5 else 0.0
+            if best is None or r > best[0]:
+                best = (r, f, polarity, k * step)
+    return best
+
+
+def despiked(x: np.ndarray, k: float = 5.0, floor: float = 0.15) -> np.ndarray:
+    """Outliers of a reflectivity become 0; ValueError if hardly any variance is left."""
+    mid = np.median(x)
+    mad = max(np.median(np.abs(x - mid)), floor * np.sqrt(np.mean(x * x)))
+    out = np.where(np.abs(x - mid) > k * mad, 0.0, x) if mad > 0 else x
+    if x.std() > 0 and out.std() < 1e-12:
+        raise ValueError("despiking left nothing of the reflectivity")
+    return out
+
+
+def build_synthetics(logs: DataFrame, resolved: DataFrame, traces: DataFrame, frequency: float = 30.0, density: str = "RHOB", points: DataFrame | None = None, max_shift: float = 300.0, search: str = "lag") -> DataFrame:
+    """(well_id, frequency, polarity, shift_ms, correlation, n, error): a synthetic of each well against its trace.
+
+    logs: well_id, row_idx, DEPT, DT and a density; the time axis is the sonic's from the trace's
+    start on, moved by tie points (well_id, x = depth, y = ms) where there are any. search: "lag" (one
+    frequency), "local" (several) or "full" (as tie_wells).
+    """
+    if search not in ("lag", "local", "full"):
+        raise ValueError(search)
+    trace = resolved.select("well_id", "trace_idx").join(traces.select("trace_idx", "delay_ms", "dt_ms", "samples"), "trace_idx")
+    if points is not None:
+        moves = points.groupBy("well_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("moves"))
+        trace = trace.join(moves, "well_id", "left")
+    else:
+        trace = trace.withColumn("moves", F.lit(None).cast("array<struct<x:double,y:double>>"))
+    names = ["well_id", "frequency", "polarity", "shift_ms", "correlation", "n", "error"]
+    schema = pa.schema([("well_id", pa.string()), ("frequency", pa.float64()), ("polarity", pa.int32()), ("shift_ms", pa.float64()), ("correlation", pa.float64()), ("n", pa.int64()), ("error", pa.string())])
+
+    def run(key, logs, trace):
+        if not len(trace) or not len(logs):
+            return schema.empty_table()
+        t = trace.to_pylist()[0]
+        d = logs.sort_by("row_idx")
+        depth, dt, rho = (d[c].to_numpy(zero_copy_only=False).astype(float) for c in ("DEPT", "DT", "__rho"))
+        ok = np.isfinite(depth) & np.isfinite(dt) & np.isfinite(rho) & (dt > 0) & (rho > 0)
+        row = dict.fromkeys(names) | {"well_id": key[0].as_py(), "n": int(ok.sum())}
+        if ok.sum() < 10:
+            return pa.Table.from_pylist([row | {"error": "too few samples"}], schema)
+        depth, dt, rho = depth[ok], dt[ok], rho[ok]
+        twt = t["delay_ms"] + np.concatenate([[0.0], np.cumsum(np.diff(depth) / FOOT * (dt[1:] + dt[:-1]))]) / 1000.0
+        ai = rho / dt
+        try:
+            rc = despiked(np.diff(ai) / (ai[1:] + ai[:-1]))
+        except ValueError as e:
+            return pa.Table.from_pylist([row | {"error": str(e)}], schema)
+        at, where = (twt[1:] + twt[:-1]) / 2, (depth[1:] + depth[:-1]) / 2
+        if t["moves"]:
+            at = at + np.interp(where, [m["x"] for m in t["moves"]], [m["y"] for m in t["moves"]])
+        step = t["dt_ms"]
+        times = np.arange(at[0], at[-1], step)
+        x = np.nan_to_num(np.array(t["samples"], float))
+        axis = t["delay_ms"] + step * np.arange(len(x))
+        regular = np.interp(times, at, rc)
+        if search == "full":
+            found = best_tie(times, regular, axis, x, step, max_shift=max_shift)
+            found = found and found[:4]
+        else:
+            found = local_search(regular, times, axis, x, step, (frequency,) if search == "lag" else LOCAL, max_shift)
+        row |= dict(zip(("correlation", "frequency", "polarity", "shift_ms"), found)) if found else {"error": "no overlap"}
+        return pa.Table.from_pylist([row], schema)
+
+    lean = logs.select("well_id", "row_idx", "DEPT", "DT", F.col(density).cast("double").alias("__rho"))
+    return lean.groupBy("well_id").cogroup(trace.groupBy("well_id")).applyInArrow(run, "well_id string, frequency double, polarity int, shift_ms double, correlation double, n long, error string")
+
+
+DENSITIES = ("rhob", "gardner", "rock_physics")
+
+
+def densities(logs: DataFrame, method: str) -> DataFrame:
+    """logs with density and density_note by method; wells that lack a curve have none and the note says which.
+
+    gardner: a well's own coefficients where 20 samples or more allow it, else the textbook's.
+    """
+    if method not in DENSITIES:
+        raise ValueError(f"{method}: one of {', '.join(DENSITIES)}")
+    there = lambda c: F.max(F.col(c).isNotNull()).over(per_well())
+    if method == "rhob":
+        return logs.withColumn("density", F.col("RHOB")).withColumn("density_note", F.when(there("RHOB"), "measured").otherwise("missing RHOB"))
+    if method == "rock_physics":
+        both = there("VSH") & there("PHIE")
+        return logs.withColumn("density", rock_density("VSH", "PHIE")).withColumn("density_note", F.when(both, "rock physics").otherwise("missing VSH or PHIE"))
+    fit = gardner_coefficients(logs).select("well_id", F.col("a").alias("__a"), F.col("b").alias("__b"))
+    v = F.when(F.col("DT") > 0, FOOT * 1e6 / F.when(F.col("DT") > 0, F.col("DT")))
+    d = logs.join(fit, "well_id", "left").withColumn("density_note", F.when(F.col("__a").isNotNull(), "calibrated").otherwise("textbook"))
+    return d.withColumn("density", F.coalesce("__a", F.lit(0.31)) * F.pow(v, F.coalesce("__b", F.lit(0.25)))).drop("__a", "__b")
 
 
 def best_lag(lags: DataFrame, digits: int = 9) -> DataFrame:

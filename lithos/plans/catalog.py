@@ -145,7 +145,7 @@ def depth_profile(spark, sf_dir):
     return C.depth_profile(D.logs(spark, sf_dir))
 
 
-@query(f"WITH {D.LOGS_SQL}, m AS (SELECT well_id, quantile_cont(DT, 0.5) AS median FROM logs GROUP BY well_id) SELECT well_id, {r('median')}, CASE WHEN median BETWEEN 20 AND 160 THEN 'us/ft' WHEN median BETWEEN 100 AND 550 THEN 'us/m' END AS unit FROM m")
+@query(f"WITH {D.LOGS_SQL}, m AS (SELECT well_id, quantile_cont(DT, 0.5) AS median FROM logs GROUP BY well_id) SELECT well_id, {r('median')}, CASE WHEN median BETWEEN 20 AND 160 THEN 'us_per_ft' WHEN median BETWEEN 100 AND 550 THEN 'us_per_m' END AS unit FROM m")
 def unit_inference(spark, sf_dir):
     return C.infer_unit(D.logs(spark, sf_dir))
 
@@ -372,7 +372,19 @@ def amplitude_proxies(spark, sf_dir):
     return S.proxies(t).select("trace_idx", "vsh_proxy", "phie_proxy", "swe_proxy")
 
 
-@query()
+SAMPLES = "smp AS (SELECT trace_idx, CAST(generate_subscripts(samples, 1) - 1 AS INTEGER) AS i, unnest(samples) AS x FROM traces)"
+#: The analytic signal of 64 samples by the kernel of the discrete Hilbert transform.
+HILBERT = f"""{SAMPLES},
+hk AS (SELECT CAST(unnest(range(-63, 64)) AS INTEGER) AS lag), hil AS (SELECT lag, CASE WHEN lag % 2 <> 0 THEN 2.0::DOUBLE / 64 / tan(pi() * lag / 64) ELSE 0.0::DOUBLE END AS h FROM hk),
+ana AS (SELECT o.trace_idx, o.i, any_value(o.x) AS x, sum(s.x * h) AS y FROM smp o JOIN smp s ON s.trace_idx = o.trace_idx JOIN hil ON lag = o.i - s.i GROUP BY o.trace_idx, o.i)"""
+
+
+@query(f"""WITH {SPEC[5:]}, {HILBERT}, env AS (SELECT trace_idx, avg(sqrt(x * x + y * y)) AS avg_envelope FROM ana GROUP BY trace_idx),
+dom AS (SELECT trace_idx, frequency AS dominant_freq_hz FROM (SELECT *, row_number() OVER (PARTITION BY trace_idx ORDER BY round(magnitude, 9) DESC, bin) AS q FROM sp) WHERE q = 1),
+attr AS (SELECT dataset_id, trace_idx, sqrt(list_sum([v * v FOR v IN samples]) / len(samples)) AS rms_amplitude, avg_envelope, dominant_freq_hz FROM traces JOIN env USING (trace_idx) JOIN dom USING (trace_idx)),
+q AS (SELECT quantile_cont(rms_amplitude, 0.02) AS rl, quantile_cont(rms_amplitude, 0.98) AS rh, quantile_cont(avg_envelope, 0.02) AS el, quantile_cont(avg_envelope, 0.98) AS eh, quantile_cont(avg_envelope, 0.9) AS b FROM attr),
+n AS (SELECT attr.*, avg_envelope > b AS bright, ({clip('rms_amplitude', 'rl', 'rh')} - rl) / (rh - rl) AS rn, ({clip('avg_envelope', 'el', 'eh')} - el) / (eh - el) AS en FROM attr, q)
+SELECT dataset_id, trace_idx, {r('rms_amplitude')}, {r('avg_envelope')}, dominant_freq_hz, {as_r('en', 'vsh_proxy')}, {as_r('1 - rn', 'phie_proxy')}, {as_r('CASE WHEN bright THEN (1 - rn) * 0.4 ELSE 1 - rn END', 'swe_proxy')} FROM n""")
 def seismic_interpretation(spark, sf_dir):
     t = D.traces(spark, sf_dir)
     a = t.select("dataset_id", "trace_idx", S.rms().alias("rms_amplitude")).join(spectral.envelopes(t), ["dataset_id", "trace_idx"]).join(S.dominant_frequency(S.spectrum(t)), ["dataset_id", "trace_idx"])
@@ -413,7 +425,15 @@ def section_stride(spark, sf_dir):
     return S.strided(D.traces(spark, sf_dir), 100, 16).select("trace_idx", S.total("samples").alias("checksum"), F.size("samples").alias("n_kept"))
 
 
-@query()
+#: Morlet wavelets of six cycles on lags of 2 ms, cut at three deviations.
+MORLET = """mf AS (SELECT CAST(unnest(range(20)) AS INTEGER) AS band), ms AS (SELECT band, 5.0::DOUBLE * (band + 1) AS f, 6.0::DOUBLE / (2 * pi() * 5.0 * (band + 1)) AS sg FROM mf),
+mk AS (SELECT band, f, lag, pow(pi(), -0.25) / sqrt(sg) * exp(-pow(lag * 0.002, 2) / (2 * sg * sg)) * cos(2 * pi() * f * lag * 0.002) AS c, pow(pi(), -0.25) / sqrt(sg) * exp(-pow(lag * 0.002, 2) / (2 * sg * sg)) * sin(2 * pi() * f * lag * 0.002) AS d
+  FROM ms, (SELECT CAST(unnest(range(-63, 64)) AS INTEGER) AS lag) WHERE abs(lag) <= greatest(1, ceil(3 * sg / 0.002)))"""
+
+
+@query(f"""WITH {D.TRACES_SQL}, {SAMPLES}, {MORLET},
+w AS (SELECT o.trace_idx, o.i, band, any_value(f) AS frequency, sum(s.x * c) AS re, sum(s.x * d) AS im FROM smp o JOIN smp s ON s.trace_idx = o.trace_idx JOIN mk ON lag = o.i - s.i GROUP BY o.trace_idx, o.i, band)
+SELECT trace_idx, band, any_value(frequency) AS frequency, {as_r('avg(sqrt(re * re + im * im))', 'mean_energy')} FROM w GROUP BY trace_idx, band""")
 def time_frequency_cwt(spark, sf_dir):
     return spectral.decompose(D.traces(spark, sf_dir), "cwt").select("trace_idx", "band", "frequency", (S.total("energy") / F.size("energy")).alias("mean_energy"))
 
@@ -482,11 +502,14 @@ def field_overview(spark, sf_dir):
     return reports.field_overview(W.well_summary(d), W.zone_summary(d), ties.tie_wells(*tie_inputs(spark, sf_dir), max_shift=20.0))
 
 
-@query(f"WITH {D.TRACES_SQL} SELECT dataset_id, trace_idx FROM traces WHERE list_max([abs(x) FOR x IN samples]) = 0")
+@query(f"WITH {D.MUTED_SQL} SELECT dataset_id, trace_idx FROM muted WHERE list_max([abs(x) FOR x IN samples]) = 0")
 def dead_traces(spark, sf_dir):
-    return S.dead_traces(D.traces(spark, sf_dir))
+    return S.dead_traces(D.muted(spark, sf_dir))
 
 
 @query(f"WITH {D.TRACES_SQL}, z AS (SELECT CAST(generate_subscripts(samples, 1) - 1 AS INTEGER) AS i, unnest(samples) AS a FROM traces), p AS (SELECT i, avg(CASE WHEN a = 0 THEN 1.0 ELSE 0 END) AS f FROM z GROUP BY i) SELECT 'SURVEY' AS dataset_id, i AS sample_idx FROM p ORDER BY f, i LIMIT 1")
 def best_time(spark, sf_dir):
     return S.best_time(D.traces(spark, sf_dir))
+
+
+from lithos.plans import catalog_views  # noqa: E402, F401  adds its queries

@@ -71,3 +71,29 @@ WELLS_SQL = """
 wells AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS well_id, s_suppkey AS point_id,
   CASE WHEN s_suppkey % 13 <> 0 THEN 1000.0::DOUBLE + (s_suppkey * 137 % 1250) END AS wx,
   CASE WHEN s_suppkey % 13 <> 0 THEN 5000.0::DOUBLE + (s_suppkey * 89 % 260) END AS wy, s_nationkey * 0.02::DOUBLE AS value FROM supplier)"""
+
+
+def muted(spark, sf_dir: str) -> DataFrame:
+    """The survey with zeros at the top of each trace, every ninety-seventh trace dead, and no coordinates of the first kind."""
+    t = traces(spark, sf_dir)
+    i = F.col("trace_idx")
+    quiet = F.transform("samples", lambda x, k: F.when((i % 97 == 0) | (k < i % 7 * 2), 0.0).otherwise(x))
+    return t.withColumn("samples", quiet)
+
+
+MUTED_SQL = TRACES_SQL + """,
+muted AS (SELECT * REPLACE ([CASE WHEN trace_idx % 97 = 0 OR k - 1 < trace_idx % 7 * 2 THEN 0.0::DOUBLE ELSE samples[k] END FOR k IN range(1, len(samples) + 1)] AS samples) FROM traces)"""
+
+
+def ties(spark) -> DataFrame:
+    """Ties of the stand-in wells, good and bad: one is pinned, one has no correlation."""
+    k = F.col("id")
+    return spark.range(7).select(
+        F.concat(F.lit("W"), k.cast("string")).alias("well_id"), (10 * k + 1).alias("trace_idx"), (3.0 * k - 8.0).alias("shift_ms"),
+        F.when(k != 5, F.round(0.9 - 0.13 * k, 2)).alias("correlation"), (k == 2).alias("boundary_pinned"),
+    )
+
+
+TIES_SQL = """
+ties AS (SELECT 'W' || CAST(k AS VARCHAR) AS well_id, CAST(10 * k + 1 AS BIGINT) AS trace_idx, 3.0::DOUBLE * k - 8.0::DOUBLE AS shift_ms,
+  CASE WHEN k <> 5 THEN round(0.9::DOUBLE - 0.13::DOUBLE * k, 2) END AS correlation, k = 2 AS boundary_pinned FROM (SELECT CAST(unnest(range(7)) AS BIGINT) AS k))"""

@@ -30,7 +30,7 @@ HEADER = {
     "td": ["TD", "TOTAL_DEPTH", "TDD", "TDL"],
 }
 UNITS = {
-    "us/f": "us/ft", "usec/f": "us/ft", "us/ft": "us/ft", "usec/ft": "us/ft", "us/m": "us/m", "usec/m": "us/m",
+    "us/f": "us_per_ft", "usec/f": "us_per_ft", "us/ft": "us_per_ft", "usec/ft": "us_per_ft", "us/m": "us_per_m", "usec/m": "us_per_m",
     "g/c3": "g/cc", "g/cc": "g/cc", "gm/cc": "g/cc", "gcc": "g/cc", "k/m3": "kg/m3", "api": "api", "gapi": "api",
     "v/v": "v/v", "frac": "v/v", "fraction": "v/v", "dec": "v/v", "vol/vol": "v/v",
 }

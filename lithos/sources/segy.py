@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Where the standard puts header fields (first byte, counted from 1).
@@ -68,14 +69,38 @@ def layout(path: str) -> dict:
         raw = f.read(3600)
     if len(raw) < 3600:
         raise ValueError("shorter than its headers")
-    two = lambda at: int.from_bytes(raw[3200 + at - 1 : 3200 + at + 1], "big", signed=True)
+    two = lambda at: int.from_bytes(raw[3200 + at - 1 : 3200 + at + 1], "big")
     interval, samples, code = two(17), two(21), two(25)
     if code not in (1, 2, 3, 5, 8):
         raise ValueError(f"sample format {code}")
+    if not samples:
+        raise ValueError("traces without samples")
     width = {1: 4, 2: 4, 3: 2, 5: 4, 8: 1}[code]
     text, encoding = decode_header(raw[:3200])
     stride = 240 + samples * width
-    return {"samples": samples & 0xFFFF, "code": code, "width": width, "dt_ms": interval / 1000.0, "stride": stride, "n": (size - 3600) // stride, "at": byte_locations(text), "encoding": encoding}
+    if (size - 3600) % stride:
+        raise ValueError(f"{size - 3600} bytes aren't whole traces of {stride}")
+    return {"samples": samples, "code": code, "width": width, "dt_ms": interval / 1000.0, "stride": stride, "n": (size - 3600) // stride, "at": byte_locations(text), "encoding": encoding}
+
+
+def check_first(path: str, plan: dict, row: dict) -> None:
+    """ValueError if the first trace's header, read by itself, differs from what the read of the whole gave."""
+    with open_file(path) as f:
+        f.seek(3600)
+        head = f.read(240)
+    own = {k: int.from_bytes(head[at - 1 : at + 3], "big", signed=True) for k, at in plan["at"].items()}
+    wrong = {k: (v, row[k]) for k, v in own.items() if v != row[k]}
+    if wrong:
+        raise ValueError(f"header of the first trace disagrees: {wrong}")
+
+
+def newest(spark, folder: str) -> str | None:
+    """The SEG-Y file of a folder that was changed last, by name among equals; None if there is none."""
+    from pyspark.sql import functions as F
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[sS]*[gG][yY]").load(folder).select("path", "modificationTime")
+    best = files.where(F.lower("path").rlike(r"\.(sgy|segy)$")).agg(F.max(F.struct("modificationTime", "path"))["path"]).first()[0]
+    return best
 
 
 class Range(InputPartition):
@@ -107,9 +132,15 @@ class SegyReader(DataSourceReader):
         values = body.view(kind)
         values = ibm(values.astype(np.uint32)) if p["code"] == 1 else values.astype(float)
         at = p["at"]
-        cols = [field(at["inline"]), field(at["crossline"]), *(field(x) * factor for x in (CDP_X, CDP_Y, at["source_x"], at["source_y"])), field(DELAY, ">i2")]
-        for i in range(len(rows)):
-            yield (name, part.first + i, int(cols[0][i]), int(cols[1][i]), *(float(c[i]) for c in cols[2:7]), p["dt_ms"], values[i].tolist())
+        fixed = {k: field(at[k]) for k in ("inline", "crossline", "source_x", "source_y")}
+        if part.first == 0 and len(rows):
+            check_first(part.path, p, {k: int(v[0]) for k, v in fixed.items()})
+        n, delay = len(rows), field(DELAY, ">i2").astype(float)
+        numbers = [field(CDP_X) * factor, field(CDP_Y) * factor, fixed["source_x"] * factor, fixed["source_y"] * factor, delay, np.full(n, p["dt_ms"])]
+        samples = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p["samples"]), pa.array(values.ravel().astype(np.float64)))
+        lines = [pa.array(fixed[k].astype(np.int32)) for k in ("inline", "crossline")]
+        cols = [pa.array([name] * n, pa.string()), pa.array(np.arange(part.first, part.first + n)), *lines, *(pa.array(c.astype(np.float64)) for c in numbers), samples]
+        yield pa.RecordBatch.from_arrays(cols, ["dataset_id", "trace_idx", "inline", "crossline", "cdp_x", "cdp_y", "source_x", "source_y", "delay_ms", "dt_ms", "samples"])
 
 
 class SegyDataSource(DataSource):

@@ -16,8 +16,7 @@ def window_quality(events: DataFrame, every: str = "1 day", late: str = "1 day")
 
 def arriving_wells(spark: SparkSession, folder: str, into: str, checkpoint: str):
     """Interpret every new .las file of a folder once and keep its well in a store; returns the running query."""
-    from lithos.operators.petrophysics import interpretation
-    from lithos.sources import las
+    from lithos.plans.ingest import ingest_wells
     from lithos.sources.store import TableStore
 
     schema = "path string, modificationTime timestamp, length long, content binary"
@@ -25,7 +24,7 @@ def arriving_wells(spark: SparkSession, folder: str, into: str, checkpoint: str)
 
     def keep(batch: DataFrame, _: int) -> None:
         paths = [r["path"] for r in batch.select("path").collect()]  # names of the files of one trigger
-        for p in paths:
-            TableStore(batch.sparkSession, into).save("wells", interpretation(las.read(batch.sparkSession, p)).drop("__step"), "well_id")
+        if paths:
+            ingest_wells(batch.sparkSession, paths, TableStore(batch.sparkSession, into))
 
     return files.select("path").writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

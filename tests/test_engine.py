@@ -95,10 +95,10 @@ def test_missing_values_keep_their_rules(spark):
 
 
 def test_cleaning(logs):
-    assert cleaning.infer_unit(logs).first()["unit"] == "us/ft"
+    assert cleaning.infer_unit(logs).first()["unit"] == "us_per_ft"
     metric = logs.withColumn("DT", F.col("DT") / 0.3048)
     u = cleaning.infer_unit(metric)
-    assert u.first()["unit"] == "us/m"
+    assert u.first()["unit"] == "us_per_m"
     assert cleaning.normalise_dt(metric, u).agg(F.avg("DT")).first()[0] == pytest.approx(logs.agg(F.avg("DT")).first()[0])
     spiked = logs.withColumn("DT", F.when(F.col("row_idx") == 90, 300.0).otherwise(F.col("DT")))
     assert cleaning.washout(spiked).where("row_idx = 90").first()["washout"]
@@ -202,7 +202,7 @@ def test_las_files(spark, tmp_path):
     rows = las.read(spark, str(tmp_path)).orderBy("row_idx").collect()
     assert [r["GR"] for r in rows] == [50.0, None, 60.0] and {r["well_id"] for r in rows} == {"A-1"} and rows[0]["RESISTIVITY"] == 10.0
     h = las.heads(spark, str(tmp_path)).where("error IS NULL").first()
-    assert (h["x"], h["td"], h["dt_unit"], h["well_name"]) == (100.5, 3000.0, "us/ft", "One")
+    assert (h["x"], h["td"], h["dt_unit"], h["well_name"]) == (100.5, 3000.0, "us_per_ft", "One")
     assert [tuple(r)[0::2] for r in las.errors(spark, str(tmp_path)).collect()] == [("BAD", "missing curves: RHOB")]
     text = las.write(las.read(spark, str(tmp_path)), ["DEPT", "GR", "RESISTIVITY", "RHOB", "NPHI", "DT"]).first()["las"]
     _, again = las.load(text.encode())
