@@ -40,6 +40,8 @@ FEW = 4
 TILE = 512
 #: Kinds in a strip: as simhash.strip_size.
 LEAST_STRIP, MOST_STRIP, ROOT = 2048, 1 << 18, 16
+#: Hashes in a strip that brings its sets along.
+HASHES = 1 << 20
 CHUNK = 1 << 18
 #: Shingles whose bits are counted at once.
 ROWS = 1 << 14
@@ -141,8 +143,12 @@ def candidates(kinds: DataFrame, radius: int = RADIUS, few: int | None = None, s
         order = np.lexsort((node, size))
         f = np.frombuffer(b"".join(t["f"].to_pylist()), np.uint64).reshape(-1, 2)[order]
         size, node, label = size[order], node[order], t["label"].to_numpy()[order]
-        for k in range(0, len(node), strip):
-            p = slice(k, k + strip)
+        # with sets, a strip ends where its hashes get many, so long texts make short strips
+        upto, k = np.cumsum(size), 0
+        while k < len(node):
+            most = int(np.searchsorted(upto, upto[k] - size[k] + HASHES, "right")) if sets else len(node)
+            p = slice(k, min(k + strip, max(k + 1, most)))
+            k = p.stop
             row = [[node[p].tobytes()], [f[p].tobytes()], [size[p].tobytes()], [label[p].tobytes()]]
             if sets:
                 row.append([b"".join(t["hashes"].take(pa.array(order[p])).to_pylist())])
@@ -210,7 +216,7 @@ def similar(pairs: DataFrame, docs: DataFrame, row: str, text: str, shingle: int
     return materialize(both.select("a", "b", "x", "y").mapInArrow(keep, "a long, b long"))
 
 
-def inside(kinds: DataFrame, docs: DataFrame, row: str, text: str, shingle: int, radius: int, strip: int = TILE) -> DataFrame:
+def inside(kinds: DataFrame, docs: DataFrame, row: str, text: str, shingle: int, radius: int, strip: int | None = None) -> DataFrame:
     """The links of all pairs of kinds (node, f, n, label) of different labels that are similar enough, found with their sets at hand."""
     sets = materialize(shingled(docs, kinds.select(F.col("node").alias(row)), row, text, shingle))
     return candidates(kinds.join(sets.select(F.col("row").alias("node"), "hashes"), "node"), radius, None, strip, True)
