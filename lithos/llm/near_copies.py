@@ -42,6 +42,8 @@ TILE = 512
 LEAST_STRIP, MOST_STRIP, ROOT = 2048, 1 << 18, 16
 #: Hashes in a strip that brings its sets along.
 HASHES = 1 << 20
+#: Bands of sizes in the ratio that a similarity allows; a strip lies in one band.
+BANDS = 2
 CHUNK = 1 << 18
 #: Shingles whose bits are counted at once.
 ROWS = 1 << 14
@@ -131,34 +133,29 @@ def candidates(kinds: DataFrame, radius: int = RADIUS, few: int | None = None, s
     """(a, b, more) of a table of kinds (node, f, n, label): pairs that may be similar; more: a pair of strips had others. sets: the kinds have hashes, and only similar ones are returned."""
     n = kinds.count()
     strip = strip or strip_size(n, LEAST_STRIP, MOST_STRIP, ROOT)
+    top, bottom = SIMILAR
     names = ("node", "f", "n", "label", *["hashes"] * sets)
-    schema = ", ".join(f"{c} binary" for c in names) + ", lo long, hi long"
-
-    def packed(batches):
-        tables = [pa.Table.from_batches([b]) for b in batches]
-        if not tables:
-            return
-        t = pa.concat_tables(tables)
+    schema = "strip long, " + ", ".join(f"{c} binary" for c in names) + ", lo long, hi long"
+    # sets without partners of another size or their own stay out: fewer than four shingles
+    band = F.floor(F.log("n") / F.log(F.lit(bottom / top)) * BANDS)
+    wide = kinds.where("n >= 4").select(*names, band.alias("band"))
+    # strips are counted by band of sizes, so their number follows the rows, not the partitions; with sets, long texts make strips of fewer kinds
+    pieces = F.greatest(F.ceil(F.count("*") / strip), F.ceil(F.sum("n") / HASHES) if sets else F.lit(1))
+    bands = wide.groupBy("band").agg(pieces.cast("long").alias("pieces"))
+    # a size is a long, so there are at most some 200 * BANDS bands
+    dealt = wide.join(F.broadcast(bands), "band").withColumn("strip", F.col("band") * F.lit(1 << 32) + F.pmod(F.xxhash64("node"), "pieces"))
+
+    def packed(t: pa.Table) -> pa.Table:
         size, node = t["n"].to_numpy(), t["node"].to_numpy()
         order = np.lexsort((node, size))
-        f = np.frombuffer(b"".join(t["f"].to_pylist()), np.uint64).reshape(-1, 2)[order]
         size, node, label = size[order], node[order], t["label"].to_numpy()[order]
-        # with sets, a strip ends where its hashes get many, so long texts make short strips
-        upto, k = np.cumsum(size), 0
-        while k < len(node):
-            most = int(np.searchsorted(upto, upto[k] - size[k] + HASHES, "right")) if sets else len(node)
-            p = slice(k, min(k + strip, max(k + 1, most)))
-            k = p.stop
-            row = [[node[p].tobytes()], [f[p].tobytes()], [size[p].tobytes()], [label[p].tobytes()]]
-            if sets:
-                row.append([b"".join(t["hashes"].take(pa.array(order[p])).to_pylist())])
-            row += [[int(size[p][0])], [int(size[p][-1])]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if q < len(names) else pa.int64()) for q, v in enumerate(row)], [*names, "lo", "hi"])
+        row = [node.tobytes(), b"".join(t["f"].take(pa.array(order)).to_pylist()), size.tobytes(), label.tobytes()]
+        if sets:
+            row.append(b"".join(t["hashes"].take(pa.array(order)).to_pylist()))
+        row = [pa.array([t["strip"][0].as_py()]), *[pa.array([v], pa.binary()) for v in row], pa.array([int(size[0])]), pa.array([int(size[-1])])]
+        return pa.Table.from_arrays(row, ["strip", *names, "lo", "hi"])
 
-    # sets without partners of another size or their own stay out: fewer than four shingles
-    cut = kinds.where("n >= 4").select(*names).repartitionByRange(max(1, math.ceil(n / strip / 4)), "n", "node").mapInArrow(packed, schema)
-    cut = materialize(cut.withColumn("strip", F.monotonically_increasing_id()))
-    top, bottom = SIMILAR
+    cut = materialize(dealt.select("strip", *names).groupBy("strip").applyInArrow(packed, schema))
     step = lambda x: F.floor(F.log(F.col(x)) / F.log(F.lit(bottom / top)))
     # strips whose sizes come within the ratio are at most one step of it apart
     side = lambda name, wide: cut.select(F.struct("strip", "lo", "hi").alias(name), F.explode(F.sequence(step("lo") - wide, step("hi") + wide)).alias("c"))
