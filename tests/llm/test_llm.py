@@ -645,6 +645,21 @@ def test_near_copies(spark, docs, rows, empty):
     assert near_copies.groups(empty.select("doc_id", "text"), "doc_id").count() == 0
 
 
+def test_candidates_of_many_strips(spark, monkeypatch):
+    from lithos.llm import near_copies
+
+    given = [(i, t) for i, t in enumerate(edited(300, 3, 1) + edited(200, 12, 2) + edited(40, 1, 3))]
+    table = spark.createDataFrame(given, "n long, t string").repartition(3)
+    kinds = near_copies.kinds_of(table, "n", "t", 5).select(F.col("row").alias("node"), "f", "n", F.col("row").alias("label"))
+    pairs = lambda df: {frozenset((r["a"], r["b"])) for r in df.collect()}
+    want = pairs(near_copies.candidates(kinds))
+    assert want and pairs(near_copies.candidates(kinds, strip=8)) == want
+    # with sets, as many strips as their hashes ask for
+    one = pairs(near_copies.inside(kinds, table, "n", "t", 5, near_copies.RADIUS))
+    monkeypatch.setattr(near_copies, "HASHES", 1000)
+    assert one and pairs(near_copies.inside(kinds, table, "n", "t", 5, near_copies.RADIUS)) == one
+
+
 def test_pipeline_drops_near_copies_of_jaccard_similarity(spark):
     import corpus_pipeline as P
 
