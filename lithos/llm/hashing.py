@@ -13,7 +13,7 @@ _rng = np.random.Generator(np.random.PCG64(20240917))
 BYTE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 BASE, BASE2, ODD = (np.uint64(int(x) | 1) for x in _rng.integers(1, 2**64, 3, dtype=np.uint64))
 
-#: Units of one span that are hashed at once.
+#: Powers that are kept.
 LONG = 1 << 20
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 
@@ -53,37 +53,56 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s, e, np.searchsorted(s, off)
 
 
-#: Spans that are hashed at once.
-SPANS = 1 << 16
+#: Lanes of eight bytes that are hashed at once.
+LANES = 1 << 18
 
 
 def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """A hash of each data[s:e]; the spans don't overlap and aren't empty. Memory follows a part of the spans, not all."""
+    """A hash of each data[s:e], none of them empty: the mixed sum of its mixed lanes of eight bytes.
+
+    A lane is mixed with its place before it is added, so no arrangement of bytes cancels out (a
+    polynomial modulo 2 ** 64 vanishes on Thue-Morse sequences). Memory follows LANES, not the spans.
+    """
+    length = (e - s).astype(np.int64)
+    lanes = length + 7 >> 3
+    upto = np.cumsum(lanes)
     out = np.zeros(len(s), np.uint64)
-    for k in range(0, len(s), SPANS):
-        a, length = s[k : k + SPANS], e[k : k + SPANS] - s[k : k + SPANS]
-        short = np.flatnonzero(length <= LONG)
-        sums = out[k : k + SPANS]
-        if len(short):
-            sums[short] = _sums(data, a[short], length[short])
-        for i in np.flatnonzero(length > LONG).tolist():
-            total = 0
-            for x in range(0, int(length[i]), LONG):
-                part = BYTE[data[a[i] + x : a[i] + min(x + LONG, int(length[i]))]]
-                total += int((part * powers(len(part))).sum()) * pow(int(BASE), x, 2**64)
-            sums[i] = np.uint64(total % 2**64)
-        out[k : k + SPANS] = mix(sums + length.astype(np.uint64) * ODD)
-    return out
+    i = 0
+    while i < len(s):
+        before = int(upto[i] - lanes[i])
+        j = max(i + 1, int(np.searchsorted(upto, before + LANES, "right")))
+        for first in range(0, int(lanes[i]) if j == i + 1 else 1, LANES):  # only a span alone has several parts
+            out[i:j] += _lane_sums(data, s[i:j] + 8 * first, length[i:j] - 8 * first, first)
+        i = j
+    return mix(out + length.astype(np.uint64) * ODD)
+
+
+def place_keys(first: int, last: int) -> np.ndarray:
+    """What the lanes first .. last - 1 of a span are mixed with."""
+    return mix(np.arange(first + 1, last + 1, dtype=np.uint64) * ODD)
+
+
+#: Those of short spans.
+KEYS = place_keys(0, 1 << 10)
 
 
-def _sums(data: np.ndarray, s: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _lane_sums(data: np.ndarray, s: np.ndarray, length: np.ndarray, first: int) -> np.ndarray:
+    """Sums of the mixed lanes of data[s : s + length], LANES of a span at most; first: the place of the first."""
+    lanes = np.minimum(length + 7 >> 3, LANES)
+    lo, hi = int(s.min()), int((s + np.minimum(length, 8 * LANES)).max())
+    raw = np.zeros(hi - lo + 8, np.uint8)
+    raw[: hi - lo] = data[lo:hi]
     start = np.zeros(len(s), np.int64)
-    np.cumsum(length[:-1], out=start[1:])
-    within = np.arange(int(length.sum()), dtype=np.int64)
-    value = BYTE[data[within + np.repeat(s - start, length)]]
-    within -= np.repeat(start, length)
-    value *= powers(int(length.max()))[within]
-    return np.add.reduceat(value, start)
+    np.cumsum(lanes[:-1], out=start[1:])
+    place = np.arange(int(lanes.sum()), dtype=np.int64)
+    place -= np.repeat(start, lanes)
+    value = np.ndarray(hi - lo + 1, "<u8", raw, strides=(1,))[np.repeat(s - lo, lanes) + 8 * place]
+    last = start + lanes - 1
+    beyond = (8 * np.maximum(8 * lanes - length, 0)).astype(np.uint64)  # bits of the last lane after the span
+    value[last] = value[last] << beyond >> beyond
+    top = int(lanes.max())
+    value ^= KEYS[place + first] if first + top <= len(KEYS) else place_keys(first, first + top)[place]
+    return np.add.reduceat(mix(value), start)
 
 
 def window_hashes(h: np.ndarray, size: int, base: np.uint64 = BASE) -> np.ndarray:

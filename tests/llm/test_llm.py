@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lithos.llm import embedding_dedup, exchange, kneser_ney, lm_scoring, mixing, packing, quality_rules, rlz_dedup, simhash, suffix_dedup, token_counts
+from lithos.llm import embedding_dedup, exchange, hashing, kneser_ney, lm_scoring, mixing, packing, quality_rules, rlz_dedup, simhash, suffix_dedup, token_counts
 from lithos.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -814,3 +814,36 @@ def test_quality_verdicts_are_those_of_the_sketches(spark):
             assert x["kept"] == (fine and not x["base_failed"])
             sure += 1
     assert sure > 0.9 * len(out)
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_and_lines_of_thue_morse_letters_differ(spark):
+    """Sequences on which polynomials modulo 2 ** 64 vanish: words and their complements, alone and in windows."""
+    twins = [(thue_morse(n), thue_morse(n, "b", "a")) for n in (1024, 2048, 4096)]
+    nineteen = " ".join(f"v{i}" for i in range(19))
+    texts = [f"{nineteen} {w}" for pair in twins for w in pair] + ["\n".join(w for pair in twins for w in pair) * 2]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert {r.doc_id: r.n_removed for r in rlz_dedup.dedup(docs).collect()}[1] == 0
+    assert sum(r.n_removed for r in rlz_dedup.dedup(docs).collect()) == 0
+    got = {r.doc_id: r for r in quality_rules.measure(docs).collect()}
+    lines = texts[-1].split("\n")
+    assert got[6].n_dup_lines == len(lines) - len(set(lines)) and all(got[i].n_dup_lines == got[i].n_repeat_words == 0 for i in range(6))
+    data = np.frombuffer(" ".join(w for pair in twins for w in pair).encode(), np.uint8)
+    s, e, _ = hashing.word_spans(data, np.array([0, len(data)]))
+    assert len(set(hashing.span_hashes(data, s, e).tolist())) == 6
+    scores = {r.doc_id: r.n_words for r in lm_scoring.score(docs, spark.createDataFrame([(0,)], "doc_id long")).collect()}
+    assert scores[0] == 20
+
+
+def test_hashes_of_long_spans_do_not_depend_on_the_parts(monkeypatch):
+    r = np.random.default_rng(2)
+    data = r.integers(97, 123, 90_000).astype(np.uint8)
+    cut = np.unique(np.concatenate([r.integers(0, 90_000, 300), [0, 60_000, 90_000]]))
+    whole = hashing.span_hashes(data, cut[:-1], cut[1:])
+    for lanes in (3, 700):
+        monkeypatch.setattr(hashing, "LANES", lanes)
+        assert (hashing.span_hashes(data, cut[:-1], cut[1:]) == whole).all()
