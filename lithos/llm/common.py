@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Bytes of text in a block, whatever the corpus.
 BLOCK_BYTES = 4 << 20
 
+#: The bytes between words.
+WHITE = np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)
+
 _paths: set[str] = set()
 _tables: set[str] = set()
 
@@ -176,3 +179,26 @@ def segments(off: np.ndarray, size: int, overlap: int):
             for x in range(lo, max(end - overlap, lo + 1), size):
                 hi = min(x + size + overlap, end)
                 yield x, hi, np.array([0, hi - x])
+
+
+def word_parts(data: np.ndarray, off: np.ndarray, size: int):
+    """(i, j, data, off, ended): runs of whole documents of about size bytes, or parts of a longer one that end between words.
+
+    ended: whether the part is the last of its document. A word longer than size stays whole.
+    """
+    for i, j in chunks(off, size):
+        lo, end = int(off[i]), int(off[j])
+        if j - i > 1 or end - lo <= 2 * size:
+            yield i, j, data[lo:end], off[i : j + 1] - lo, True
+            continue
+        while lo < end:
+            hi = lo + size
+            while hi < end:
+                white = np.flatnonzero(np.isin(data[hi : hi + 4096], WHITE))
+                if len(white):
+                    hi += int(white[0])
+                    break
+                hi += 4096
+            hi = min(hi, end)
+            yield i, j, data[lo:hi], np.array([0, hi - lo]), hi == end
+            lo = hi

@@ -16,6 +16,9 @@ QUERIES = {
     "op8_token_counts": ("token_counts", None),
     "op9_substring_dedup": ("rlz_dedup", None),
     "op10_packing": ("packing", None),
+    "op11_filter_audit": ("filter_audit", "OP11_SQL"),
+    "op12_sharding": ("sharding", "OP12_SQL"),
+    "op13_conversation_repair": ("conversation_repair", None),
 }
 
 
