@@ -87,6 +87,34 @@ def compare_methods(means: DataFrame, other: str, first: str = "cwt") -> DataFra
     return d.select("curve", wording.when(F.abs(b) >= F.abs(a), f"{other} more strongly than {first}").otherwise(f"{first} more strongly than {other}").alias("wording"))
 
 
+def amplitudes(matched: DataFrame) -> DataFrame:
+    """(trace_idx, time_idx, cwt, other) of spectral.MATCHED rows."""
+    return matched.select("trace_idx", F.posexplode(F.arrays_zip("cwt", "other")).alias("time_idx", "z")).select("trace_idx", "time_idx", "z.cwt", "z.other")
+
+
+def scatter(context: DataFrame, matched: DataFrame, curves: list[str]) -> DataFrame:
+    """(well_id, time_idx, depth, curves, cwt, other): the pairs of samples that a correlation is made of."""
+    return context.join(amplitudes(matched), ["trace_idx", "time_idx"]).select("well_id", "time_idx", "depth", *curves, "cwt", "other")
+
+
+def method_correlation(context: DataFrame, matched: DataFrame, curves: list[str]) -> DataFrame:
+    """(well_id, curve, cwt_r, cwt_n, other_r, other_n, low_sample_warning) of two methods at a matched frequency; the warning is a well's."""
+    wide = scatter(context, matched, curves)
+    made = []
+    for c in curves:
+        for m in ("cwt", "other"):
+            made += [pearson(m, c).alias(f"{c}_{m}_r"), F.sum((F.col(m).isNotNull() & F.col(c).isNotNull()).cast("long")).alias(f"{c}_{m}_n")]
+    wells = wide.groupBy("well_id").agg(*made)
+    few = F.least(*[F.col(f"{c}_{m}_n") for c in curves for m in ("cwt", "other")]) < RELIABLE
+    each = F.array(*[F.struct(F.lit(c).alias("curve"), *[F.col(f"{c}_{m}_{k}").alias(f"{m}_{k}") for m in ("cwt", "other") for k in "rn"]) for c in curves])
+    return wells.select("well_id", F.explode(each).alias("e"), few.alias("low_sample_warning")).select("well_id", "e.*", "low_sample_warning")
+
+
+def method_averages(correlations: DataFrame) -> DataFrame:
+    """(curve, cwt_r, other_r, n_wells): the means of the wells' r that there are."""
+    return correlations.groupBy("curve").agg(F.avg("cwt_r").alias("cwt_r"), F.avg("other_r").alias("other_r"), F.greatest(F.count("cwt_r"), F.count("other_r")).alias("n_wells"))
+
+
 def band_match(dt_ms: float, level: int, bins: list[float]) -> tuple[float, float, float]:
     """The band of a wavelet level, and the frequency of `bins` nearest to its centre (the lower of equals)."""
     top = 500.0 / dt_ms

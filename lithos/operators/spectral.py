@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithos.functions.columns import pearson
 
 WINDOW, OVERLAP = 32, 0.75
 CWT_FREQUENCIES = tuple(float(f) for f in range(5, 101, 5))
 LEVELS = 6
 W0 = 6.0
+#: Samples that synchrosqueezing needs.
+SHORTEST = 8
 
 # Low-pass decomposition filters of published wavelet families.
 SYM8 = (-0.0033824159510061256, -0.0005421323317911481, 0.03169508781149298, 0.007607487324917605, -0.1432942383508097, -0.061273359067658524, 0.4813596512583722, 0.7771857517005235, 0.3644418948353314, -0.05194583810770904, -0.027219029917056003, 0.049137179673607506, 0.003808752013890615, -0.01495225833704823, -0.0003029205147213668, 0.0018899503327594609)
@@ -83,9 +84,9 @@ def cwt(x: np.ndarray, dt_ms: float, frequencies=None):
 
 
 def swt_details(x: np.ndarray, wavelet: str = "sym8", levels: int = LEVELS) -> np.ndarray:
-    """Detail coefficients (traces, levels, samples) without decimation, periodic, after padding to a multiple of 2 ** levels."""
+    """Detail coefficients (traces, levels, samples) without decimation, periodic, after padding to a multiple of 2 ** LEVELS."""
     n = x.shape[-1]
-    pad = -n % (1 << levels)
+    pad = -n % (1 << LEVELS)
     x = np.pad(x, ((0, 0), (0, pad)), mode="reflect" if pad < n else "edge") if pad else x
     size = x.shape[-1]
     low = np.array(FILTERS[wavelet])
@@ -93,10 +94,13 @@ def swt_details(x: np.ndarray, wavelet: str = "sym8", levels: int = LEVELS) -> n
     out, approx = [], x
     for level in range(levels):
         gap = 1 << level
-        taps = (np.arange(len(low)) - len(low) // 2) * gap
-        at = (np.arange(size)[:, None] - taps[None, :]) % size
-        out.append((approx[:, at] * high).sum(-1)[:, :n])
-        approx = (approx[:, at] * low).sum(-1)
+        detail, rest = np.zeros(x.shape), np.zeros(x.shape)
+        for tap, h, lo in zip((np.arange(len(low)) - len(low) // 2) * gap, high, low):
+            seen = np.roll(approx, tap, axis=-1)
+            detail += h * seen
+            rest += lo * seen
+        out.append(detail[:, :n])
+        approx = rest
     return np.stack(out, 1)
 
 
@@ -105,19 +109,28 @@ def swt_band(level: int, dt_ms: float) -> tuple[float, float]:
     return nyquist / 2**level, nyquist / 2 ** (level - 1)
 
 
-def sswt(x: np.ndarray, dt_ms: float, bins: int = 32):
-    """Synchrosqueezed CWT: energy moved to the instantaneous frequency of each coefficient. Ascending frequencies."""
+def sswt_frequencies(dt_ms: float, bins: int = 32) -> np.ndarray:
+    nyquist = 500.0 / dt_ms
+    return np.geomspace(max(2.0, nyquist / 60), nyquist, bins)
+
+
+def sswt(x: np.ndarray, dt_ms: float, bins: int = 32, only: int | None = None):
+    """Synchrosqueezed CWT: energy moved to the instantaneous frequency of each coefficient. Ascending frequencies.
+
+    only: what is moved to one bin, (traces, 1, samples).
+    """
     x = np.nan_to_num(x)
-    if x.shape[-1] < 8:
+    if x.shape[-1] < SHORTEST:
         raise ValueError("at least eight samples")
-    nyquist = 500.0 / dt_ms
-    f = np.geomspace(max(2.0, nyquist / 60), nyquist, bins)
+    f = sswt_frequencies(dt_ms, bins)
     _, w = cwt(x, dt_ms, f)
     d = np.gradient(w, dt_ms / 1000.0, axis=-1)
     with np.errstate(divide="ignore", invalid="ignore"):
         inst = np.abs(np.imag(d / w) / (2 * np.pi))
     to = np.clip(np.searchsorted(np.sqrt(f[1:] * f[:-1]), np.nan_to_num(inst)), 0, bins - 1)
     strong = np.abs(w) > 1e-8 * (np.abs(w).max(axis=(1, 2), keepdims=True) + 1e-300)
+    if only is not None:
+        return f[[only]], np.abs(np.where(strong & (to == only), w, 0.0).sum(1, keepdims=True))
     out = np.zeros(w.shape, complex)
     trace, _, time = np.nonzero(strong)
     np.add.at(out, (trace, to[strong], time), w[strong])
@@ -127,6 +140,42 @@ def sswt(x: np.ndarray, dt_ms: float, bins: int = 32):
 METHODS = ("stft", "cwt", "swt", "sswt")
 
 
+#: Cells (samples times bands) that are transformed at once.
+CELLS = 1 << 21
+
+
+def alike(batch: pa.RecordBatch, bands: int):
+    """(rows, samples, dt_ms): the traces of a batch that have one length and interval, CELLS at once at most; those without samples are left out."""
+    column = batch.column("samples")
+    off, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype(float)
+    length, step = np.diff(off), batch.column("dt_ms").to_numpy(zero_copy_only=False).astype(float)
+    for n, dt in {(n, dt) for n, dt in zip(length.tolist(), step.tolist()) if n}:
+        at = np.flatnonzero((length == n) & (step == dt))
+        size = max(1, CELLS // (n * bands))
+        for k in range(0, len(at), size):
+            rows = at[k : k + size]
+            yield rows, np.nan_to_num(values[off[:-1][rows][:, None] + np.arange(n)]), dt
+
+
+def lists(x: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+
+
+def transform(x: np.ndarray, dt: float, method: str, wavelet: str):
+    """Frequencies, first time and step (ms), energies (traces, frequencies, times)."""
+    if method == "stft":
+        f, times, e = stft(x, dt)
+        return f, times[0] if len(times) else 0.0, times[1] - times[0] if len(times) > 1 else dt, e
+    if method == "cwt":
+        f, w = cwt(x, dt)
+        return f, 0.0, dt, np.abs(w)
+    if method == "swt":
+        return np.array([np.sqrt(np.prod(swt_band(k + 1, dt))) for k in range(LEVELS)]), 0.0, dt, envelope(swt_details(x, wavelet))
+    f, e = sswt(x, dt)
+    return f, 0.0, dt, e
+
+
 def decompose(traces: DataFrame, method: str = "cwt", wavelet: str = "sym8") -> DataFrame:
     """(dataset_id, trace_idx, band, frequency, time_start, time_step, energy): one row for each band of a trace.
 
@@ -137,32 +186,15 @@ def decompose(traces: DataFrame, method: str = "cwt", wavelet: str = "sym8") ->
 
     def run(batches):
         for b in batches:
-            rows = []
-            lists = b.column("samples").to_pylist()
-            kinds: dict = {}
-            for i, (s, dt) in enumerate(zip(lists, b.column("dt_ms").to_pylist())):
-                if s:
-                    kinds.setdefault((len(s), dt), []).append(i)
-            for (n, dt), at in kinds.items():
-                x = np.nan_to_num(np.array([lists[i] for i in at], float))
-                start, step = 0.0, dt
-                if method == "stft":
-                    f, times, e = stft(x, dt)
-                    start, step = (times[0], times[1] - times[0] if len(times) > 1 else dt) if len(times) else (0.0, dt)
-                elif method == "cwt":
-                    f, w = cwt(x, dt)
-                    e = np.abs(w)
-                elif method == "swt":
-                    e = envelope(swt_details(x, wavelet))
-                    f = np.array([np.sqrt(np.prod(swt_band(k + 1, dt))) for k in range(e.shape[1])])
-                elif n < 8:
+            delay = b.column("delay_ms").to_numpy(zero_copy_only=False)
+            for rows, x, dt in alike(b, 32):
+                if method == "sswt" and x.shape[-1] < SHORTEST:
                     continue
-                else:
-                    f, e = sswt(x, dt)
-                for i, own in zip(at, e):
-                    d, t, delay = (b.column(c)[i].as_py() for c in ("dataset_id", "trace_idx", "delay_ms"))
-                    rows += [{"dataset_id": d, "trace_idx": t, "band": k, "frequency": float(f[k]), "time_start": delay + start, "time_step": float(step), "energy": own[k]} for k in range(len(f))]
-            yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
+                f, start, step, e = transform(x, dt, method, wavelet)
+                k, each = len(f), pa.array(np.repeat(rows, len(f)))
+                columns = [b.column("dataset_id").take(each), b.column("trace_idx").take(each), pa.array(np.tile(np.arange(k, dtype=np.int32), len(rows))), pa.array(np.tile(f, len(rows)))]
+                columns += [pa.array(np.repeat(delay[rows] + start, k)), pa.array(np.full(k * len(rows), float(step))), lists(e.reshape(k * len(rows), -1))]
+                yield pa.RecordBatch.from_arrays(columns, SCHEMA.names)
 
     return traces.select("dataset_id", "trace_idx", "delay_ms", "dt_ms", "samples").mapInArrow(run, "dataset_id string, trace_idx long, band int, frequency double, time_start double, time_step double, energy array<double>")
 
@@ -178,14 +210,68 @@ def nearest_band(energies: DataFrame, frequency: float) -> DataFrame:
 
 
 def envelopes(traces: DataFrame) -> DataFrame:
-    """(dataset_id, trace_idx, avg_envelope)."""
+    """(dataset_id, trace_idx, avg_envelope); NULL without samples."""
 
     def run(batches):
         for b in batches:
-            mean = [float(envelope(np.array(s, float)[None])[0].mean()) if s else None for s in b.column("samples").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("dataset_id"), b.column("trace_idx"), pa.array(mean, pa.float64())], ["dataset_id", "trace_idx", "avg_envelope"])
+            mean = np.full(b.num_rows, np.nan)
+            for rows, x, _ in alike(b, 2):
+                mean[rows] = envelope(x).mean(-1)
+            yield pa.RecordBatch.from_arrays([b.column("dataset_id"), b.column("trace_idx"), pa.array(mean, pa.float64(), mask=np.isnan(mean))], ["dataset_id", "trace_idx", "avg_envelope"])
+
+    return traces.select("dataset_id", "trace_idx", "samples", F.lit(1.0).alias("dt_ms")).mapInArrow(run, "dataset_id string, trace_idx long, avg_envelope double")
+
+
+#: What is compared at one frequency: a band of the wavelet transform, and where the other method has the same.
+MATCHED = "trace_idx long, frequency double, other_low double, other_high double, cwt array<double>, other array<double>"
+
+
+def at_frequency(x: np.ndarray, dt_ms: float, target: float) -> tuple[float, np.ndarray]:
+    """The bin of the wavelet transform nearest to a frequency (the lower of equals), and its energies alone."""
+    f = cwt_frequencies(dt_ms)
+    f = f[[int(np.argmin(np.abs(f - target)))]]
+    return float(f[0]), np.abs(cwt(x, dt_ms, f)[1][:, 0])
 
-    return traces.select("dataset_id", "trace_idx", "samples").mapInArrow(run, "dataset_id string, trace_idx long, avg_envelope double")
+
+def matched_bands(traces: DataFrame, level: int = 3, wavelet: str = "sym8") -> DataFrame:
+    """MATCHED for each trace: the CWT at the centre of a level's band, and the envelope of that level's details. Finer levels alone are computed."""
+    if not 1 <= level <= LEVELS or wavelet not in FILTERS:
+        raise ValueError(f"level {level} of {wavelet}")
+
+    def both(x, dt):
+        low, high = swt_band(level, dt)
+        f, e = at_frequency(x, dt, (low + high) / 2)
+        return f, low, high, e, envelope(swt_details(x, wavelet, level)[:, level - 1])
+
+    return _matched(traces, both)
+
+
+def matched_squeezed(traces: DataFrame, frequency: float = 30.0) -> DataFrame:
+    """MATCHED for each trace of eight samples or more: the bins of the CWT and of the synchrosqueezed one nearest to a frequency."""
+
+    def both(x, dt):
+        if not 0 <= frequency <= 500.0 / dt:
+            raise ValueError(f"{frequency} Hz is outside 0 to {500.0 / dt:g}")
+        if x.shape[-1] < SHORTEST:
+            return None
+        f, e = at_frequency(x, dt, frequency)
+        bins = sswt_frequencies(dt)
+        other, squeezed = sswt(x, dt, only=int(np.argmin(np.abs(bins - frequency))))
+        return f, float(other[0]), float(other[0]), e, squeezed[:, 0]
+
+    return _matched(traces, both)
+
+
+def _matched(traces: DataFrame, both) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            for rows, x, dt in alike(b, 32):
+                if (got := both(x, dt)) is not None:
+                    f, low, high, cwt_energy, other = got
+                    numbers = [pa.array(np.full(len(rows), v)) for v in (f, low, high)]
+                    yield pa.RecordBatch.from_arrays([b.column("trace_idx").take(pa.array(rows)), *numbers, lists(cwt_energy), lists(other)], ["trace_idx", "frequency", "other_low", "other_high", "cwt", "other"])
+
+    return traces.select("trace_idx", "samples", "dt_ms").mapInArrow(run, MATCHED)
 
 
 TINY = 1e-12
@@ -206,23 +292,37 @@ FEATURES = ("dominant_freq_hz", "peak_amp", "bandwidth_hz", "centroid_hz", "entr
 TRACE_FEATURES = ("inst_amplitude", "inst_envelope", "inst_freq_hz", *(f"{m}_{n}" for m in ("cwt", "sswt") for n in FEATURES))
 
 
-def trace_features(traces: DataFrame) -> DataFrame:
-    """(trace_idx, time_idx) with the nineteen features of each sample; traces too short to squeeze have none."""
+def trace_features(traces: DataFrame, wanted=TRACE_FEATURES) -> DataFrame:
+    """(trace_idx, time_idx) with the wanted ones of nineteen features of each sample; traces of less than eight samples have none.
+
+    Only the transforms that they need are computed.
+    """
+    wanted = list(wanted)
+    if unknown := set(wanted) - set(TRACE_FEATURES):
+        raise ValueError(", ".join(sorted(unknown)))
+
+    def made(x, dt):
+        out = {}
+        if any(c.startswith("inst_") for c in wanted):
+            out |= zip(TRACE_FEATURES[:3], instantaneous(x, dt))
+        for prefix, way in (("cwt", lambda: (lambda f, w: (f, np.abs(w)))(*cwt(x, dt))), ("sswt", lambda: sswt(x, dt))):
+            if any(c.startswith(f"{prefix}_") for c in wanted):
+                f, e = way()
+                flat = features(e.transpose(0, 2, 1).reshape(-1, len(f)), f)
+                out |= {f"{prefix}_{n}": v for n, v in flat.items()}
+        return out
 
     def run(batches):
         for b in batches:
-            for t, s, dt in zip(b.column("trace_idx").to_pylist(), b.column("samples").to_pylist(), b.column("dt_ms").to_pylist()):
-                if not s or len(s) < 8:
-                    continue
-                x = np.nan_to_num(np.array(s, float))[None]
-                cols = [v[0] for v in instantaneous(x, dt)]
-                for f, e in ((cw := cwt(x, dt))[0], np.abs(cw[1])), sswt(x, dt):
-                    got = features(e[0].T, f)
-                    cols += [got[n] for n in FEATURES]
+            for rows, x, dt in alike(b, 64):
                 n = x.shape[-1]
-                yield pa.RecordBatch.from_arrays([pa.array([t] * n, pa.int64()), pa.array(range(n), pa.int32()), *(pa.array(c, pa.float64()) for c in cols)], ["trace_idx", "time_idx", *TRACE_FEATURES])
+                if n < SHORTEST:
+                    continue
+                got = made(x, dt)
+                at = [b.column("trace_idx").take(pa.array(np.repeat(rows, n))), pa.array(np.tile(np.arange(n, dtype=np.int32), len(rows)))]
+                yield pa.RecordBatch.from_arrays([*at, *(pa.array(np.ascontiguousarray(got[c], float).ravel()) for c in wanted)], ["trace_idx", "time_idx", *wanted])
 
-    return traces.select("trace_idx", "samples", "dt_ms").mapInArrow(run, "trace_idx long, time_idx int, " + ", ".join(f"{c} double" for c in TRACE_FEATURES))
+    return traces.select("trace_idx", "samples", "dt_ms").mapInArrow(run, "trace_idx long, time_idx int, " + ", ".join(f"{c} double" for c in wanted))
 
 
 def statistical_wavelet(trace: np.ndarray, dt_ms: float, length_ms: float = 128.0) -> tuple[np.ndarray, np.ndarray]:
@@ -241,9 +341,3 @@ def wavelet_spectrum(w: np.ndarray, dt_ms: float) -> tuple[np.ndarray, np.ndarra
     """Frequencies, amplitudes and unwrapped phases in degrees."""
     z = np.fft.rfft(w)
     return np.fft.rfftfreq(len(w), dt_ms / 1000.0), np.abs(z), np.degrees(np.unwrap(np.angle(z)))
-
-
-def correlate(energies: DataFrame, properties: DataFrame) -> DataFrame:
-    """(well_id, band, r) of a band's energy and a property at the same time; properties: well_id, trace_idx, time_idx, value."""
-    e = energies.select("trace_idx", "band", F.posexplode("energy").alias("time_idx", "e"))
-    return e.join(properties, ["trace_idx", "time_idx"]).groupBy("well_id", "band").agg(pearson("e", "value").alias("r"))

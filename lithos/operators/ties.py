@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithos.functions.columns import is_true, per_well, ratio, ricker
@@ -21,6 +21,12 @@ RESIDUAL_SHIFT = 25.0
 FREQUENCIES = tuple(float(f) for f in range(8, 65, 2))
 PINNED = 0.95
 LEAST_CORRELATION = 0.3
+WAVELET_S, SHORTEST_S, LONGEST_S, WAVELET_SHARE = 0.128, 0.030, 0.100, 0.6
+LEAST_OVERLAP, MOST_OVERLAP = 10, 30
+SPREAD, LEAST_SAMPLES = 1e-12, 5
+OVERBURDEN, DATUM_ERROR = 3000.0, 0.5
+#: Times that are this close (ms) are one.
+APART = 1e-6
 
 
 def depth_to_twt(logs: DataFrame, unit: str = "us_per_ft", t0: float = 0.0) -> DataFrame:
@@ -47,10 +53,10 @@ def reflectivity(logs: DataFrame) -> DataFrame:
     return df.where("NOT __last").drop("__last")
 
 
-def wavelet_table(spark, frequencies, dt_ms: float, length_ms: float = 128.0) -> DataFrame:
-    """(frequency, i, t_ms, amplitude) of Ricker wavelets on -L/2, -L/2 + dt, ... below L/2."""
+def wavelet_table(frequencies: DataFrame, dt_ms: float, length_ms: float = 128.0) -> DataFrame:
+    """(frequency, i, t_ms, amplitude) of a Ricker wavelet for each row (frequency), on -L/2, -L/2 + dt, ... below L/2."""
     n = int(np.ceil(length_ms / dt_ms - 1e-9))
-    base = spark.createDataFrame([(float(f),) for f in frequencies], "frequency double").select("frequency", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    base = frequencies.select("frequency", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
     base = base.withColumn("t_ms", F.lit(-length_ms / 2) + F.col("i") * F.lit(float(dt_ms)))
     return base.withColumn("amplitude", ricker(F.col("t_ms") / 1000.0, F.col("frequency")))
 
@@ -77,8 +83,12 @@ def convolve(series: DataFrame, wavelet: DataFrame, keys: list[str]) -> DataFram
     return series.select(*names, "x").groupBy(*keys).applyInArrow(run, out)
 
 
-def gardner(velocity, a: float = 0.31, b: float = 0.25):
-    return a * F.pow(velocity, F.lit(b))
+#: Coefficients of the textbook.
+GARDNER = (0.31, 0.25)
+
+
+def gardner(velocity, a=GARDNER[0], b=GARDNER[1]):
+    return a * F.pow(velocity, b if isinstance(b, Column) else F.lit(b))
 
 
 def rock_density(vsh, phie, matrix: float = 2.65, shale: float = 2.55, fluid: float = 1.0):
@@ -128,12 +138,19 @@ def gardner_coefficients(logs: DataFrame) -> DataFrame:
     return logs.select("well_id", "DT", "RHOB").groupBy("well_id").applyInArrow(run, "well_id string, n long, a double, b double")
 
 
-def ricker_array(f: float, dt_s: float, length_s: float = 0.128) -> np.ndarray:
-    t = np.arange(-length_s / 2, length_s / 2, dt_s)
+def ricker_array(f: float, dt_s: float, length_s: float = WAVELET_S) -> np.ndarray:
+    t = -length_s / 2 + dt_s * np.arange(int(np.ceil(length_s / dt_s - 1e-9)))
     a = (np.pi * f * t) ** 2
     return (1 - 2 * a) * np.exp(-a)
 
 
+def cropped(rc: np.ndarray, wavelet: np.ndarray) -> np.ndarray:
+    """The convolution, cut to the length of rc around its centre."""
+    full = np.convolve(rc, wavelet)
+    at = (len(wavelet) - 1) // 2
+    return full[at : at + len(rc)]
+
+
 def time_reflectivity(time_ms, dt, rhob, step: float):
     """(times, coefficients) on a regular axis, from logs in any order; None if fewer than ten samples are left."""
     ok = np.isfinite(time_ms) & np.isfinite(dt) & np.isfinite(rhob) & (dt > 0) & (rhob > 0)
@@ -141,7 +158,7 @@ def time_reflectivity(time_ms, dt, rhob, step: float):
         return None
     order = np.argsort(time_ms[ok], kind="stable")
     t, ai = time_ms[ok][order], (rhob[ok] / dt[ok])[order]
-    apart = np.concatenate([[True], np.diff(t) > 1e-6])
+    apart = np.concatenate([[True], np.diff(t) > APART])
     t, ai = t[apart], ai[apart]
     if len(t) < 10 or t[-1] <= t[0]:
         return None
@@ -152,39 +169,49 @@ def time_reflectivity(time_ms, dt, rhob, step: float):
 
 
 def best_tie(t_rc, rc, axis, trace, step: float, frequencies=FREQUENCIES, max_shift: float = 100.0):
-    """The frequency, polarity and shift of the best correlation; the first of equals in that order. None if nothing overlaps enough."""
-    if len(rc) < 5:
+    """The frequency, polarity and shift of the best correlation; the first of equals in that order. None if nothing overlaps enough.
+
+    t_rc and axis are regular, by step. A shift moves the synthetic by whole steps, so the trace is
+    looked up once, on the times that some shift needs; then one Fourier transform gives the products of
+    every frequency with every shift, and prefix sums the means and deviations of the overlaps.
+    """
+    n = len(rc)
+    if n < LEAST_SAMPLES:
         return None
-    length = min(0.100, max(0.030, 0.6 * len(rc) * step / 1000.0))
-    least = min(30, max(10, len(t_rc) // 2))
-    shifts = np.arange(-max_shift, max_shift + 0.5 * step, step)
-    # the shifted trace once for each shift; a window of samples lies on the axis
-    looks = []
-    for s in shifts:
-        t = t_rc + s
-        on = (t >= axis[0]) & (t <= axis[-1])
-        seen = np.interp(t[on], axis, trace)
-        looks.append((on, seen - seen.mean() if on.sum() >= least and seen.std() > 0 else None, seen.std() if len(seen) else 0.0))
-    best = None
-    for f in frequencies:
-        w = ricker_array(f, step / 1000.0, length)
-        full = np.convolve(rc, w)
-        at = (len(full) - len(rc)) // 2
-        synth = full[at : at + len(rc)]
-        r = np.full(len(shifts), -np.inf)
-        for k, (on, seen, sd) in enumerate(looks):
-            if seen is not None:
-                x = synth[on]
-                if x.std() > 0:
-                    r[k] = float(((x - x.mean()) * seen).mean() / (x.std() * sd))
-        if not np.isfinite(r).any():
-            continue
-        back = np.where(np.isfinite(r), -r, -np.inf)
-        for polarity, c in ((1, r), (-1, back)):
-            k = int(np.argmax(c))
-            if best is None or c[k] > best[0]:
-                best = (float(c[k]), float(f), polarity, float(shifts[k]), int(looks[k][0].sum()))
-    return best
+    length = min(LONGEST_S, max(SHORTEST_S, WAVELET_SHARE * n * step / 1000.0))
+    least = min(MOST_OVERLAP, max(LEAST_OVERLAP, n // 2))
+    n_shifts = int(np.ceil(2 * max_shift / step + 0.5 - 1e-9))
+    x = np.stack([cropped(rc, ricker_array(f, step / 1000.0, length)) for f in frequencies])
+    x -= x.mean(1, keepdims=True)
+    t = t_rc[0] - max_shift + step * np.arange(n + n_shifts - 1)
+    on = (t >= axis[0] - APART) & (t <= axis[-1] + APART)
+    y = np.where(on, np.interp(t, axis, trace), 0.0)
+    y[on] -= y[on].mean() if on.any() else 0.0
+
+    size = 1 << (len(t) + n).bit_length()
+    on_f, y_f = (np.fft.rfft(v.astype(float), size) for v in (on, y))
+
+    def products(a: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Sums of a[i] * v[i + j] for each row of a and shift j."""
+        return np.fft.irfft(np.conj(np.fft.rfft(a, size, axis=-1)) * of, size, axis=-1)[..., :n_shifts]
+
+    def windows(v: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0.0], np.cumsum(v)])
+        return upto[n : n + n_shifts] - upto[:n_shifts]
+
+    count = windows(on)
+    some = np.maximum(count, 1)
+    sx, sxx, sxy = products(x, on_f), products(x * x, on_f), products(x, y_f)
+    sy, syy = windows(y), windows(y * y)
+    vx, vy = sxx - sx * sx / some, syy - sy * sy / some
+    tiny = lambda v: 1e-10 * (v * v).max(-1, initial=0.0) + 1e-300
+    fit = (count >= least) & (vx > tiny(x)[:, None]) & (vy > tiny(y))
+    if not fit.any():
+        return None
+    r = np.where(fit, (sxy - sx * sy / some) / np.sqrt(np.where(fit, vx * vy, 1.0)), -np.inf)
+    both = np.stack([r, np.where(fit, -r, -np.inf)], 1)  # frequency, polarity, shift
+    f, p, k = np.unravel_index(np.argmax(np.round(both, 12)), both.shape)
+    return float(both[f, p, k]), float(frequencies[f]), (1, -1)[p], float(-max_shift + step * k), int(count[k])
 
 
 TIE = "well_id string, trace_idx long, correlation double, frequency double, polarity int, shift_ms double, n_used long, boundary_pinned boolean, low_confidence boolean, error string"
@@ -268,30 +295,38 @@ def lag_correlation(series: DataFrame, max_lag: int) -> DataFrame:
     return series.select("key", "i", "a", "b").groupBy("key").applyInArrow(run, f"key {series.schema['key'].dataType.simpleString()}, lag int, r double")
 
 
+def on_axis(rc, times, axis, wavelet: np.ndarray) -> np.ndarray:
+    """The synthetic of a wavelet on a trace's axis, 0 outside the log."""
+    return np.interp(axis, times, cropped(rc, wavelet), left=0.0, right=0.0)
+
+
+def lag_fit(synth, trace, step: float, max_shift: float):
+    """(correlation, shift_ms, moved): the synthetic moved by the lag of the largest cross-correlation."""
+    cross = np.correlate((trace - trace.mean()) / (trace.std() + SPREAD), (synth - synth.mean()) / (synth.std() + SPREAD), "full")
+    lags = np.arange(1 - len(synth), len(trace))
+    near = np.abs(lags) <= max_shift / step
+    if not near.any():
+        raise ValueError("no lag is within the largest shift")
+    k = int(lags[near][np.argmax(np.round(cross[near], 9))])
+    moved = np.zeros(len(synth))
+    moved[max(0, k) : len(synth) + min(0, k)] = synth[max(0, -k) : len(synth) - max(0, k)]
+    there = moved != 0
+    r = (pearson_arrays(moved[there], trace[there]) or 0.0) if there.sum() >= LEAST_SAMPLES else 0.0
+    return r, k * step, moved
+
+
 def local_search(rc, times, axis, trace, step: float, frequencies=LOCAL, max_shift: float = 300.0, fixed=None):
-    """(correlation, frequency, polarity, shift_ms): the wavelet whose synthetic, moved by the lag of the largest cross-correlation, fits best.
+    """(correlation, frequency, polarity, shift_ms): the wavelet whose synthetic, moved by lag_fit, fits best.
 
-    A synthetic is 0 outside the log. fixed: one wavelet in place of Ricker wavelets; its frequency is None.
+    fixed: one wavelet in place of Ricker wavelets; its frequency is None.
     """
-    trace, spread = np.nan_to_num(trace), 1e-12
-    best = None
+    trace, best = np.nan_to_num(trace), None
     for f, w in [(None, np.asarray(fixed))] if fixed is not None else [(float(f), ricker_array(f, step / 1000.0)) for f in frequencies]:
-        full = np.convolve(rc, w)
-        at = (len(full) - len(rc)) // 2
-        synth = np.interp(axis, times, full[at : at + len(rc)], left=0.0, right=0.0)
-        cross = np.correlate((trace - trace.mean()) / (trace.std() + spread), (synth - synth.mean()) / (synth.std() + spread), "full")
-        lags = np.arange(1 - len(synth), len(trace))
-        near = np.abs(lags) * step <= max_shift
-        if not near.any():
-            raise ValueError("no lag is within the largest shift")
+        synth = on_axis(rc, times, axis, w)
         for polarity in (1, -1):
-            k = int(lags[near][np.argmax(polarity * cross[near])])
-            moved = np.zeros(len(synth))
-            moved[max(0, k) : len(synth) + min(0, k)] = polarity * synth[max(0, -k) : len(synth) - max(0, k)]
-            there = moved != 0
-            r = (pearson_arrays(moved[there], trace[there]) or 0.0) if there.sum() >= 5 else 0.0
+            r, shift, _ = lag_fit(polarity * synth, trace, step, max_shift)
             if best is None or r > best[0]:
-                best = (r, f, polarity, k * step)
+                best = (r, f, polarity, shift)
     return best
 
 
@@ -379,7 +414,7 @@ def densities(logs: DataFrame, method: str) -> DataFrame:
     fit = gardner_coefficients(logs).select("well_id", F.col("a").alias("__a"), F.col("b").alias("__b"))
     v = F.when(F.col("DT") > 0, FOOT * 1e6 / F.when(F.col("DT") > 0, F.col("DT")))
     d = logs.join(fit, "well_id", "left").withColumn("density_note", F.when(F.col("__a").isNotNull(), "calibrated").otherwise("textbook"))
-    return d.withColumn("density", F.coalesce("__a", F.lit(0.31)) * F.pow(v, F.coalesce("__b", F.lit(0.25)))).drop("__a", "__b")
+    return d.withColumn("gardner_a", F.coalesce("__a", F.lit(GARDNER[0]))).withColumn("gardner_b", F.coalesce("__b", F.lit(GARDNER[1]))).withColumn("density", gardner(v, F.col("gardner_a"), F.col("gardner_b"))).drop("__a", "__b")
 
 
 def best_lag(lags: DataFrame, digits: int = 9) -> DataFrame:
@@ -387,7 +422,7 @@ def best_lag(lags: DataFrame, digits: int = 9) -> DataFrame:
     return lags.groupBy("key").agg((-best["l"]).alias("lag"), best["r"].alias("r"))
 
 
-def datum_check(wells: DataFrame, velocity: float = 2500.0, most: float = 0.5) -> DataFrame:
+def datum_check(wells: DataFrame, velocity: float = OVERBURDEN, most: float = DATUM_ERROR) -> DataFrame:
     """wells (well_id, top, delay_ms) with implied depth, relative error and whether it is plausible; no error for a top at or above 0."""
     implied = F.col("delay_ms") / 2000.0 * velocity
     error = F.when(F.col("top") > 0, F.abs(implied - F.col("top")) / F.when(F.col("top") > 0, F.col("top")))

@@ -250,12 +250,12 @@ def checkshot_sheet(spark, sf_dir):
     return X.prefix_match(sheets, w)
 
 
-ASKS = "asks AS (SELECT 'W' || CAST(p_partkey % 7 AS VARCHAR) AS well_id, p_partkey AS ask_id, 995.0::DOUBLE + (p_partkey * 53 % 1150) * 0.1::DOUBLE AS x FROM part)"
+ASKS = "asks AS (SELECT 'W' || CAST(p_partkey % 20 AS VARCHAR) AS well_id, p_partkey AS ask_id, 995.0::DOUBLE + (p_partkey * 53 % 1150) * 0.1::DOUBLE AS x FROM part)"
 
 
 def asks(spark, sf_dir):
     k = F.col("p_partkey")
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("W"), (k % 7).cast("string")).alias("well_id"), k.alias("ask_id"), (995.0 + (k * 53 % 1150) * 0.1).alias("x"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("W"), (k % 20).cast("string")).alias("well_id"), k.alias("ask_id"), (995.0 + (k * 53 % 1150) * 0.1).alias("x"))
 
 
 def interpolation_sql(outside: str) -> str:
@@ -300,12 +300,13 @@ def reflectivity(spark, sf_dir):
 
 _queries["reflectivity"] = reflectivity
 
-RICKER = "ricker AS (SELECT f AS frequency, i, -64.0::DOUBLE + i * 2.0::DOUBLE AS t_ms, (1 - 2 * pow(pi() * f * (-64.0 + i * 2.0) / 1000.0, 2)) * exp(-pow(pi() * f * (-64.0 + i * 2.0) / 1000.0, 2)) AS amplitude FROM (SELECT CAST(unnest([8, 20, 30, 64]) AS DOUBLE) AS f), (SELECT CAST(unnest(range(64)) AS INTEGER) AS i))"
+RICKER = "ricker AS (SELECT f AS frequency, i, -64.0::DOUBLE + i * 2.0::DOUBLE AS t_ms, (1 - 2 * pow(pi() * f * (-64.0 + i * 2.0) / 1000.0, 2)) * exp(-pow(pi() * f * (-64.0 + i * 2.0) / 1000.0, 2)) AS amplitude FROM (SELECT DISTINCT 8.0::DOUBLE + 2.0::DOUBLE * s_nationkey AS f FROM supplier UNION SELECT 30.0::DOUBLE), (SELECT CAST(unnest(range(64)) AS INTEGER) AS i))"
 
 
 @query(f"WITH {RICKER} SELECT frequency, i, t_ms, {r('amplitude')} FROM ricker")
 def ricker_wavelets(spark, sf_dir):
-    return ties.wavelet_table(spark, (8.0, 20.0, 30.0, 64.0), 2.0)
+    asked = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((8.0 + 2.0 * F.col("s_nationkey")).alias("frequency"))
+    return ties.wavelet_table(asked.union(spark.createDataFrame([(30.0,)], "frequency double")).distinct(), 2.0)
 
 
 @query(TWT + f""", {RICKER}, rc AS (SELECT well_id, row_number() OVER ({WELL} ORDER BY row_idx) - 1 AS i, (nxt - ai) / (nxt + ai) AS x FROM tw WHERE nxt IS NOT NULL),
@@ -316,7 +317,7 @@ def synthetic_seismogram(spark, sf_dir):
 
     rc = ties.reflectivity(ties.impedance(valid(spark, sf_dir)))
     rc = rc.withColumn("i", F.row_number().over(Window.partitionBy("well_id").orderBy("row_idx")) - 1).select("well_id", "i", F.col("RC").alias("x"))
-    w = ties.wavelet_table(spark, (30.0,), 2.0).select(F.col("i").alias("k"), F.col("amplitude").alias("w"))
+    w = ties.wavelet_table(spark.createDataFrame([(30.0,)], "frequency double"), 2.0).select(F.col("i").alias("k"), F.col("amplitude").alias("w"))
     out = ties.convolve(rc, w, ["well_id"])
     return out.select("well_id", F.col("i").cast("long").alias("i"), "value")
 
@@ -443,17 +444,6 @@ def time_frequency_features(spark, sf_dir):
     return spectral.trace_features(D.traces(spark, sf_dir))
 
 
-def tie_inputs(spark, sf_dir):
-    logs = ties.depth_to_twt(valid(spark, sf_dir), t0=2040.0).withColumn("DPTM", F.col("twt_ms"))
-    resolved = spark.createDataFrame([(f"W{k}", 10 * k + 1) for k in range(7)] + [("NONE", 3)], "well_id string, trace_idx long")
-    return logs, resolved, D.traces(spark, sf_dir)
-
-
-@query()
-def well_ties(spark, sf_dir):
-    return ties.tie_wells(*tie_inputs(spark, sf_dir), max_shift=20.0)
-
-
 @query()
 def gardner_coefficients(spark, sf_dir):
     return ties.gardner_coefficients(D.logs(spark, sf_dir))
@@ -473,13 +463,7 @@ def calibration_report(spark, sf_dir):
     return reports.calibration_report(D.wells(spark, sf_dir), targets(spark, sf_dir), spacing=5.0)
 
 
-def heads(spark, sf_dir):
-    """Places for the seven stand-in wells; the last has none and the one before is far away."""
-    rows = [(f"W{k}", k, 1000.0 + 180.0 * k if k < 6 else None, 5000.0 + (30.0 * k if k < 5 else 9000.0)) for k in range(7)]
-    return spark.createDataFrame(rows, "well_id string, point_id long, wx double, wy double")
-
-
-PAY = INTERPRETED + f""", {D.TRACES_SQL}, h AS (SELECT 'W' || CAST(k AS VARCHAR) AS well_id, CASE WHEN k < 6 THEN 1000.0::DOUBLE + 180.0::DOUBLE * k END AS wx, 5000.0::DOUBLE + CASE WHEN k < 5 THEN 30.0::DOUBLE * k ELSE 9000.0::DOUBLE END AS wy FROM (SELECT unnest(range(7)) AS k)),
+PAY = INTERPRETED + f""", {D.TRACES_SQL}, {D.NUMBERS_SQL}, {D.HEADS_SQL},
 nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY distance, trace_idx) AS q FROM (SELECT well_id, trace_idx, sqrt((wx - tx) ** 2 + (wy - ty) ** 2) AS distance FROM h, traces WHERE wx IS NOT NULL) WHERE distance <= 200) WHERE q = 1),
 py AS (SELECT well_id, avg(VSH) AS mean_vsh_pay, count(*) AS n_pay FROM it WHERE ZONES = 1 AND VSH IS NOT NULL GROUP BY well_id),
 pp AS (SELECT h.well_id, wx, wy, trace_idx, distance, mean_vsh_pay, n_pay, CASE WHEN wx IS NULL THEN 'no coordinates' WHEN trace_idx IS NULL THEN 'no trace near' WHEN n_pay IS NULL THEN 'no pay' END AS reason FROM h LEFT JOIN nr USING (well_id) LEFT JOIN py USING (well_id))
@@ -488,18 +472,12 @@ pp AS (SELECT h.well_id, wx, wy, trace_idx, distance, mean_vsh_pay, n_pay, CASE
 
 @query(PAY + f"SELECT well_id, wx, wy, trace_idx, {r('distance')}, {r('mean_vsh_pay')}, n_pay, reason FROM pp")
 def pay_points(spark, sf_dir):
-    return reports.pay_points(heads(spark, sf_dir), interpreted(spark, sf_dir), targets(spark, sf_dir), 200.0)
+    return reports.pay_points(D.heads(spark, sf_dir), interpreted(spark, sf_dir), targets(spark, sf_dir), 200.0)
 
 
 @query(PAY + f", j AS (SELECT traces.trace_idx, mean_vsh_pay AS v, pow(greatest(sqrt((wx - tx) ** 2 + (wy - ty) ** 2), 1.0), -2.0) AS wt FROM traces, pp WHERE reason IS NULL) SELECT trace_idx AS cell_id, {as_r('sum(wt * v) / sum(wt)', 'value')} FROM j GROUP BY trace_idx")
 def zone_tie_map(spark, sf_dir):
-    return reports.zone_tie_map(reports.pay_points(heads(spark, sf_dir), interpreted(spark, sf_dir), targets(spark, sf_dir), 200.0), targets(spark, sf_dir))
-
-
-@query()
-def field_overview(spark, sf_dir):
-    d = interpreted(spark, sf_dir)
-    return reports.field_overview(W.well_summary(d), W.zone_summary(d), ties.tie_wells(*tie_inputs(spark, sf_dir), max_shift=20.0))
+    return reports.zone_tie_map(reports.pay_points(D.heads(spark, sf_dir), interpreted(spark, sf_dir), targets(spark, sf_dir), 200.0), targets(spark, sf_dir))
 
 
 @query(f"WITH {D.MUTED_SQL} SELECT dataset_id, trace_idx FROM muted WHERE list_max([abs(x) FOR x IN samples]) = 0")
@@ -512,4 +490,4 @@ def best_time(spark, sf_dir):
     return S.best_time(D.traces(spark, sf_dir))
 
 
-from lithos.plans import catalog_views  # noqa: E402, F401  adds its queries
+from lithos.plans import catalog_ties, catalog_views  # noqa: E402, F401  add their queries

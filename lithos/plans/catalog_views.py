@@ -37,13 +37,18 @@ PROPERTIES = CONTEXT + "".join(f""", kn_{c} AS (SELECT well_id, DEPT AS kx, min(
 px AS (SELECT a.well_id, a.trace_idx, a.time_idx, a.time_ms, a.depth, a.value AS GR, b.value AS NPHI FROM at_GR a JOIN at_NPHI b USING (well_id, time_idx))"""
 
 
+def of_seven():
+    """The number of a stand-in well modulo 7."""
+    return F.substring("well_id", 2, 9).cast("int") % 7
+
+
 def timed(spark, sf_dir):
     return ties.depth_to_twt(C.valid(spark, sf_dir), t0=2040.0).withColumn("DPTM", F.col("twt_ms"))
 
 
 def in_context(spark, sf_dir):
     logs = timed(spark, sf_dir)
-    return K.properties(K.overlap(D.ties(spark), D.traces(spark, sf_dir), logs), logs, CURVES)
+    return K.properties(K.overlap(D.ties(spark, sf_dir), D.traces(spark, sf_dir), logs), logs, CURVES)
 
 
 @query(PROPERTIES + f" SELECT well_id, trace_idx, time_idx, time_ms, {r('depth')}, {r('GR')}, {r('NPHI')} FROM px")
@@ -57,21 +62,21 @@ sec AS (SELECT dp.well_id, crossline AS position, dp.row_idx, DPTM + shift_ms AS
 
 @query(SECTION + f" SELECT well_id, position, row_idx, {as_r('twt', 'twt_ms')}, {r('GR')}, {r('NPHI')} FROM sec")
 def section_logs(spark, sf_dir):
-    return K.section_logs(D.ties(spark), D.traces(spark, sf_dir), timed(spark, sf_dir), CURVES)
+    return K.section_logs(D.ties(spark, sf_dir), D.traces(spark, sf_dir), timed(spark, sf_dir), CURVES)
 
 
 @query(SECTION + " SELECT well_id, CASE WHEN correlation >= 0.3 AND NOT boundary_pinned THEN 'outside the time range' ELSE 'low confidence' END AS reason FROM ties WHERE well_id NOT IN (SELECT well_id FROM sec)")
 def section_skipped(spark, sf_dir):
-    t = D.ties(spark)
+    t = D.ties(spark, sf_dir)
     return K.section_skipped(t, K.section_logs(t, D.traces(spark, sf_dir), timed(spark, sf_dir), CURVES))
 
 
 def energies(spark, sf_dir):
     """The 30 Hz band and the envelope of the tied traces, sample by sample."""
-    own = D.traces(spark, sf_dir).join(D.ties(spark).select("trace_idx"), "trace_idx", "left_semi")
+    own = D.traces(spark, sf_dir).join(D.ties(spark, sf_dir).select("trace_idx"), "trace_idx", "left_semi")
     cwt = spectral.nearest_band(spectral.decompose(own, "cwt"), 30.0)
     cwt = cwt.select(F.lit("cwt").alias("method"), "trace_idx", F.posexplode("energy").alias("time_idx", "e"))
-    env = spectral.trace_features(own).select(F.lit("envelope").alias("method"), "trace_idx", "time_idx", F.col("inst_envelope").alias("e"))
+    env = spectral.trace_features(own, ["inst_envelope"]).select(F.lit("envelope").alias("method"), "trace_idx", "time_idx", F.col("inst_envelope").alias("e"))
     return cwt.unionByName(env)
 
 
@@ -114,7 +119,7 @@ def amplitude_features(spark, sf_dir):
 FROM (SELECT well_id, time_idx, GR FROM px) px JOIN nb USING (well_id) JOIN smp ON smp.trace_idx = nb.trace_idx AND i = time_idx""")
 def tie_samples(spark, sf_dir):
     t = D.traces(spark, sf_dir)
-    out = K.samples(in_context(spark, sf_dir), K.around(D.ties(spark), t), amplitude_features(spark, sf_dir))
+    out = K.samples(in_context(spark, sf_dir), K.around(D.ties(spark, sf_dir), t), amplitude_features(spark, sf_dir))
     return out.select("well_id", "trace_idx", "time_idx", "GR", "amplitude", "weight")
 
 
@@ -128,7 +133,7 @@ df AS (SELECT *, p - lag(p) OVER w AS d FROM ph WINDOW w AS (PARTITION BY trace_
 gr AS (SELECT *, CASE WHEN u IS NULL THEN lead(u) OVER w WHEN lead(u) OVER w IS NULL THEN u ELSE (u + lead(u) OVER w) / 2 END AS g FROM un WINDOW w AS (PARTITION BY trace_idx ORDER BY i))
 SELECT trace_idx, i AS time_idx, {as_r('x', 'inst_amplitude')}, {as_r('e', 'inst_envelope')}, {as_r('g / (2 * pi() * 0.002)', 'inst_freq_hz')} FROM gr""")
 def instantaneous_attributes(spark, sf_dir):
-    return spectral.trace_features(D.traces(spark, sf_dir)).select("trace_idx", "time_idx", "inst_amplitude", "inst_envelope", "inst_freq_hz")
+    return spectral.trace_features(D.traces(spark, sf_dir), spectral.TRACE_FEATURES[:3])
 
 
 # time, depth and density
@@ -149,45 +154,27 @@ def density_estimates(spark, sf_dir):
     return d.select("well_id", "row_idx", F.col("rhob_").alias("rhob"), F.col("density").alias("rock_physics"), ties.gardner(v).alias("gardner"))
 
 
-POINTS = "tp AS (SELECT 'W' || CAST(k AS VARCHAR) AS well_id, 1000.0::DOUBLE + 10 * j AS kx, 4.0::DOUBLE * j - k AS y FROM (SELECT CAST(unnest(range(1, 7, 2)) AS INTEGER) AS k), (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS j))"
-
-
-def tie_points(spark):
-    k, j = F.col("k"), F.col("j")
-    t = spark.range(1).select(F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))).alias("k")).select("k", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("j"))
-    return t.select(F.concat(F.lit("W"), k.cast("string")).alias("well_id"), (1000.0 + 10 * j).alias("x"), (4.0 * j - k).alias("y"))
-
-
-@query(TIMED + f", {POINTS}, sa AS (SELECT well_id, row_idx, DEPT AS x, DPTM FROM dp), {interp('sq', 'sa', 'tp')} SELECT well_id, row_idx, {as_r('DPTM + coalesce(value, ended, 0)', 'twt')} FROM sq")
+@query(TIMED + f", {D.NUMBERS_SQL}, {D.POINTS_SQL}, sa AS (SELECT well_id, row_idx, DEPT AS x, DPTM FROM dp), {interp('sq', 'sa', 'tp')} SELECT well_id, row_idx, {as_r('DPTM + coalesce(value, ended, 0)', 'twt')} FROM sq")
 def stretch_squeeze(spark, sf_dir):
     times = timed(spark, sf_dir).select("well_id", F.col("row_idx").alias("ask_id"), F.col("DEPT").alias("x"), F.col("DPTM").alias("twt"))
-    return I.stretch(times, tie_points(spark)).select("well_id", F.col("ask_id").alias("row_idx"), "twt")
+    return I.stretch(times, D.tie_points(spark, sf_dir)).select("well_id", F.col("ask_id").alias("row_idx"), "twt")
 
 
-SHOTS = "sh AS (SELECT 'W' || CAST(k AS VARCHAR) AS well_id, 998.0::DOUBLE + 1.5 * j + k * 0.1 AS depth, 2035.0::DOUBLE + 3.0 * j AS twt FROM (SELECT CAST(unnest([0, 2, 4]) AS INTEGER) AS k), (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS j))"
-
-
-def shots(spark):
-    k, j = F.col("k"), F.col("j")
-    t = spark.range(1).select(F.explode(F.array(F.lit(0), F.lit(2), F.lit(4))).alias("k")).select("k", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j"))
-    return t.select(F.concat(F.lit("W"), k.cast("string")).alias("well_id"), (998.0 + 1.5 * j + k * 0.1).alias("depth"), (2035.0 + 3.0 * j).alias("twt"))
-
-
-@query(TIMED + f""", {SHOTS}, kn AS (SELECT well_id, DEPT AS kx, min(DPTM) AS y FROM dp GROUP BY well_id, DEPT), tops AS (SELECT well_id, min(DEPT) AS top FROM dp GROUP BY well_id),
+@query(TIMED + f""", {D.NUMBERS_SQL}, {D.SHOTS_SQL}, kn AS (SELECT well_id, DEPT AS kx, min(DPTM) AS y FROM dp GROUP BY well_id, DEPT), tops AS (SELECT well_id, min(DEPT) AS top FROM dp GROUP BY well_id),
 fs AS (SELECT sh.well_id, arg_min(depth, depth) AS x, arg_min(twt, depth) AS twt FROM sh JOIN tops USING (well_id) WHERE depth >= top GROUP BY sh.well_id), {interp('an', 'fs', 'kn')} SELECT well_id, {as_r('twt - value', 'shift_ms')} FROM an""")
 def checkshot_anchor(spark, sf_dir):
-    return I.checkshot_shift(shots(spark), timed(spark, sf_dir))
+    return I.checkshot_shift(D.shots(spark, sf_dir), timed(spark, sf_dir))
 
 
-@query(f"WITH {SHOTS} SELECT well_id, count(*) AS n_points FROM sh GROUP BY well_id")
+@query(f"WITH {D.NUMBERS_SQL}, {D.SHOTS_SQL} SELECT well_id, count(*) AS n_points FROM sh GROUP BY well_id")
 def checkshot_status(spark, sf_dir):
-    return shots(spark).groupBy("well_id").agg(F.count("*").alias("n_points"))
+    return D.shots(spark, sf_dir).groupBy("well_id").agg(F.count("*").alias("n_points"))
 
 
-@query(TIMED + f""", d AS (SELECT well_id, min(DEPT) - 1000 + CASE WHEN well_id = 'W0' THEN 0 ELSE 2000 END AS top, 2030.0::DOUBLE AS delay_ms FROM dp GROUP BY well_id), e AS (SELECT *, delay_ms / 2000.0 * 2500.0::DOUBLE AS implied FROM d)
+@query(TIMED + f""", d AS (SELECT well_id, min(DEPT) - 1000 + CASE WHEN CAST(substr(well_id, 2) AS INTEGER) % 7 = 0 THEN 0 ELSE 2000 END AS top, 2030.0::DOUBLE AS delay_ms FROM dp GROUP BY well_id), e AS (SELECT *, delay_ms / 2000.0 * 3000.0::DOUBLE AS implied FROM d)
 SELECT well_id, {as_r('implied', 'implied_depth')}, {as_r('CASE WHEN top > 0 THEN abs(implied - top) / top END', 'relative_error')}, coalesce(CASE WHEN top > 0 THEN abs(implied - top) / top END <= 0.5, false) AS plausible FROM e""")
 def datum_check(spark, sf_dir):
-    top = F.min("DEPT") - 1000 + F.when(F.col("well_id") == "W0", 0).otherwise(2000)
+    top = F.min("DEPT") - 1000 + F.when(of_seven() == 0, 0).otherwise(2000)
     w = timed(spark, sf_dir).groupBy("well_id").agg(top.alias("top")).withColumn("delay_ms", F.lit(2030.0))
     return ties.datum_check(w).select("well_id", "implied_depth", "relative_error", "plausible")
 
@@ -198,38 +185,35 @@ LABELS = f"WITH {D.TIES_SQL}, lb AS (SELECT *, CASE WHEN correlation IS NULL THE
 
 @query(LABELS + " SELECT well_id, trace_idx, shift_ms, correlation, boundary_pinned, label, low_confidence FROM lb")
 def tie_labels(spark, sf_dir):
-    return V.labelled(D.ties(spark))
+    return V.labelled(D.ties(spark, sf_dir))
 
 
 @query(LABELS + " SELECT well_id, correlation, CAST(row_number() OVER (ORDER BY correlation DESC NULLS LAST, well_id) AS INTEGER) AS down, CAST(row_number() OVER (ORDER BY correlation ASC NULLS LAST, well_id) AS INTEGER) AS up FROM lb")
 def tie_table(spark, sf_dir):
-    t = V.ranked(D.ties(spark), "correlation", True).withColumnRenamed("rank", "down")
+    t = V.ranked(D.ties(spark, sf_dir), "correlation", True).withColumnRenamed("rank", "down")
     return V.ranked(t, "correlation").select("well_id", "correlation", "down", F.col("rank").alias("up"))
 
 
 @query(LABELS + " SELECT well_id, correlation FROM lb WHERE correlation IS NOT NULL ORDER BY correlation DESC, well_id LIMIT 1")
 def best_tied_well(spark, sf_dir):
-    return V.best_tie(D.ties(spark)).select("well_id", "correlation")
-
-
-HEADS = "h AS (SELECT 'W' || CAST(k AS VARCHAR) AS well_id, CAST(k AS BIGINT) AS point_id, CASE WHEN k < 6 THEN 1000.0::DOUBLE + 180.0::DOUBLE * k END AS wx, 5000.0::DOUBLE + CASE WHEN k < 5 THEN 30.0::DOUBLE * k ELSE 9000.0::DOUBLE END AS wy FROM (SELECT unnest(range(7)) AS k))"
+    return V.best_tie(D.ties(spark, sf_dir)).select("well_id", "correlation")
 
 
-@query(LABELS + f", {HEADS} SELECT h.well_id, point_id, wx, wy, correlation FROM h JOIN lb USING (well_id) WHERE wx IS NOT NULL AND correlation IS NOT NULL")
+@query(LABELS + f", {D.HEADS_SQL} SELECT h.well_id, point_id, wx, wy, correlation FROM h JOIN lb USING (well_id) WHERE wx IS NOT NULL AND correlation IS NOT NULL")
 def tie_map(spark, sf_dir):
-    return V.on_map(D.ties(spark), C.heads(spark, sf_dir))
+    return V.on_map(D.ties(spark, sf_dir), D.heads(spark, sf_dir))
 
 
-@query(LABELS + " SELECT well_id, CASE WHEN well_id = 'W4' THEN 'no trace' WHEN boundary_pinned THEN 'boundary pinned' WHEN low_confidence THEN 'low confidence' END AS reason FROM lb")
+@query(LABELS + " SELECT well_id, CASE WHEN CAST(substr(well_id, 2) AS INTEGER) % 7 = 4 THEN 'no trace' WHEN boundary_pinned THEN 'boundary pinned' WHEN low_confidence THEN 'low confidence' END AS reason FROM lb")
 def eligible_wells(spark, sf_dir):
-    t = V.labelled(D.ties(spark)).withColumn("error", F.when(F.col("well_id") == "W4", "no trace"))
+    t = V.labelled(D.ties(spark, sf_dir)).withColumn("error", F.when(of_seven() == 4, "no trace"))
     return reports.eligible(t).select("well_id", "reason")
 
 
-@query(LABELS + ", g AS (SELECT well_id FROM lb WHERE NOT low_confidence) SELECT well_id FROM (SELECT 'W' || CAST(unnest(range(9)) AS VARCHAR) AS well_id) ANTI JOIN g USING (well_id)")
+@query(LABELS + ", g AS (SELECT well_id FROM lb WHERE NOT low_confidence) SELECT well_id FROM (SELECT 'W' || CAST(s_suppkey AS VARCHAR) AS well_id FROM supplier) ANTI JOIN g USING (well_id)")
 def excluded_wells(spark, sf_dir):
-    every = spark.range(9).select(F.concat(F.lit("W"), F.col("id").cast("string")).alias("well_id"))
-    return every.join(V.labelled(D.ties(spark)).where("NOT low_confidence"), "well_id", "left_anti")
+    every = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("W"), F.col("s_suppkey").cast("string")).alias("well_id"))
+    return every.join(V.labelled(D.ties(spark, sf_dir)).where("NOT low_confidence"), "well_id", "left_anti")
 
 
 @query(INTERPRETED + f"""{', ' + D.TIES_SQL}, sm AS ({C.SUMMARY}), z AS (SELECT well_id, count(*) AS n_pay, count(*) * max(step) AS pay_thickness FROM it WHERE ZONES = 1 GROUP BY well_id)
@@ -237,7 +221,7 @@ SELECT sm.well_id, {r('footage')}, {r('mean_vsh')}, {r('mean_phie')}, {r('mean_s
 FROM sm LEFT JOIN z USING (well_id) LEFT JOIN ties ON ties.well_id = sm.well_id""")
 def field_overview_of_ties(spark, sf_dir):
     d = C.interpreted(spark, sf_dir)
-    t = D.ties(spark).withColumn("low_confidence", F.col("boundary_pinned")).withColumn("error", F.lit(None).cast("string"))
+    t = D.ties(spark, sf_dir).withColumn("low_confidence", F.col("boundary_pinned")).withColumn("error", F.lit(None).cast("string"))
     return reports.field_overview(W.well_summary(d), W.zone_summary(d), t)
 
 
@@ -312,9 +296,9 @@ def rms_display(spark, sf_dir):
     return V.rms_scaled(D.muted(spark, sf_dir)).select("trace_idx", S.total("samples", F.abs).alias("total"))
 
 
-@query(f"WITH {D.LOGS_SQL}, m AS (SELECT *, CASE WHEN well_id = 'W2' THEN CASE WHEN GR IS NOT NULL THEN 5.0::DOUBLE END ELSE GR END AS g FROM logs), e AS (SELECT *, min(g) OVER ({C.WELL}) AS lo, max(g) OVER ({C.WELL}) AS hi FROM m) SELECT well_id, row_idx, round(CASE WHEN g IS NULL THEN NULL WHEN hi > lo THEN (g - lo) / (hi - lo) ELSE 0.5::DOUBLE END, 6) + 0.0::DOUBLE AS scaled FROM e")
+@query(f"WITH {D.LOGS_SQL}, m AS (SELECT *, CASE WHEN CAST(substr(well_id, 2) AS INTEGER) % 7 = 2 THEN CASE WHEN GR IS NOT NULL THEN 5.0::DOUBLE END ELSE GR END AS g FROM logs), e AS (SELECT *, min(g) OVER ({C.WELL}) AS lo, max(g) OVER ({C.WELL}) AS hi FROM m) SELECT well_id, row_idx, round(CASE WHEN g IS NULL THEN NULL WHEN hi > lo THEN (g - lo) / (hi - lo) ELSE 0.5::DOUBLE END, 6) + 0.0::DOUBLE AS scaled FROM e")
 def unit_display(spark, sf_dir):
-    flat = F.when(F.col("well_id") == "W2", F.when(F.col("GR").isNotNull(), 5.0)).otherwise(F.col("GR"))
+    flat = F.when(of_seven() == 2, F.when(F.col("GR").isNotNull(), 5.0)).otherwise(F.col("GR"))
     return V.unit_scaled(D.logs(spark, sf_dir).withColumn("g", flat), "g", ["well_id"]).select("well_id", "row_idx", "scaled")
 
 
@@ -360,37 +344,37 @@ def json_records(spark, sf_dir):
     return V.from_json_lines(lines, "GR double, NPHI double").join(lines, ["well_id", "row_idx"]).select("well_id", "row_idx", "GR", "NPHI", F.col("json").contains('"GR":null').alias("said_null"))
 
 
-@query(f"WITH {D.LOGS_SQL}, u AS (SELECT well_id, GR, CAST(NULL AS DOUBLE) AS core FROM logs WHERE well_id IN ('W0', 'W1') UNION ALL SELECT well_id, NULL, NPHI FROM logs WHERE well_id = 'W3') SELECT well_id, count(*) AS n, count(GR) AS n_gr, count(core) AS n_core FROM u GROUP BY well_id")
+@query(f"WITH {D.LOGS_SQL}, u AS (SELECT well_id, GR, CAST(NULL AS DOUBLE) AS core FROM logs WHERE CAST(substr(well_id, 2) AS INTEGER) % 7 < 4 UNION ALL SELECT well_id, NULL, NPHI FROM logs WHERE CAST(substr(well_id, 2) AS INTEGER) % 7 > 2) SELECT well_id, count(*) AS n, count(GR) AS n_gr, count(core) AS n_core FROM u GROUP BY well_id")
 def concatenated_wells(spark, sf_dir):
     d = D.logs(spark, sf_dir)
-    u = d.where("well_id IN ('W0', 'W1')").select("well_id", "GR").unionByName(d.where("well_id = 'W3'").select("well_id", F.col("NPHI").alias("core")), allowMissingColumns=True)
+    u = d.where(of_seven() < 4).select("well_id", "GR").unionByName(d.where(of_seven() > 2).select("well_id", F.col("NPHI").alias("core")), allowMissingColumns=True)
     return u.groupBy("well_id").agg(F.count("*").alias("n"), F.count("GR").alias("n_gr"), F.count("core").alias("n_core"))
 
 
 # results that are kept
-CACHE = f"""WITH {D.TIES_SQL}, cache AS (SELECT well_id AS key, CASE trace_idx % 4 WHEN 1 THEN 'ready' WHEN 3 THEN 'processing' ELSE 'error' END AS status, CASE WHEN trace_idx % 4 = 1 THEN shift_ms END AS value, CASE WHEN trace_idx % 4 NOT IN (1, 3) THEN 'failed' END AS error FROM ties WHERE well_id <> 'W6'),
-live AS (SELECT well_id AS key, correlation AS value FROM ties WHERE correlation IS NOT NULL), keys AS (SELECT 'W' || CAST(unnest(range(9)) AS VARCHAR) AS key),
+CACHE = f"""WITH {D.TIES_SQL}, cache AS (SELECT well_id AS key, CASE trace_idx % 4 WHEN 1 THEN 'ready' WHEN 3 THEN 'processing' ELSE 'error' END AS status, CASE WHEN trace_idx % 4 = 1 THEN shift_ms END AS value, CASE WHEN trace_idx % 4 NOT IN (1, 3) THEN 'failed' END AS error FROM ties WHERE CAST(substr(well_id, 2) AS INTEGER) % 7 <> 6),
+live AS (SELECT well_id AS key, correlation AS value FROM ties WHERE correlation IS NOT NULL), keys AS (SELECT 'W' || CAST(s_suppkey AS VARCHAR) AS key FROM supplier),
 j AS (SELECT keys.key, coalesce(status IN ('ready', 'error'), false) AS hit, cache.value AS cv, cache.error AS ce, live.value AS lv FROM keys LEFT JOIN cache ON cache.key = keys.key LEFT JOIN live ON live.key = keys.key),
 an AS (SELECT key, CASE WHEN hit THEN cv ELSE lv END AS value, CASE WHEN hit THEN ce WHEN lv IS NULL THEN 'not available' END AS error, CASE WHEN hit THEN 'cache' WHEN lv IS NOT NULL THEN 'live' ELSE 'none' END AS source FROM j)"""
 
 
-def _answered(spark):
-    t = D.ties(spark)
+def _answered(spark, sf_dir):
+    t = D.ties(spark, sf_dir)
     k = F.col("trace_idx") % 4
-    cache = t.where("well_id <> 'W6'").select(F.col("well_id").alias("key"), F.when(k == 1, "ready").when(k == 3, "processing").otherwise("error").alias("status"), F.when(k == 1, F.col("shift_ms")).alias("value"), F.when(~k.isin(1, 3), "failed").alias("error"))
-    keys = spark.range(9).select(F.concat(F.lit("W"), F.col("id").cast("string")).alias("key"))
+    cache = t.where(of_seven() != 6).select(F.col("well_id").alias("key"), F.when(k == 1, "ready").when(k == 3, "processing").otherwise("error").alias("status"), F.when(k == 1, F.col("shift_ms")).alias("value"), F.when(~k.isin(1, 3), "failed").alias("error"))
+    keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("W"), F.col("s_suppkey").cast("string")).alias("key"))
     live = t.where("correlation IS NOT NULL").select(F.col("well_id").alias("key"), F.col("correlation").alias("value"))
     return cache, V.cached(keys, cache, live)
 
 
 @query(CACHE + " SELECT * FROM an")
 def cached_results(spark, sf_dir):
-    return _answered(spark)[1]
+    return _answered(spark, sf_dir)[1]
 
 
 @query(CACHE + " SELECT key, status, value, error FROM cache WHERE key NOT IN (SELECT key FROM an WHERE source = 'live') UNION ALL SELECT key, 'ready', value, NULL FROM an WHERE source = 'live'")
 def cache_after_write_back(spark, sf_dir):
-    return V.write_back(*_answered(spark))
+    return V.write_back(*_answered(spark, sf_dir))
 
 
 @query(C.FIT.replace("FROM wells WHERE wx IS NOT NULL)", "FROM wells WHERE wx IS NOT NULL AND point_id % 2 = 0)") + f" SELECT n, {', '.join(r(c) for c in 'abcd')} FROM f")
@@ -405,10 +389,10 @@ def unknown_wells(spark, sf_dir):
     return X.unknown(asked, D.wells(spark, sf_dir))
 
 
-@query(f"WITH {D.LOGS_SQL}, u AS (SELECT well_id, quantile_cont(DT, 0.5) AS m FROM logs GROUP BY well_id) SELECT logs.well_id, row_idx, round(CASE WHEN logs.well_id IN ('W1', 'W4') THEN DT * 0.3048 ELSE DT END, 6) + 0.0::DOUBLE AS DT FROM logs")
+@query(f"WITH {D.LOGS_SQL}, u AS (SELECT well_id, quantile_cont(DT, 0.5) AS m FROM logs GROUP BY well_id) SELECT logs.well_id, row_idx, round(CASE WHEN CAST(substr(logs.well_id, 2) AS INTEGER) % 7 IN (1, 4) THEN DT * 0.3048 ELSE DT END, 6) + 0.0::DOUBLE AS DT FROM logs")
 def normalised_sonic(spark, sf_dir):
     from lithos.operators import cleaning
 
     d = D.logs(spark, sf_dir)
-    units = d.select("well_id").distinct().withColumn("unit", F.when(F.col("well_id").isin("W1", "W4"), "us_per_m").otherwise("us_per_ft"))
+    units = d.select("well_id").distinct().withColumn("unit", F.when(of_seven().isin(1, 4), "us_per_m").otherwise("us_per_ft"))
     return cleaning.normalise_dt(d, units).select("well_id", "row_idx", "DT")

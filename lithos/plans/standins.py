@@ -9,22 +9,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NULL = -9999.25
+#: Rows of a well; the number of wells grows with the events.
+WELL_ROWS = 700
+
+
+def number(event):
+    return F.floor(event / WELL_ROWS)
+
+
+def numbers(spark, sf_dir: str) -> DataFrame:
+    """(k, well_id, m): the number of each well, its name, and the number modulo 7."""
+    k = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(number(F.col("event_id")).alias("k")).count().select("k")
+    return k.select("k", F.concat(F.lit("W"), F.col("k").cast("string")).alias("well_id"), (F.col("k") % 7).alias("m"))
+
+
+NUMBERS_SQL = "wn AS (SELECT k, 'W' || CAST(k AS VARCHAR) AS well_id, k % 7 AS m FROM (SELECT DISTINCT event_id // 700 AS k FROM events))"
 
 
 def raw_logs(spark, sf_dir: str) -> DataFrame:
-    """Seven wells from events; every curve misses some rows (the header's null value)."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    """Wells of WELL_ROWS events each; every curve misses some rows (the header's null value)."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
     i = F.col("event_id")
     curve = lambda x, gap: F.when(i % gap == 0, F.lit(NULL)).otherwise(x)
     return e.select(
-        F.concat(F.lit("W"), (F.col("user_id") % 7).cast("string")).alias("well_id"), i.alias("row_idx"), (1000.0 + i * 0.01).alias("DEPT"),
+        F.concat(F.lit("W"), number(i).cast("string")).alias("well_id"), i.alias("row_idx"), (1000.0 + i % WELL_ROWS * 0.14).alias("DEPT"),
         curve(20.0 + (i * 7919 % 1009) * 0.1, 17).alias("GR"), curve(0.5 + (i * 613 % 1999) * 0.05, 31).alias("RESISTIVITY"),
         curve(2.0 + (i * 104729 % 997) * 0.001, 29).alias("RHOB"), curve((i * 31 % 449) * 0.001, 19).alias("NPHI"), curve(60.0 + (i * 271 % 601) * 0.1, 23).alias("DT"),
     )
 
 
 RAW_SQL = """
-raw AS (SELECT 'W' || CAST(user_id % 7 AS VARCHAR) AS well_id, event_id AS row_idx, 1000.0::DOUBLE + event_id * 0.01::DOUBLE AS DEPT,
+raw AS (SELECT 'W' || CAST(event_id // 700 AS VARCHAR) AS well_id, event_id AS row_idx, 1000.0::DOUBLE + event_id % 700 * 0.14::DOUBLE AS DEPT,
   CASE WHEN event_id % 17 = 0 THEN -9999.25::DOUBLE ELSE 20.0::DOUBLE + (event_id * 7919 % 1009) * 0.1::DOUBLE END AS GR,
   CASE WHEN event_id % 31 = 0 THEN -9999.25::DOUBLE ELSE 0.5::DOUBLE + (event_id * 613 % 1999) * 0.05::DOUBLE END AS RESISTIVITY,
   CASE WHEN event_id % 29 = 0 THEN -9999.25::DOUBLE ELSE 2.0::DOUBLE + (event_id * 104729 % 997) * 0.001::DOUBLE END AS RHOB,
@@ -85,15 +100,44 @@ MUTED_SQL = TRACES_SQL + """,
 muted AS (SELECT * REPLACE ([CASE WHEN trace_idx % 97 = 0 OR k - 1 < trace_idx % 7 * 2 THEN 0.0::DOUBLE ELSE samples[k] END FOR k IN range(1, len(samples) + 1)] AS samples) FROM traces)"""
 
 
-def ties(spark) -> DataFrame:
-    """Ties of the stand-in wells, good and bad: one is pinned, one has no correlation."""
-    k = F.col("id")
-    return spark.range(7).select(
-        F.concat(F.lit("W"), k.cast("string")).alias("well_id"), (10 * k + 1).alias("trace_idx"), (3.0 * k - 8.0).alias("shift_ms"),
-        F.when(k != 5, F.round(0.9 - 0.13 * k, 2)).alias("correlation"), (k == 2).alias("boundary_pinned"),
+def ties(spark, sf_dir: str) -> DataFrame:
+    """Ties of the stand-in wells, good and bad: some are pinned, some have no correlation."""
+    k, m = F.col("k"), F.col("m")
+    return numbers(spark, sf_dir).select(
+        "well_id", (10 * k + 1).alias("trace_idx"), (3.0 * m - 8.0).alias("shift_ms"),
+        F.when(m != 5, F.round(0.9 - 0.13 * m, 2)).alias("correlation"), (m == 2).alias("boundary_pinned"),
     )
 
 
-TIES_SQL = """
-ties AS (SELECT 'W' || CAST(k AS VARCHAR) AS well_id, CAST(10 * k + 1 AS BIGINT) AS trace_idx, 3.0::DOUBLE * k - 8.0::DOUBLE AS shift_ms,
-  CASE WHEN k <> 5 THEN round(0.9::DOUBLE - 0.13::DOUBLE * k, 2) END AS correlation, k = 2 AS boundary_pinned FROM (SELECT CAST(unnest(range(7)) AS BIGINT) AS k))"""
+TIES_SQL = NUMBERS_SQL + """,
+ties AS (SELECT well_id, CAST(10 * k + 1 AS BIGINT) AS trace_idx, 3.0::DOUBLE * m - 8.0::DOUBLE AS shift_ms,
+  CASE WHEN m <> 5 THEN round(0.9::DOUBLE - 0.13::DOUBLE * m, 2) END AS correlation, m = 2 AS boundary_pinned FROM wn)"""
+
+
+def heads(spark, sf_dir: str) -> DataFrame:
+    """Places of the stand-in wells; some have none and some are far away."""
+    k, m = F.col("k"), F.col("m")
+    far = F.when(m < 5, 30.0 * m + k % 10).otherwise(9000.0)
+    return numbers(spark, sf_dir).select("well_id", k.alias("point_id"), F.when(m < 6, 1000.0 + 180.0 * m + k % 10).alias("wx"), (5000.0 + far).alias("wy"))
+
+
+HEADS_SQL = """h AS (SELECT well_id, k AS point_id, CASE WHEN m < 6 THEN 1000.0::DOUBLE + 180.0::DOUBLE * m + k % 10 END AS wx,
+  5000.0::DOUBLE + CASE WHEN m < 5 THEN 30.0::DOUBLE * m + k % 10 ELSE 9000.0::DOUBLE END AS wy FROM wn)"""
+
+
+def tie_points(spark, sf_dir: str) -> DataFrame:
+    """Three stretch points (x: depth, y: ms) of every second well."""
+    j = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("j")
+    return numbers(spark, sf_dir).where("k % 2 = 1").select("well_id", "m", j).select("well_id", (1000.0 + 10 * F.col("j")).alias("x"), (4.0 * F.col("j") - F.col("m")).alias("y"))
+
+
+POINTS_SQL = "tp AS (SELECT well_id, 1000.0::DOUBLE + 10 * j AS kx, 4.0::DOUBLE * j - m AS y FROM wn, (SELECT CAST(unnest(range(1, 4)) AS INTEGER) AS j) WHERE k % 2 = 1)"
+
+
+def shots(spark, sf_dir: str) -> DataFrame:
+    """Five checkshots of the other wells."""
+    j = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j")
+    return numbers(spark, sf_dir).where("k % 2 = 0").select("well_id", "m", j).select("well_id", (998.0 + 1.5 * F.col("j") + F.col("m") * 0.1).alias("depth"), (2035.0 + 3.0 * F.col("j")).alias("twt"))
+
+
+SHOTS_SQL = "sh AS (SELECT well_id, 998.0::DOUBLE + 1.5::DOUBLE * j + m * 0.1::DOUBLE AS depth, 2035.0::DOUBLE + 3.0::DOUBLE * j AS twt FROM wn, (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS j) WHERE k % 2 = 0)"
