@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points that may be sent to every executor: 24 bytes each, so at most 24 MB.
+#: Wells that may be sent to every executor: 24 bytes each, so at most 24 MB.
 SMALL = 1_000_000
+#: Places in a cell of the finest level of a pyramid, about; levels whose cells may be sent to every executor (4 ** 6 of 60 bytes at most).
+PER_CELL, SENT_LEVELS = 8, 6
+#: Cells of a grid, and wells, that are taken together.
+CELLS, WELLS = 2048, 1024
 
 
 def within_radius(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
@@ -35,21 +43,55 @@ def neighbours(points: DataFrame, targets: DataFrame, radius: float, most: int)
 def nearest(points: DataFrame, targets: DataFrame, radius: float | None = None) -> DataFrame:
     """(point_id, target_id, distance) of the nearest target, ties to the least id; NULLs if none is within the radius.
 
-    Without a radius every target is looked at, so the points must be few (they are counted): the
-    targets stay where they are and each task keeps one candidate a point. More points need a radius.
+    Without a radius the point descends a pyramid of cells, however far away it is.
     """
-    if radius is None:
-        n = points.limit(SMALL + 1).count()
-        if n > SMALL:
-            raise ValueError(f"over {SMALL} points: give a radius")
-        d = F.sqrt(F.pow(F.col("px") - F.col("tx"), F.lit(2.0)) + F.pow(F.col("py") - F.col("ty"), F.lit(2.0)))
-        near = targets.where("tx IS NOT NULL AND ty IS NOT NULL").join(F.broadcast(points.select("point_id", "px", "py")), F.lit(True)).select("point_id", "target_id", d.alias("distance")).where("distance IS NOT NULL")
-    else:
-        near = within_radius(points, targets, radius)
+    near = nearest_anywhere(points, targets) if radius is None else within_radius(points, targets, radius)
     best = near.groupBy("point_id").agg(F.min(F.struct("distance", "target_id")).alias("b"))
     return points.select("point_id").join(best, "point_id", "left").select("point_id", "b.target_id", "b.distance")
 
 
+def squared(a, lo, hi):
+    """Of a number and an interval: the squares of the distance, of that to the nearer end and of that to the farther end."""
+    outside = F.greatest(lo - a, a - hi, F.lit(0.0))
+    near, far = F.least(F.abs(a - lo), F.abs(a - hi)), F.greatest(F.abs(a - lo), F.abs(a - hi))
+    return outside * outside, near * near, far * far
+
+
+def nearest_anywhere(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """(point_id, target_id, distance) of targets among which is the nearest of each point.
+
+    Targets are put into cells, cells into cells of four times the side, and so on; each keeps the box
+    around its targets. A point starts in the one cell at the top, and meets sixteen boxes. Each step joins its cells to the
+    cells in them, by number, and keeps those that can't be excluded: as every side of a box has a
+    target on it, the nearest one is no farther than the nearer side's farther corner. So a point holds
+    few cells at every level, and meets the targets of the last ones alone.
+    """
+    places = targets.where("tx IS NOT NULL AND ty IS NOT NULL").groupBy("tx", "ty").agg(F.min("target_id").alias("target_id"))
+    size = places.agg(F.count("*").alias("n"), *[f(c).alias(f"{k}{c}") for c in ("tx", "ty") for k, f in (("lo", F.min), ("hi", F.max))]).first()  # one row
+    levels = 2 * math.ceil(max(0.0, math.log(max(size["n"], 1) / PER_CELL, 4)) / 2)
+    side = 1 << levels
+    edge = max(size["hitx"] - size["lotx"], size["hity"] - size["loty"]) / side if size["n"] else 0.0
+    number = lambda c: F.least(F.lit(side - 1), F.floor((F.col(c) - size[f"lo{c}"]) / edge)).cast("long") if edge else F.lit(0).cast("long")
+    places = places.withColumn("cx", number("tx")).withColumn("cy", number("ty"))
+
+    here = points.where("px IS NOT NULL AND py IS NOT NULL").select("point_id", "px", "py").withColumn("cx", F.lit(0).cast("long")).withColumn("cy", F.lit(0).cast("long"))
+    own = Window.partitionBy("point_id", "px", "py")
+    for level in range(2, levels + 1, 2):
+        up = levels - level
+        cell = [F.shiftright(c, up).alias(c) for c in ("cx", "cy")]
+        boxes = places.groupBy(*cell).agg(*[f(c).alias(f"{k}{c}") for c in ("tx", "ty") for k, f in (("lo", F.min), ("hi", F.max))])
+        boxes = boxes.select(F.shiftright("cx", 2).alias("ux"), F.shiftright("cy", 2).alias("uy"), F.col("cx").alias("nx"), F.col("cy").alias("ny"), "lotx", "hitx", "loty", "hity")
+        boxes = F.broadcast(boxes) if level <= SENT_LEVELS else boxes
+        met = here.join(boxes, (F.col("cx") == F.col("ux")) & (F.col("cy") == F.col("uy")))
+        (out_x, near_x, far_x), (out_y, near_y, far_y) = (squared(F.col(p), F.col(f"lo{t}"), F.col(f"hi{t}")) for p, t in (("px", "tx"), ("py", "ty")))
+        met = met.withColumn("least", out_x + out_y).withColumn("most", F.least(near_x + far_y, near_y + far_x))
+        met = met.withColumn("bound", F.min("most").over(own)).where(F.col("least") <= F.col("bound") * (1 + 1e-9) + 1e-9)
+        here = met.select("point_id", "px", "py", F.col("nx").alias("cx"), F.col("ny").alias("cy"))
+    d = F.sqrt(F.pow(F.col("px") - F.col("tx"), F.lit(2.0)) + F.pow(F.col("py") - F.col("ty"), F.lit(2.0)))
+    last = places if levels else F.broadcast(places)  # one cell: PER_CELL places at most
+    return here.join(last, ["cx", "cy"]).select("point_id", "target_id", d.alias("distance"))
+
+
 def bin_spacing(targets: DataFrame, sample: int = 200, radius: float | None = None) -> DataFrame:
     """The median distance from a sampled target to its nearest other one; the sample is by hash, so it repeats."""
     s = targets.orderBy(F.xxhash64("target_id"), "target_id").limit(sample).select(F.col("target_id").alias("point_id"), F.col("tx").alias("px"), F.col("ty").alias("py"))
@@ -61,13 +103,47 @@ def bin_spacing(targets: DataFrame, sample: int = 200, radius: float | None = No
 def idw(cells: DataFrame, wells: DataFrame, power: float = 2.0, floor: float = 1.0) -> DataFrame:
     """(cell_id, value): the mean of the wells' values, weighted by distance ** -power, at least `floor` apart.
 
-    cells: cell_id, x, y; wells: wx, wy, value — few (counted), as every cell is a mean of all.
+    cells: cell_id, x, y (one without a place has no value); wells: wx, wy, value (those that lack one
+    don't count). Every cell is a mean of all wells, so the work is cells times wells; it is done in
+    arrays, a tile of cells against a tile of wells, and only sums leave a task: a row for each cell,
+    or for each cell and tile of wells where there are too many wells (SMALL) to send around.
     """
-    if wells.limit(SMALL + 1).count() > SMALL:
-        raise ValueError(f"over {SMALL} wells")
-    d = F.greatest(F.sqrt(F.pow(F.col("x") - F.col("wx"), F.lit(2.0)) + F.pow(F.col("y") - F.col("wy"), F.lit(2.0))), F.lit(floor))
-    w = F.pow(d, F.lit(-power))
-    return cells.join(F.broadcast(wells), F.lit(True)).groupBy("cell_id").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("value"))
+    known = wells.where("wx IS NOT NULL AND wy IS NOT NULL AND value IS NOT NULL").groupBy("wx", "wy").agg(F.sum("value").alias("v"), F.count("*").alias("n"))
+    count = known.count()
+    tiles = max(1, math.ceil(count / WELLS))
+    packed = known.groupBy(F.pmod(F.xxhash64("wx", "wy"), F.lit(tiles)).alias("tile")).agg(F.sort_array(F.collect_list(F.struct("wx", "wy", "v", "n"))).alias("w"))
+    packed = packed.select("tile", *[F.col(f"w.{c}").alias(c) for c in ("wx", "wy", "v", "n")])
+    kind = cells.schema["cell_id"].dataType.simpleString()
+
+    def pack(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, CELLS):
+                part = b.slice(k, CELLS)
+                ends = pa.array([0, part.num_rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, part.column(c)) for c in ("cell_id", "x", "y")], ["ids", "x", "y"])
+
+    def sums(batches):
+        held = None  # ids and sums of a tile of cells, while rows of the same come in
+        for b in batches:
+            for k in range(b.num_rows):
+                ids = b.column("ids").slice(k, 1).flatten()
+                x, y, wx, wy, v, n = (b.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "wx", "wy", "v", "n"))
+                d = np.maximum(np.hypot(x[:, None] - wx, y[:, None] - wy), floor) ** -power
+                if held and held[0].equals(ids):
+                    held[1] += d @ v
+                    held[2] += d @ n
+                else:
+                    if held:
+                        yield pa.RecordBatch.from_arrays([held[0], pa.array(held[1]), pa.array(held[2])], ["cell_id", "top", "bottom"])
+                    held = [ids, d @ v, d @ n]
+        if held:
+            yield pa.RecordBatch.from_arrays([held[0], pa.array(held[1]), pa.array(held[2])], ["cell_id", "top", "bottom"])
+
+    tiled = cells.select("cell_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).mapInArrow(pack, f"ids array<{kind}>, x array<double>, y array<double>")
+    tiled = tiled.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
+    both = tiled.join(F.broadcast(packed) if count <= SMALL else packed, "tile").drop("tile")
+    value = F.sum("top") / F.when(F.sum("bottom") > 0, F.sum("bottom"))
+    return both.mapInArrow(sums, f"cell_id {kind}, top double, bottom double").groupBy("cell_id").agg(F.when(~F.isnan(value), value).alias("value"))
 
 
 def axis_fit(wells: DataFrame, survey: DataFrame) -> DataFrame:

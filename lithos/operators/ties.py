@@ -114,10 +114,9 @@ def fit_gardner(v: np.ndarray, rho: np.ndarray, least: int = 20) -> tuple[float,
         h = j.T @ j
         step = np.linalg.solve(h + damp * np.diag(np.diag(h)), j.T @ (rho - a * p))
         new = cost(a + step[0], b + step[1])
-        if new < best:
-            done = best - new < 1e-15 * best
-            a, b, best, damp = a + step[0], b + step[1], new, damp / 3
-            if done:
+        if new <= best * (1 + 1e-13):  # rounding at the optimum is no step back
+            a, b, best, damp = a + step[0], b + step[1], new, damp / 10
+            if np.abs(step).max() < 1e-12 * (abs(a) + abs(b)):
                 break
         else:
             damp *= 4

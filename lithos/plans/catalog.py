@@ -444,11 +444,31 @@ def time_frequency_features(spark, sf_dir):
     return spectral.trace_features(D.traces(spark, sf_dir))
 
 
-@query()
+#: Least squares on the density itself, from a line through the logarithms on by steps of Gauss and Newton.
+GARDNER = f"""WITH {D.LOGS_SQL}, gp AS (SELECT well_id, 0.3048::DOUBLE * 1e6 / DT AS v, RHOB AS y FROM logs WHERE DT > 0 AND RHOB > 0), gn AS (SELECT well_id, count(*) FILTER (DT IS NOT NULL AND RHOB IS NOT NULL) AS n FROM logs GROUP BY well_id),
+g0 AS (SELECT well_id, exp(regr_intercept(ln(y), ln(v))) AS a, regr_slope(ln(y), ln(v)) AS b FROM gp GROUP BY well_id HAVING count(*) >= 20)""" + "".join(f""",
+s{k} AS (SELECT well_id, a, b, sum(p * p) AS aa, sum(p * q) AS ab, sum(q * q) AS bb, sum(p * e) AS ae, sum(q * e) AS be FROM (SELECT well_id, a, b, pow(v, b) AS p, a * pow(v, b) * ln(v) AS q, y - a * pow(v, b) AS e FROM gp JOIN g{k - 1} USING (well_id)) GROUP BY well_id, a, b),
+g{k} AS (SELECT well_id, a + (bb * ae - ab * be) / (aa * bb - ab * ab) AS a, b + (aa * be - ab * ae) / (aa * bb - ab * ab) AS b FROM s{k})""" for k in range(1, 13))
+
+
+@query(GARDNER + f" SELECT gn.well_id, n, {r('a')}, {r('b')} FROM gn LEFT JOIN g12 ON g12.well_id = gn.well_id")
 def gardner_coefficients(spark, sf_dir):
     return ties.gardner_coefficients(D.logs(spark, sf_dir))
 
 
+#: Of the wavelet transform at 5, 10, .. 100 Hz: peak, centroid, width, entropy and the shares of three bands, by sample.
+CWT_FEATURES = f"""{MORLET}, cw AS (SELECT o.trace_idx, o.i, band, any_value(f) AS f, sqrt(pow(sum(s.x * c), 2) + pow(sum(s.x * d), 2)) AS e FROM smp o JOIN smp s ON s.trace_idx = o.trace_idx JOIN mk ON lag = o.i - s.i GROUP BY o.trace_idx, o.i, band),
+ct AS (SELECT *, sum(e) OVER w + 1e-12 AS t FROM cw WINDOW w AS (PARTITION BY trace_idx, i)), cc AS (SELECT *, e / t AS p, sum(e / t * f) OVER w AS centre FROM ct WINDOW w AS (PARTITION BY trace_idx, i)),
+ft AS (SELECT trace_idx, i, arg_max(f, round(e, 9)) AS cwt_dominant_freq_hz, max(e) AS cwt_peak_amp, sqrt(sum(p * pow(f - centre, 2))) AS cwt_bandwidth_hz, any_value(centre) AS cwt_centroid_hz, -sum(p * ln(p + 1e-12)) / ln(20.0::DOUBLE) AS cwt_entropy,
+  sum(p) FILTER (f < 5 + 95.0::DOUBLE / 3) AS cwt_energy_low, sum(p) FILTER (f >= 5 + 95.0::DOUBLE / 3 AND f < 5 + 190.0::DOUBLE / 3) AS cwt_energy_mid, sum(p) FILTER (f >= 5 + 190.0::DOUBLE / 3) AS cwt_energy_high FROM cc GROUP BY trace_idx, i)"""
+CWT_NAMES = [f"cwt_{n}" for n in spectral.FEATURES]
+
+
+@query(f"WITH {D.TRACES_SQL}, {SAMPLES}, {CWT_FEATURES} SELECT trace_idx, CAST(i AS INTEGER) AS time_idx, {', '.join(r(c) for c in CWT_NAMES)} FROM ft")
+def cwt_features(spark, sf_dir):
+    return spectral.trace_features(D.traces(spark, sf_dir), CWT_NAMES)
+
+
 @query(f"""WITH {D.WELLS_SQL}, {D.TRACES_SQL}, b AS (SELECT min(tx) AS lx, max(tx) AS hx, min(ty) AS ly, max(ty) AS hy FROM traces)
 SELECT well_id, coalesce(wx BETWEEN lx - greatest(0.2 * (hx - lx), 500) AND hx + greatest(0.2 * (hx - lx), 500) AND wy BETWEEN ly - greatest(0.2 * (hy - ly), 500) AND hy + greatest(0.2 * (hy - ly), 500), false) AS aligned
 FROM (SELECT well_id, wx * 2 AS wx, wy FROM wells), b""")

@@ -115,6 +115,32 @@ def amplitude_features(spark, sf_dir):
     return D.traces(spark, sf_dir).select("trace_idx", F.posexplode("samples").alias("time_idx", "amplitude"))
 
 
+#: What models are fed: the instantaneous attributes and the shape of the wavelet transform (synchrosqueezed shapes come on top, without SQL).
+MODEL_SQL = ["inst_amplitude", "inst_envelope", "inst_freq_hz", *C.CWT_NAMES]
+INSTANT = """ph AS (SELECT trace_idx, i, x, sqrt(x * x + y * y) AS e, atan2(y, x) AS p FROM ana),
+df AS (SELECT *, p - lag(p) OVER w AS d FROM ph WINDOW w AS (PARTITION BY trace_idx ORDER BY i)), un AS (SELECT *, d - 2 * pi() * round(d / (2 * pi())) AS u FROM df),
+fi AS (SELECT trace_idx, i, x AS inst_amplitude, e AS inst_envelope, CASE WHEN u IS NULL THEN lead(u) OVER w WHEN lead(u) OVER w IS NULL THEN u ELSE (u + lead(u) OVER w) / 2 END / (2 * pi() * 0.002) AS inst_freq_hz FROM un WINDOW w AS (PARTITION BY trace_idx ORDER BY i))"""
+MODEL_FEATURES = f"{HILBERT}, {INSTANT}, {C.CWT_FEATURES}"
+
+
+@query(NEIGHBOURS + f""", {MODEL_FEATURES} SELECT px.well_id, nb.trace_idx, time_idx, {r('depth')}, {r('GR')}, {r('NPHI')}, {', '.join(r(c) for c in MODEL_SQL)}, {as_r('distance', 'distance')}, {as_r('1.0::DOUBLE / (1.0::DOUBLE + distance)', 'weight')}
+FROM (SELECT well_id, time_idx, depth, GR, NPHI FROM px) px JOIN nb USING (well_id) JOIN fi ON fi.trace_idx = nb.trace_idx AND fi.i = time_idx JOIN ft ON ft.trace_idx = nb.trace_idx AND ft.i = time_idx""")
+def model_samples(spark, sf_dir):
+    t = D.traces(spark, sf_dir)
+    near = K.around(D.ties(spark, sf_dir), t)
+    used = t.join(near.select("trace_idx").distinct(), "trace_idx", "left_semi")  # the transforms of neighbours alone
+    out = K.samples(in_context(spark, sf_dir), near, spectral.trace_features(used, MODEL_SQL))
+    return out.select("well_id", "trace_idx", "time_idx", "depth", *CURVES, *MODEL_SQL, "distance", "weight")
+
+
+@query(PROPERTIES + f""", {MODEL_FEATURES} SELECT well_id, px.trace_idx, time_idx, {r('depth')}, {r('GR')}, {r('NPHI')}, {', '.join(r(c) for c in MODEL_SQL)}, 1.0::DOUBLE AS weight
+FROM px JOIN fi ON fi.trace_idx = px.trace_idx AND fi.i = time_idx JOIN ft ON ft.trace_idx = px.trace_idx AND ft.i = time_idx""")
+def blind_samples(spark, sf_dir):
+    t, own = D.traces(spark, sf_dir), D.ties(spark, sf_dir)
+    out = K.centre_samples(in_context(spark, sf_dir), spectral.trace_features(t.join(own, "trace_idx", "left_semi"), MODEL_SQL))
+    return out.select("well_id", "trace_idx", "time_idx", "depth", *CURVES, *MODEL_SQL, "weight")
+
+
 @query(NEIGHBOURS + f""", {SAMPLES} SELECT px.well_id, nb.trace_idx, time_idx, {r('GR')}, {as_r('x', 'amplitude')}, {as_r('1.0::DOUBLE / (1.0::DOUBLE + distance)', 'weight')}
 FROM (SELECT well_id, time_idx, GR FROM px) px JOIN nb USING (well_id) JOIN smp ON smp.trace_idx = nb.trace_idx AND i = time_idx""")
 def tie_samples(spark, sf_dir):
