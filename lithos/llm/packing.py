@@ -1,13 +1,16 @@
-"""Best-fit packing of token sequences: local packing, then a matching of underfull bins by counts.
+"""Hierarchical residual packing of token sequences: local best fit, then a tree of merges of underfull bins.
 
 Documents become pieces of at most `size` tokens (only longer documents are cut). Groups of pieces
-are packed best-fit, largest first; a bin that is nearly full is finished, the underfull ones are
-the items of a second round. It packs all of them best-fit, largest first, but by counts: what
-matters of an item is its fill, so the driver needs only the number of bins of each fill (at most
-`size` numbers) and says which fills go together and how often. The k-th bin of a fill, counted
-over the groups, then knows its sequence, and the bins of one sequence meet. No task ever holds
-more than a group of the first round. Nothing is ever split, dropped or padded, and a bin carries
-its pieces along, so no join of pieces is needed at the end.
+are packed best-fit, largest first. A bin that is nearly full is finished; the underfull ones are items
+of the next round, in which the items of `fan` groups make one group and are packed best-fit again, and
+so on until one group is left.
+
+What keeps the groups small is a count of open bins by fill, `size` numbers on the driver: best fit by
+counts says how many bins of each fill would stay alone if all open bins were packed together, and as
+many are finished as they are. Best fit leaves a group at most one bin that is half full or less, and a
+bin that will be merged needs such a one, so no more than two open bins for each group go up the tree:
+a group of a later round has some 2 * fan items, whatever the corpus. Nothing is ever split, dropped or
+padded, and a bin carries its pieces along, so no join of pieces is needed at the end.
 
 Nulls and empty texts are documents of one token, the end mark. A repeated row is packed as often
 as it comes. Ties are broken by (length, id, piece). An empty table gives no rows. A column of the
@@ -32,8 +35,9 @@ from lithos.llm.common import chunks, materialize
 TOKENIZER = "word_bpe_49k.json"
 SIZE = 2048
 END = 0
-#: Items that one group packs, and the room that a finished bin may leave.
+#: Items that one group packs, groups that one of the next round takes, and the room that a finished bin may leave.
 GROUP = 40_000
+FAN = 64
 ROOM = 8
 #: Words that a task keeps the ids of; characters of text handled at once.
 KEPT = 300_000
@@ -192,70 +196,56 @@ def match(counts: dict[int, int], size: int = SIZE) -> list[tuple[list[tuple[int
     return [x for r in room for x in r]
 
 
-def slots(kinds: list[tuple[list[tuple[int, int]], int]]) -> tuple[np.ndarray, ...]:
-    """fill, first number, times, first bin and whether it is alone there: where the items of a fill go, in the order of their numbers."""
-    used: dict[int, int] = {}
-    out, base = [], 0
-    for kind, n in kinds:
-        alone = len(kind) == 1 and kind[0][1] == 1
-        for s, times in kind:
-            out.append((s, used.get(s, 0), times, base, alone))
-            used[s] = used.get(s, 0) + times * n
-        base += n
-    return tuple(np.array(c, np.int64) for c in zip(*sorted(out)))
+def alone(counts: dict[int, int], size: int = SIZE) -> dict[int, int]:
+    """How many bins of each fill stay alone when all are packed best-fit."""
+    out: dict[int, int] = {}
+    for kind, n in match(counts, size):
+        if len(kind) == 1 and kind[0][1] == 1:
+            out[kind[0][0]] = out.get(kind[0][0], 0) + n
+    return out
 
 
-def pack(items: DataFrame, size: int = SIZE, group: int = GROUP, fan: int | None = None, room: int = ROOM) -> DataFrame:
-    """items (columns of pieces()) with sequence_id and offset. fan has no effect: there is one round after the first."""
+def pack(items: DataFrame, size: int = SIZE, group: int = GROUP, fan: int = FAN, room: int = ROOM) -> DataFrame:
+    """items (columns of pieces()) with sequence_id and offset."""
     names = [c for c in items.columns if c not in ("sequence_id", "offset")]
     items = items.select(*names)
-    n = items.count()
-    groups = max(1, math.ceil(n / group))
+    groups = max(1, math.ceil(items.count() / group))
     item = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in items.schema)
     schema = f"__group int, __bin long, __done boolean, __fill long, __rank long, __items array<struct<{item}>>"
     # the groups are dealt by a hash of the piece, so each holds sizes of every kind
-    dealt = items.select(F.pmod(F.xxhash64(*names), F.lit(groups)).cast("int").alias("__group"), F.col("length").alias("__fill"), F.array(F.struct(*names)).alias("__items"))
-    out = materialize(dealt.groupBy("__group").applyInArrow(_packer(size, room, groups == 1, names), schema))
-    bins = out.where("__done").select("__bin", "__items")
-    if groups > 1:
+    here = items.select(F.pmod(F.xxhash64(*names), F.lit(groups)).cast("int").alias("__group"), F.col("length").alias("__fill"), F.array(F.struct(*names)).alias("__items"))
+    bins, level = None, 0
+    while True:
+        out = materialize(here.groupBy("__group").applyInArrow(_packer(size, room, groups == 1, names, level), schema))
+        done = out.where("__done").select("__bin", "__items")
+        bins = done if bins is None else bins.unionByName(done)
+        if groups == 1:
+            break
         rest = out.where("NOT __done")
         counts = materialize(rest.groupBy("__fill", "__group").agg(F.count("*").alias("n")))
-        total = {r["__fill"]: r["n"] for r in counts.groupBy("__fill").agg(F.sum("n").alias("n")).collect()}
-        if total:
-            before = F.coalesce(F.sum("n").over(Window.partitionBy("__fill").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            known = rest.join(counts.select("__fill", "__group", before.alias("__before")), ["__fill", "__group"])
-            known = known.select("__bin", "__fill", (F.col("__before") + F.col("__rank")).alias("__rank"), "__items")
-            placed = materialize(known.mapInArrow(_placer(slots(match(total, size))), f"__bin long, __fill long, __items array<struct<{item}>>, __to long, __alone boolean"))
-            bins = bins.unionByName(placed.where("__alone").select("__bin", "__items"))
-            together = F.array_sort(F.collect_list(F.struct((-F.col("__fill")).alias("f"), F.col("__bin").alias("b"), F.col("__items").alias("i"))))
-            met = placed.where("NOT __alone").groupBy("__to").agg(F.flatten(F.transform(together, lambda x: x["i"])).alias("__items"))
-            bins = bins.unionByName(met.select(F.col("__to").bitwiseOR(F.lit(1 << 58)).alias("__bin"), "__items"))
+        total = {r["__fill"]: r["n"] for r in counts.groupBy("__fill").agg(F.sum("n").alias("n")).collect()}  # a number for each fill
+        if not total:
+            break
+        single = alone(total, size)
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("__fill").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        known = rest.join(counts.select("__fill", "__group", before.alias("__before")), ["__fill", "__group"])
+        # the first so many bins of a fill, counted over the groups, stay as they are
+        stay = rest.sparkSession.createDataFrame(list(single.items()), "__fill long, __stay long")
+        known = known.join(F.broadcast(stay), "__fill", "left")
+        stays = F.col("__before") + F.col("__rank") < F.coalesce("__stay", F.lit(0))
+        known = known.select((F.col("__group") / fan).cast("int").alias("__group"), "__bin", "__fill", "__items", stays.alias("__single"))
+        bins = bins.unionByName(known.where("__single").select("__bin", "__items"))
+        if single == total:
+            break
+        here = known.where("NOT __single").select("__group", "__fill", "__items")
+        groups, level = math.ceil(groups / fan), level + 1
     # pieces of a bin stand in the order of the array: the offset is the lengths before it
     placed = bins.select(F.col("__bin").alias("sequence_id"), F.posexplode("__items").alias("__at", "__item"), F.col("__items.length").alias("__lengths"))
     offset = F.aggregate(F.slice("__lengths", F.lit(1), F.col("__at")), F.lit(0).cast("long"), lambda a, x: a + x)
     return placed.select(*[F.col(f"__item.{c}").alias(c) for c in names], "sequence_id", offset.alias("offset"))
 
 
-def _placer(where: tuple[np.ndarray, ...]):
-    fills, first, times, base, alone = where
-
-    def run(batches):
-        for b in batches:
-            fill, rank = b.column("__fill").to_numpy(), b.column("__rank").to_numpy()
-            # the last slot of the fill that begins at the number or before
-            at = np.empty(len(fill), np.int64)
-            for s in np.unique(fill):
-                mine = fill == s
-                lo, hi = np.searchsorted(fills, [s, s + 1])
-                at[mine] = lo + np.searchsorted(first[lo:hi], rank[mine], "right") - 1
-            to = base[at] + (rank - first[at]) // times[at]
-            cols = [b.column("__bin"), b.column("__fill"), b.column("__items"), pa.array(to), pa.array(alone[at] > 0)]
-            yield pa.RecordBatch.from_arrays(cols, ["__bin", "__fill", "__items", "__to", "__alone"])
-
-    return run
-
-
-def _packer(size: int, room: int, last: bool, names: list[str]):
+def _packer(size: int, room: int, last: bool, names: list[str], level: int = 0):
     def run(key, table):
         group = key[0].as_py()
         items = table["__items"].combine_chunks()
@@ -279,7 +269,7 @@ def _packer(size: int, room: int, last: bool, names: list[str]):
         flat = flat.take(pa.array(np.concatenate(took) if took else np.zeros(0, np.int64)))
         full = np.array(fills, np.int64)
         done = np.ones(len(full), bool) if last else full >= size - room
-        ids = (np.int64(group) << 34) | np.arange(len(full), dtype=np.int64)
+        ids = (np.int64(level) << 58) | (np.int64(group) << 34) | np.arange(len(full), dtype=np.int64)
         # the number of each bin among the open ones of its fill
         rank = np.zeros(len(full), np.int64)
         open_ = np.flatnonzero(~done)
