@@ -1,7 +1,7 @@
 """Mixing sources to target weights by systematic sampling, with DataFrame functions only.
 
 Within a source every document has the same expected number of copies, target words / source
-words. The documents of a source stand in a fixed order (coarse size, then a hash of the id), the
+words. The documents of a source stand in a fixed order (coarse size, then a hash of id and text), the
 expected copies are summed along it, one offset of the source is added, and a document is emitted
 once for every integer its own stretch of that sum crosses. Documents of like size stand together,
 so the words taken come near the target as well as the copies do.
@@ -75,15 +75,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     is a function of the rows alone, so reruns agree however Spark deals them.
     """
     made = {"size", "source_size", "target", "copies", "taken"}
-    base = docs.select(*[c for c in docs.columns if c not in made and c != text], word_count(text).alias("size"))
+    # md5 rather than a Spark hash: the same order can be written in any SQL; with the text, rows of one id are dealt, too
+    own = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    base = docs.select(*[c for c in docs.columns if c not in made and c != text], word_count(text).alias("size"), F.md5(own).alias("__h"))
     base = materialize(base)
     targets = source_targets(base.select(F.col(source), F.col("size").alias("__size")), source, weights, share, most)
     rows = base.count()
     digits = 1
     while 16**digits < rows / (slice_rows * CLASSES) and digits < 6:
         digits += 1
-    # md5 rather than a Spark hash: the same order can be written in any SQL
-    base = base.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))).withColumn("__class", F.length(F.bin("size")) * 4 + F.when(F.col("size") >= 4, F.substring(F.bin("size"), 2, 2).cast("int")).otherwise(0))
+    base = base.withColumn("__class", F.length(F.bin("size")) * 4 + F.when(F.col("size") >= 4, F.substring(F.bin("size"), 2, 2).cast("int")).otherwise(0))
     base = base.withColumn("__slice", F.substring("__h", 1, digits))
     key = ["__source", "__class", "__slice"]
     base = base.withColumn("__source", F.col(source))
@@ -120,7 +121,7 @@ def op7_mixing(spark, sf_dir: str) -> DataFrame:
 OP7_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+         md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents),
 c AS (SELECT *, CASE WHEN size = 0 THEN '0' ELSE ltrim(bin(size), '0') END AS bits FROM d),
 e AS (SELECT *, length(bits) * 4 + CASE WHEN size >= 4 THEN CAST(substr(bits, 2, 2) AS INTEGER) ELSE 0 END AS class FROM c),
