@@ -25,7 +25,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     edges = materialize(edges)
     files = max(1, math.ceil(edges.count() / FILE_ROWS))
-    labels = materialize(edges.groupBy("x").agg(F.least(F.min("y"), F.min("x")).alias("l")).coalesce(files))
+    labels = materialize(edges.groupBy("x").agg(F.least(F.min("y"), F.min("x")).alias("l")).repartition(files))
     while True:
         # the least label among the neighbours
         near = edges.join(labels.select(F.col("x").alias("y"), F.col("l").alias("ln")), "y").groupBy("x").agg(F.min("ln").alias("ln"))
@@ -33,10 +33,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # each old label's node learns the new one, too: whole trees hook on at once
         hook = new.groupBy(F.col("old").alias("x")).agg(F.min("m").alias("h"))
         new = new.join(hook, "x", "left").select("x", "old", F.least("m", F.coalesce("h", "m")).alias("m"))
-        new = materialize(new.coalesce(files))
+        new = materialize(new.repartition(files))
         # pointer jumping: the label of the label
         jump = new.select(F.col("x").alias("m"), F.col("m").alias("mm"))
-        step = materialize(new.join(jump, "m", "left").select("x", F.least("m", F.coalesce("mm", "m")).alias("l"), "old").coalesce(files))
+        step = materialize(new.join(jump, "m", "left").select("x", F.least("m", F.coalesce("mm", "m")).alias("l"), "old").repartition(files))
         moved = step.where("l <> old").limit(1).count()
         release(labels, new)
         labels = step
