@@ -750,7 +750,7 @@ def test_packing_has_no_group_of_all_underfull_bins(spark, monkeypatch, lengths)
 
 
 def test_packing_merges_underfull_bins_over_several_levels(spark, monkeypatch):
-    """Sixty groups of fifty, two to one: every level packs, groups stay small, and hardly a bin is lost to the tree."""
+    """Sixty groups of fifty, two to one: every level packs, groups stay small, and the tree costs a bin for six groups at most."""
     r = random.Random(12)
     size = [r.choice([r.randint(1, 200), r.randint(600, 1400)]) for _ in range(3000)]
     items = spark.createDataFrame([(i, 0, 0, s, i) for i, s in enumerate(size)], "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -779,7 +779,7 @@ def test_packing_merges_underfull_bins_over_several_levels(spark, monkeypatch):
     assert len(got) == len(size) and max(bins.values()) <= 2048
     monkeypatch.setattr(packing, "_packer", real)
     at_once = packing.pack(items, group=50, fan=10**6).select("sequence_id").distinct().count()  # all open bins in one group
-    assert len(bins) <= at_once + 3 and at_once <= len(packing.best_fit(size)) * 1.04
+    assert len(bins) <= at_once + 10 and at_once <= len(packing.best_fit(size)) * 1.04
 
 
 def test_rows_of_one_id_are_mixed_alike_whatever_the_partitions(spark):
