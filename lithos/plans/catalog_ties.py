@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lithos.operators import context as K
-from lithos.operators import reports, spectral, synthetics, ties
+from lithos.operators import records, reports, spectral, synthetics, ties
 from lithos.operators import wells as W
 from lithos.plans import catalog as C
 from lithos.plans import standins as D
@@ -211,3 +211,23 @@ def time_frequency_swt(spark, sf_dir):
     short = F.when(F.col("trace_idx") % 2 == 0, F.col("samples")).otherwise(F.slice("samples", 1, 50))
     e = spectral.decompose(D.traces(spark, sf_dir).withColumn("samples", short), "swt")
     return e.select("trace_idx", "band", (F.aggregate("energy", F.lit(0.0), lambda a, x: a + x) / F.size("energy")).alias("mean_energy"))
+
+
+# records of wells: tie, synthetic and line spectrum in one row
+RECORDS = SEISMOGRAM + "," + GRID[len(f"{RESOLVED}, {KEPT},") :] + f""",
+ls AS (SELECT inline, bin, avg(sqrt(re * re + im * im)) AS m FROM (SELECT inline, trace_idx, bin, sum(x * cos(2 * pi() * (bin * i % 64) / 64)) AS re, sum(x * sin(2 * pi() * (bin * i % 64) / 64)) AS im
+  FROM (SELECT inline, trace_idx, generate_subscripts(samples, 1) - 1 AS i, unnest(samples) AS x FROM traces), (SELECT unnest(range(33)) AS bin) GROUP BY inline, trace_idx, bin) GROUP BY inline, bin),
+lp AS (SELECT inline, bin AS pb, m AS pm FROM (SELECT *, row_number() OVER (PARTITION BY inline ORDER BY round(m, 9) DESC, bin) AS q FROM ls WHERE bin > 0) WHERE q = 1),
+lb AS (SELECT inline, any_value(pb) * 7.8125::DOUBLE AS dominant, (max(bin) FILTER (m >= pm / sqrt(2.0::DOUBLE)) - min(bin) FILTER (m >= pm / sqrt(2.0::DOUBLE))) * 7.8125::DOUBLE AS bandwidth, avg(m) FILTER (m >= pm / sqrt(2.0::DOUBLE)) / avg(m) FILTER (m < pm / sqrt(2.0::DOUBLE)) AS snr FROM ls JOIN lp USING (inline) GROUP BY inline),
+rl AS (SELECT wt.*, inline, crossline, wt.error IS NULL AS ok FROM wt LEFT JOIN traces ON traces.trace_idx = wt.trace_idx),
+ry AS (SELECT tr.well_id, samples IS NOT NULL AS avail, cc.correlation AS c, bl.lag * 2.0::DOUBLE AS s, abs(3045 - top) / top <= 0.5 AS plausible FROM tr LEFT JOIN cc ON cc.well_id = tr.well_id LEFT JOIN bl ON bl.well_id = tr.well_id LEFT JOIN tp1 ON tp1.well_id = tr.well_id)"""
+
+
+@query(RECORDS + f""" SELECT rl.well_id, ok AS tie_available, error AS tie_error, {as_r('CASE WHEN ok THEN rl.correlation END', 'tie_correlation')}, CASE WHEN ok THEN boundary_pinned END AS tie_boundary_pinned, CASE WHEN ok THEN low_confidence END AS tie_low_confidence,
+CASE WHEN ok THEN frequency END AS tie_frequency, CASE WHEN ok THEN polarity END AS tie_polarity, CASE WHEN ok THEN shift_ms END AS tie_shift_ms, CASE WHEN ok THEN trace_idx END AS tie_trace_idx, CASE WHEN ok THEN rl.inline END AS tie_inline, CASE WHEN ok THEN crossline END AS tie_crossline,
+avail AS synthetic_available, CASE WHEN NOT avail THEN 'no trace' END AS synthetic_error, {as_r('CASE WHEN avail THEN c END', 'synthetic_correlation')}, CASE WHEN avail THEN c < 0.3 OR abs(s) >= 285 OR NOT plausible END AS synthetic_low_confidence, CASE WHEN avail THEN s END AS synthetic_shift_ms,
+ok AND lb.inline IS NOT NULL AS spectral_available, CASE WHEN ok THEN lb.inline END AS spectral_inline, CASE WHEN ok THEN dominant END AS spectral_dominant_freq_hz, CASE WHEN ok THEN bandwidth END AS spectral_bandwidth_hz, {as_r('CASE WHEN ok THEN snr END', 'spectral_snr_proxy')}
+FROM rl JOIN ry ON ry.well_id = rl.well_id LEFT JOIN lb ON lb.inline = rl.inline""")
+def well_records(spark, sf_dir):
+    out = records.well_records(searched(spark, sf_dir), made(spark, sf_dir), D.traces(spark, sf_dir))
+    return out.drop("tie_distance", "synthetic_boundary_pinned", "synthetic_datum_plausible", "synthetic_washout_count", "synthetic_polarity")

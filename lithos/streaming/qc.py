@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Files of one trigger: their names go through the driver.
+FILES = 1000
+
+
 def window_quality(events: DataFrame, every: str = "1 day", late: str = "1 day") -> DataFrame:
     """Rows, missing values and mean by time window and type; works on streams (with a watermark) and tables."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -20,10 +24,10 @@ def arriving_wells(spark: SparkSession, folder: str, into: str, checkpoint: str)
     from lithos.sources.store import TableStore
 
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.[lL][aA][sS]").load(folder)
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", "*.[lL][aA][sS]").option("maxFilesPerTrigger", FILES).load(folder)
 
     def keep(batch: DataFrame, _: int) -> None:
-        paths = [r["path"] for r in batch.select("path").collect()]  # names of the files of one trigger
+        paths = [r["path"] for r in batch.select("path").collect()]  # FILES names at most
         if paths:
             ingest_wells(batch.sparkSession, paths, TableStore(batch.sparkSession, into))
 
