@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from lithos.functions.columns import is_true, no_sentinel, per_well
 
 CURVES = ("GR", "RESISTIVITY", "RHOB", "NPHI", "DT")
-#: Unit and the range of a curve's median that tells it; the first that fits counts.
+# Units and the range of a curve's median that tells them; the first that fits counts.
 UNIT_RANGES = {
     "DT": [("us_per_ft", 20.0, 160.0), ("us_per_m", 100.0, 550.0)],
+    "RHOB": [("g_cc", 1.0, 3.2)],
+    "GR": [("api", 0.0, 300.0)],
+    "NPHI": [("v_v", 0.0, 1.0)],
 }
 FOOT = 0.3048
 
@@ -42,6 +45,24 @@ def infer_unit(df: DataFrame, curve: str = "DT", ranges=None) -> DataFrame:
     return m.withColumn("unit", unit)
 
 
+def resolve_units(logs: DataFrame, declared: DataFrame, aliases: dict[str, str], ranges=None) -> DataFrame:
+    """A row for each well and curve of UNIT_RANGES: where its unit comes from.
+
+    declared: (well_id, curve, declared). A declared unit that is known (whatever its case and blanks)
+    counts; else the curve's median tells it, and low and high say by which range. converted: whether
+    normalise_dt() has to change the curve.
+    """
+    ranges = ranges or UNIT_RANGES
+    medians = logs.groupBy("well_id").agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in ranges])
+    long = medians.select("well_id", F.explode(F.array(*[F.struct(F.lit(c).alias("curve"), F.col(c).alias("median")) for c in ranges])).alias("m")).select("well_id", "m.*")
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    told = F.coalesce(*[F.when((F.col("curve") == c) & (F.col("median") >= lo) & (F.col("median") <= hi), F.struct(F.lit(u).alias("unit"), F.lit(lo).alias("low"), F.lit(hi).alias("high"))) for c, of in ranges.items() for u, lo, hi in of])
+    d = long.join(declared.select("well_id", "curve", "declared"), ["well_id", "curve"], "left")
+    d = d.withColumn("__own", known[F.lower(F.trim(F.coalesce("declared", F.lit(""))))]).withColumn("__told", F.when(F.col("__own").isNull(), told))
+    unit = F.coalesce("__own", "__told.unit")
+    return d.select("well_id", "curve", "declared", unit.alias("unit"), F.col("__own").isNull().alias("inferred"), F.col("__told.low").alias("low"), F.col("__told.high").alias("high"), is_true((F.col("curve") == "DT") & (unit == "us_per_m")).alias("converted"))
+
+
 def normalise_dt(df: DataFrame, units: DataFrame) -> DataFrame:
     """DT in us_per_ft, by the unit of each well (well_id, unit)."""
     u = units.select("well_id", F.col("unit").alias("__unit"))

@@ -422,3 +422,22 @@ def normalised_sonic(spark, sf_dir):
     d = D.logs(spark, sf_dir)
     units = d.select("well_id").distinct().withColumn("unit", F.when(of_seven().isin(1, 4), "us_per_m").otherwise("us_per_ft"))
     return cleaning.normalise_dt(d, units).select("well_id", "row_idx", "DT")
+
+
+DECLARED = """dc AS (SELECT well_id, 'DT' AS curve, CASE m WHEN 1 THEN 'US/M ' WHEN 2 THEN 'furlong' WHEN 3 THEN 'us/f' END AS declared FROM wn UNION ALL SELECT well_id, 'RHOB', CASE WHEN m < 3 THEN 'K/M3' END FROM wn UNION ALL SELECT well_id, 'NPHI', 'frac' FROM wn WHERE m > 3)"""
+
+
+@query(f"""WITH {D.LOGS_SQL}, {D.NUMBERS_SQL}, {DECLARED}, me AS (SELECT well_id, unnest(['DT', 'RHOB', 'GR', 'NPHI']) AS curve, unnest([dt, rhob, gr, nphi]) AS median FROM (SELECT well_id, quantile_cont(DT * CASE WHEN CAST(substr(well_id, 2) AS INTEGER) % 7 = 5 THEN 3.2808 ELSE 1 END, 0.5) AS dt, quantile_cont(RHOB, 0.5) AS rhob, quantile_cont(GR * 4, 0.5) AS gr, quantile_cont(NPHI, 0.5) AS nphi FROM logs GROUP BY well_id)),
+un AS (SELECT me.*, declared, CASE lower(trim(declared)) WHEN 'us/m' THEN 'us_per_m' WHEN 'us/f' THEN 'us_per_ft' WHEN 'k/m3' THEN 'kg_m3' WHEN 'frac' THEN 'v_v' END AS own FROM me LEFT JOIN dc USING (well_id, curve)),
+to_ AS (SELECT *, CASE WHEN own IS NOT NULL THEN NULL WHEN curve = 'DT' AND median BETWEEN 20 AND 160 THEN ['us_per_ft', '20', '160'] WHEN curve = 'DT' AND median BETWEEN 100 AND 550 THEN ['us_per_m', '100', '550'] WHEN curve = 'RHOB' AND median BETWEEN 1 AND 3.2 THEN ['g_cc', '1', '3.2'] WHEN curve = 'GR' AND median BETWEEN 0 AND 300 THEN ['api', '0', '300'] WHEN curve = 'NPHI' AND median BETWEEN 0 AND 1 THEN ['v_v', '0', '1'] END AS told FROM un)
+SELECT well_id, curve, declared, coalesce(own, told[1]) AS unit, own IS NULL AS inferred, CAST(told[2] AS DOUBLE) AS low, CAST(told[3] AS DOUBLE) AS high, curve = 'DT' AND coalesce(coalesce(own, told[1]) = 'us_per_m', false) AS converted FROM to_""")
+def unit_audit(spark, sf_dir):
+    from lithos.operators import cleaning
+    from lithos.sources.las import UNITS
+
+    m = F.col("m")
+    n = D.numbers(spark, sf_dir)
+    declared = n.select("well_id", F.lit("DT").alias("curve"), F.when(m == 1, "US/M ").when(m == 2, "furlong").when(m == 3, "us/f").alias("declared"))
+    declared = declared.unionByName(n.select("well_id", F.lit("RHOB").alias("curve"), F.when(m < 3, "K/M3").alias("declared"))).unionByName(n.where("m > 3").select("well_id", F.lit("NPHI").alias("curve"), F.lit("frac").alias("declared")))
+    d = D.logs(spark, sf_dir).withColumn("GR", F.col("GR") * 4).withColumn("DT", F.when(of_seven() == 5, F.col("DT") * 3.2808).otherwise(F.col("DT")))
+    return cleaning.resolve_units(d, declared, UNITS)

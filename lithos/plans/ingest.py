@@ -12,22 +12,32 @@ from lithos.sources import las, segy
 from lithos.sources.store import TableStore
 
 
-def resolved_units(logs: DataFrame, heads: DataFrame, curve: str = "DT") -> DataFrame:
-    """(well_id, unit): the unit that the file declares, else the one that the curve's median tells."""
-    told = cleaning.infer_unit(logs, curve).select("well_id", F.col("unit").alias("__told"))
-    return heads.where("error IS NULL").join(told, "well_id", "left").select("well_id", F.coalesce("dt_unit", "__told").alias("unit"))
-
-
 def ingest_wells(spark: SparkSession, paths, store: TableStore) -> DataFrame:
-    """Read, put units right, interpret and keep all wells of a folder or of a list of files; returns their summaries. Files that can't be read are in las.errors()."""
-    heads = las.heads(spark, paths)
-    logs = las.read(spark, paths)
-    logs = cleaning.normalise_dt(logs, resolved_units(logs, heads))
-    known = heads.where("error IS NULL").select("well_id", "well_name", "x", "y", "kb", "td", "stop")
-    store.save("wells", interpretation(logs), "well_id")
-    store.save("heads", cleaning.standardise_header(known), "well_id")
-    ids = known.select("well_id")
-    return wells.well_summary(store.get("wells").join(ids, "well_id", "left_semi"))
+    """Read, put units right, interpret and keep all wells of a folder or of a list of files; returns their summaries.
+
+    Files are parsed once. Where each curve's unit comes from is kept as units; files that can't be used
+    are kept, with the reason, as failures.
+    """
+    found = las.parsed(spark, paths).persist()
+    try:
+        logs = las.rows(found)
+        units = cleaning.resolve_units(logs, las.declared(found), las.UNITS)
+        store.save("units", units, "well_id")
+        dt = store.get("units").where("curve = 'DT'").select("well_id", "unit")
+        heads = las.heads_of(found)
+        known = heads.where("error IS NULL").select("well_id", "well_name", "x", "y", "kb", "td", "stop")
+        store.save("wells", interpretation(cleaning.normalise_dt(logs, dt)), "well_id")
+        store.save("heads", cleaning.standardise_header(known), "well_id")
+        bad = heads.where("error IS NOT NULL").select("well_id", "path", "error")
+        if not bad.isEmpty():
+            store.save("failures", bad, "well_id")
+        ids = [r["well_id"] for r in known.select("well_id").limit(10_001).collect()]
+        mine = store.get("wells")
+        # few wells are named, so their partitions alone are read
+        mine = mine.where(F.col("well_id").isin(ids)) if len(ids) <= 10_000 else mine.join(known.select("well_id"), "well_id", "left_semi")
+        return wells.well_summary(mine)
+    finally:
+        found.unpersist()
 
 
 def attributes(traces: DataFrame, config: dict = SEISMIC) -> DataFrame:
@@ -39,14 +49,12 @@ def attributes(traces: DataFrame, config: dict = SEISMIC) -> DataFrame:
 
 
 def ingest_seismic(spark: SparkSession, path: str, store: TableStore, config: dict = SEISMIC) -> DataFrame:
-    """Read a SEG-Y file, keep its traces and attributes; returns the summary of its dataset."""
+    """Read SEG-Y (a file, a folder or several), keep traces and attributes; returns the summary of each dataset."""
     spark.dataSource.register(segy.SegyDataSource)
-    traces = spark.read.format("segy").load(path)
-    store.save("traces", traces, "dataset_id")
-    kept = store.get("traces").join(traces.select("dataset_id").limit(1), "dataset_id", "left_semi")
-    store.save("attributes", attributes(kept, config), "dataset_id")
-    mine = store.get("attributes").join(traces.select("dataset_id").limit(1), "dataset_id", "left_semi")
-    return seismic.summary(mine)
+    store.save("traces", spark.read.format("segy").load(path), "dataset_id")
+    mine = [segy.dataset_of(p) for p in segy.files_of(path)]
+    store.save("attributes", attributes(store.get("traces").where(F.col("dataset_id").isin(mine)), config), "dataset_id")
+    return seismic.summary(store.get("attributes").where(F.col("dataset_id").isin(mine)))
 
 
 def is_stale(store: TableStore, active: str) -> bool:

@@ -1,7 +1,9 @@
 """Well-log files (LAS 2.0): a file is one row of binaryFile, parsed where it is read.
 
-read() gives the curves of all files in one table, heads() one row a file, errors() the files that
-can't be used and why; one bad file never stops the others. write() makes LAS text of a well.
+parsed() gives a row for each file with all that is in it; rows(), heads_of() and declared() are its
+curves, its head and the units that it declares, so a file is parsed once if parsed() is kept. read(),
+heads() and errors() parse for themselves. One bad file never stops the others. write() makes LAS text
+of a well.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ HEADER = {
     "kb": ["KB", "KBELEV", "KELLY_BUSHING", "EKB"],
     "td": ["TD", "TOTAL_DEPTH", "TDD", "TDL"],
 }
+# What declared units are called.
 UNITS = {
     "us/f": "us_per_ft", "usec/f": "us_per_ft", "us/ft": "us_per_ft", "usec/ft": "us_per_ft", "us/m": "us_per_m", "usec/m": "us_per_m",
-    "g/c3": "g/cc", "g/cc": "g/cc", "gm/cc": "g/cc", "gcc": "g/cc", "k/m3": "kg/m3", "api": "api", "gapi": "api",
-    "v/v": "v/v", "frac": "v/v", "fraction": "v/v", "dec": "v/v", "vol/vol": "v/v",
+    "g/c3": "g_cc", "g/cc": "g_cc", "gm/cc": "g_cc", "gcc": "g_cc", "k/m3": "kg_m3", "api": "api", "gapi": "api",
+    "v/v": "v_v", "frac": "v_v", "fraction": "v_v", "dec": "v_v", "vol/vol": "v_v",
 }
 LINE = re.compile(r"^\s*([^.\s]+)\s*\.(\S*)\s*(.*?)\s*(?::(.*))?$")
 FIELDS = ("DEPT", "GR", "RESISTIVITY", "RHOB", "NPHI", "DT", "DPTM")
@@ -98,12 +101,12 @@ def load(content: bytes) -> tuple[dict, list[dict]]:
     if not out:
         raise ValueError("no rows with a depth")
     wanted = {k: next((number(head[a].split()[0]) for a in aliases if head.get(a)), None) for k, aliases in HEADER.items()}
-    unit = UNITS.get(curves[at["DT"]][1].strip().lower())
-    return {"well_name": head.get("WELL", ""), "null_value": null, "stop": out[-1]["DEPT"], "dt_unit": unit, **wanted}, out
+    declared = {c: curves[k][1].strip() or None for c, k in at.items()}
+    return {"well_name": head.get("WELL", ""), "null_value": null, "stop": out[-1]["DEPT"], "declared": declared, **wanted}, out
 
 
-HEAD = "well_id string, path string, well_name string, null_value double, x double, y double, kb double, td double, stop double, dt_unit string, error string"
-ROWS = "well_id string, row_idx long, " + ", ".join(f"{c} double" for c in FIELDS)
+HEAD = "well_name string, null_value double, x double, y double, kb double, td double, stop double, error string"
+PARSED = f"well_id string, path string, {HEAD}, declared map<string,string>, " + ", ".join(f"{c} array<double>" for c in FIELDS)
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -112,40 +115,48 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", F.upper(F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1)).alias("well_id"), "content")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            for well, content in zip(b.column("well_id").to_pylist(), b.column("content").to_pylist()):
-                try:
-                    _, rows = load(content)
-                except ValueError:
-                    continue
-                cols = [pa.array([well] * len(rows)), pa.array(range(len(rows)), pa.int64()), *(pa.array([r[c] for r in rows], pa.float64()) for c in FIELDS)]
-                yield pa.RecordBatch.from_arrays(cols, ["well_id", "row_idx", *FIELDS])
-
-    return files(spark, path).mapInArrow(run, ROWS)
-
-
-def heads(spark: SparkSession, path: str) -> DataFrame:
+def parsed(spark: SparkSession, path: str) -> DataFrame:
+    """PARSED: a row for each file, with error and no curves for one that can't be used."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    names = [f.name for f in _parse_datatype_string(HEAD)]
-    schema = to_arrow_schema(_parse_datatype_string(HEAD))
+    schema = to_arrow_schema(_parse_datatype_string(PARSED))
 
     def run(batches):
         for b in batches:
-            rows = []
-            for well, path, content in zip(*(b.column(c).to_pylist() for c in ("well_id", "path", "content"))):
-                row = dict.fromkeys(names) | {"well_id": well, "path": path}
+            for well, file, content in zip(*(b.column(c).to_pylist() for c in ("well_id", "path", "content"))):
+                row = dict.fromkeys(schema.names) | {"well_id": well, "path": file}
                 try:
-                    row |= load(content)[0]
+                    head, rows = load(content)
+                    row |= head | {"declared": list(head["declared"].items())} | {c: [r[c] for r in rows] for c in FIELDS}
                 except ValueError as e:
                     row["error"] = str(e)
-                rows.append(row)
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                yield pa.RecordBatch.from_pylist([row], schema=schema)
+
+    return files(spark, path).mapInArrow(run, PARSED)
+
 
-    return files(spark, path).mapInArrow(run, HEAD)
+def rows(parsed: DataFrame) -> DataFrame:
+    """well_id, row_idx and the curves of all files that can be used."""
+    flat = parsed.where("error IS NULL").select("well_id", F.posexplode(F.arrays_zip(*FIELDS)).alias("row_idx", "z"))
+    return flat.select("well_id", F.col("row_idx").cast("long").alias("row_idx"), *[F.col(f"z.{c}").alias(c) for c in FIELDS])
+
+
+def heads_of(parsed: DataFrame) -> DataFrame:
+    return parsed.select("well_id", "path", *[x.split()[0] for x in HEAD.split(", ")])
+
+
+def declared(parsed: DataFrame) -> DataFrame:
+    """(well_id, curve, declared): the units as the files have them; NULL for a curve without."""
+    return parsed.where("error IS NULL").select("well_id", F.explode("declared").alias("curve", "declared"))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    return rows(parsed(spark, path))
+
+
+def heads(spark: SparkSession, path: str) -> DataFrame:
+    return heads_of(parsed(spark, path))
 
 
 def errors(spark: SparkSession, path: str) -> DataFrame:

@@ -1,10 +1,16 @@
 """Seismic files (SEG-Y): a Python data source whose partitions are ranges of traces.
 
     spark.dataSource.register(SegyDataSource)
-    spark.read.format("segy").load(path)
+    spark.read.format("segy").option("inline", "107,110-112").load(path)
 
-The textual header is read once to plan; traces have one length, so every task seeks to its own.
-Paths are local ones or URIs that pyarrow's file systems open.
+path: a file, a folder, or several of either with commas between. Textual headers are read once to
+plan; traces of a file have one length, so every task seeks to its own. The options trace_idx, inline
+and crossline take numbers and ranges: trace_idx chooses ranges of traces when planning, lines are
+tested on the headers, and only traces that pass are read whole. option("samples", "false"): headers
+alone, without the column of samples. Paths are local ones or URIs that pyarrow's file systems open.
+
+Spark's own way for conditions (pushFilters) isn't used: in 4.1 a condition once pushed stays with the
+relation, and a later query of the same DataFrame loses rows.
 """
 
 from __future__ import annotations
@@ -18,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 # Where the standard puts header fields (first byte, counted from 1).
 STANDARD = {"inline": 189, "crossline": 193, "source_x": 73, "source_y": 77}
 CDP_X, CDP_Y, SCALAR, DELAY = 181, 185, 71, 109
+LENGTH, INTERVAL = 115, 117
 #: First bytes of the four-byte fields of a trace header.
 FIELDS = {1, 5, 9, 13, 17, 21, 25, 37, 41, 45, 49, 53, 57, 61, 65, 73, 77, 81, 85, 181, 185, 189, 193, 197}
 ENCODINGS = ("cp037", "ascii", "latin-1")
@@ -55,13 +62,36 @@ def ibm(raw: np.ndarray) -> np.ndarray:
     return sign * (raw & 0xFFFFFF) / 2.0**24 * 16.0 ** (((raw >> 24) & 0x7F).astype(np.int64) - 64)
 
 
-def open_file(path: str):
+def system_of(path: str):
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def open_file(path: str):
+    system, inner = system_of(path)
     return system.open_input_file(inner)
 
 
+def files_of(paths: str) -> list[str]:
+    """The files that a path, or several with commas between, names: of a folder, its .sgy and .segy files by name."""
+    from pyarrow import fs
+
+    out = []
+    for path in paths.split(","):
+        system, inner = system_of(path)
+        if system.get_file_info(inner).type == fs.FileType.Directory:
+            names = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(inner)) if f.is_file and f.extension.lower() in ("sgy", "segy"))
+            out += [f"{path.rstrip('/')}/{n}" for n in names]
+        else:
+            out.append(path)
+    return out
+
+
+def dataset_of(path: str) -> str:
+    return re.sub(r"\.[^./]*$", "", path.rsplit("/", 1)[-1]).upper()
+
+
 def layout(path: str) -> dict:
     """What planning needs: sizes, format, sample interval, field places, number of traces."""
     with open_file(path) as f:
@@ -108,39 +138,107 @@ class Range(InputPartition):
         self.path, self.first, self.last, self.plan = path, first, last, plan
 
 
+LINES = ("inline", "crossline")
+#: Headers are read one by one if the samples between two of them are so many times longer.
+APART = 4
+
+
+def ranges(text: str) -> list[tuple[int, int]]:
+    """First and last of each range of "7,10-12"; ValueError for anything else."""
+    out = []
+    for part in text.split(","):
+        m = re.fullmatch(r"\s*(-?\d+)\s*(?:-\s*(-?\d+)\s*)?", part)
+        if not m:
+            raise ValueError(f"{text!r} isn't made of numbers and ranges")
+        out.append((int(m[1]), int(m[2] if m[2] is not None else m[1])))
+    return out
+
+
 class SegyReader(DataSourceReader):
     def __init__(self, options):
-        self.path = options["path"]
+        self.paths = options["path"]
         self.each = int(options.get("traces", TRACES))
+        self.samples = options.get("samples", "true").lower() != "false"
+        self.chosen = {k: ranges(options[k]) for k in ("trace_idx", *LINES) if k in options}
+
+    def passes(self, name: str, x: np.ndarray) -> np.ndarray:
+        """Which numbers are chosen."""
+        if name not in self.chosen:
+            return np.ones(len(x), bool)
+        return np.logical_or.reduce([(x >= lo) & (x <= hi) for lo, hi in self.chosen[name]])
 
     def partitions(self):
-        plan = layout(self.path)
-        return [Range(self.path, i, min(i + self.each, plan["n"]), plan) for i in range(0, plan["n"], self.each)] or [Range(self.path, 0, 0, plan)]
+        out, empty = [], None
+        for path in files_of(self.paths):
+            plan = layout(path)
+            empty = empty or Range(path, 0, 0, plan)
+            for i in range(0, plan["n"], self.each):
+                there = np.flatnonzero(self.passes("trace_idx", np.arange(i, min(i + self.each, plan["n"]))))
+                if len(there):
+                    out.append(Range(path, i + int(there[0]), i + int(there[-1]) + 1, plan))
+        return out or ([empty] if empty else [Range("", 0, 0, {})])
 
     def read(self, part):
-        p = part.plan
-        name = re.sub(r"\.[^./]*$", "", part.path.rsplit("/", 1)[-1]).upper()
+        if part.last == part.first:
+            return
+        p, n = part.plan, part.last - part.first
+        stride, start = p["stride"], 3600 + part.first * p["stride"]
+        field = lambda rows, at, kind=">i4": rows[:, at - 1 : at - 1 + int(kind[-1])].copy().view(kind)[:, 0]
+        chosen = any(k in self.chosen for k in LINES)
         with open_file(part.path) as f:
-            f.seek(3600 + part.first * p["stride"])
-            raw = f.read((part.last - part.first) * p["stride"])
-        rows = np.frombuffer(raw, np.uint8).reshape(-1, p["stride"])
-        field = lambda at, kind=">i4": rows[:, at - 1 : at - 1 + int(kind[-1])].copy().view(kind)[:, 0]
-        scalar = field(SCALAR, ">i2").astype(float)
+            if (self.samples and not chosen) or stride < 240 * (1 + APART):
+                f.seek(start)
+                whole = np.frombuffer(f.read(n * stride), np.uint8).reshape(-1, stride)
+                heads = whole[:, :240]
+            else:
+                whole, heads = None, np.empty((n, 240), np.uint8)
+                for k in range(n):
+                    f.seek(start + k * stride)
+                    heads[k] = np.frombuffer(f.read(240), np.uint8)
+            at = np.arange(part.first, part.last)
+            lines = {k: field(heads, p["at"][k]) for k in LINES}
+            keep = self.passes("trace_idx", at)
+            for k in LINES:
+                keep &= self.passes(k, lines[k])
+            rows = np.flatnonzero(keep)
+            check_uniform(heads[rows], p, field, part.first + rows)
+            if part.first == 0 and 0 in rows:
+                check_first(part.path, p, {k: int(field(heads[:1], p["at"][k])[0]) for k in STANDARD})
+            heads = heads[rows]
+            if self.samples and whole is None:
+                # runs of neighbours are read together
+                cut = np.flatnonzero(np.diff(rows) > 1) + 1
+                parts = []
+                for run in np.split(rows, cut) if len(rows) else []:
+                    f.seek(start + int(run[0]) * stride)
+                    parts.append(f.read(len(run) * stride))
+                whole = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, stride)
+            elif self.samples:
+                whole = whole[rows]
+        n = len(rows)
+        scalar = field(heads, SCALAR, ">i2").astype(float)
         factor = np.where(scalar > 0, scalar, np.where(scalar < 0, 1.0 / np.where(scalar == 0, 1, np.abs(scalar)), 1.0))
-        body = np.ascontiguousarray(rows[:, 240:])
-        kind = {1: ">u4", 2: ">i4", 3: ">i2", 5: ">f4", 8: "i1"}[p["code"]]
-        values = body.view(kind)
-        values = ibm(values.astype(np.uint32)) if p["code"] == 1 else values.astype(float)
-        at = p["at"]
-        fixed = {k: field(at[k]) for k in ("inline", "crossline", "source_x", "source_y")}
-        if part.first == 0 and len(rows):
-            check_first(part.path, p, {k: int(v[0]) for k, v in fixed.items()})
-        n, delay = len(rows), field(DELAY, ">i2").astype(float)
-        numbers = [field(CDP_X) * factor, field(CDP_Y) * factor, fixed["source_x"] * factor, fixed["source_y"] * factor, delay, np.full(n, p["dt_ms"])]
-        samples = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p["samples"]), pa.array(values.ravel().astype(np.float64)))
-        lines = [pa.array(fixed[k].astype(np.int32)) for k in ("inline", "crossline")]
-        cols = [pa.array([name] * n, pa.string()), pa.array(np.arange(part.first, part.first + n)), *lines, *(pa.array(c.astype(np.float64)) for c in numbers), samples]
-        yield pa.RecordBatch.from_arrays(cols, ["dataset_id", "trace_idx", "inline", "crossline", "cdp_x", "cdp_y", "source_x", "source_y", "delay_ms", "dt_ms", "samples"])
+        numbers = [field(heads, a) * factor for a in (CDP_X, CDP_Y, p["at"]["source_x"], p["at"]["source_y"])]
+        numbers += [field(heads, DELAY, ">i2").astype(float), np.full(n, p["dt_ms"])]
+        cols = [pa.array([dataset_of(part.path)] * n, pa.string()), pa.array(at[rows]), *[pa.array(lines[k][rows].astype(np.int32)) for k in LINES], *(pa.array(c.astype(np.float64)) for c in numbers)]
+        if self.samples:
+            kind = {1: ">u4", 2: ">i4", 3: ">i2", 5: ">f4", 8: "i1"}[p["code"]]
+            values = np.ascontiguousarray(whole[:, 240:]).view(kind)
+            values = ibm(values.astype(np.uint32)) if p["code"] == 1 else values.astype(float)
+            cols.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p["samples"]), pa.array(values.ravel().astype(np.float64))))
+        yield pa.RecordBatch.from_arrays(cols, NAMES[: len(cols)])
+
+
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def check_uniform(heads: np.ndarray, plan: dict, field, at: np.ndarray) -> None:
+    """ValueError if a trace says of itself that it has another length or interval than the file's."""
+    for name, place, want in (("samples", LENGTH, plan["samples"]), ("interval", INTERVAL, round(1000 * plan["dt_ms"]))):
+        said = field(heads, place, ">u2").astype(np.int64)
+        odd = np.flatnonzero((said != 0) & (said != want))
+        if len(odd):
+            raise ValueError(f"{name} of trace {at[odd[0]]} is {said[odd[0]]}, of the file {want}")
 
 
 class SegyDataSource(DataSource):
@@ -149,7 +247,7 @@ class SegyDataSource(DataSource):
         return "segy"
 
     def schema(self):
-        return SCHEMA
+        return SCHEMA if self.options.get("samples", "true").lower() != "false" else SCHEMA.rsplit(", ", 1)[0]
 
     def reader(self, schema):
         return SegyReader(self.options)

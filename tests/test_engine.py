@@ -202,7 +202,9 @@ def test_las_files(spark, tmp_path):
     rows = las.read(spark, str(tmp_path)).orderBy("row_idx").collect()
     assert [r["GR"] for r in rows] == [50.0, None, 60.0] and {r["well_id"] for r in rows} == {"A-1"} and rows[0]["RESISTIVITY"] == 10.0
     h = las.heads(spark, str(tmp_path)).where("error IS NULL").first()
-    assert (h["x"], h["td"], h["dt_unit"], h["well_name"]) == (100.5, 3000.0, "us_per_ft", "One")
+    assert (h["x"], h["td"], h["well_name"]) == (100.5, 3000.0, "One")
+    own = {r["curve"]: r["declared"] for r in las.declared(las.parsed(spark, str(tmp_path))).where("well_id = '%s'" % h["well_id"]).collect()}
+    assert las.UNITS[own["DT"].lower()] == "us_per_ft"
     assert [tuple(r)[0::2] for r in las.errors(spark, str(tmp_path)).collect()] == [("BAD", "missing curves: RHOB")]
     text = las.write(las.read(spark, str(tmp_path)), ["DEPT", "GR", "RESISTIVITY", "RHOB", "NPHI", "DT"]).first()["las"]
     _, again = las.load(text.encode())

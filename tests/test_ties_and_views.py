@@ -175,6 +175,10 @@ def test_wells_are_ingested_in_their_units(spark, tmp_path):
     assert set(got) == {"A", "B"} and got["A"]["mean_vsh"] == pytest.approx(got["B"]["mean_vsh"])
     dt = {r["well_id"]: r["m"] for r in store.get("wells").groupBy("well_id").agg(F.avg("DT").alias("m")).collect()}
     assert dt["B"] == pytest.approx(dt["A"], rel=1e-6) and store.one("heads", "well_id", "A").first()["td"] == pytest.approx(914.4)  # feet, as td is some 2.9 times the last depth
+    units = {(r["well_id"], r["curve"]): r for r in store.get("units").collect()}
+    assert len(units) == 8 and (units["B", "DT"]["unit"], units["B", "DT"]["converted"], units["B", "DT"]["inferred"]) == ("us_per_m", True, False)
+    assert (units["A", "RHOB"]["unit"], units["A", "GR"]["unit"], units["A", "NPHI"]["unit"]) == ("g_cc", "api", "v_v") and not units["A", "DT"]["converted"]
+    assert [(r["well_id"], r["error"]) for r in store.get("failures").collect()] == [("BAD", "missing curves: DEPT, GR, RESISTIVITY, RHOB, NPHI, DT")]
     q = qc.arriving_wells(spark, str(tmp_path / "in"), str(tmp_path / "streamed"), str(tmp_path / "check"))
     q.awaitTermination(120)
     assert TableStore(spark, str(tmp_path / "streamed")).get("wells").count() == 160
