@@ -483,6 +483,39 @@ def calibration_report(spark, sf_dir):
     return reports.calibration_report(D.wells(spark, sf_dir), targets(spark, sf_dir), spacing=5.0)
 
 
+#: Overrides of every fourth supplier's well; some name lines that the survey doesn't have.
+OVERRIDES = "ov AS (SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS well_id, CAST(s_suppkey % 12 AS INTEGER) AS inline, CAST(s_suppkey % 60 AS INTEGER) AS crossline FROM supplier WHERE s_suppkey % 4 = 0)"
+
+
+def overrides(spark, sf_dir):
+    k = F.col("point_id")
+    return D.wells(spark, sf_dir).where("point_id % 4 = 0").select("well_id", (k % 12).cast("int").alias("inline"), (k % 60).cast("int").alias("crossline"))
+
+
+def calibrated_sql(fitted: str) -> str:
+    """g: the report of the fit on the chosen wells; rw: the nearest trace to each well as it is."""
+    fit = FIT.replace("FROM wells WHERE wx IS NOT NULL)", f"FROM wells WHERE wx IS NOT NULL AND {fitted})")
+    return fit + f""", {OVERRIDES}, near AS (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY d, trace_idx) AS k FROM (SELECT well_id, point_id, wx, wy, a * wx + b AS cx, c * wy + d AS cy, trace_idx, sqrt((a * wx + b - tx) ** 2 + (c * wy + d - ty) ** 2) AS d FROM wells, f, traces WHERE wx IS NOT NULL)),
+g AS (SELECT near.*, d <= 10 AS within_tolerance, NOT (wx BETWEEN lx AND hx AND wy BETWEEN ly AND hy) AND NOT (cx BETWEEN ltx AND htx AND cy BETWEEN lty AND hty) AS extrapolated FROM near, w, s WHERE k = 1),
+rw AS (SELECT * FROM (SELECT well_id, trace_idx AS raw_trace_idx, sqrt((wx - tx) ** 2 + (wy - ty) ** 2) AS raw_distance, row_number() OVER (PARTITION BY well_id ORDER BY sqrt((wx - tx) ** 2 + (wy - ty) ** 2), trace_idx) AS q FROM wells, traces WHERE wx IS NOT NULL) WHERE q = 1)"""
+
+
+@query(calibrated_sql("point_id % 3 <> 0") + f""" SELECT g.well_id, {r('cx')}, {r('cy')}, g.trace_idx, {as_r('d', 'distance')}, within_tolerance, extrapolated, within_tolerance AND NOT extrapolated AS trustworthy, t.inline AS fit_inline, t.crossline AS fit_crossline,
+raw_trace_idx, {as_r('raw_distance', 'raw_distance')}, u.inline AS raw_inline, u.crossline AS raw_crossline, ov.inline AS override_inline, ov.crossline AS override_crossline, ov.well_id IS NOT NULL AS has_override, point_id % 3 <> 0 AS used_in_fit
+FROM g JOIN traces t ON t.trace_idx = g.trace_idx JOIN rw ON rw.well_id = g.well_id JOIN traces u ON u.trace_idx = raw_trace_idx LEFT JOIN ov ON ov.well_id = g.well_id""")
+def calibration_details(spark, sf_dir):
+    w = D.wells(spark, sf_dir)
+    return reports.calibration_details(w, targets(spark, sf_dir), overrides(spark, sf_dir), 5.0, w.where("point_id % 3 <> 0"))
+
+
+@query(calibrated_sql("true") + f""", gd AS (SELECT inline, crossline, min(trace_idx) AS o FROM traces GROUP BY inline, crossline),
+al AS (SELECT wells.well_id, wells.wx IS NOT NULL AS placed, ov.well_id IS NOT NULL AS asked, o, ov.inline IN (SELECT inline FROM traces) AND ov.crossline IN (SELECT crossline FROM traces) AS lines, g.trace_idx AS f, d, within_tolerance, extrapolated FROM wells LEFT JOIN ov ON ov.well_id = wells.well_id LEFT JOIN gd ON gd.inline = ov.inline AND gd.crossline = ov.crossline LEFT JOIN g ON g.well_id = wells.well_id),
+er AS (SELECT *, CASE WHEN asked THEN CASE WHEN o IS NOT NULL THEN NULL WHEN lines THEN 'no trace at the override' ELSE 'override outside the survey' END WHEN NOT placed THEN 'no coordinates' WHEN within_tolerance AND NOT extrapolated THEN NULL ELSE concat_ws(' and ', CASE WHEN extrapolated THEN 'extrapolated' END, CASE WHEN NOT within_tolerance THEN 'too far from a trace' END) END AS error FROM al)
+SELECT well_id, CASE WHEN error IS NULL THEN CASE WHEN asked THEN o ELSE f END END AS trace_idx, {as_r('CASE WHEN error IS NULL AND NOT asked THEN d END', 'distance')}, CASE WHEN error IS NULL THEN CASE WHEN asked THEN 'manual_override' ELSE 'calibrated_fit' END END AS method, error FROM er""")
+def calibrated_traces(spark, sf_dir):
+    return reports.resolve_calibrated(D.wells(spark, sf_dir), overrides(spark, sf_dir), targets(spark, sf_dir), 5.0)
+
+
 PAY = INTERPRETED + f""", {D.TRACES_SQL}, {D.NUMBERS_SQL}, {D.HEADS_SQL},
 nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY well_id ORDER BY distance, trace_idx) AS q FROM (SELECT well_id, trace_idx, sqrt((wx - tx) ** 2 + (wy - ty) ** 2) AS distance FROM h, traces WHERE wx IS NOT NULL) WHERE distance <= 200) WHERE q = 1),
 py AS (SELECT well_id, avg(VSH) AS mean_vsh_pay, count(*) AS n_pay FROM it WHERE ZONES = 1 AND VSH IS NOT NULL GROUP BY well_id),

@@ -94,3 +94,24 @@ def test_idw(spark, monkeypatch, small):
             assert got[i] == pytest.approx((k * w[:, 2]).sum() / k.sum(), rel=1e-9)
     assert len(got) == len(cells) and "NestedLoop" not in plan(out)
     assert spatial.idw(spark.createDataFrame(cells, "cell_id string, x double, y double"), spark.createDataFrame([], "wx double, wy double, value double")).where("value IS NOT NULL").count() == 0
+
+
+def test_traces_of_wells_and_the_reason_there_is_none(spark):
+    from lithos.operators import reports
+
+    grid = [(i * 10 + j, float(100 + 25 * i), float(500 + 25 * j), 300 + i, 40 + j) for i in range(10) for j in range(10) if (i, j) != (3, 3)]
+    traces = spark.createDataFrame(grid, "target_id long, tx double, ty double, inline int, crossline int")
+    wells = spark.createDataFrame([("lo", 1, 0.0, 0.0), ("hi", 2, 90.0, 90.0), ("mid", 3, 50.0, 40.0), ("none", 4, None, 1.0), ("own", 5, None, None), ("gap", 6, 20.0, 20.0), ("line", 7, 20.0, 20.0)], "well_id string, point_id long, wx double, wy double")
+    overrides = spark.createDataFrame([("own", 302, 44), ("gap", 303, 43), ("line", 399, 43)], "well_id string, inline int, crossline int")
+    got = {r.well_id: (r.trace_idx, r.method, r.error) for r in reports.resolve_calibrated(wells, overrides, traces, 25.0).collect()}
+    assert got["lo"] == (0, "calibrated_fit", None) and got["hi"] == (99, "calibrated_fit", None) and got["mid"][0] == 10 * round(50 / 10) + 4
+    assert got["own"] == (24, "manual_override", None) and got["none"] == (None, None, "no coordinates")
+    assert got["gap"] == (None, None, "no trace at the override") and got["line"] == (None, None, "override outside the survey")
+    # one place alone can't be fitted: the nearest trace counts if the well is near the survey
+    few = spark.createDataFrame([("at", 1, 151.0, 549.0), ("none", 2, None, None)], "well_id string, point_id long, wx double, wy double")
+    far = spark.createDataFrame([("far", 1, 9e6, 549.0)], "well_id string, point_id long, wx double, wy double")
+    assert {r.well_id: (r.trace_idx, r.method, r.error) for r in reports.resolve_calibrated(few, overrides, traces, 25.0).collect()} == {"at": (22, "direct_unvalidated", None), "none": (None, None, "no coordinates")}
+    assert reports.resolve_calibrated(far, overrides, traces, 25.0).first().error == "outside the survey"
+    # the fit on some wells marks those beyond them
+    detail = {r.well_id: r for r in reports.calibration_details(wells, traces, overrides, 25.0, wells.where("well_id IN ('lo', 'mid')")).collect()}
+    assert detail["lo"].used_in_fit and not detail["hi"].used_in_fit and detail["hi"].extrapolated and detail["gap"].has_override and detail["gap"].override_inline == 303
