@@ -40,6 +40,8 @@ THRESHOLD = 0.98
 BOUND = 5.0
 #: Vectors in a tile: the root of a label's number times ROOT, between these two.
 LEAST_TILE, MOST_TILE, ROOT = 1024, 1 << 17, 32
+#: Bytes of the vectors of a tile at most, however many components they have.
+TILE_BYTES = 64 << 20
 #: Rows of a tile that are compared at once, and the leading components that boxes and cells are made of.
 ROWS = 256
 LEADING = 16
@@ -134,7 +136,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     coded = kinds.mapInArrow(code, f"__label {label_type}, __d int, __k long, __n long, x binary, turned binary, code binary, f double, cell long")
     # tiles: cells of a grid, as coarse as the label's size asks for; a cell with more than a tile is dealt by hash
     of_label = ["__label", "__d"]
-    tile = F.least(F.greatest(F.lit(least_tile), F.ceil(F.sqrt("__rows") * ROOT)), F.lit(MOST_TILE))
+    tile = F.least(F.greatest(F.lit(least_tile), F.ceil(F.sqrt("__rows") * ROOT)), F.lit(MOST_TILE), F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES) / (F.col("__d") * np.dtype(wide).itemsize))))
     sizes = kinds.groupBy(*of_label).agg(F.count("*").alias("__rows")).withColumn("__tile", tile)
     digits = F.least(F.lit(DIGITS), F.floor(F.log(F.greatest(F.lit(1.0), F.col("__rows") / F.col("__tile"))) / math.log(4.0)))
     sizes = sizes.withColumn("__cells", F.pow(F.lit(4.0), F.lit(DIGITS) - digits).cast("long"))
