@@ -9,7 +9,7 @@ from lithos.operators import interpolation as I
 from lithos.operators import petrophysics as P
 from lithos.operators import seismic as S
 from lithos.operators import spatial as X
-from lithos.operators import reports, spectral, ties
+from lithos.operators import models, reports, spectral, ties
 from lithos.operators import views as V
 from lithos.operators import wells as W
 from lithos.plans import catalog as C
@@ -133,6 +133,32 @@ def model_samples(spark, sf_dir):
     return out.select("well_id", "trace_idx", "time_idx", "depth", *CURVES, *MODEL_SQL, "distance", "weight")
 
 
+#: Leave one well out: a ridge regression of GR on two features, its moments from the samples of all other wells.
+FOLDS = NEIGHBOURS + f""", {MODEL_FEATURES}, mo AS (SELECT px.well_id, nb.trace_idx, time_idx, GR AS y, inst_envelope AS a, cwt_centroid_hz AS b FROM px JOIN nb USING (well_id) JOIN fi ON fi.trace_idx = nb.trace_idx AND fi.i = time_idx JOIN ft ON ft.trace_idx = nb.trace_idx AND ft.i = time_idx WHERE GR IS NOT NULL),
+fd AS (SELECT w.well_id, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, corr(a, b) AS rho, covar_pop(a, y) / stddev_pop(a) AS ca, covar_pop(b, y) / stddev_pop(b) AS cb FROM (SELECT DISTINCT well_id FROM mo) w JOIN mo m ON m.well_id <> w.well_id GROUP BY w.well_id HAVING count(*) >= 5),
+sl AS (SELECT *, (2 * ca - rho * cb) / (4 - rho * rho) / sa AS ka, (2 * cb - rho * ca) / (4 - rho * rho) / sb AS kb FROM fd),
+po AS (SELECT mo.*, my + ka * (a - ma) + kb * (b - mb) AS prediction FROM mo JOIN sl USING (well_id))"""
+
+
+def held_out(spark, sf_dir):
+    t = D.traces(spark, sf_dir)
+    near = K.around(D.ties(spark, sf_dir), t)
+    chosen = ["inst_envelope", "cwt_centroid_hz"]
+    used = t.join(near.select("trace_idx").distinct(), "trace_idx", "left_semi")
+    samples = K.samples(in_context(spark, sf_dir), near, spectral.trace_features(used, chosen))
+    return models.leave_one_out_ridge(samples, chosen, "GR")
+
+
+@query(FOLDS + f" SELECT well_id, trace_idx, time_idx, {as_r('y', 'GR')}, {r('prediction')} FROM po")
+def held_out_predictions(spark, sf_dir):
+    return held_out(spark, sf_dir).select("well_id", "trace_idx", "time_idx", "GR", "prediction")
+
+
+@query(FOLDS + f", mn AS (SELECT *, avg(y) OVER (PARTITION BY well_id) AS m FROM po) SELECT well_id, count(*) AS n, {as_r('CASE WHEN sum(pow(y - m, 2)) > 0 THEN 1 - sum(pow(y - prediction, 2)) / sum(pow(y - m, 2)) END', 'r2')}, {as_r('sqrt(avg(pow(y - prediction, 2)))', 'rmse')} FROM mn GROUP BY well_id")
+def held_out_skill(spark, sf_dir):
+    return models.skill(held_out(spark, sf_dir), "GR", ["well_id"])
+
+
 @query(PROPERTIES + f""", {MODEL_FEATURES} SELECT well_id, px.trace_idx, time_idx, {r('depth')}, {r('GR')}, {r('NPHI')}, {', '.join(r(c) for c in MODEL_SQL)}, 1.0::DOUBLE AS weight
 FROM px JOIN fi ON fi.trace_idx = px.trace_idx AND fi.i = time_idx JOIN ft ON ft.trace_idx = px.trace_idx AND ft.i = time_idx""")
 def blind_samples(spark, sf_dir):
