@@ -439,11 +439,6 @@ def time_frequency_cwt(spark, sf_dir):
     return spectral.decompose(D.traces(spark, sf_dir), "cwt").select("trace_idx", "band", "frequency", (S.total("energy") / F.size("energy")).alias("mean_energy"))
 
 
-@query()
-def time_frequency_features(spark, sf_dir):
-    return spectral.trace_features(D.traces(spark, sf_dir))
-
-
 #: Least squares on the density itself, from a line through the logarithms on by steps of Gauss and Newton.
 GARDNER = f"""WITH {D.LOGS_SQL}, gp AS (SELECT well_id, 0.3048::DOUBLE * 1e6 / DT AS v, RHOB AS y FROM logs WHERE DT > 0 AND RHOB > 0), gn AS (SELECT well_id, count(*) FILTER (DT IS NOT NULL AND RHOB IS NOT NULL) AS n FROM logs GROUP BY well_id),
 g0 AS (SELECT well_id, exp(regr_intercept(ln(y), ln(v))) AS a, regr_slope(ln(y), ln(v)) AS b FROM gp GROUP BY well_id HAVING count(*) >= 20)""" + "".join(f""",

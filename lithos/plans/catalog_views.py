@@ -115,7 +115,7 @@ def amplitude_features(spark, sf_dir):
     return D.traces(spark, sf_dir).select("trace_idx", F.posexplode("samples").alias("time_idx", "amplitude"))
 
 
-#: What models are fed: the instantaneous attributes and the shape of the wavelet transform (synchrosqueezed shapes come on top, without SQL).
+#: What models are fed: the instantaneous attributes and the shape of the wavelet transform (synchrosqueezed shapes come on top in time_frequency_features).
 MODEL_SQL = ["inst_amplitude", "inst_envelope", "inst_freq_hz", *C.CWT_NAMES]
 INSTANT = """ph AS (SELECT trace_idx, i, x, sqrt(x * x + y * y) AS e, atan2(y, x) AS p FROM ana),
 df AS (SELECT *, p - lag(p) OVER w AS d FROM ph WINDOW w AS (PARTITION BY trace_idx ORDER BY i)), un AS (SELECT *, d - 2 * pi() * round(d / (2 * pi())) AS u FROM df),
@@ -123,6 +123,25 @@ fi AS (SELECT trace_idx, i, x AS inst_amplitude, e AS inst_envelope, CASE WHEN u
 MODEL_FEATURES = f"{HILBERT}, {INSTANT}, {C.CWT_FEATURES}"
 
 
+#: The same shape of the synchrosqueezed transform: 32 bins from 250 / 60 to 250 Hz, coefficients moved to the bin of their own frequency.
+SQUEEZED_FEATURES = """qf AS (SELECT bin, f, 6.0::DOUBLE / (2 * pi() * f) AS sg FROM (SELECT bin, (250.0::DOUBLE / 60) * pow(60.0::DOUBLE, bin / 31.0::DOUBLE) AS f FROM (SELECT CAST(unnest(range(32)) AS INTEGER) AS bin))),
+qk AS (SELECT bin, lag, pow(pi(), -0.25) / sqrt(sg) * exp(-pow(lag * 0.002, 2) / (2 * sg * sg)) * cos(2 * pi() * f * lag * 0.002) AS c, pow(pi(), -0.25) / sqrt(sg) * exp(-pow(lag * 0.002, 2) / (2 * sg * sg)) * sin(2 * pi() * f * lag * 0.002) AS d FROM qf, (SELECT CAST(unnest(range(-63, 64)) AS INTEGER) AS lag) WHERE abs(lag) <= greatest(1, ceil(3 * sg / 0.002))),
+qw AS (SELECT o.trace_idx, o.i, bin, sum(s.x * c) AS re, sum(s.x * d) AS im FROM smp o JOIN smp s ON s.trace_idx = o.trace_idx JOIN qk ON lag = o.i - s.i GROUP BY o.trace_idx, o.i, bin),
+qd AS (SELECT *, CASE WHEN i = 0 THEN lead(re) OVER w - re WHEN i = 63 THEN re - lag(re) OVER w ELSE (lead(re) OVER w - lag(re) OVER w) / 2 END / 0.002 AS dr,
+  CASE WHEN i = 0 THEN lead(im) OVER w - im WHEN i = 63 THEN im - lag(im) OVER w ELSE (lead(im) OVER w - lag(im) OVER w) / 2 END / 0.002 AS di, max(sqrt(re * re + im * im)) OVER (PARTITION BY trace_idx) AS top FROM qw WINDOW w AS (PARTITION BY trace_idx, bin ORDER BY i)),
+qi AS (SELECT trace_idx, i, re, im, abs((di * re - dr * im) / (re * re + im * im)) / (2 * pi()) AS inst FROM qd WHERE sqrt(re * re + im * im) > 1e-8 * top),
+qs AS (SELECT trace_idx, i, bin, sqrt(pow(sum(re), 2) + pow(sum(im), 2)) AS e FROM (SELECT *, CAST(greatest(0, least(31, ceil(ln(greatest(inst, 1e-9) / (250.0::DOUBLE / 60)) / (ln(60.0::DOUBLE) / 31) - 0.5))) AS INTEGER) AS bin FROM qi) GROUP BY trace_idx, i, bin),
+qe AS (SELECT smp.trace_idx, smp.i, qf.bin, f, coalesce(e, 0.0::DOUBLE) AS e FROM smp CROSS JOIN qf LEFT JOIN qs ON qs.trace_idx = smp.trace_idx AND qs.i = smp.i AND qs.bin = qf.bin),
+qt AS (SELECT *, sum(e) OVER w + 1e-12 AS t FROM qe WINDOW w AS (PARTITION BY trace_idx, i)), qc AS (SELECT *, e / t AS p, sum(e / t * f) OVER w AS centre FROM qt WINDOW w AS (PARTITION BY trace_idx, i)),
+fq AS (SELECT trace_idx, i, arg_max(f, round(e, 9)) AS sswt_dominant_freq_hz, max(e) AS sswt_peak_amp, sqrt(sum(p * pow(f - centre, 2))) AS sswt_bandwidth_hz, any_value(centre) AS sswt_centroid_hz, -sum(p * ln(p + 1e-12)) / ln(32.0::DOUBLE) AS sswt_entropy,
+  sum(p) FILTER (f < 250.0::DOUBLE / 60 + (250 - 250.0::DOUBLE / 60) / 3) AS sswt_energy_low, sum(p) FILTER (f >= 250.0::DOUBLE / 60 + (250 - 250.0::DOUBLE / 60) / 3 AND f < 250.0::DOUBLE / 60 + (250 - 250.0::DOUBLE / 60) * 2 / 3) AS sswt_energy_mid, sum(p) FILTER (f >= 250.0::DOUBLE / 60 + (250 - 250.0::DOUBLE / 60) * 2 / 3) AS sswt_energy_high FROM qc GROUP BY trace_idx, i)"""
+
+
+@query(f"WITH {D.TRACES_SQL}, {MODEL_FEATURES}, {SQUEEZED_FEATURES} SELECT fi.trace_idx, CAST(fi.i AS INTEGER) AS time_idx, {', '.join(r(c) for c in spectral.TRACE_FEATURES)} FROM fi JOIN ft USING (trace_idx, i) JOIN fq USING (trace_idx, i)")
+def time_frequency_features(spark, sf_dir):
+    return spectral.trace_features(D.traces(spark, sf_dir))
+
+
 @query(NEIGHBOURS + f""", {MODEL_FEATURES} SELECT px.well_id, nb.trace_idx, time_idx, {r('depth')}, {r('GR')}, {r('NPHI')}, {', '.join(r(c) for c in MODEL_SQL)}, {as_r('distance', 'distance')}, {as_r('1.0::DOUBLE / (1.0::DOUBLE + distance)', 'weight')}
 FROM (SELECT well_id, time_idx, depth, GR, NPHI FROM px) px JOIN nb USING (well_id) JOIN fi ON fi.trace_idx = nb.trace_idx AND fi.i = time_idx JOIN ft ON ft.trace_idx = nb.trace_idx AND ft.i = time_idx""")
 def model_samples(spark, sf_dir):
