@@ -212,8 +212,8 @@ def pack(items: DataFrame, size: int = SIZE, group: int = GROUP, fan: int = FAN,
     groups = max(1, math.ceil(items.count() / group))
     item = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in items.schema)
     schema = f"__group int, __bin long, __done boolean, __fill long, __rank long, __items array<struct<{item}>>"
-    # the groups are dealt by a hash of the piece, so each holds sizes of every kind
-    here = items.select(F.pmod(F.xxhash64(*names), F.lit(groups)).cast("int").alias("__group"), F.col("length").alias("__fill"), F.array(F.struct(*names)).alias("__items"))
+    # the groups are dealt by a hash of the piece, so each holds sizes of every kind; with its row's number, so that repeated rows don't meet in one
+    here = items.select(F.pmod(F.xxhash64(*names, F.monotonically_increasing_id()), F.lit(groups)).cast("int").alias("__group"), F.col("length").alias("__fill"), F.array(F.struct(*names)).alias("__items"))
     bins, level = None, 0
     while True:
         out = materialize(here.groupBy("__group").applyInArrow(_packer(size, room, groups == 1, names, level), schema))

@@ -782,6 +782,29 @@ def test_packing_merges_underfull_bins_over_several_levels(spark, monkeypatch):
     assert len(bins) <= at_once + 10 and at_once <= len(packing.best_fit(size)) * 1.04
 
 
+def test_repeated_rows_are_packed_in_many_groups(spark, monkeypatch):
+    """Nine rows of ten are one and the same: no group holds much more than its share."""
+    given = [(7, 0, 0, 700, 1) if i % 10 else (i, 0, 0, 1 + i % 2000, i) for i in range(4000)]
+    items = spark.createDataFrame(given, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+    real = packing._packer
+
+    def limited(*args):
+        run = real(*args)
+
+        def check(key, table):
+            assert len(table) <= 300, f"a group of {len(table)} items"
+            return run(key, table)
+
+        return check
+
+    monkeypatch.setattr(packing, "_packer", limited)
+    got = packing.pack(items, group=200).collect()
+    bins = Counter()
+    for x in got:
+        bins[x["sequence_id"]] += x["length"]
+    assert len(got) == len(given) and max(bins.values()) <= 2048 and sum(x["doc_id"] == 7 for x in got) == 3600
+
+
 def test_rows_of_one_id_are_mixed_alike_whatever_the_partitions(spark):
     """Nine rows of ten have one id: their texts decide, and slices split them."""
     given = [(7 if i % 10 else i, " ".join(["w"] * (i % 23)) + f" t{i % 300}", "s", f"n{i}") for i in range(3000)]
