@@ -118,8 +118,33 @@ def time_slice(traces: DataFrame, t: float) -> DataFrame:
 
 
 def zero_profile(traces: DataFrame) -> DataFrame:
-    """The share of zeros at each sample."""
-    return traces.select("dataset_id", F.posexplode("samples").alias("sample_idx", "a")).groupBy("dataset_id", "sample_idx").agg(F.avg((F.col("a") == 0).cast("double")).alias("zero_fraction"))
+    """The share of zeros at each sample, of the traces that have a value there.
+
+    A task adds up its traces element by element; a row for each sample is made of the sums alone.
+    """
+
+    def run(batches):
+        sums: dict = {}  # zeros and values by sample, of each dataset
+        for b in batches:
+            column = b.column("samples")
+            off, values = column.offsets.to_numpy(), column.values
+            zero, there = (values.to_numpy(zero_copy_only=False) == 0), values.is_valid().to_numpy(zero_copy_only=False)
+            names = b.column("dataset_id").dictionary_encode()
+            length, code = np.diff(off), names.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            for n, k in {(n, k) for n, k in zip(length.tolist(), code.tolist()) if n}:
+                at = off[:-1][(length == n) & (code == k)][:, None] + np.arange(n)
+                name = names.dictionary[k].as_py() if k >= 0 else None
+                have = sums.setdefault(name, np.zeros((2, n), np.int64))
+                if have.shape[1] < n:
+                    have = sums[name] = np.pad(have, ((0, 0), (0, n - have.shape[1])))
+                have[:, :n] += np.stack([(zero[at] & there[at]).sum(0), there[at].sum(0)])
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([x[i].tolist() for x in sums.values()], pa.list_(pa.int64())) for i in (0, 1))], ["dataset_id", "zeros", "n"])
+
+    parts = traces.select("dataset_id", "samples").mapInArrow(run, "dataset_id string, zeros array<long>, n array<long>")
+    flat = parts.select("dataset_id", F.posexplode(F.arrays_zip("zeros", "n")).alias("sample_idx", "z"))
+    g = flat.groupBy("dataset_id", "sample_idx").agg(F.sum("z.zeros").alias("zeros"), F.sum("z.n").alias("n"))
+    return g.select("dataset_id", "sample_idx", (F.col("zeros") / F.when(F.col("n") > 0, F.col("n"))).alias("zero_fraction"))
 
 
 def best_time(traces: DataFrame) -> DataFrame:

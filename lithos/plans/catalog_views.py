@@ -9,7 +9,7 @@ from lithos.operators import interpolation as I
 from lithos.operators import petrophysics as P
 from lithos.operators import seismic as S
 from lithos.operators import spatial as X
-from lithos.operators import models, reports, spectral, ties
+from lithos.operators import models, quality, reports, spectral, ties
 from lithos.operators import views as V
 from lithos.operators import wells as W
 from lithos.plans import catalog as C
@@ -317,6 +317,33 @@ def trace_coordinates(spark, sf_dir):
     return coordinates(t).select("dataset_id", "trace_idx", "tx", "ty")
 
 
+def fields(spark, sf_dir):
+    """Three datasets: coordinates in both pairs of fields, in the source's alone, in none."""
+    kind = F.col("trace_idx") % 3
+    t = D.traces(spark, sf_dir).withColumn("dataset_id", F.when(kind == 0, "A").when(kind == 1, "B").otherwise("C"))
+    pick = lambda c, k: F.when(F.col("dataset_id").isin(*k), F.col(c) - 1000).otherwise(0.0)
+    return t.select("dataset_id", pick("tx", "A").alias("cdp_x"), pick("ty", "A").alias("cdp_y"), pick("tx", "AB").alias("source_x"), F.when(F.col("dataset_id") != "C", F.col("ty")).alias("source_y"))
+
+
+@query(f"""WITH {D.TRACES_SQL}, c AS (SELECT CASE trace_idx % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS dataset_id, tx - 1000 AS x, ty - 1000 AS y, ty FROM traces)
+SELECT dataset_id, count(*) AS n, count(*) FILTER (dataset_id = 'A' AND x <> 0) AS n_cdp_x, count(*) FILTER (dataset_id = 'A' AND y <> 0) AS n_cdp_y, count(*) FILTER (dataset_id <> 'C' AND x <> 0) AS n_source_x, count(*) FILTER (dataset_id <> 'C' AND ty <> 0) AS n_source_y, dataset_id <> 'C' AS has_coordinates FROM c GROUP BY dataset_id""")
+def coordinate_fields(spark, sf_dir):
+    return quality.coordinate_fields(fields(spark, sf_dir))
+
+
+@query(f"""WITH {D.MUTED_SQL}, l AS (SELECT *, list_max([abs(x) FOR x IN samples]) > 0 AS live FROM muted)
+SELECT dataset_id, count(*) AS n, count(*) FILTER (NOT live) AS n_dead, {', '.join(f'{f}({c}) AS {c}_{f}' for c in ('inline', 'crossline') for f in ('min', 'max'))}, {', '.join(f'{f}({c}) FILTER (live) AS live_{c}_{f}' for c in ('inline', 'crossline') for f in ('min', 'max'))} FROM l GROUP BY dataset_id""")
+def footprint_report(spark, sf_dir):
+    return quality.footprint_report(D.muted(spark, sf_dir))
+
+
+@query(f"""WITH {D.MUTED_SQL}, z AS (SELECT dataset_id, CAST(generate_subscripts(samples, 1) - 1 AS INTEGER) AS i, unnest(samples) AS a FROM muted), p AS (SELECT dataset_id, i, 100 * avg(CASE WHEN a = 0 THEN 1.0::DOUBLE ELSE 0 END) AS p FROM z GROUP BY dataset_id, i),
+v AS (SELECT dataset_id, min_by(p, i) AS first, max_by(p, i) AS last, min(p) AS least, max(p) AS most FROM p GROUP BY dataset_id)
+SELECT dataset_id, {', '.join(r(c) for c in ('first', 'last', 'least', 'most'))}, (SELECT i FROM p ORDER BY p, i LIMIT 1) AS clearest, CASE WHEN most - least < 5 THEN 'constant' WHEN last < first - 20 THEN 'clears' ELSE 'mixed' END AS verdict FROM v""")
+def mute_verdict(spark, sf_dir):
+    return quality.mute_verdict(S.zero_profile(D.muted(spark, sf_dir)))
+
+
 @query(f"WITH {D.TRACES_SQL}, f AS (SELECT trace_idx, tx, ty, row_number() OVER (ORDER BY trace_idx) - 1 AS k, count(*) OVER () AS n FROM traces) SELECT trace_idx, tx, ty FROM f WHERE k % greatest(1, n // 50) = 0")
 def footprint(spark, sf_dir):
     return S.every_kth(D.traces(spark, sf_dir), 50).select("trace_idx", "tx", "ty")
