@@ -63,9 +63,9 @@ def curve_head(df: DataFrame, curve: str, n: int = 50) -> DataFrame:
     return there.withColumn("k", k).where(F.col("k") <= n).select("well_id", "k", "DEPT", F.col(curve).alias("value"))
 
 
-def compare(df: DataFrame, wells: list[str], metric: str) -> DataFrame:
-    """One metric of the summary for the listed wells; NULL for a well that isn't there."""
-    asked = df.sparkSession.createDataFrame([(w,) for w in wells], "well_id string")
+def compare(df: DataFrame, wells: DataFrame | list[str], metric: str) -> DataFrame:
+    """One metric of the summary for the wells asked for (a list, or a table with well_id); NULL for a well that isn't there."""
+    asked = wells.select("well_id") if isinstance(wells, DataFrame) else df.sparkSession.createDataFrame([(w,) for w in wells], "well_id string")
     return asked.join(well_summary(df).select("well_id", F.col(metric).alias("value")), "well_id", "left")
 
 

@@ -109,9 +109,10 @@ def net_pay_ranking(spark, sf_dir):
     return W.net_pay_ranking(interpreted(spark, sf_dir))
 
 
-@query(INTERPRETED + f"SELECT w.well_id, {as_r('mean_phie', 'value')} FROM (VALUES ('W1'), ('W3'), ('NONE')) w(well_id) LEFT JOIN ({SUMMARY}) s ON s.well_id = w.well_id")
+@query(f"{INTERPRETED.rstrip()}, {D.NUMBERS_SQL} SELECT w.well_id, {as_r('mean_phie', 'value')} FROM (SELECT well_id FROM wn UNION ALL SELECT 'NONE') w LEFT JOIN ({SUMMARY}) s ON s.well_id = w.well_id")
 def compare_wells(spark, sf_dir):
-    return W.compare(interpreted(spark, sf_dir), ["W1", "W3", "NONE"], "mean_phie")
+    none = spark.createDataFrame([("NONE",)], "well_id string")
+    return W.compare(interpreted(spark, sf_dir), D.numbers(spark, sf_dir).select("well_id").unionByName(none), "mean_phie")
 
 
 @query(INTERPRETED + f"SELECT well_id, row_idx, {r('DEPT')}, {as_r('NPHI', 'x')}, {as_r('RHOB', 'y')}, {as_r('VSH', 'color')} FROM it")
