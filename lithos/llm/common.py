@@ -20,6 +20,9 @@ BLOCK_BYTES = 4 << 20
 #: The bytes between words.
 WHITE = np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8)
 
+#: Shuffle files of a query go when it ends, not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _paths: set[str] = set()
 _tables: set[str] = set()
 
@@ -37,10 +40,15 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared scratch folder and read it again: cuts the lineage."""
+    """Write df as Parquet in the shared scratch folder and read it again: cuts the lineage, and frees what the write has shuffled."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lithos-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _paths.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lithos_path = path

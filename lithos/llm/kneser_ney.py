@@ -1,8 +1,7 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-Training. Trusted documents are labelled ones of good quality. Four fifths of at most MAX_TRUSTED of
-them (those with the least hash of their id) are used to count bigrams; all others, however many,
-calibrate.
+Training. Trusted documents are labelled ones of good quality. Four fifths of all of them (by a hash
+of their id) are used to count bigrams; the last fifth, which the model must not have seen, calibrates.
 Counts, continuation counts and the three discounts of each order come from aggregations. The model
 is then written as one table key -> value, in which interpolation has become addition:
 
@@ -17,7 +16,8 @@ drops keys that the model lacks, the rest go to the shard of their hash as packe
 different key once for a unit of documents, with the documents that have it), where the shard's
 part of the model turns them into a sum for each document. A key that many documents of a unit have
 goes without them, and its value comes back to the unit, so no key costs more than a few bytes for
-each unit. Beyond SHARDS shards each one is split by the unit, and its part of the model repeated.
+each unit. Beyond SHARDS shards each one is split by the unit, and its part of the model repeated. The documents
+are scored in PASSES parts one after another, so that the shuffle of one is on disk at a time.
 The sums of all shards add up to the document's log-probability.
 
 Deciding. The calibration documents give, for each language, the median log-perplexity and the
@@ -35,6 +35,8 @@ rows. A column of the input with the name of a result is replaced by it.
 from __future__ import annotations
 
 import io
+import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +48,9 @@ from pyspark.sql import types as T
 from lithos.llm import hashing as H
 from lithos.llm.common import chunks, materialize, release, text_size, utf8
 
-MAX_TRUSTED = 10_000
 HEAD = 1 << 17
-#: Bits of the filter, over all shards.
-FILTER_BITS = 26
+#: Bits of the filter, over all shards: the least, the most, and for a key of the model in between (as powers of 2).
+FILTER_BITS, MOST_BITS, KEY_BITS = 26, 29, 3
 QUANTILE = 0.99
 MARGIN = 1.3
 #: Calibration documents that the pooled median and quantile count as.
@@ -59,6 +60,8 @@ STEP = 1 / 256
 #: Words at which the scatter of a text's log-perplexity has doubled, as variance.
 SHORT = 60.0
 CHUNK = 1 << 18
+#: Parts of the bigrams that get the values of their words one after another, and of the documents that are scored so.
+PASSES = 4
 UNIT = 12 << 20
 #: Bytes of text for a shard, the most shards, and the documents of a unit that a key brings along.
 SHARD, SHARDS, HEAVY = 24 << 20, 4096, 32
@@ -98,7 +101,10 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def count_bigrams(docs: DataFrame, text: str) -> DataFrame:
-    """(v, w, c), counted in each batch first."""
+    """(v, w, c), counted in each batch first, with what all pairs of v have in common: t, the sum of c, and k1, k2, k3, the numbers of pairs seen once, twice and more often.
+
+    Dealt by v alone, so the counts of a context need no further exchange; sorted by v, so they take no room in a file.
+    """
 
     def run(batches):
         for batch in batches:
@@ -109,7 +115,11 @@ def count_bigrams(docs: DataFrame, text: str) -> DataFrame:
                 _, at, c = np.unique(pair_key(v, w), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(c.astype(np.int64))], ["v", "w", "c"])
 
-    return docs.select(text).mapInArrow(run, "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
+    pairs = docs.select(text).mapInArrow(run, "v long, w long, c long").repartition("v").groupBy("v", "w").agg(F.sum("c").alias("c"))
+    part, c = Window.partitionBy("v"), F.col("c")
+    kinds = {"k1": c == 1, "k2": c == 2, "k3": c > 2}
+    # a frame over a context's rows; a context has at most as many as there are words
+    return pairs.select("v", "w", "c", F.sum("c").over(part).alias("t"), *[F.sum(F.when(k, 1).otherwise(0)).over(part).alias(n) for n, k in kinds.items()])
 
 
 def discounts(n: list[int]) -> list[float]:
@@ -137,11 +147,10 @@ def train(trusted: DataFrame, text: str = "text"):
     less = lambda c, d: F.when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
     u = F.log((F.col("k") - less("k", d1)) / types + left / vocabulary)
     words = words.select(F.col("w").alias("x"), u.alias("u"), "c")
-    contexts = pairs.groupBy("v").agg(F.sum("c").alias("t"), F.sum(less("c", d2)).alias("g")).select(F.col("v").alias("x"), F.log(F.col("g") / F.col("t")).alias("g"), "t")
-    single = materialize(words.join(contexts, "x", "full").select("x", F.coalesce("u", F.lit(unknown)).alias("u"), F.coalesce("g", F.lit(0.0)).alias("g"), F.coalesce("c", "t").alias("c"), "t"))
-    full = pairs.join(single.select(F.col("x").alias("v"), "g", "t"), "v").join(single.select(F.col("x").alias("w"), "u"), "w")
-    p = (F.col("c") - less("c", d2)) / F.col("t") + F.exp(F.col("g") + F.col("u"))
-    both = full.select("v", "w", (F.log(p) - F.col("g") - F.col("u")).alias("value"), "c")
+    # the weight that a context leaves to the lower order
+    g = F.log((F.col("k1") * d2[0] + F.col("k2") * d2[1] + F.col("k3") * d2[2]) / F.col("t")).alias("g")
+    contexts = pairs.select(F.col("v").alias("x"), g, "t").distinct()
+    single = materialize(words.join(contexts, "x", "full").select("x", F.coalesce("u", F.lit(unknown)).alias("u"), F.coalesce("g", F.lit(0.0)).alias("g"), F.coalesce("c", "t").alias("c")))
     marks = {r["x"]: r for r in single.where(F.col("x").isin(int(START), int(END))).collect()}
     fixed = marks[int(START)]["g"] + marks[int(END)]["u"]
 
@@ -152,9 +161,17 @@ def train(trusted: DataFrame, text: str = "text"):
 
     # a word counts as a word and as a context; unknown words have g = 0, and every word adds u(unknown) below
     alone = single.where(~F.col("x").isin(int(START), int(END))).select(F.col("x").alias("key"), (F.col("u") + F.col("g") - F.lit(unknown)).cast("float").alias("value"), "c")
-    table = alone.unionByName(both.mapInArrow(keyed, "key long, value float, c long"))
-    table = materialize(table)
+    parts = [materialize(alone)]
+    # the words' values come to the pairs in PASSES, so that a part of the pairs at a time is on its way
+    for k in range(PASSES):
+        mine = pairs.where(F.pmod(F.xxhash64("v"), F.lit(PASSES)) == k).select("v", "w", "c", "t", "k1", "k2", "k3")
+        full = mine.join(single.select(F.col("x").alias("w"), "u"), "w").withColumn("g", g)
+        p = (F.col("c") - less("c", d2)) / F.col("t") + F.exp(F.col("g") + F.col("u"))
+        both = full.select("v", "w", (F.log(p) - F.col("g") - F.col("u")).alias("value"), "c")
+        parts.append(materialize(both.mapInArrow(keyed, "key long, value float, c long")))
     release(pairs, single)
+    table = reduce(DataFrame.unionByName, parts)
+    table._lithos_parts = parts
     return table, unknown, fixed
 
 
@@ -175,8 +192,10 @@ def by_shard(table: DataFrame, shards: int) -> DataFrame:
 
 
 def filter_bits(model: DataFrame, shards: int) -> np.ndarray:
-    """One bit array over all shards: FILTER_BITS in all, whatever the model."""
-    width = (1 << FILTER_BITS) // shards // 8 * 8
+    """One bit array over all shards: FILTER_BITS to MOST_BITS in all, by the number of keys."""
+    keys = model.agg(F.sum(F.octet_length("keys") / 8)).first()[0] or 0
+    bits = min(max(FILTER_BITS, math.ceil(math.log2(keys + 1)) + KEY_BITS - 1), MOST_BITS)
+    width = (1 << bits) // shards // 8 * 8
 
     def run(batches):
         for b in batches:
@@ -191,8 +210,8 @@ def filter_bits(model: DataFrame, shards: int) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, trained, text: str = "text", unit_bytes: int = UNIT, heavy: int = HEAVY, most_shards: int = SHARDS) -> DataFrame:
-    """docs without the text, with n_words and __logp: the log-probability of the words and the end."""
+def score(docs: DataFrame, trained, text: str = "text", unit_bytes: int = UNIT, heavy: int = HEAVY, most_shards: int = SHARDS, last: bool = False) -> DataFrame:
+    """docs without the text, with n_words and __logp: the log-probability of the words and the end. last: the model's table goes once its shards are made."""
     spark = docs.sparkSession
     table, unknown, fixed = trained
     wanted = text_size(docs, text) // SHARD
@@ -205,6 +224,8 @@ def score(docs: DataFrame, trained, text: str = "text", unit_bytes: int = UNIT,
     least = table.groupBy(F.least("c", F.lit(10_000)).alias("c")).agg(F.count("*").alias("n")).withColumn("upto", upto).where(F.col("upto") <= HEAD).agg(F.min("c")).first()[0]
     head = table.where(F.col("c") >= F.lit(least)).select("key", "value").toPandas()
     order = np.argsort(head.key.to_numpy().view(np.uint64))
+    if last:
+        release(*table._lithos_parts)
     shared = spark.sparkContext.broadcast((head.key.to_numpy().view(np.uint64)[order], head.value.to_numpy()[order], bits))
     keep = [f for f in docs.schema if f.name not in (text, "n_words", "__logp")]
     names = [f.name for f in keep]
@@ -295,9 +316,7 @@ def score(docs: DataFrame, trained, text: str = "text", unit_bytes: int = UNIT,
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3))], ["unit", "kind", "shard", "x", "y", "z"])
 
     salt = F.pmod(F.xxhash64("unit"), F.lit(salts)).cast("int").alias("salt")
-    asked = docs.select(*names, text).mapInArrow(units, "shard int, unit long, n long, kind int, x binary, y binary, z binary").select("*", salt)
     spread = model.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    sums = spread.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(join, "unit long, kind int, shard int, x binary, y binary, z binary")
     out = T.StructType([*keep, T.StructField("n_words", T.LongType()), T.StructField("__logp", T.DoubleType())])
 
     def add(key, table):
@@ -314,14 +333,24 @@ def score(docs: DataFrame, trained, text: str = "text", unit_bytes: int = UNIT,
         total += np.bincount(doc, weights=np.repeat(value, np.frombuffer(count, np.uint32)), minlength=len(base))
         return base.set_column(base.num_columns - 1, "__logp", pa.array(total))
 
-    return sums.groupBy("unit").applyInArrow(add, out)
+    def scored(part: DataFrame) -> DataFrame:
+        asked = part.select(*names, text).mapInArrow(units, "shard int, unit long, n long, kind int, x binary, y binary, z binary").select("*", salt)
+        sums = spread.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(join, "unit long, kind int, shard int, x binary, y binary, z binary")
+        return materialize(sums.groupBy("unit").applyInArrow(add, out))
+
+    # the keys of a part of the documents at a time are on their way
+    of = F.pmod(F.xxhash64(*names), F.lit(PASSES)) if names else F.lit(0)
+    return reduce(DataFrame.unionByName, [scored(docs.where(of == k)) for k in range(PASSES if names else 1)])
 
 
-def trusted_ids(labels: DataFrame, id_col: str = "doc_id", most: int = MAX_TRUSTED) -> DataFrame:
-    """The ids of trusted documents, with fold 0 to train (four fifths of at most `most`) and 1 to calibrate (all others)."""
+def trusted_ids(labels: DataFrame, id_col: str = "doc_id", most: int | None = None) -> DataFrame:
+    """The ids of trusted documents, with fold 0 to train (four fifths of all, or of `most`) and 1 to calibrate (all others)."""
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(id_col).where(F.col(id_col).isNotNull()).distinct()
     h = F.xxhash64(F.col(id_col), F.lit(7))
-    trained = good.orderBy(h, id_col).limit(most).where(F.pmod(h, F.lit(5)) != 0)
+    fold = F.when(F.pmod(h, F.lit(5)) != 0, 0).otherwise(1)
+    if most is None:
+        return good.select(id_col, fold.alias("__fold"))
+    trained = good.orderBy(h, id_col).limit(most).where(fold == 0)
     return good.join(trained.withColumn("__fold", F.lit(0)), id_col, "left").select(id_col, F.coalesce("__fold", F.lit(1)).alias("__fold"))
 
 
@@ -344,20 +373,19 @@ def drawn(own: str, pooled: str, n: str):
     return (k * F.coalesce(F.col(own), F.col(pooled)) + PRIOR * F.col(pooled)) / (k + PRIOR)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", most: int = MAX_TRUSTED, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", most: int | None = None, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
     """docs without the text, with n_words, perplexity, threshold (both as log-perplexity excess) and kept."""
     made = ["n_words", "log_perplexity", "excess", "threshold", "kept"]
     docs = docs.select(*[c for c in docs.columns if c not in made])
     ids = materialize(trusted_ids(labels.withColumnRenamed("doc_id", id_col), id_col, most))
-    # at most `most` rows to train on: the parameter bounds what is broadcast
-    trained = train(docs.join(F.broadcast(ids.where("__fold = 0")), id_col, "left_semi").select(text), text)
+    trained = train(docs.join(ids.where("__fold = 0").select(id_col), id_col, "left_semi").select(text), text)
     if trained is None:
         plain = docs.withColumn("n_words", F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")).drop(text)
         null = F.lit(None).cast("double")
         return plain.withColumn("log_perplexity", null).withColumn("excess", null).withColumn("threshold", null).withColumn("kept", F.col("n_words") > 0)
-    scored = score(docs, trained, text)
+    scored = score(docs, trained, text, last=True)
     scored = materialize(scored.withColumn("log_perplexity", F.when(F.col("n_words") > 0, -F.col("__logp") / (F.col("n_words") + 1))).drop("__logp"))
-    # all trusted documents that the model has not seen, so the ids are joined, not broadcast
+    # the trusted documents that the model has not seen
     held = materialize(scored.join(ids.where("__fold = 1").select(id_col), id_col, "left_semi").where("log_perplexity IS NOT NULL").select(lang, "n_words", "log_perplexity"))
     wide = F.sqrt(1 + F.lit(SHORT) / F.greatest(F.col("n_words"), F.lit(1)))
     pooled = quantiles(held, [], F.col("log_perplexity"), 0.5).agg(F.max("q").alias("pm"))
