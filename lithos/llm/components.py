@@ -1,7 +1,8 @@
 """Connected components of a table of links, by label propagation with pointer jumping.
 
-Every round is two joins and two aggregations with partial sums, whatever the degree of a node, so
-a hub's links are never together in one task. Labels fall to the least id that a node can reach
+Links are first thinned to spanning forests of bounded parts, so a group's edges follow its nodes, not
+its pairs. Every round is two joins and two aggregations with partial sums, whatever the degree of a
+node, so a hub's links are never together in one task. Labels fall to the least id that a node can reach
 through its neighbours and their labels; the number of rounds grows with the logarithm of a
 component's breadth for trees of the kind that the near-duplicate operators give.
 """
@@ -10,6 +11,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +22,52 @@ from lithos.llm.common import materialize, release
 FILE_ROWS = 1 << 20
 
 
+def forest(links: DataFrame) -> DataFrame:
+    """Links (a, b) that join what the given ones join: a spanning forest of each part of FILE_ROWS links or so.
+
+    A group's links may be many times its nodes; of a part's links at most one fewer than its nodes stay.
+    Parts are formed anew while that takes away half of the links, so a large group's parts meet.
+    """
+
+    def run(batches):
+        held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+        if not held:
+            return
+        a, b = (np.concatenate(x) for x in zip(*held))
+        node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root, keep = list(range(len(node))), []
+
+        def find(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for k, (x, y) in enumerate(zip(at[: len(a)].tolist(), at[len(a) :].tolist())):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                keep.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+    n, made = links.count(), None
+    while True:
+        out = materialize(links.repartition(max(1, math.ceil(n / FILE_ROWS))).mapInArrow(run, "a long, b long"))
+        left = out.count()
+        if made is not None:
+            release(made)
+        links, made = out, out
+        if n <= FILE_ROWS or 2 * left > n:
+            return out
+        n = left
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least id reachable, for the nodes that have a link."""
-    both = links.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
+    links = forest(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b"))
+    both = links.select(F.col("a").alias("x"), F.col("b").alias("y"))
     edges = both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
     edges = materialize(edges)
+    release(links)
     files = max(1, math.ceil(edges.count() / FILE_ROWS))
     labels = materialize(edges.groupBy("x").agg(F.least(F.min("y"), F.min("x")).alias("l")).repartition(files))
     while True:
