@@ -73,8 +73,8 @@ it AS (SELECT *, CASE ZONES WHEN 1 THEN 'Pay' WHEN 2 THEN 'Reservoir (non-pay)'
 """
 
 
-def interpreted(spark, sf_dir: str) -> DataFrame:
-    return P.interpretation(D.logs(spark, sf_dir))
+def interpreted(spark, sf_dir: str, wells: DataFrame | None = None) -> DataFrame:
+    return P.interpretation(D.logs(spark, sf_dir, wells))
 
 
 @query(INTERPRETED + f"SELECT well_id, row_idx, {', '.join(r(c) for c in ('VSH', 'PHIT', 'PHIE', 'PHIE_DN', 'SWE', 'PERM_TIXIER', 'VVOLC'))}, {as_r('DPTM * 1000', 'dptm_ms')}, {as_r('DEPT', 'tvd')}, ZONES AS zone, ZONES_LABEL AS label FROM it")
@@ -285,8 +285,8 @@ t AS (SELECT *, coalesce((DEPT - lag(DEPT) OVER w) / 0.3048 * (DT + lag(DT) OVER
 tw AS (SELECT *, sum(rise) OVER ({WELL} ORDER BY row_idx ROWS UNBOUNDED PRECEDING) / 1000.0 AS twt_ms, lead(ai) OVER ({WELL} ORDER BY row_idx) AS nxt FROM t)"""
 
 
-def valid(spark, sf_dir):
-    return D.logs(spark, sf_dir).where("DT > 0 AND RHOB > 0")
+def valid(spark, sf_dir, wells=None):
+    return D.logs(spark, sf_dir, wells).where("DT > 0 AND RHOB > 0")
 
 
 @query(TWT + f" SELECT well_id, row_idx, {r('twt_ms')} FROM tw")

@@ -42,12 +42,12 @@ def of_seven():
     return F.substring("well_id", 2, 9).cast("int") % 7
 
 
-def timed(spark, sf_dir):
-    return ties.depth_to_twt(C.valid(spark, sf_dir), t0=2040.0).withColumn("DPTM", F.col("twt_ms"))
+def timed(spark, sf_dir, wells=None):
+    return ties.depth_to_twt(C.valid(spark, sf_dir, wells), t0=2040.0).withColumn("DPTM", F.col("twt_ms"))
 
 
 def in_context(spark, sf_dir):
-    logs = timed(spark, sf_dir)
+    logs = timed(spark, sf_dir, D.tied(spark, sf_dir))
     return K.properties(K.overlap(D.ties(spark, sf_dir), D.traces(spark, sf_dir), logs), logs, CURVES)
 
 

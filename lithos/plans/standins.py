@@ -51,10 +51,12 @@ _no = "CASE WHEN abs({0} + 9999.25) <= 0.01 + 1e-5 * 9999.25 THEN NULL ELSE {0}
 LOGS_SQL = RAW_SQL + ",\nlogs AS (SELECT well_id, row_number() OVER (PARTITION BY well_id ORDER BY row_idx) - 1 AS row_idx, DEPT, " + ", ".join(_no.format(c) for c in ("GR", "RESISTIVITY", "RHOB", "NPHI", "DT")) + " FROM raw)"
 
 
-def logs(spark, sf_dir: str) -> DataFrame:
+def logs(spark, sf_dir: str, wells: DataFrame | None = None) -> DataFrame:
+    """The cleaned logs, of all wells or of those in a table with well_id (an id a well, sent to all tasks: the logs are not sorted for it)."""
     from lithos.operators.cleaning import clean
 
-    return clean(raw_logs(spark, sf_dir))
+    raw = raw_logs(spark, sf_dir)
+    return clean(raw if wells is None else raw.join(F.broadcast(wells.select("well_id")), "well_id", "left_semi"))
 
 
 def traces(spark, sf_dir: str) -> DataFrame:
@@ -114,6 +116,11 @@ ties AS (SELECT well_id, CAST(10 * k + 1 AS BIGINT) AS trace_idx, 3.0::DOUBLE *
   CASE WHEN m <> 5 THEN round(0.9::DOUBLE - 0.13::DOUBLE * m, 2) END AS correlation, m = 2 AS boundary_pinned FROM wn)"""
 
 
+def tied(spark, sf_dir: str) -> DataFrame:
+    """The well_ids of the ties whose trace there is: other wells are in no context, and their logs needn't be sorted for one."""
+    return ties(spark, sf_dir).join(traces(spark, sf_dir).select("trace_idx"), "trace_idx", "left_semi").select("well_id")
+
+
 def heads(spark, sf_dir: str) -> DataFrame:
     """Places of the stand-in wells; some have none and some are far away."""
     k, m = F.col("k"), F.col("m")
