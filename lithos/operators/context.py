@@ -25,10 +25,11 @@ def confident(ties: DataFrame) -> DataFrame:
     return ties.where(is_true((F.col("correlation") >= LOW_CORRELATION) & ~F.col("boundary_pinned")))
 
 
-def overlap(ties: DataFrame, traces: DataFrame, logs: DataFrame, more_ms: float = 0.0) -> DataFrame:
+def overlap(ties: DataFrame, traces: DataFrame, logs: DataFrame, more_ms: float = 0.0, parts: int | None = None) -> DataFrame:
     """(well_id, trace_idx, time_idx, time_ms, depth) of the samples of each well's trace within its logged interval.
 
     logs: well_id, DEPT, DPTM. Wells with fewer than LEAST_KNOTS samples of both have no map and no rows.
+    parts: as in interpolate().
     """
     knots = logs.where("DEPT IS NOT NULL AND DPTM IS NOT NULL").select("well_id", F.col("DPTM").alias("x"), F.col("DEPT").alias("y"))
     enough = knots.groupBy("well_id").agg(F.countDistinct("x").alias("n")).where(F.col("n") >= LEAST_KNOTS)
@@ -36,16 +37,16 @@ def overlap(ties: DataFrame, traces: DataFrame, logs: DataFrame, more_ms: float
     times = t.select("well_id", "trace_idx", "shift_ms", "delay_ms", "dt_ms", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("time_idx"))
     times = times.withColumn("time_ms", F.col("delay_ms") + F.col("time_idx") * F.col("dt_ms"))
     asks = times.select("well_id", F.col("time_idx").cast("long").alias("ask_id"), (F.col("time_ms") - F.col("shift_ms") - more_ms).alias("x"))
-    depth = interpolate(asks, knots, ["well_id"]).where("value IS NOT NULL").select("well_id", F.col("ask_id").cast("int").alias("time_idx"), F.col("value").alias("depth"))
+    depth = interpolate(asks, knots, ["well_id"], parts=parts).where("value IS NOT NULL").select("well_id", F.col("ask_id").cast("int").alias("time_idx"), F.col("value").alias("depth"))
     return times.select("well_id", "trace_idx", "time_idx", "time_ms").join(depth, ["well_id", "time_idx"])
 
 
-def properties(context: DataFrame, logs: DataFrame, curves: list[str]) -> DataFrame:
+def properties(context: DataFrame, logs: DataFrame, curves: list[str], parts: int | None = None) -> DataFrame:
     """context with each curve at its depth, between the samples that have the curve; NULL beyond them."""
     out = context
     for c in curves:
         asks = context.select("well_id", F.col("time_idx").cast("long").alias("ask_id"), F.col("depth").alias("x"))
-        at = interpolate(asks, logs.select("well_id", F.col("DEPT").alias("x"), F.col(c).alias("y")), ["well_id"])
+        at = interpolate(asks, logs.select("well_id", F.col("DEPT").alias("x"), F.col(c).alias("y")), ["well_id"], parts=parts)
         out = out.join(at.select("well_id", F.col("ask_id").cast("int").alias("time_idx"), F.col("value").alias(c)), ["well_id", "time_idx"], "left")
     return out
 

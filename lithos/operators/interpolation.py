@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from lithos.functions.columns import lerp
 
 
-def interpolate(asks: DataFrame, knots: DataFrame, keys: list[str], ends: str = "null") -> DataFrame:
+def interpolate(asks: DataFrame, knots: DataFrame, keys: list[str], ends: str = "null", parts: int | None = None) -> DataFrame:
     """asks (keys, ask_id, x) with value: the line through the knots (keys, x, y) on either side.
 
     ends: "null" outside the knots, "clamp" to the first or last one, "zero". Knots without x or y
     are left out. Asks and knots are put in one order of each key: a shuffle and a sort, no pairs.
+    parts: into how many tasks the keys are dealt (None: what adaptive execution makes of the compressed bytes).
     """
     k = knots.where("x IS NOT NULL AND y IS NOT NULL").groupBy(*keys, "x").agg(F.min("y").alias("y"))
     null = F.lit(None)
     both = k.select(*keys, "x", "y", null.cast(asks.schema["ask_id"].dataType).alias("ask_id"), F.lit(0).alias("ask")).unionByName(asks.select(*keys, "x", null.cast("double").alias("y"), "ask_id", F.lit(1).alias("ask")))
+    if parts:
+        both = both.repartition(parts, *keys)
     knot = F.when(F.col("ask") == 0, F.struct("x", "y"))
     part = Window.partitionBy(*keys)
     before = F.last(knot, ignorenulls=True).over(part.orderBy("x", "ask").rowsBetween(Window.unboundedPreceding, 0))

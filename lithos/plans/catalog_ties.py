@@ -171,8 +171,8 @@ def logged(spark, sf_dir):
     """Each tied well's curves at the times of its trace, and the tied traces."""
     t, traces = D.ties(spark, sf_dir), D.traces(spark, sf_dir)
     own = traces.join(t.select("trace_idx"), "trace_idx", "left_semi")
-    here = D.tied(spark, sf_dir)
-    return K.properties(K.overlap(t, traces, timed(spark, sf_dir, here)), C.interpreted(spark, sf_dir, here), CURVES), own
+    here, n = D.tied(spark, sf_dir), D.parts(spark, sf_dir)
+    return K.properties(K.overlap(t, traces, timed(spark, sf_dir, here), parts=n), C.interpreted(spark, sf_dir, here), CURVES, n), own
 
 
 @query(f"{LOGGED}, {SWT}, {METHODS}{PER_WELL}")

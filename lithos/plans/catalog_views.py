@@ -48,7 +48,8 @@ def timed(spark, sf_dir, wells=None):
 
 def in_context(spark, sf_dir):
     logs = timed(spark, sf_dir, D.tied(spark, sf_dir))
-    return K.properties(K.overlap(D.ties(spark, sf_dir), D.traces(spark, sf_dir), logs), logs, CURVES)
+    n = D.parts(spark, sf_dir)
+    return K.properties(K.overlap(D.ties(spark, sf_dir), D.traces(spark, sf_dir), logs, parts=n), logs, CURVES, n)
 
 
 @query(PROPERTIES + f" SELECT well_id, trace_idx, time_idx, time_ms, {r('depth')}, {r('GR')}, {r('NPHI')} FROM px")

@@ -5,12 +5,16 @@ The SQL texts build the same rows in DuckDB, as common table expressions to begi
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NULL = -9999.25
 #: Rows of a well; the number of wells grows with the events.
 WELL_ROWS = 700
+#: Rows of logs in a task of the queries of ties in context, whatever the tables.
+TASK_ROWS = 1 << 18
 
 
 def number(event):
@@ -52,11 +56,17 @@ LOGS_SQL = RAW_SQL + ",\nlogs AS (SELECT well_id, row_number() OVER (PARTITION B
 
 
 def logs(spark, sf_dir: str, wells: DataFrame | None = None) -> DataFrame:
-    """The cleaned logs, of all wells or of those in a table with well_id (an id a well, sent to all tasks: the logs are not sorted for it)."""
+    """The cleaned logs, of all wells or of those in a table with well_id (an id a well, sent to all tasks: the logs are not sorted for it), then dealt into parts()."""
     from lithos.operators.cleaning import clean
 
     raw = raw_logs(spark, sf_dir)
-    return clean(raw if wells is None else raw.join(F.broadcast(wells.select("well_id")), "well_id", "left_semi"))
+    return clean(raw if wells is None else raw.join(F.broadcast(wells.select("well_id")), "well_id", "left_semi").repartition(parts(spark, sf_dir), "well_id"))
+
+
+def parts(spark, sf_dir: str) -> int:
+    """Tasks for the logs, by their rows: adaptive execution goes by compressed bytes, and 64 MB may be millions of rows."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / TASK_ROWS))
 
 
 def traces(spark, sf_dir: str) -> DataFrame:
