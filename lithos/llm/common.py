@@ -39,16 +39,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared scratch folder and read it again: cuts the lineage, and frees what the write has shuffled."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lithos-{uuid.uuid4().hex}"
+@contextmanager
+def freeing(spark: SparkSession):
+    """What is written inside frees what it has shuffled as soon as it is done."""
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df as Parquet in the shared scratch folder and read it again: cuts the lineage, and frees what the write has shuffled."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/lithos-{uuid.uuid4().hex}"
+    with freeing(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _paths.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lithos_path = path
@@ -133,15 +140,10 @@ def block_table(docs: DataFrame, id_col: str, text_col: str, blocks: int) -> Dat
     _tables.add(name)
     _paths.add(path)
     buckets = min(blocks, 4096)
-    (
-        (docs if "__place" in docs.columns else docs.withColumn("__place", place(id_col, text_col)))
-        .withColumn("__block", block_of(F.col("__place"), blocks))
-        .repartition(buckets, "__block")
-        .write.option("compression", "zstd")
-        .option("path", path)
-        .bucketBy(buckets, "__block")
-        .saveAsTable(name)
-    )
+    rows = docs if "__place" in docs.columns else docs.withColumn("__place", place(id_col, text_col))
+    rows = rows.withColumn("__block", block_of(F.col("__place"), blocks)).repartition(buckets, "__block")
+    with freeing(spark):
+        rows.write.option("compression", "zstd").option("path", path).bucketBy(buckets, "__block").saveAsTable(name)
     out = spark.table(name)
     out._lithos_table, out._lithos_path = name, path
     return out
