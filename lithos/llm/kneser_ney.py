@@ -340,7 +340,9 @@ def score(docs: DataFrame, trained, text: str = "text", unit_bytes: int = UNIT,
 
     # the keys of a part of the documents at a time are on their way
     of = F.pmod(F.xxhash64(*names), F.lit(PASSES)) if names else F.lit(0)
-    return reduce(DataFrame.unionByName, [scored(docs.where(of == k)) for k in range(PASSES if names else 1)])
+    parts = reduce(DataFrame.unionByName, [scored(docs.where(of == k)) for k in range(PASSES if names else 1)])
+    shared.destroy()  # all parts are written
+    return parts
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id", most: int | None = None) -> DataFrame:
