@@ -40,10 +40,15 @@ GROUP = 40_000
 FAN = 64
 ROOM = 8
 #: Words that a task keeps the ids of; characters of text handled at once.
-KEPT = 300_000
+KEPT = 400_000
 #: Words encoded in one call.
 TOGETHER = 500
 CHUNK = 1 << 20
+#: Signs at a word's end that are a token run of their own after a letter or digit; no special token ends with one.
+TAIL = ".,;:!?*$&#%|)"
+#: Letters below this one are no marks and are their own normal form; the byte-level pieces' characters for the bytes that aren't printable.
+BEYOND = "\u0250"
+LETTERS = {b: 256 + 33 + b - 127 for b in range(127, 161)} | {173: 256 + 67}
 
 
 class WordIds:
@@ -58,17 +63,20 @@ class WordIds:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         # a character of a byte-level piece is a byte; </w> marks the end of a run of letters, digits or signs
         self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for piece, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.width[i] = len(piece.removesuffix("</w>"))
+        # runs of plain letters need no rules: the same model, each word a piece of its own
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = WhitespaceSplit()
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def learn(self, words: set[str]) -> None:
-        """Words are encoded many at a time; the bytes that each id stands for tell where a word's ids end."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > KEPT:
             # words of the last but one generation are forgotten, those that are still in use come along
@@ -79,8 +87,24 @@ class WordIds:
             moved = {w: got[w] for w in new if w in got}
             self.known |= moved
             new = [w for w in new if w not in moved]
+        # a word is its stem and the signs after it, which the tokenizer parts: the many forms of a stem are encoded once
+        forms = [(w, *stem(w, x)) for w, x in zip(new, [w.rstrip(TAIL) for w in new]) if x != w or not w.islower()]
+        forms = [f for f in forms if f[0] is not f[1]]
+        whole = set(new).difference([w for w, _, _ in forms])
+        known = self.known
+        whole = {x for x in whole.union([x for _, x, _ in forms], [t for _, _, t in forms]) if x not in known}
+        plain = [x for x in whole if is_plain(x)]
+        self.encode(plain, self.plain)
+        self.encode(list(whole.difference(plain)), self.tokenizer)
+        known.update([(w, known[x] + known[t]) for w, x, t in forms])
+
+    def encode(self, new: list[str], tokenizer) -> None:
+        """Words are encoded many at a time; the bytes that each id stands for tell where a word's ids end."""
         groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+        texts = [" ".join(g) for g in groups]
+        if tokenizer is self.plain:
+            texts = [t.encode().decode("latin-1").translate(LETTERS) for t in texts]
+        for group, e in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             at = np.cumsum(self.width[ids])
             ends = np.cumsum([len(w) for w in " ".join(group).lower().encode().split(b" ")])
@@ -104,6 +128,19 @@ class WordIds:
         return out
 
 
+def stem(word: str, bare: str) -> tuple[str, str]:
+    """bare, the word without the signs at its end, in lower case if it is plain letters, and those signs; the word itself where the tokenizer may not part them."""
+    if not bare or not (bare[-1].lower().isalnum() and bare[-1] < BEYOND):  # a capital i with a dot ends with a mark in lower case
+        return word, ""
+    x = bare.lower() if bare.isascii() and bare.isalpha() else bare
+    return (x, word[len(x) :]) if x != word else (word, "")
+
+
+def is_plain(word: str) -> bool:
+    """Lower-case letters alone, which the tokenizer neither changes nor parts."""
+    return word.isalpha() and word.islower() and (word.isascii() or max(word) < BEYOND)
+
+
 def plain_spaces(text: str) -> str:
     """text with a space for every other break between words."""
     for c in "\n\t\r\v\f":
