@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import zlib
 from functools import lru_cache
+from string import ascii_letters, digits
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithos.llm.common import chunks, materialize
+from lithos.llm.common import chunks, materialize, utf8
 
 TOKENIZER = "word_bpe_49k.json"
 SIZE = 2048
@@ -39,23 +40,29 @@ END = 0
 GROUP = 40_000
 FAN = 64
 ROOM = 8
-#: Words that a task keeps the ids of; characters of text handled at once.
-KEPT = 400_000
-#: Words encoded in one call.
+#: Words that a task keeps the ids of (some 45 bytes each); bytes of text handled at once.
+KEPT = 1_000_000
+CHUNK = 8 << 20
+#: Words encoded in one text, and in one call.
 TOGETHER = 500
-CHUNK = 1 << 20
+AT_ONCE = 20_000
 #: Signs at a word's end that are a token run of their own after a letter or digit; no special token ends with one.
 TAIL = ".,;:!?*$&#%|)"
 #: Letters below this one are no marks and are their own normal form; the byte-level pieces' characters for the bytes that aren't printable.
 BEYOND = "\u0250"
+PLAIN = "^[a-z\\x{df}-\\x{f6}\\x{f8}-\\x{ff}]+$"
 LETTERS = {b: 256 + 33 + b - 127 for b in range(127, 161)} | {173: 256 + 67}
+#: Whether a byte is one of those signs, a letter or digit; as how long a run of signs at a word's end is parted from it.
+SIGN, ALNUM = (np.isin(np.arange(256), np.frombuffer(x.encode(), np.uint8)) for x in (TAIL, ascii_letters + digits))
+LONGEST = 8
 
 
 class WordIds:
     """Token ids of texts, from the ids of their words.
 
     The tokenizer drops white space and never joins what it parts, so the ids of a text are those
-    of its words one after another; each different word is encoded once and kept as bytes.
+    of its words one after another; each different word is encoded once and kept as bytes. Arrays
+    part the words and Arrow numbers the different ones, so that no text is handled word by word.
     """
 
     def __init__(self, path: str):
@@ -73,67 +80,113 @@ class WordIds:
         # runs of plain letters need no rules: the same model, each word a piece of its own
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = WhitespaceSplit()
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KEPT:
-            # words of the last but one generation are forgotten, those that are still in use come along
-            self.before, self.known = self.known, {}
-            new = list(words)
-        if self.before:
-            got = self.before
-            moved = {w: got[w] for w in new if w in got}
-            self.known |= moved
-            new = [w for w in new if w not in moved]
-        # a word is its stem and the signs after it, which the tokenizer parts: the many forms of a stem are encoded once
-        forms = [(w, *stem(w, x)) for w, x in zip(new, [w.rstrip(TAIL) for w in new]) if x != w or not w.islower()]
-        forms = [f for f in forms if f[0] is not f[1]]
-        whole = set(new).difference([w for w, _, _ in forms])
-        known = self.known
-        whole = {x for x in whole.union([x for _, x, _ in forms], [t for _, _, t in forms]) if x not in known}
-        plain = [x for x in whole if is_plain(x)]
-        self.encode(plain, self.plain)
-        self.encode(list(whole.difference(plain)), self.tokenizer)
-        known.update([(w, known[x] + known[t]) for w, x, t in forms])
-
-    def encode(self, new: list[str], tokenizer) -> None:
+        # words, their ids as bytes, and whether a word was met again since it was learned or last kept
+        self.words, self.raw, self.again = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.zeros(0, bool)
+
+    @property
+    def known(self) -> list[str]:
+        return self.words.to_pylist()
+
+    def numbers(self, words: pa.Array) -> pa.Array:
+        """The place in self.words of each of some different words; new ones are put there before."""
+        n = pc.index_in(words, value_set=self.words)
+        met = n.drop_null().to_numpy()
+        self.again[met] = True
+        if n.null_count:
+            new = words.filter(n.is_null())
+            if len(self.words) + len(new) > KEPT:
+                # words met again are kept, and if these are many, those of this text alone
+                keep = self.again
+                if keep.sum() > KEPT // 2:
+                    keep = np.zeros(len(keep), bool)
+                keep[met] = True
+                self.words, self.raw, self.again = self.words.filter(pa.array(keep)), self.raw.filter(pa.array(keep)), np.zeros(keep.sum(), bool)
+            plain = pc.match_substring_regex(new, PLAIN).to_numpy(zero_copy_only=False)
+            plain[~plain] = [is_plain(w) for w in new.filter(pa.array(~plain)).to_pylist()]
+            for some, tokenizer in ((plain, self.plain), (~plain, self.tokenizer)):
+                some = new.filter(pa.array(some))
+                for i in range(0, len(some), AT_ONCE):
+                    group = some.slice(i, AT_ONCE)
+                    self.words, self.raw = pa.concat_arrays([self.words, group]), pa.concat_arrays([self.raw, self.encode(group.to_pylist(), tokenizer)])
+            self.again = np.append(self.again, np.zeros(len(self.words) - len(self.again), bool))
+            n = pc.index_in(words, value_set=self.words)
+        return n
+
+    def encode(self, new: list[str], tokenizer) -> pa.Array:
         """Words are encoded many at a time; the bytes that each id stands for tell where a word's ids end."""
-        groups = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
-        texts = [" ".join(g) for g in groups]
+        texts = [" ".join(new[k : k + TOGETHER]) for k in range(0, len(new), TOGETHER)]
+        lengths = [len(w) for w in " ".join(texts).lower().encode().split(b" ")]
         if tokenizer is self.plain:
             texts = [t.encode().decode("latin-1").translate(LETTERS) for t in texts]
-        for group, e in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            at = np.cumsum(self.width[ids])
-            ends = np.cumsum([len(w) for w in " ".join(group).lower().encode().split(b" ")])
-            cut = np.searchsorted(at, ends, "right")
-            if len(ends) == len(group) and (np.append(0, at)[cut] == ends).all() and len(at) and at[-1] == ends[-1]:
-                raw, cut = ids.tobytes(), (4 * cut).tolist()
-                self.known |= {w: raw[x:y] for w, x, y in zip(group, [0, *cut], cut)}
-            else:  # a special token or a change of length by normalisation
-                for w, x in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False)):
-                    self.known[w] = np.array(x.ids, "<u4").tobytes()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        at, ends = np.cumsum(self.width[ids]), np.cumsum(lengths)
+        cut = np.searchsorted(at, ends, "right")
+        if not (len(ends) == len(new) and (np.append(0, at)[cut] == ends).all() and len(at) and at[-1] == ends[-1]):
+            # a special token or a change of length by normalisation
+            each = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            ids, cut = np.concatenate(each), np.cumsum([len(x) for x in each])
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(np.append(0, 4 * cut)), pa.py_buffer(ids)])
+
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
         """The ids of each text, four bytes each, little-endian."""
+        data, off = utf8(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts)
         out = []
-        sizes = np.cumsum([0, *map(len, texts)])
-        for i, j in chunks(sizes, CHUNK):
-            words = [plain_spaces(t).split(" ") for t in texts[i:j]]
-            self.learn(set().union(*words))
-            get = self.known.__getitem__
-            out += [b"".join(map(get, w)) for w in words]
+        for i, j in chunks(off, CHUNK):
+            words, before = parted(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            # the ids of all words, taken from those of the different ones, are those of the texts one after another
+            words = words.dictionary_encode()
+            numbers = self.numbers(words.dictionary)
+            got = self.raw.take(numbers).take(words.indices)
+            at = np.frombuffer(got.buffers()[1], np.int64)[before].tolist() if len(got) else [0] * len(before)
+            raw = memoryview(got.buffers()[2] or b"")
+            out += [bytes(raw[x:y]) for x, y in zip(at, at[1:])]
         return out
 
 
-def stem(word: str, bare: str) -> tuple[str, str]:
-    """bare, the word without the signs at its end, in lower case if it is plain letters, and those signs; the word itself where the tokenizer may not part them."""
-    if not bare or not (bare[-1].lower().isalnum() and bare[-1] < BEYOND):  # a capital i with a dot ends with a mark in lower case
-        return word, ""
-    x = bare.lower() if bare.isascii() and bare.isalpha() else bare
-    return (x, word[len(x) :]) if x != word else (word, "")
+def parted(data: np.ndarray, off: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts (UTF-8, and where each begins and the last ends) one after another, and how many come before each text and in all.
+
+    A word of plain letters is in lower case. Signs at the end of a word are one of their own where the tokenizer
+    parts them whatever they are: the many forms of a stem are one then.
+    """
+    begin = np.zeros(len(data) + 1, bool)
+    begin[off] = True  # of a text; words don't cross it
+    dark = ~((data == 32) | (data - np.uint8(9) < 5))
+    gap = begin.copy()
+    gap[1:] |= ~np.append(dark[1:], False)  # after a byte: no word goes on
+    first = np.flatnonzero(dark & np.append(True, ~dark[:-1] | begin[1:-1]))
+    if not len(first):
+        return pa.array([], pa.large_string()), np.zeros(len(off), np.int64)
+    last = np.flatnonzero(dark & gap[1:])
+    # each word's last signs, looked for as far as LONGEST
+    signed = np.flatnonzero(SIGN[data[last]])
+    lo, at, found = first[signed], last[signed], []
+    for _ in range(LONGEST):
+        at = at - 1
+        inside = at >= lo
+        more = SIGN[data[at]] & inside
+        found.append(at[inside & ~more])
+        lo, at = lo[more], at[more]
+    at = np.concatenate(found)
+    # they follow a letter or digit of ASCII or of two bytes below U+0240; a capital i with a dot ends with a mark in lower case
+    tail, lead = data[at], data[at - 1]
+    latin = (lead == 0xC3) & (tail != 0x97) & (tail != 0xB7) | (lead >= 0xC4) & (lead <= 0xC8) & ~((lead == 0xC4) & (tail == 0xB0))
+    cut = at[ALNUM[tail] | latin & (tail >= 0x80) & (tail < 0xC0)] + 1
+    first, end = (np.sort(np.concatenate([x, cut]), kind="stable") for x in (first, last + 1))
+    before = np.searchsorted(first, off)
+    # without white space
+    text = data[dark]
+    at = np.append(0, np.cumsum(end - first))
+    # lower case, where all of a word is letters of ASCII or of two bytes up to U+00FF
+    other = np.flatnonzero((text | 32) - np.uint8(97) >= 26)
+    byte = text[other]
+    latin = (text[other - 1] == 0xC3) & (byte >= 0x80) & (byte < 0xC0) & (byte != 0x97) & (byte != 0xB7)
+    odd = other[~(latin | (byte == 0xC3) & np.append(latin[1:], False))]
+    plain = np.ones(len(first), bool)
+    plain[np.searchsorted(at, odd, "right") - 1] = False
+    for capital in (np.flatnonzero(text - np.uint8(65) < 26), other[latin & (byte < 0x9F)]):
+        text[capital[plain[np.searchsorted(at, capital, "right") - 1]]] += 32
+    return pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(at), pa.py_buffer(text)), before
 
 
 def is_plain(word: str) -> bool:
@@ -141,13 +194,6 @@ def is_plain(word: str) -> bool:
     return word.isalpha() and word.islower() and (word.isascii() or max(word) < BEYOND)
 
 
-def plain_spaces(text: str) -> str:
-    """text with a space for every other break between words."""
-    for c in "\n\t\r\v\f":
-        text = text.replace(c, " ")
-    return text
-
-
 @lru_cache(4)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
@@ -170,7 +216,7 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text
         for b in batches:
             ids = b.column(id_col).to_pylist()
             rows = [[] for _ in out.names]
-            for d, raw in zip(ids, w.ids([t or "" for t in b.column(text).to_pylist()])):
+            for d, raw in zip(ids, w.ids(b.column(text))):
                 raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * size)):
                     part = raw[at : at + 4 * size]
