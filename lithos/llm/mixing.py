@@ -107,7 +107,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 
 
 def emit(docs: DataFrame, mixed: DataFrame, row: str) -> DataFrame:
-    """The documents of a mix, each as many times as it is taken; row: a column that numbers the documents."""
+    """The documents of a mix, each as many times as it is taken; row: a column that numbers the documents, written before, as a number that Spark computes anew may be another row's."""
     taken = mixed.where("copies > 0").select(row, F.col("copies").cast("int").alias("__copies"))
     return docs.join(taken, row).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
 
